@@ -10,6 +10,8 @@ from chromloom.llm.common import table
 #: op2: target weights of the sources; those not named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2, "src3": 3}
 BLOCK_CHARS = 50_000
+#: op7: the public model file (a parameter; never copied here).
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: op4: (verdict, rule).
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 URL_DAMPING, URL_ROUNDS, URL_THRESHOLD = 0.85, 8, 0.0801
@@ -29,3 +31,18 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     judged = judge_urls(pages, URL_RULES, URL_DAMPING, URL_ROUNDS, URL_THRESHOLD)
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
+def op5_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.simhash import hex_fingerprint, near_duplicate_classes
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    classes = near_duplicate_classes(docs, n=4, radius=4)
+    return classes.select(F.col("id").alias("doc_id"), hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.pieces import encode_pieces
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_pieces(docs, PIECE_MODEL).select("doc_id", "n_tokens", "ids", "parity", "round_trip")
