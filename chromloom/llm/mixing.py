@@ -68,10 +68,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], default_weight: int =
     schedule = spark.createDataFrame(edf_period(named), "__source string, __weight long, __j long, __r long, __d long, __t long").select("__source", "__weight", "__j", "__t") if named else spark.createDataFrame([], "__source string, __weight long, __j long, __t long")
     of_source = F.broadcast(schedule.filter("__j = 0").select("__source", "__weight"))  # MAX_PERIOD rows at most, checked above
 
-    base = docs.withColumns({"__source": source_of(source_col), "__h": h, "__size": size}).withColumn("__chunk", F.substring("__h", 1, depth))
+    base = docs.withColumns({"__source": source_of(source_col), "__h": h, "__size": size, "__tie": F.xxhash64(text_col)}).withColumn("__chunk", F.substring("__h", 1, depth))
     sizes = base.groupBy("__source", "__chunk").agg(F.sum("__size").alias("__chunk_size"))
     offsets = sizes.select("__source", "__chunk", F.coalesce(F.sum("__chunk_size").over(Window.partitionBy("__source").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
-    in_chunk = Window.partitionBy("__source", "__chunk").orderBy("__h", id_col, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
+    in_chunk = Window.partitionBy("__source", "__chunk").orderBy("__h", id_col, "__tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.join(offsets, ["__source", "__chunk"]).withColumn("__start", F.col("__offset") + F.coalesce(F.sum("__size").over(in_chunk), F.lit(0)))
     placed = placed.withColumn("__block", F.expr(f"__start div {int(block_chars)}")).join(of_source, "__source").withColumn("__j", F.col("__block") % F.col("__weight"))
     placed = placed.join(F.broadcast(schedule.drop("__weight")), ["__source", "__j"])
@@ -81,7 +81,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], default_weight: int =
             "__deadline": F.expr(f"((__block + 1) * {period} + __weight - 1) div __weight"),
             "__slot": F.expr(f"(__block div __weight) * {period} + __t"),
         }
-    ).drop("__h", "__size", "__chunk", "__offset", "__j", "__t")
+    ).drop("__h", "__size", "__tie", "__chunk", "__offset", "__j", "__t")
 
 
 def mixture(docs: DataFrame, weights: dict[str, int], **options) -> DataFrame:
