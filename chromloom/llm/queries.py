@@ -10,6 +10,9 @@ from chromloom.llm.common import table
 #: op2: target weights of the sources; those not named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2, "src3": 3}
 BLOCK_CHARS = 50_000
+#: op10: the chain of categories over the labels, and the probability from which a document is rejected.
+TOXICITY_CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+TOXIC_FROM = 0.5
 #: op7: the public model file (a parameter; never copied here).
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: op4: (verdict, rule).
@@ -46,3 +49,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_pieces(docs, PIECE_MODEL).select("doc_id", "n_tokens", "ids", "parity", "round_trip")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.toxicity import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classify(docs, table(spark, sf_dir, "labels"), TOXICITY_CHAIN)
+    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC_FROM).alias("toxic"))
