@@ -61,3 +61,18 @@ SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust >= {q.URL
        round(trust, 9) AS trust, round(distrust, 9) AS distrust
 FROM j JOIN r{q.URL_ROUNDS} r ON r.host = j.host
 """
+
+
+def _op1() -> str:
+    gram = ", ".join(f"w[i + {j}]" for j in range(q.REPEAT_WORDS))
+    return rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, [{gram}] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {q.REPEAT_WORDS - 2})) AS i FROM d WHERE len(w) >= {q.REPEAT_WORDS})),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS first_doc FROM g),
+gone AS (SELECT doc_id, list(i) AS starts FROM m WHERE first_doc < doc_id GROUP BY 1),
+cut AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + {q.REPEAT_WORDS})))) AS pos FROM gone),
+k AS (SELECT d.doc_id, w, coalesce(len(pos), 0) AS n_removed,
+             CASE WHEN pos IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(pos, i))), lambda i: w[i]) END AS kept
+      FROM d LEFT JOIN cut USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""

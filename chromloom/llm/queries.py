@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chromloom.llm.common import table
 
+#: op1: words of a window.
+REPEAT_WORDS = 13
 #: op2: target weights of the sources; those not named weigh 1.
 SOURCE_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2, "src3": 3}
 BLOCK_CHARS = 50_000
@@ -57,3 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = classify(docs, table(spark, sf_dir, "labels"), TOXICITY_CHAIN)
     return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC_FROM).alias("toxic"))
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.substrings import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, window=REPEAT_WORDS, report=True).select("doc_id", "n_words", "n_removed", "kept_sha256")

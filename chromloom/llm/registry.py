@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from chromloom.llm import oracles, queries
@@ -20,4 +21,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {n: _shipped(getattr(queries, n)) for n in sorted((x for x in dir(queries) if x.startswith("op")), key=lambda x: int(x[2:].split("_")[0]))}
-ORACLES = {"op2_source_mixing": oracles._op2(), "op4_url_filter": oracles._op4()}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLES = {"op1_substring_dedup": oracles._op1(), "op2_source_mixing": oracles._op2(), "op4_url_filter": oracles._op4()}
