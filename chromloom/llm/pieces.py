@@ -14,6 +14,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 CHUNK = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 #: Bytes of a model file, and remembered chunks of a worker, at most.
-MAX_MODEL, MAX_KNOWN = 64_000_000, 300_000
+MAX_MODEL, MAX_KNOWN = 64_000_000, 400_000
 #: Kinds of pieces and models in the protobuf (fixed values of the public file format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -124,38 +125,60 @@ class PieceCodec:
         self.tokenizer = build_tokenizer(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.bare = Tokenizer(self.tokenizer.model) if self.tokenizer.pre_tokenizer is not None and self.plain() else None
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        if self.bare is not None:
+            from tokenizers import decoders
+
+            self.bare.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.odd: set[str] = set()  # chunks of known or older that don't decode to themselves
 
     def plain(self) -> bool:
         m = self.model
         return not m.charsmap and not m.remove_extra_whitespaces and m.escape_whitespaces
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _learn(self, chunks: set[str]) -> None:
+        """Makes all chunks known; those seen in the last MAX_KNOWN new ones are kept, older ones are forgotten."""
+        if len(self.known) > MAX_KNOWN:
+            self.known, self.older = {}, self.known
+            self.odd &= self.older.keys()
+        missing = chunks.difference(self.known)
+        old = missing & self.older.keys()
+        self.known.update((c, self.older[c]) for c in old)
+        fresh = list(missing - old)
+        for i in range(0, len(fresh), 10_000):
+            part = fresh[i : i + 10_000]
+            ids = [e.ids for e in self.bare.encode_batch_fast(part, add_special_tokens=False)]
+            self.known.update(zip(part, ids, strict=True))
+            back = self.bare.decode_batch(ids, skip_special_tokens=False)
+            self.odd.update(c for c, x in zip(part, back, strict=True) if x != c.replace(MARK, " "))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
         if self.bare is None:
-            return [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [list(chain.from_iterable(map(self.known.__getitem__, own))) for own in self.chunks(texts)]
+
+    def chunks(self, texts: list[str]) -> list[list[str]]:
         head = MARK if self.model.add_dummy_prefix else ""
-        chunks = [CHUNK.findall(head + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > MAX_KNOWN:
-            self.known.clear()
-            self.ids.clear()
-        if fresh := list({c for own in chunks for c in own}.difference(self.known)):
-            for c, e in zip(fresh, self.bare.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                self.known[c] = len(self.ids)
-                self.ids.append(np.asarray(e.ids, np.int32))
-        known, ids, none = self.known, self.ids, np.zeros(0, np.int32)
-        return [np.concatenate([ids[known[c]] for c in own]) if own else none for own in chunks]
+        out = [CHUNK.findall(head + t.replace(" ", MARK)) if t else [] for t in texts]
+        self._learn(set(chain.from_iterable(out)))
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def checked(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
+    def checked(self, texts: list[str]) -> Iterator[tuple[list[int], bool, bool]]:
         """(ids, parity, round_trip) of each text, a bounded number of characters at a time."""
         for part in portions(texts):
             theirs = self.reference.encode(part, num_threads=1)
-            for text, mine, ids, back in zip(part, self.encode(part), theirs, self.decode(theirs), strict=True):
-                same = len(mine) == len(ids) and mine.tolist() == ids
-                yield (mine if same else np.asarray(ids, np.int32)), same, back == text
+            if self.bare is None:
+                for mine, ids, text, back in zip(self.encode(part), theirs, part, self.decode(theirs), strict=True):
+                    yield ids, mine == ids, back == text
+                continue
+            for own, ids, text in zip(self.chunks(part), theirs, part, strict=True):
+                same = list(chain.from_iterable(map(self.known.__getitem__, own))) == ids
+                # chunks decode one by one, as no piece or byte sequence crosses their borders
+                yield ids, same, MARK not in text and self.odd.isdisjoint(own) if same else self.decode([ids])[0] == text
 
 
 def portions(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
@@ -209,7 +232,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text") -> D
                 batch = whole.slice(start, 1000)
                 done = list(codec.checked([t or "" for t in batch.column(at).to_pylist()]))
                 sizes = np.asarray([len(d[0]) for d in done], np.int64)
-                ids = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.concatenate([d[0] for d in done])))
+                ids = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.fromiter(chain.from_iterable(d[0] for d in done), np.int32, int(sizes.sum()))))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(sizes), ids.cast(pa.list_(pa.int32())), pa.array([d[1] for d in done]), pa.array([d[2] for d in done])],
                     names=[*batch.schema.names, "n_tokens", "ids", "parity", "round_trip"],
