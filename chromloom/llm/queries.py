@@ -66,3 +66,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, window=REPEAT_WORDS, report=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.language_model import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
