@@ -72,3 +72,18 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chromloom.llm.language_model import lm_scores
 
     return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.hnsw import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op6_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.quotes import link_conversations
+
+    linked = link_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return linked.select("conv_id", "root_turn", "depth", "turn", "role", "content", "reply_to", "by_quote", "n_quotes", "n_linked", "chat")
