@@ -87,3 +87,10 @@ def op6_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     linked = link_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return linked.select("conv_id", "root_turn", "depth", "turn", "role", "content", "reply_to", "by_quote", "n_quotes", "n_linked", "chat")
+
+
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.images import image_classes, pictures
+
+    media = pictures(table(spark, sf_dir, "embeddings"))
+    return image_classes(media).withColumnRenamed("id", "media_id")
