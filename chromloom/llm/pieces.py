@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 CHUNK = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 #: Bytes of a model file, and remembered chunks of a worker, at most.
-MAX_MODEL, MAX_KNOWN = 64_000_000, 400_000
+MAX_MODEL, MAX_KNOWN = 64_000_000, 300_000
 #: Kinds of pieces and models in the protobuf (fixed values of the public file format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -119,19 +119,22 @@ class PieceCodec:
 
     def __init__(self, proto: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         self.model = parse_model(proto)
         self.tokenizer = build_tokenizer(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        self.bare = Tokenizer(self.tokenizer.model) if self.tokenizer.pre_tokenizer is not None and self.plain() else None
-        if self.bare is not None:
-            from tokenizers import decoders
-
-            self.bare.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-        self.odd: set[str] = set()  # chunks of known or older that don't decode to themselves
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        line = [i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE and p == "<0x0A>"]
+        self.chunked = self.tokenizer.pre_tokenizer is not None and self.plain() and bool(line)
+        if self.chunked:
+            # lines of chunks: the id of a line break, which is no chunk's own, parts them again
+            self.line = line[0]
+            self.lines = Tokenizer(self.tokenizer.model)
+            self.lines.pre_tokenizer = pre_tokenizers.Split(Regex(r"\n"), behavior="isolated")
+        self.known: dict[str, bytes] = {}  # the ids as int32
+        self.older: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # known or older chunks that don't decode to themselves
 
     def plain(self) -> bool:
         m = self.model
@@ -145,18 +148,19 @@ class PieceCodec:
         missing = chunks.difference(self.known)
         old = missing & self.older.keys()
         self.known.update((c, self.older[c]) for c in old)
-        fresh = list(missing - old)
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            ids = [e.ids for e in self.bare.encode_batch_fast(part, add_special_tokens=False)]
+        self.known.setdefault("\n", np.int32(self.line).tobytes())
+        fresh = list(missing - old - {"\n"})
+        for i in range(0, len(fresh), 20_000):
+            part = fresh[i : i + 20_000]
+            encoded = self.lines.encode_batch_fast(["\n".join(part[k : k + 200]) for k in range(0, len(part), 200)], add_special_tokens=False)
+            flat = np.asarray([x for e in encoded for x in (*e.ids, self.line)], np.int32)
+            raw, ends = flat.tobytes(), np.flatnonzero(flat == self.line)
+            ids = [raw[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
             self.known.update(zip(part, ids, strict=True))
-            back = self.bare.decode_batch(ids, skip_special_tokens=False)
-            self.odd.update(c for c, x in zip(part, back, strict=True) if x != c.replace(MARK, " "))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.bare is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [list(chain.from_iterable(map(self.known.__getitem__, own))) for own in self.chunks(texts)]
+            listed, bytes_of = flat.tolist(), self.bytes_of
+            for c, a, b in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                if b"".join([bytes_of[x] for x in listed[a:b]]) != c.replace(MARK, " ").encode():
+                    self.odd.add(c)
 
     def chunks(self, texts: list[str]) -> list[list[str]]:
         head = MARK if self.model.add_dummy_prefix else ""
@@ -164,21 +168,29 @@ class PieceCodec:
         self._learn(set(chain.from_iterable(out)))
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.chunked:
+            return [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._joined(own) for own in self.chunks(texts)]
+
+    def _joined(self, own: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32)
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def checked(self, texts: list[str]) -> Iterator[tuple[list[int], bool, bool]]:
+    def checked(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, round_trip) of each text, a bounded number of characters at a time."""
         for part in portions(texts):
-            theirs = self.reference.encode(part, num_threads=1)
-            if self.bare is None:
-                for mine, ids, text, back in zip(self.encode(part), theirs, part, self.decode(theirs), strict=True):
-                    yield ids, mine == ids, back == text
+            theirs = (np.asarray(x, np.int32) for x in self.reference.encode(part, num_threads=1))
+            if not self.chunked:
+                for mine, ids, text in zip(self.encode(part), theirs, part, strict=True):
+                    yield ids, np.array_equal(mine, ids), self.decode([ids.tolist()])[0] == text
                 continue
             for own, ids, text in zip(self.chunks(part), theirs, part, strict=True):
-                same = list(chain.from_iterable(map(self.known.__getitem__, own))) == ids
+                same = np.array_equal(self._joined(own), ids)
                 # chunks decode one by one, as no piece or byte sequence crosses their borders
-                yield ids, same, MARK not in text and self.odd.isdisjoint(own) if same else self.decode([ids])[0] == text
+                yield ids, same, (MARK not in text and self.odd.isdisjoint(own)) if same else self.decode([ids.tolist()])[0] == text
 
 
 def portions(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
@@ -232,7 +244,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text") -> D
                 batch = whole.slice(start, 1000)
                 done = list(codec.checked([t or "" for t in batch.column(at).to_pylist()]))
                 sizes = np.asarray([len(d[0]) for d in done], np.int64)
-                ids = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.fromiter(chain.from_iterable(d[0] for d in done), np.int32, int(sizes.sum()))))
+                ids = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.concatenate([d[0] for d in done])))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(sizes), ids.cast(pa.list_(pa.int32())), pa.array([d[1] for d in done]), pa.array([d[2] for d in done])],
                     names=[*batch.schema.names, "n_tokens", "ids", "parity", "round_trip"],

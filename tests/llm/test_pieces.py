@@ -38,9 +38,11 @@ def test_chunks_equal_whole_texts(proto):
     codec = pieces.PieceCodec(proto)
     r = random.Random(4)
     texts = ODD + ["".join(r.choices(["in", "ing ", " the", "▁", "\n", "ü", "  ", "x1", "日本", "\t"], k=60)) for _ in range(200)]
-    assert codec.bare is not None
+    assert codec.chunked
     whole = [e.ids for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert codec.encode(texts) == whole == codec.reference.encode(texts)
+    assert [x.tolist() for x in codec.encode(texts)] == whole == codec.reference.encode(texts)
+    for text, (ids, parity, back) in zip(texts, codec.checked(texts), strict=True):
+        assert parity and back == (codec.decode([ids.tolist()])[0] == text)
 
 
 def message(*fields):
