@@ -15,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromloom.llm.common import written
 
-#: Bounds of what is fitted on the driver: labelled rows, and words of a model.
-MAX_LABELLED, MAX_WORDS = 30_000, 4_096
+#: Bounds of what is fitted on the driver: labelled rows, and features of a category's model.
+MAX_LABELLED, MAX_WORDS = 20_000, 1_024
 #: A word is a feature from this many documents and standard errors on.
 MIN_DOCS, MIN_Z = 4, 4.5
 FOLDS = 5
@@ -50,7 +51,7 @@ class Linear:
     before: np.ndarray
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, width: int, before: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 25) -> Linear:
+def fit_linear(rows: np.ndarray, cols: np.ndarray, width: int, before: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 10) -> Linear:
     """L2-regularised logistic regression by Newton steps, each solved with conjugate gradients. (rows, cols): the features present."""
     n, extra = len(y), before.shape[1]
     rate = (y.sum() + 0.5) / (n + 1.0)
@@ -78,13 +79,13 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, width: int, before: np.ndarra
         w = np.maximum(p * (1 - p), 1e-6)
         step, r = np.zeros_like(theta), -slope
         d, rr = r.copy(), float(r @ r)
-        for _ in range(60):
+        for _ in range(15):
             curved = back(w * times(d)) + penalty * d
             a = rr / float(d @ curved)
             step += a * d
             r = r - a * curved
             rr, old = float(r @ r), rr
-            if rr < 1e-6 * float(slope @ slope):
+            if rr < 1e-4 * float(slope @ slope):
                 break
             d = r + rr / old * d
         size = 1.0
@@ -93,7 +94,7 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, width: int, before: np.ndarra
         theta = theta + size * step
         z = times(theta)
         then = loss(theta, z)
-        if now - then < 1e-7 * abs(now):
+        if now - then < 1e-5 * abs(now):
             break
         now = then
     return Linear(float(theta[0]), theta[1 : 1 + width], theta[1 + width :])
@@ -160,6 +161,7 @@ def pick_features(sample: DataFrame, n_categories: int) -> dict[bytes, list[int]
 
     schema = ", ".join(["word binary", *(f"p{k} long" for k in range(n_categories)), "n long"])
     counts = sample.mapInPandas(pairs, schema).groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(n_categories))).filter(F.col("n") >= MIN_DOCS)
+    counts = written(counts)
     size = sample.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(f"c{k}").cast("long")).alias(f"p{k}") for k in range(n_categories))).first()
     total, z = float(size["n"]), []
     for k in range(n_categories):
@@ -168,9 +170,12 @@ def pick_features(sample: DataFrame, n_categories: int) -> dict[bytes, list[int]
         share = F.col("n") / F.lit(total or 1.0)
         gap = F.col(f"p{k}") / F.lit(inside or 1.0) - (F.col("n") - F.col(f"p{k}")) / F.lit(outside or 1.0)
         z.append((F.abs(gap) / F.sqrt(share * (1 - share + 1 / (total or 1.0)) * F.lit(1 / (inside or 1.0) + 1 / (outside or 1.0))) if inside and outside else F.lit(0.0)).alias(f"z{k}"))
-    best = F.greatest(*(F.col(f"z{k}") for k in range(n_categories))) if n_categories > 1 else F.col("z0")
-    top = counts.select("word", *z).withColumn("z", best).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
-    return {bytes(r["word"]): [k for k in range(n_categories) if r[f"z{k}"] >= MIN_Z] for r in top}
+    ranked = counts.select("word", *z)
+    goes: dict[bytes, list[int]] = {}
+    for k in range(n_categories):
+        for r in ranked.filter(F.col(f"z{k}") >= MIN_Z).orderBy(F.desc(f"z{k}"), "word").limit(MAX_WORDS).select("word").collect():
+            goes.setdefault(bytes(r["word"]), []).append(k)
+    return goes
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> Chain:
@@ -184,18 +189,19 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
             yield f.drop(columns="text").assign(cols=chain.columns(list(f["text"])))
 
     flags = ", ".join(f"c{k} boolean" for k in range(len(categories)))
-    known = sample.mapInPandas(features, f"id long, {flags}, cols array<int>").collect()  # bounded by `limit`
-    known.sort(key=lambda r: (r["id"], *(r[f"c{k}"] for k in range(len(categories))), r["cols"]))
-    n, width = len(known), len(goes_with)
-    all_rows = np.repeat(np.arange(n), [len(r["cols"]) for r in known])
-    all_cols = np.asarray([c for r in known for c in r["cols"]], np.int64)
+    known = sample.mapInPandas(features, f"id long, {flags}, cols array<int>").toArrow().combine_chunks()  # bounded by `limit`
+    known = known.take(pc.sort_indices(known, sort_keys=[("id", "ascending"), *((f"c{k}", "ascending") for k in range(len(categories)))])).combine_chunks()
+    n, width = known.num_rows, len(goes_with)
+    lists = known.column("cols").combine_chunks()
+    all_cols = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    all_rows = np.repeat(np.arange(n, dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     fold = np.arange(n) % FOLDS
     before = np.zeros((n, 0))
     for k in range(len(categories)):
         used = np.asarray([k in goes for goes in goes_with.values()], bool)
         own = used[all_cols] if len(all_cols) else np.zeros(0, bool)
         rows, cols = all_rows[own], all_cols[own]
-        y = np.asarray([r[f"c{k}"] for r in known], np.float64)
+        y = known.column(f"c{k}").to_numpy().astype(np.float64)
         chain.models.append(fit_linear(rows, cols, width, before, y))
         if k + 1 < len(categories):
             out = np.zeros(n)
