@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from chromloom.operators import contacts as c
 from chromloom.operators import graph as g
+from chromloom.operators import model as md
 from chromloom.operators import normalize as nz
 from chromloom.operators import quality as qc
+from chromloom.operators import sampling as sp
 from chromloom.operators import smooth as sm
 from chromloom.operators import tensor as t
 from chromloom.plans import fixtures as fx
@@ -541,3 +543,59 @@ def gram_matrix(spark, d):
 def svd_embedding(spark, d):
     out, _ = g.svd_embedding(fx.cell_vectors(spark, d), 8)
     return out.select("cell_id", g.norm().alias("norm"))
+
+
+# --- sampling and model -------------------------------------------------------------------------------------------
+
+
+@query(None)
+def downsample_cap(spark, d):
+    return sp.downsample_cells(fx.upper(spark, d), 60.0)
+
+
+@query(None)
+def downsample_stratum(spark, d):
+    return sp.downsample_batches(fx.upper(spark, d), fx.batch_of(qc.all_cells(fx.contact_pairs(spark, d))))
+
+
+def packed(spark, d):
+    """(tensor, bins, order, n_cells, n_good) of the packed maps, with cells in the order of a tensor."""
+    order = qc.cell_order(quality(spark, d)).persist()
+    counts = order.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kept"), 1)).alias("good")).first()
+    maps = nz.pack(fx.maps(spark, d), fx.bins(spark), fx.OFF_DIAG)
+    tensor = maps.join(order.select("cell_id", "cell_ord"), "cell_id").drop("cell_id").persist()
+    bins = {r["chrom"]: int(r["n"]) for r in tensor.groupBy("chrom").agg((F.max("row") + 1).alias("n")).orderBy("chrom").collect()}
+    return tensor, bins, order, counts["n"], counts["good"]
+
+
+def fitted(spark, d, sweeps: int = 3):
+    tensor, bins, order, n_cells, n_good = packed(spark, d)
+    widths = md.ranks(bins, fx.RESOLUTION, 0.6, 8)
+    return tensor, bins, order, md.fit(tensor, bins, n_cells, n_good, widths, 8, sweeps)
+
+
+@query(None)
+def model_fit(spark, d):
+    f = fitted(spark, d)[3]
+    return spark.createDataFrame([(i, x) for i, x in enumerate(f.losses)], "sweep long, loss double")
+
+
+@query(None)
+def model_transform(spark, d):
+    tensor, bins, order, f = fitted(spark, d, 1)
+    return md.meta_frame(order, md.transform(tensor, f, bins)).select("cell_id", g.norm().alias("norm"))
+
+
+@query(None)
+def cell_embedding(spark, d):
+    tensor, bins, order, f = fitted(spark, d, 1)
+    meta = md.meta_frame(order, md.transform(tensor, f, bins))
+    out = md.cell_embedding(meta, f, 6)
+    reads = quality(spark, d).select("cell_id", "log_reads")
+    every = out["embed_all"].join(g.quantile_uniform(reads, "log_reads"), "cell_id")
+    out |= md.corrected_embedding(every, [F.col("log_reads")], 6)
+    frames = [x.select("cell_id", F.lit(name).alias("variant"), g.norm().alias("norm")) for name, x in out.items()]
+    first, *rest = frames
+    for x in rest:
+        first = first.unionByName(x)
+    return first
