@@ -23,7 +23,7 @@ class Config:
     resolution: int = 500_000
     resolution_fh: list[int] = field(default_factory=list)
     genome_reference_path: str = ""
-    input_format: str = "higashi_v1"
+    input_format: str = "v1"
     structured: bool = False
     header_included: bool = True
     contact_header: list[str] = field(default_factory=list)
@@ -39,7 +39,8 @@ def read_config(path: str) -> Config:
     own = {k: found.pop(k) for k in list(found) if k in Config.__dataclass_fields__ and k != "more"}
     config = Config(**own, more=found)
     config.resolution_fh = config.resolution_fh or [config.resolution]
-    if config.input_format not in ("higashi_v1", "higashi_v2"):
+    config.input_format = config.input_format.rpartition("_")[2]  # v1: one table; v2: one file a cell
+    if config.input_format not in ("v1", "v2"):
         raise ValueError(f"unknown input_format {config.input_format}")
     return config
 
