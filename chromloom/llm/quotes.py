@@ -79,14 +79,18 @@ def latest_before(rows: DataFrame, keys: list[str], is_source: Column) -> DataFr
 
 
 def roots_of(replies: DataFrame) -> DataFrame:
-    """(conv, turn, root, depth) from replies (conv, turn, reply_to: an earlier turn or null), one row a message."""
-    state = written(replies.select("conv", "turn", F.coalesce("reply_to", "turn").alias("root"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    """(conv, turn, root, depth) from replies (conv, turn, reply_to: an earlier turn or null), one row a message.
+
+    Pointer doubling: each round looks up only the messages that have not reached their root.
+    """
+    start = written(replies.select("conv", "turn", F.coalesce("reply_to", "turn").alias("root"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("reply_to").isNull().alias("final")))
+    done, open_ = start.filter("final"), start.filter("not final")
     for _ in range(64):
-        ahead = state.select("conv", F.col("turn").alias("root"), F.col("root").alias("__next"), F.col("depth").alias("__more"))
-        then = written(state.join(ahead, ["conv", "root"]).select("conv", "turn", F.col("__next").alias("root"), (F.col("depth") + F.col("__more")).alias("depth"), (F.col("__more") > 0).alias("__moved")))
-        state = then.drop("__moved")
-        if then.filter("__moved").isEmpty():
-            return state
+        if open_.isEmpty():
+            return done.drop("final")
+        ahead = done.unionByName(open_).select("conv", F.col("turn").alias("root"), F.col("root").alias("__next"), F.col("depth").alias("__more"), F.col("final").alias("__final"))
+        then = written(open_.drop("final").join(ahead, ["conv", "root"]).select("conv", "turn", F.col("__next").alias("root"), (F.col("depth") + F.col("__more")).alias("depth"), F.col("__final").alias("final")))
+        done, open_ = done.unionByName(then.filter("final")), then.filter("not final")
     raise RuntimeError("replies form a loop")
 
 
