@@ -49,6 +49,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that written() made, once all that is read from it has been written itself."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/chromloom/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Null texts count as empty ones."""
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromloom.llm.common import written
+from chromloom.llm.common import discard, written
 
 #: Words of an anchor; occurrences of an anchor up to which its pieces form one shard.
 ANCHOR, MAX_SHARD = 5, 1_000
@@ -39,7 +39,7 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 500_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -155,6 +155,7 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                 counts.append(n)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (anchors, ids, counts)], names=["anchor", "doc", "n"])
+        HASHES.clear()  # workers outlive their tasks
 
     return docs.select("__id", "__text").mapInArrow(run, "anchor long, doc long, n long")
 
@@ -179,6 +180,7 @@ def _piece_rows(docs: DataFrame, window: int) -> DataFrame:
                                 out.append((xxhash.xxh64_intdigest(text, 1) - 2**63, text, row["__id"], row["__key"], k, 1))
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["shard", "piece", "doc", "__key", "first", "n"])
+        HASHES.clear()
 
     return docs.select("__id", "__key", "__text", "common", "rare").mapInArrow(run, "shard long, piece binary, doc long, __key long, first long, n long")
 
@@ -212,7 +214,9 @@ def repeat_marks(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
     occurring = written(_anchor_rows(base, window))
     shared = occurring.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.sum("n").alias("total")).filter("lo < hi").select("anchor", (F.col("total") > MAX_SHARD).alias("many"))
     candidates = written(occurring.select("anchor", "doc").join(shared, "anchor").groupBy(F.col("doc").alias("__id")).agg(F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("common"), F.collect_set(F.when(~F.col("many"), F.col("anchor"))).alias("rare")))
+    discard(occurring)
     pieces = written(_piece_rows(base.join(candidates, "__id"), window).withColumn("piece_id", F.xxhash64("piece", "shard", "n")))
+    discard(candidates)
     distinct = pieces.groupBy("shard", "piece", "piece_id").agg(F.min("doc").alias("owner"))
     marks = written(_marked(distinct.repartition("shard").sortWithinPartitions("shard", "owner", "piece"), window))
     placed = pieces.select("shard", "piece_id", "doc", "__key", "first", "n").join(marks, ["shard", "piece_id"])
