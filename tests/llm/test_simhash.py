@@ -102,3 +102,21 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 3), (True, None), (True, None)]
     empty = docs.limit(0)
     assert simhash.near_duplicate_classes(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_families_find_close_copies_and_leave_others(spark):
+    r = random.Random(9)
+    vocabulary = [f"u{i}" for i in range(5000)]
+    rows, copies = [], set()
+    for i in range(150):
+        words = r.choices(vocabulary, k=300)
+        rows.append((i, " ".join(words)))
+        for k in range(2):
+            own = list(words)
+            for _ in range(k + 1):
+                own[r.randrange(300)] = r.choice(vocabulary)
+            rows.append((1000 + i * 2 + k, " ".join(own)))
+            copies.add(1000 + i * 2 + k)
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(150)) <= kept
+    assert len(copies & kept) <= 0.05 * len(copies)
