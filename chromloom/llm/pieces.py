@@ -136,6 +136,9 @@ class PieceCodec:
         self.older: dict[str, bytes] = {}
         self.odd: set[str] = set()  # known or older chunks that don't decode to themselves
 
+    def forget(self) -> None:
+        self.known, self.older, self.odd = {}, {}, set()
+
     def plain(self) -> bool:
         m = self.model
         return not m.charsmap and not m.remove_extra_whitespaces and m.escape_whitespaces
@@ -225,13 +228,14 @@ def read_model(path: str) -> bytes:
     return proto
 
 
-def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", forget: bool = False) -> DataFrame:
     """Adds n_tokens, ids, parity and round_trip to docs, without a shuffle.
 
     ids are sentencepiece's ids of the whole text. parity: the rebuilt tokenizer gave the same ids. round_trip: decoding
     them gives the text again. Null and empty texts have no ids (parity and round_trip true). Repeated rows are encoded
     each; an empty table gives an empty result. Columns of docs with these names are replaced. The model file is read by
-    the driver and sent with the tasks (MAX_MODEL bytes at most).
+    the driver and sent with the tasks (MAX_MODEL bytes at most). Workers remember chunks from task to task unless forget
+    is set, which costs time and leaves their memory to the operators that follow.
     """
     proto = read_model(model_path)
     docs = docs.drop("n_tokens", "ids", "parity", "round_trip")
@@ -249,6 +253,8 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text") -> D
                     [*batch.columns, pa.array(sizes), ids.cast(pa.list_(pa.int32())), pa.array([d[1] for d in done]), pa.array([d[2] for d in done])],
                     names=[*batch.schema.names, "n_tokens", "ids", "parity", "round_trip"],
                 )
+        if forget:
+            codec.forget()
 
     extra = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))

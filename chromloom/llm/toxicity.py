@@ -148,16 +148,16 @@ def pick_features(sample: DataFrame, n_categories: int) -> dict[bytes, list[int]
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
-            for start in range(0, len(whole), 500):
-                f = whole.iloc[start : start + 500]
-                counts: dict[bytes, list[int]] = {}
+            for start in range(0, len(whole), 200):
+                f = whole.iloc[start : start + 200]
+                counts: dict[bytes, int] = {}  # counts of all texts and of each category's, 20 bits each
                 for text, *flags in zip(f["text"], *(f[f"c{k}"] for k in range(n_categories)), strict=True):
+                    one = 1 + sum(1 << 20 * (k + 1) for k, flag in enumerate(flags) if flag)
                     for w in features_of(text):
-                        own = counts.setdefault(w, [0] * (n_categories + 1))
-                        own[-1] += 1
-                        for k, flag in enumerate(flags):
-                            own[k] += bool(flag)
-                yield pd.DataFrame([(w, *own) for w, own in counts.items()], columns=["word", *(f"p{k}" for k in range(n_categories)), "n"])  # counted in the task before the shuffle
+                        counts[w] = counts.get(w, 0) + one
+                packed = list(counts.values())
+                parts = {name: [x >> 20 * k & 0xFFFFF for x in packed] for k, name in enumerate(["n", *(f"p{k}" for k in range(n_categories))])}
+                yield pd.DataFrame({"word": list(counts), **parts})  # counted in the task before the shuffle
 
     schema = ", ".join(["word binary", *(f"p{k} long" for k in range(n_categories)), "n long"])
     counts = sample.mapInPandas(pairs, schema).groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(n_categories))).filter(F.col("n") >= MIN_DOCS)

@@ -30,9 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates, unchanged."""
+    """The document with the smallest id of each class of near duplicates (five-word shingles), unchanged."""
     ship_package(spark)
-    return drop_near_duplicates(docs, n=4, radius=4)
+    return drop_near_duplicates(docs, n=5, radius=4, families=4)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and the ids of the public piece model, with parity and round trip."""
     ship_package(spark)
-    return encode_pieces(docs, q.PIECE_MODEL).select("doc_id", "source", "n_tokens", "ids", "parity", "round_trip")
+    return encode_pieces(docs, q.PIECE_MODEL, forget=True).select("doc_id", "source", "n_tokens", "ids", "parity", "round_trip")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_copies), ("repeated_passages", cut_passages), ("mixing", mix), ("pieces", encode)]
