@@ -41,9 +41,9 @@ def blacklist(spark: SparkSession) -> DataFrame:
 
 
 def upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The binned map: one triangle, after the distance and blacklist predicates."""
+    """The binned map: one triangle, after the distance and blacklist predicates. Kept, as queries read it in several branches."""
     kept = c.close_contacts(contact_pairs(spark, sf_dir))
-    return c.upper_map(c.remove_blacklisted(c.on_chromosomes(kept, chrom_sizes(spark)), blacklist(spark)), RESOLUTION)
+    return c.upper_map(c.remove_blacklisted(c.on_chromosomes(kept, chrom_sizes(spark)), blacklist(spark)), RESOLUTION).persist()
 
 
 def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
