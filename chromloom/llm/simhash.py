@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from chromloom.llm.common import written
 from chromloom.llm.components import connected_components
+from chromloom.llm.shingles import similar_classes
 
 BITS = 64
 MAX_BUCKET = 256
@@ -134,28 +135,8 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def classes_by_families(docs: DataFrame, n: int = 5, radius: int = 4, families: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of the documents with a link: within the radius in at least one of several independent fingerprints.
-
-    One fingerprint finds half of the pairs whose shingles agree to 95 %; several find nearly all of them. Null ids take no part.
-    """
-    seeds = range(42, 42 + families)
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    for s in seeds:
-        marked = with_fingerprint(marked, n, out=f"fp{s}", seed=s)
-    marked = written(marked.drop("text"))
-    edges = None
-    for s in seeds:
-        own = marked.select("id", F.col(f"fp{s}").alias("fp"))
-        fps = written(own.groupBy("fp").agg(F.min("id").alias("first")))
-        equal = own.join(fps, "fp").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-        found = written(fingerprint_links(fps.select(F.col("first").alias("id"), "fp"), radius).unionByName(equal).distinct())
-        edges = found if edges is None else edges.unionByName(found)
-    return connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, n: int = 5, radius: int = 4, families: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each class, once; rows with a null id stay."""
-    copies = classes_by_families(docs, n, radius, families, id_col, text_col).select(F.col("id").alias(id_col))
+def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each class of similar shingle sets, once; rows with a null id stay."""
+    copies = similar_classes(docs, n, threshold, id_col, text_col).select(F.col("id").alias(id_col))
     known = docs.filter(F.col(id_col).isNotNull())
     return known.join(copies, id_col, "left_anti").select(*docs.columns).dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -30,9 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates (five-word shingles), unchanged."""
+    """The document with the smallest id of each class of near duplicates (five-word shingles that agree to 0.8), unchanged."""
     ship_package(spark)
-    return drop_near_duplicates(docs, n=5, radius=4, families=4)
+    return drop_near_duplicates(docs, n=5, threshold=0.8)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
