@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chromloom.llm import queries as q
 from chromloom.llm.common import table, written
-from chromloom.llm.mixing import mixture
+from chromloom.llm.mixing import mix_sources, mixture
 from chromloom.llm.pieces import encode_pieces
 from chromloom.llm.simhash import drop_near_duplicates
 from chromloom.llm.substrings import remove_repeats
@@ -47,9 +47,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the ids of the public piece model, with parity and round trip."""
+    """doc_id, source, the place in the mixture and the ids of the public piece model, with parity and round trip.
+
+    Reading a table back need not keep its order, so slot and start_char are found anew (they depend on the documents
+    alone) and stay with the ids; the rows are range-partitioned and sorted by them.
+    """
     ship_package(spark)
-    return encode_pieces(docs, q.PIECE_MODEL, forget=True).select("doc_id", "source", "n_tokens", "ids", "parity", "round_trip")
+    placed = mix_sources(docs, q.SOURCE_WEIGHTS, block_chars=q.BLOCK_CHARS).select("doc_id", "source", "text", F.col("__slot").alias("slot"), F.col("__start").alias("start_char"))
+    ordered = placed.repartitionByRange("slot", "start_char").sortWithinPartitions("slot", "start_char")
+    return encode_pieces(ordered, q.PIECE_MODEL, forget=True).select("slot", "start_char", "doc_id", "source", "n_tokens", "ids", "parity", "round_trip")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_copies), ("repeated_passages", cut_passages), ("mixing", mix), ("pieces", encode)]
