@@ -1,47 +1,57 @@
-"""N-gram language-model scores from an Elias-Fano trie.
+"""N-gram language-model scores from Elias-Fano tries.
 
-Counting. Words (and one end token a text) are counted over all training texts. The model keeps the words, bigrams and
-trigrams that make up MIN_SHARE of the training tokens or more, so each level has 1 / MIN_SHARE entries at most, at every
-size of the corpus. Since an n-gram is no more frequent than its parts, bigrams are counted among kept words only, and
-trigrams where both of their bigrams are kept; counts are exact. On small corpora MIN_SHARE is less than one occurrence
-and all n-grams are kept.
+Every word, bigram and trigram of the training texts is kept, whatever their number: nothing is pruned. p(w) is the
+add-one unigram estimate, and longer contexts are smoothed towards shorter ones with PRIOR pseudo-counts:
+p(w|ctx) = (c(ctx w) + PRIOR * p(w|shorter ctx)) / (c(ctx) + PRIOR).
 
-Probabilities are interpolated with absolute discounting down to the add-one unigram distribution of all words:
-p(w|ctx) = max(c(ctx w) - D, 0) / c(ctx) + g(ctx) * p(w|shorter ctx), where g(ctx) is what the kept n-grams leave over.
+Batches. Texts are split into words once and stored as batches of about BATCH_TOKENS tokens: the batch's distinct words by
+64-bit hashes (XXH3) and the tokens as numbers of these. All that is shuffled afterwards is packed arrays of a batch's
+distinct n-grams, so a frequent n-gram appears once for each batch, not once for each occurrence.
 
-Trie. Level 2 has the successors of each word, level 3 those of each bigram; a trigram's last word is stored relative to
-its context, as its rank among the successors of its middle word. Pointers and successors are monotone and stored as
-Elias-Fano sequences; log probabilities and back-offs are quantised to 16 bits. The levels are one flat file, which Spark
-sends to the executors and their workers map into memory.
+Levels. For each order, a batch asks the shards that own its distinct n-grams, with their training counts in the batch;
+the shard adds the counts of all batches, builds its part of the level and answers. Words are dealt by their hash,
+longer n-grams by their context; a context with more than SPLIT occurrences is dealt to the more shards the more it has
+(its total is known from the order below), so that no context makes a shard grow. The number of shards grows with the
+tokens. A shard's level is a trie of Elias-Fano sequences in one flat file that is mapped into memory: pointers from each
+context to its successors, the successors in increasing order, and log probabilities and back-offs quantised to 16 bits. An
+n-gram is found by searching the successors between its context's pointers.
 
-Scoring is one pass over all texts. Words that the model doesn't keep (each below MIN_SHARE, so none is a hot key) take
-their exact counts from the table of all words by a join, and are added to the texts' sums.
+Words whose hashes agree would be counted as one; for a vocabulary of a billion words 0.03 such pairs are expected.
 """
 
 from __future__ import annotations
 
 import json
-import math
-import os
 import tempfile
-import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import SparkFiles, TaskContext
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromloom.llm.common import written
+from chromloom.llm.common import discard, written
 from chromloom.llm.elias_fano import EliasFano
 
-#: Share of the training tokens from which an n-gram is kept; so no level has more than 1 / MIN_SHARE entries.
-MIN_SHARE = 1e-6
-DISCOUNT = 0.75
+PRIOR = 2.0
+#: Tokens of a batch (a longer text is cut into pieces that know the two tokens before them) and, on average, of a shard.
+BATCH_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 19
+#: Occurrences of a context for each of the shards that it is dealt to.
+SPLIT = 1 << 16
 END = b""  # no word is empty
+U64 = np.uint64
+#: Multipliers of the splitmix64 hash (fixed values).
+MIX1, MIX2, MIX3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> U64(30)) * MIX1
+    x = (x ^ x >> U64(27)) * MIX2
+    return x ^ x >> U64(31)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -52,260 +62,299 @@ def tokens_of(text: str | None) -> list[bytes]:
 def quantise(logs: np.ndarray) -> tuple[np.ndarray, float]:
     """16-bit codes of log10 values of 0 or less, and the step between codes."""
     step = max(float(-logs.min()) if len(logs) else 0.0, 1e-9) / 65535
-    return np.rint(-logs / step).astype(np.uint16), step
-
-
-class Trie:
-    def __init__(self, words: dict[bytes, int], arrays: dict[str, np.ndarray], meta: dict):
-        """words: kept word -> number; arrays and meta as build_trie() gives them."""
-        self.words, self.meta = words, meta
-        self.unigram = arrays["unigram"]
-        level = lambda name: EliasFano(meta[name][0], meta[name][1], arrays[f"{name}_low"], arrays[f"{name}_high"], arrays[f"{name}_ones"])
-        self.start2, self.next2, self.start3, self.next3 = (level(n) for n in ("start2", "next2", "start3", "next3"))
-        self.codes = {n: arrays[n] for n in ("back1", "prob2", "back2", "prob3")}
-
-    def log(self, name: str, i: np.ndarray) -> np.ndarray:
-        return -self.codes[name][i].astype(np.float64) * self.meta["steps"][name]
-
-    def bigram(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The place of (u, v) in level 2, or -1."""
-        return self.next2.find(u * self.meta["words"] + v)
-
-    def trigram(self, uv: np.ndarray, v: np.ndarray, vw: np.ndarray) -> np.ndarray:
-        """The place of (u, v, w) in level 3, or -1; uv and vw: places of the bigrams, by which w is found relative to v."""
-        relative = vw - self.start2.get(v)
-        return self.next3.find(uv * self.meta["widest"] + relative)
-
-    def score(self, ids: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 p of each token after two padding tokens: ids (-1: not kept) starts with them; base: log10 unigram probability, 0 where it is added later."""
-        u, v, w = ids[:-2], ids[1:-1], ids[2:]
-        out = base.copy()
-        pair = np.full(len(ids) - 1, -1, np.int64)
-        both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-        pair[both] = self.bigram(ids[both], ids[both + 1])
-        uv, vw = pair[:-1], pair[1:]
-        known = v >= 0
-        hit = vw >= 0
-        miss = known & ~hit
-        out[miss] += self.log("back1", v[miss])
-        out[hit] = self.log("prob2", vw[hit])
-        deep = np.flatnonzero(uv >= 0)
-        third = np.full(len(w), -1, np.int64)
-        ask = deep[hit[deep]]
-        if self.next3.n:
-            third[ask] = self.trigram(uv[ask], v[ask], vw[ask])
-        found = third >= 0
-        left = deep[~found[deep]]
-        out[left] += self.log("back2", uv[left])
-        out[found] = self.log("prob3", third[found])
+    return np.rint(np.maximum(-logs, 0) / step).astype(np.uint16), step
+
+
+class Level:
+    """One shard's level of the trie, over a flat file: an eight-byte length, a JSON header and arrays from multiples of 8 bytes."""
+
+    def __init__(self, file: np.ndarray):
+        size = int.from_bytes(bytes(file[:8]), "little")
+        head, body = json.loads(bytes(file[8 : 8 + size])), file[8 + size :]
+        self.meta = head["meta"]
+        self.arrays = {name: body[at : at + n * np.dtype(kind).itemsize].view(kind) for name, (at, kind, n) in head["arrays"].items()}
+        self.pointers, self.successors = (EliasFano(*self.meta[n], *(self.arrays[f"{n}_{part}"] for part in ("low", "high", "ones"))) for n in ("pointers", "successors"))
+
+    @staticmethod
+    def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray, totals: np.ndarray, words: int) -> bytes:
+        """A file of n-grams (context and word numbers, sorted by both, with count and the lower order's probability); totals: occurrences of each context."""
+        sequences = {"pointers": np.searchsorted(context, np.arange(len(totals) + 1)), "successors": context * words + word}
+        arrays: dict[str, np.ndarray] = {}
+        meta: dict = {"words": words}
+        for name, values in sequences.items():
+            e = EliasFano.of(values)
+            meta[name] = [e.n, e.width]
+            arrays |= {f"{name}_low": e.low, f"{name}_high": e.high, f"{name}_ones": e.ones}
+        arrays["prob"], meta["prob"] = quantise(np.log10((count + PRIOR * lower) / (totals[context] + PRIOR)))
+        arrays["back"], meta["back"] = quantise(np.log10(PRIOR / (totals + PRIOR)))
+        head, at = {"meta": meta, "arrays": {}}, 0
+        for name, a in arrays.items():
+            head["arrays"][name] = [at, a.dtype.str, len(a)]
+            at += a.nbytes + -a.nbytes % 8
+        raw = json.dumps(head).encode()
+        raw += b" " * (-len(raw) % 8)
+        return b"".join([len(raw).to_bytes(8, "little"), raw, *(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays.values())])
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The places of the n-grams, or -1: each is searched among the successors of its context."""
+        lo, end = self.pointers.get(context), self.pointers.get(context + 1)
+        want = context * self.meta["words"] + word
+        hi = end.copy()
+        going = np.flatnonzero(lo < hi)
+        while len(going):
+            mid = (lo[going] + hi[going]) >> 1
+            less = self.successors.get(mid) < want[going]
+            lo[going] = np.where(less, mid + 1, lo[going])
+            hi[going] = np.where(less, hi[going], mid)
+            going = going[lo[going] < hi[going]]
+        out = np.full(len(want), -1, np.int64)
+        there = np.flatnonzero(lo < end)
+        there = there[self.successors.get(lo[there]) == want[there]]
+        out[there] = lo[there]
         return out
 
+    def log_probability(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """log10 p(word | context), where lower is the shorter context's probability."""
+        place = self.find(context, word)
+        seen = -self.arrays["prob"][np.maximum(place, 0)].astype(np.float64) * self.meta["prob"] if len(self.arrays["prob"]) else np.zeros(len(place))
+        return np.where(place >= 0, seen, -self.arrays["back"][context].astype(np.float64) * self.meta["back"] + np.log10(lower))
 
-def build_trie(counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray, total: int, distinct: int) -> tuple[dict[str, np.ndarray], dict]:
-    """counts of the kept words by number; pairs: sorted (u, v); triples: sorted (u, v, w), all of whose bigrams are pairs."""
-    h = len(counts)
-    unigram = (counts + 1.0) / (total + distinct + 1.0)
-    u, v = pairs[:, 0], pairs[:, 1]
-    context = counts[u].astype(np.float64)
-    kept = np.maximum(pair_counts - DISCOUNT, 0) / context
-    back1 = np.maximum(1 - np.bincount(u, kept, h), 1e-12)
-    prob2 = np.minimum(kept + back1[u] * unigram[v], 1.0)
-    keys = u * h + v
-    start2 = np.searchsorted(u, np.arange(h + 1))
-    uv = np.searchsorted(keys, triples[:, 0] * h + triples[:, 1])
-    vw = np.searchsorted(keys, triples[:, 1] * h + triples[:, 2])
-    kept3 = np.maximum(triple_counts - DISCOUNT, 0) / np.maximum(pair_counts[uv], 1)
-    back2 = np.maximum(1 - np.bincount(uv, kept3, len(pairs)), 1e-12)
-    prob3 = np.minimum(kept3 + back2[uv] * prob2[vw], 1.0)
-    widest = int(np.diff(start2).max(initial=1)) or 1
-    relative = vw - start2[triples[:, 1]]
-    order = np.argsort(uv * widest + relative)
-    sequences = {"start2": start2, "next2": keys, "start3": np.searchsorted(uv[order], np.arange(len(pairs) + 1)), "next3": (uv * widest + relative)[order]}
-    arrays: dict[str, np.ndarray] = {"unigram": np.log10(unigram)}
-    meta: dict = {"words": h, "widest": widest, "steps": {}}
-    for name, values in sequences.items():
-        e = EliasFano.of(values)
-        meta[name] = [e.n, e.width]
-        arrays |= {f"{name}_low": e.low, f"{name}_high": e.high, f"{name}_ones": e.ones}
-    for name, p in (("back1", back1), ("prob2", prob2), ("back2", back2), ("prob3", prob3[order])):
-        arrays[name], meta["steps"][name] = quantise(np.log10(p))
-    return arrays, meta
-
-
-def save_trie(path: str, words: list[bytes], arrays: dict[str, np.ndarray], meta: dict) -> None:
-    """One file: an eight-byte length, a JSON header, the words, then each array from a multiple of 8 bytes."""
-    text = b"\n".join(words)
-    head, at = {"meta": meta, "text": len(text), "arrays": {}}, len(text) + -len(text) % 8
-    for name, a in arrays.items():
-        head["arrays"][name] = [at, a.dtype.str, len(a)]
-        at += a.nbytes + -a.nbytes % 8
-    raw = json.dumps(head).encode()
-    raw += b" " * (-len(raw) % 8)
-    with open(path, "wb") as f:
-        f.write(len(raw).to_bytes(8, "little") + raw + text + b"\0" * (-len(text) % 8))
-        for a in arrays.values():
-            f.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
-
-
-def open_trie(path: str) -> Trie:
-    whole = np.memmap(path, np.uint8, "r")
-    size = int.from_bytes(bytes(whole[:8]), "little")
-    head = json.loads(bytes(whole[8 : 8 + size]))
-    body = whole[8 + size :]
-    words = bytes(body[: head["text"]]).split(b"\n")
-    arrays = {name: body[at : at + n * np.dtype(kind).itemsize].view(kind) for name, (at, kind, n) in head["arrays"].items()}
-    return Trie({w: i for i, w in enumerate(words)} if head["meta"]["words"] else {}, arrays, head["meta"])
-
-
-_TRIES: dict[str, Trie] = {}
-
-
-def trie_of(name: str) -> Trie:
-    """The trie in a file that Spark has sent, mapped once for each worker."""
-    if name not in _TRIES:
-        _TRIES.clear()
-        _TRIES[name] = open_trie(SparkFiles.get(name))
-    return _TRIES[name]
-
-
-def batches_of(batches: Iterator[pa.RecordBatch], column: int, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, rows):
-            batch = whole.slice(start, rows)
-            yield batch, [tokens_of(t) for t in batch.column(column).to_pylist()]
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) of all tokens; texts: one text column."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for _, texts in batches_of(batches, 0):
-            for t in texts:
-                counts.update(t)
-            if len(counts) > 300_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-                counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+def mapped(data: bytes) -> np.ndarray:
+    """The bytes as a file of the task, mapped into memory; it goes with its last user."""
+    with tempfile.TemporaryFile(prefix="chromloom-") as f:
+        f.write(data)
+        f.flush()
+        return np.memmap(f, np.uint8, "r")
+
+
+# --- batches --------------------------------------------------------------------------------------------------------
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+BATCH = pa.schema([("batch", pa.int64()), ("n_tokens", pa.int64()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.string())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("tokens", pa.binary())])
+BATCH_SQL = "batch long, n_tokens long, rows array<long>, ids array<string>, held array<boolean>, sizes array<long>, words binary, tokens binary"
 
 
-def count_keys(texts: DataFrame, words: dict[bytes, int], pairs: np.ndarray | None = None) -> DataFrame:
-    """(key, n) of bigrams of kept words (key u * h + v) or, with the kept bigrams' keys, of trigrams (key: place of uv * h + w)."""
-    h = max(1, len(words))
-    of_words, of_pairs = texts.sparkSession.sparkContext.broadcast(words), texts.sparkSession.sparkContext.broadcast(pairs)  # 1 / MIN_SHARE entries at most
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def tokenised(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """Batches of (id, text, held_out): each row of docs has a number of its own, and each piece two tokens of context before it (-1: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known, end = of_words.value, of_pairs.value, of_words.value.get(END, -1)
-        for _, texts in batches_of(batches, 0, 2000):
-            ids = np.asarray([i for t in texts for i in (-1, end, *(number.get(w, -1) for w in t))], np.int64)
-            u, v = ids[:-1], ids[1:]
-            key = np.where((u >= 0) & (v >= 0), u * h + v, -1)
-            if known is not None:
-                place = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                place = np.where(known[place] == key, place, -1) if len(known) else np.full(len(key), -1)
-                key = np.where((place[:-1] >= 0) & (place[1:] >= 0), place[:-1] * h + ids[2:], -1)
-            found, n = np.unique(key[key >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["key", "n"])
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Model:
-    name: str
-    counts: DataFrame
-    total: int
-    distinct: int
-
-
-def train(texts: DataFrame, min_share: float = MIN_SHARE) -> Model:
-    """texts: one text column. The counts of all words stay a table; the trie is a file known to Spark by the model's name."""
-    spark = texts.sparkSession
-    counts = written(count_words(texts))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    total, distinct = int(sums["total"]), int(sums["distinct"])
-    least = max(1, math.ceil(min_share * total))
-    kept = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()
-    words = {bytes(r["word"]): i for i, r in enumerate(kept)}
-    h = max(1, len(words))
-
-    def frequent(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = keys.filter(F.col("n") >= least).toArrow()
-        key, n = (found.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
-        order = np.argsort(key)
-        return key[order], n[order]
-
-    key2, n2 = frequent(count_keys(texts, words))
-    key3, n3 = frequent(count_keys(texts, words, key2))
-    pairs = np.stack([key2 // h, key2 % h], axis=1)
-    uv = key3 // h
-    triples = np.stack([pairs[uv, 0], pairs[uv, 1], key3 % h], axis=1) if len(uv) else np.zeros((0, 3), np.int64)
-    arrays, meta = build_trie(np.asarray([r["n"] for r in kept], np.int64), pairs, n2, triples, n3, total, distinct)
-    meta["words"] = len(words)
-    path = os.path.join(tempfile.mkdtemp(prefix="chromloom-"), f"trie-{uuid.uuid4().hex}")
-    save_trie(path, list(words), arrays, meta)
-    spark.sparkContext.addFile(path)
-    return Model(os.path.basename(path), counts, total, distinct)
+        part, made = TaskContext.get().partitionId(), 0
+        row = part << 40
+        numbers, tokens, pieces = _Numbers(), array("i"), []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            rows, ids, held, sizes = ([list(v)] for v in zip(*pieces, strict=True))
+            words = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), U64, len(numbers)).tobytes()
+            values = [[(part << 24) + made], [sum(sizes[0])], rows, ids, held, sizes, [words], [tokens.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, BATCH, strict=True)], schema=BATCH)
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 200):
+                for i, text, held in zip(*(c.to_pylist() for c in whole.slice(start, 200).columns), strict=True):
+                    own = tokens_of(text)
+                    for at in range(0, len(own), batch_tokens):
+                        piece = own[at : at + batch_tokens]
+                        tokens.extend([numbers[w] for w in own[at - 2 : at]] if at else [-1, numbers[END]])
+                        tokens.extend(map(numbers.__getitem__, piece))
+                        pieces.append((row, i, held, len(piece)))
+                        if len(tokens) >= batch_tokens:
+                            yield flush()
+                            numbers, tokens, pieces = _Numbers(), array("i"), []
+                    row += 1
+        if pieces:
+            yield flush()
+
+    return docs.select("id", "text", "held_out").mapInArrow(run, BATCH_SQL)
+
+
+class Batch:
+    """A batch's n-grams as numbers, found alike whenever the batch is read."""
+
+    def __init__(self, row: pd.Series):
+        self.words, self.tokens = np.frombuffer(row["words"], U64), np.frombuffer(row["tokens"], np.int32).astype(np.int64)
+        self.sizes, self.held = np.asarray(row["sizes"], np.int64), np.asarray(row["held"], bool)
+        ends = np.cumsum(self.sizes + 2)
+        self.begins = ends - self.sizes - 2
+        self.inner = np.ones(len(self.tokens), bool)  # tokens that are scored
+        self.inner[self.begins] = self.inner[self.begins + 1] = False
+        self.learned = self.inner & np.repeat(~self.held, self.sizes + 2)
+
+    def unigrams(self) -> np.ndarray:
+        """Training counts of the words."""
+        return np.bincount(self.tokens[self.learned], minlength=len(self.words))
+
+    def bigrams(self) -> None:
+        """pair_of: each token's bigram (-1: none); pair_first, pair_word: their words; pair_n: training counts."""
+        ask = self.inner.copy()
+        ask[self.begins + 1] = self.tokens[self.begins] >= 0  # the context of a later piece
+        at = np.flatnonzero(ask)
+        keys, inverse = np.unique(self.tokens[at - 1] * len(self.words) + self.tokens[at], return_inverse=True)
+        self.pair_of = np.full(len(self.tokens), -1, np.int64)
+        self.pair_of[at] = inverse
+        self.pair_first, self.pair_word = keys // len(self.words), keys % len(self.words)
+        self.pair_n = np.bincount(inverse, self.learned[at], len(keys)).astype(np.int64)
+
+    def trigrams(self, pair_counts: np.ndarray) -> None:
+        """triple_at: tokens whose context of two was learned; triple_of: their trigrams; triple_pair, triple_last: first two words and last bigram; triple_n."""
+        before = np.append(-1, self.pair_of[:-1])
+        self.triple_at = np.flatnonzero(self.inner & (before >= 0) & (pair_counts[before] > 0)) if len(pair_counts) else np.zeros(0, np.int64)
+        keys, first, self.triple_of = np.unique(before[self.triple_at] * len(self.words) + self.tokens[self.triple_at], return_index=True, return_inverse=True)
+        self.triple_pair, self.triple_last = before[self.triple_at][first], self.pair_of[self.triple_at][first]
+        self.triple_n = np.bincount(self.triple_of, self.learned[self.triple_at], len(keys)).astype(np.int64)
+
+    def pair_hash(self) -> np.ndarray:
+        return mixed(mixed(self.words[self.pair_first]) * MIX3 + self.words[self.pair_word])
+
+
+def dealt(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bounds): the numbers of n-grams by shard, and where each shard begins."""
+    shard = ((mixed(key) >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def context_key(context: np.ndarray, word: np.ndarray, totals: np.ndarray, split: int) -> np.ndarray:
+    """What an n-gram is dealt by: its context, and for frequent contexts a part of it."""
+    return context + mixed(word) % (1 + totals // split).astype(U64) * MIX3
+
+
+ASK_SQL = "shard long, batch long, context binary, word binary, n binary, totals binary, lower binary"
+REPLY_SQL = "batch long, level int, shard long, counts binary, logs binary, total long, distinct long"
+
+
+def questions(batch: int, key: np.ndarray, shards: int, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+    order, bounds = dealt(key, shards)
+    own = [s for s in range(shards) if bounds[s] < bounds[s + 1]]
+    sorted_columns = {n: a[order] for n, a in columns.items()}
+    none = {n: b"" for n in ("context", "word", "n", "totals", "lower")}
+    rows = [{"shard": s, "batch": batch, **none, **{n: a[bounds[s] : bounds[s + 1]].tobytes() for n, a in sorted_columns.items()}} for s in own]
+    return pd.DataFrame(rows, columns=["shard", "batch", *none])
+
+
+def answers(replies: pd.DataFrame, level: int, key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, log probabilities) of the n-grams that were asked for with the same key."""
+    order, _ = dealt(key, shards)
+    own = replies[replies["level"] == level].sort_values("shard")
+    out = []
+    for name, kind in (("counts", np.int64), ("logs", np.float32)):
+        got = np.frombuffer(b"".join(own[name]), kind)
+        values = np.zeros(len(key), kind)
+        if len(got):
+            values[order] = got
+        out.append(values)
+    return out[0], out[1].astype(np.float64)
+
+
+def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Level 1: the training counts of a shard's words."""
+    words, inverse = np.unique(np.concatenate([np.frombuffer(b, U64) for b in pdf["word"]]), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate([np.frombuffer(b, np.int32) for b in pdf["n"]]), len(words)).astype(np.int64)
+    cuts = np.cumsum([len(b) // 8 for b in pdf["word"]])[:-1]
+    out = pd.DataFrame({"batch": pdf["batch"], "level": 1, "shard": pdf["shard"], "counts": [c.tobytes() for c in np.split(counts[inverse], cuts)], "logs": b"", "total": 0, "distinct": 0})
+    out.loc[out.index[0], ["total", "distinct"]] = [int(counts.sum()), int((counts > 0).sum())]
+    return out
+
+
+def score_shard(level: int):
+    """Levels 2 and 3: builds a shard's part of the trie and looks up all that the batches ask for."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        read = lambda name, kind: np.concatenate([np.frombuffer(b, kind) for b in pdf[name]])
+        contexts, context = np.unique(read("context", U64), return_inverse=True)
+        words, word = np.unique(read("word", U64), return_inverse=True)
+        keys, first, place = np.unique(context * len(words) + word, return_index=True, return_inverse=True)
+        count = np.bincount(place, read("n", np.int32), len(keys))
+        totals = np.zeros(len(contexts))
+        totals[context] = read("totals", np.int64)
+        lower = read("lower", np.float32)[first].astype(np.float64)
+        own, follow, kept = keys // len(words), keys % len(words), count > 0
+        trie = Level(mapped(Level.build(own[kept], follow[kept], count[kept], lower[kept], totals, len(words))))
+        logs = trie.log_probability(own, follow, lower).astype(np.float32)[place]
+        cuts = np.cumsum([len(b) // 8 for b in pdf["context"]])[:-1]
+        counts = [c.tobytes() for c in np.split(count.astype(np.int64)[place], cuts)] if level == 2 else b""
+        return pd.DataFrame({"batch": pdf["batch"], "level": level, "shard": pdf["shard"], "counts": counts, "logs": [x.tobytes() for x in np.split(logs, cuts)], "total": 0, "distinct": 0})
+
+    return run
 
 
 def held_out_of(id_col: str, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *extra, n_tokens, n_known, base_score, score) for each row of docs; extra: boolean columns to carry along."""
-    name, total, distinct = model.name, model.total, model.distinct
-    fields = ", ".join(["id long", *(f"{c} boolean" for c in extra), "row long", "n_tokens long", "n_kept long", "base double", "score double", "rest array<struct<word: binary, n: long>>"])
-    names = ["id", *extra, "row", "n_tokens", "n_kept", "base", "score", "rest"]
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = trie_of(name)
-        number, end = trie.words, trie.words.get(END, -1)
-        row = TaskContext.get().partitionId() << 40
-        for batch, texts in batches_of(batches, 1):
-            ids = np.asarray([i for t in texts for i in (-1, end, *(number.get(w, -1) for w in t))], np.int64)
-            sizes = np.asarray([len(t) for t in texts], np.int64)
-            starts = np.cumsum(sizes + 2) - sizes
-            inner = np.ones(len(ids), bool)
-            inner[starts - 1] = inner[starts - 2] = False
-            base = np.where(ids >= 0, trie.unigram[np.maximum(ids, 0)] if len(trie.unigram) else 0.0, 0.0)
-            scores = np.zeros(len(ids))
-            scores[2:] = trie.score(ids, base[2:])
-            base, scores, kept = np.where(inner, base, 0.0), np.where(inner, scores, 0.0), inner & (ids >= 0)
-            cut = starts - 2
-            rest = [[{"word": w, "n": n} for w, n in Counter(w for w in t if w not in number).items()] for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    *(batch.column(2 + k) for k in range(len(extra))),
-                    pa.array(np.arange(row, row + len(texts))),
-                    pa.array(sizes),
-                    pa.array(np.add.reduceat(kept.astype(np.int64), cut)),
-                    pa.array(np.add.reduceat(base, cut)),
-                    pa.array(np.add.reduceat(scores, cut)),
-                    pa.array(rest, rest_type),
-                ],
-                names=names,
-            )
-            row += len(texts)
-
-    some = written(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra).mapInArrow(run, fields))
-    rare = some.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
-    seen = rare.join(model.counts.withColumnRenamed("n", "c"), "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    tails = seen.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))).alias("tail"))
-    tail = F.coalesce("tail", F.lit(0.0))
-    return some.drop("rest").join(tails, "row", "left").select("id", *extra, "n_tokens", (F.col("n_kept") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + tail).alias("base_score"), (F.col("score") + tail).alias("score"))
-
-
-def lm_scores(docs: DataFrame, held_out: Column | None = None, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS, shard_tokens: int = SHARD_TOKENS, split: int = SPLIT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs, learning from those not held out.
 
     Null texts count as empty: one end token. Rows with a null id are scored (and learned from). Rows that repeat are each
-    learned from and scored. Without training rows every token is unknown. An empty table gives an empty result.
+    learned from and scored. Texts of any length are scored whole. Without training rows every token is unknown. Other
+    columns of docs are left out, whatever their names. An empty table gives an empty result.
     """
-    parted = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (held_out_of(id_col) if held_out is None else held_out).alias("held_out"))
-    model = train(parted.filter(~F.col("held_out")).select("text"), min_share)
-    return score_texts(parted, model, "id", "text", ("held_out",)).withColumn("train_tokens", F.lit(model.total).cast("long")).select("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held = held_out_of(id_col) if held_out is None else held_out
+    parted = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
+    batches = written(tokenised(parted, batch_tokens))
+    n_shards = max(1, -(-(batches.agg(F.sum("n_tokens")).first()[0] or 0) // shard_tokens))
+
+    def ask_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for _, row in f.iterrows():
+                b = Batch(row)
+                yield questions(row["batch"], b.words, n_shards, {"word": b.words, "n": b.unigrams().astype(np.int32)})
+
+    asked = batches.select("batch", "held", "sizes", "words", "tokens").mapInPandas(ask_words, ASK_SQL)
+    one = written(asked.groupBy("shard").applyInPandas(count_words, REPLY_SQL))
+    sums = one.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
+    total, space = int(sums["total"]), float(sums["total"] + sums["distinct"] + 1)
+
+    def pairs_of(row: pd.Series, replies: pd.DataFrame) -> tuple[Batch, np.ndarray, np.ndarray]:
+        """The batch, its words' counts, and what its bigrams are dealt by."""
+        b = Batch(row)
+        counts, _ = answers(replies, 1, b.words, n_shards)
+        b.bigrams()
+        return b, counts, context_key(b.words[b.pair_first], b.words[b.pair_word], counts[b.pair_first], split)
+
+    def ask_pairs(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        b, counts, key = pairs_of(left.iloc[0], replies)
+        return questions(left["batch"].iloc[0], key, n_shards, {"context": b.words[b.pair_first], "word": b.words[b.pair_word], "n": b.pair_n.astype(np.int32), "totals": counts[b.pair_first], "lower": ((counts[b.pair_word] + 1) / space).astype(np.float32)})
+
+    def triples_of(row: pd.Series, replies: pd.DataFrame) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        b, counts, key = pairs_of(row, replies)
+        pair_counts, pair_logs = answers(replies, 2, key, n_shards)
+        b.trigrams(pair_counts)
+        context = b.pair_hash()[b.triple_pair]
+        return b, counts, pair_counts, pair_logs, context, context_key(context, b.words[b.pair_word[b.triple_last]], pair_counts[b.triple_pair], split)
+
+    def ask_triples(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        b, _, pair_counts, pair_logs, context, key = triples_of(left.iloc[0], replies)
+        return questions(left["batch"].iloc[0], key, n_shards, {"context": context, "word": b.words[b.pair_word[b.triple_last]], "n": b.triple_n.astype(np.int32), "totals": pair_counts[b.triple_pair], "lower": (10 ** pair_logs[b.triple_last]).astype(np.float32)})
+
+    def summed(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        row = left.iloc[0]
+        b, counts, _, pair_logs, _, key = triples_of(row, replies)
+        _, triple_logs = answers(replies, 3, key, n_shards)
+        scores = pair_logs[b.pair_of]
+        scores[b.triple_at] = triple_logs[b.triple_of]
+        base = np.log10((counts[b.tokens] + 1) / space)
+        known = counts[b.tokens] > 0
+        per_piece = lambda v: np.add.reduceat(np.where(b.inner, v, 0), b.begins)
+        return pd.DataFrame({"row": np.asarray(row["rows"], np.int64), "id": list(row["ids"]), "held_out": b.held, "n_tokens": b.sizes, "n_known": per_piece(known.astype(np.int64)), "base_score": per_piece(base), "score": per_piece(scores)})
+
+    def met(replies: DataFrame, ask, schema: str, columns: list[str]) -> DataFrame:
+        return batches.select("batch", "held", "sizes", "words", "tokens", *columns).groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(ask, schema)
+
+    two = written(met(one, ask_pairs, ASK_SQL, []).groupBy("shard").applyInPandas(score_shard(2), REPLY_SQL))
+    both = one.unionByName(two)
+    three = written(met(both, ask_triples, ASK_SQL, []).groupBy("shard").applyInPandas(score_shard(3), REPLY_SQL))
+    pieces = met(both.unionByName(three), summed, "row long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double", ["rows", "ids"])
+    out = written(pieces.groupBy("row").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))))
+    for used in (batches, one, two, three):
+        discard(used)
+    return out.select(F.col("id").cast("long").alias("id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -34,64 +34,63 @@ def corpus(seed=1, n=150):
     return [*rows, (1000, None), (1001, ""), (1002, "CAPS\tcaps unseen")]
 
 
-def brute(rows, min_share):
+def brute(rows):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     texts = {i: [*(t or "").encode().lower().split(), b""] for i, t in rows}
     c1, c2, c3 = Counter(), Counter(), Counter()
     for i, t in texts.items():
         if not held[i]:
+            padded = [b"", *t]
             c1.update(t)
+            c2.update(zip(padded, padded[1:], strict=False))
+            c3.update(zip(padded, padded[1:], padded[2:], strict=False))
     total, distinct = sum(c1.values()), len(c1)
-    least = max(1, math.ceil(min_share * total))
-    kept = {w for w, n in c1.items() if n >= least}
-    for i, t in texts.items():
-        if not held[i]:
-            padded = [None, b"", *t]
-            c2.update(p for p in zip(padded[1:], padded[2:]) if set(p) <= kept)
-            c3.update(p for p in zip(padded, padded[1:], padded[2:]) if None not in p and set(p) <= kept)
-    c2 = {p: n for p, n in c2.items() if n >= least}
-    c3 = {p: n for p, n in c3.items() if n >= least and p[:2] in c2 and p[1:] in c2}
-    back1, back2 = Counter(), Counter()
-    for (u, _), n in c2.items():
-        back1[u] += (n - lm.DISCOUNT) / c1[u]
-    for (u, v, _), n in c3.items():
-        back2[u, v] += (n - lm.DISCOUNT) / c2[u, v]
 
     def p1(w):
         return (c1[w] + 1) / (total + distinct + 1)
 
     def p2(v, w):
-        if v not in kept:
-            return p1(w)
-        return (max(0, c2[v, w] - lm.DISCOUNT) / c1[v] if (v, w) in c2 else 0) + (1 - back1[v]) * p1(w)
+        return (c2[v, w] + lm.PRIOR * p1(w)) / (c1[v] + lm.PRIOR)
 
     def p3(u, v, w):
-        if (u, v) not in c2:
-            return p2(v, w)
-        return ((c3[u, v, w] - lm.DISCOUNT) / c2[u, v] if (u, v, w) in c3 else 0) + (1 - back2[u, v]) * p2(v, w)
+        return (c3[u, v, w] + lm.PRIOR * p2(v, w)) / (c2[u, v] + lm.PRIOR) if u is not None else p2(v, w)
 
     out = {}
     for i, t in texts.items():
         padded = [None, b"", *t]
         out[i] = (held[i], len(t), sum(c1[w] > 0 for w in t), total, sum(math.log10(p1(w)) for w in t), sum(math.log10(p3(*padded[k : k + 3])) for k in range(len(t))))
-    every = [*kept, b"<one unseen word>"] + [w for w in c1 if w not in kept]
     for context in list(c2)[:5]:
-        assert sum(p3(*context, w) for w in every) == pytest.approx(1)
+        assert sum(p3(*context, w) for w in [*c1, b"<one unseen word>"]) == pytest.approx(1)
     return out
 
 
-@pytest.mark.parametrize("min_share", [1e-6, 0.004])
-def test_scores_equal_a_plain_model(spark, min_share):
-    rows = corpus()
-    got = {r["id"]: tuple(r)[1:] for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), min_share=min_share).collect()}
-    want = brute(rows, min_share)
+@pytest.mark.parametrize(("batch_tokens", "shard_tokens", "split"), [(lm.BATCH_TOKENS, lm.SHARD_TOKENS, lm.SPLIT), (64, 300, 20)])
+def test_scores_equal_a_plain_model(spark, batch_tokens, shard_tokens, split):
+    """The small sizes cut texts into pieces, deal them to many shards and split frequent contexts."""
+    rows = [*corpus(), (1003, "w1 w2 w3 " * 100)]
+    got = {r["id"]: tuple(r)[1:] for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), batch_tokens=batch_tokens, shard_tokens=shard_tokens, split=split).collect()}
+    want = brute(rows)
     assert got.keys() == want.keys()
     for i, w in want.items():
         assert got[i][:4] == w[:4]
-        assert got[i][4] == pytest.approx(w[4], abs=1e-9)
+        assert got[i][4] == pytest.approx(w[4], abs=1e-9 * w[1])
         assert got[i][5] == pytest.approx(w[5], abs=1e-3 * w[1])
 
 
+def test_a_level_finds_what_it_holds():
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(0, 300 * 50, 4000))
+    context, word = keys // 50, keys % 50
+    count, lower = r.integers(1, 9, len(keys)).astype(float), r.random(len(keys)) + 1e-6
+    totals = np.bincount(context, count, 300)
+    level = lm.Level(lm.mapped(lm.Level.build(context, word, count, lower, totals, 50)))
+    everything = np.arange(300 * 50)
+    place = {int(k): i for i, k in enumerate(keys)}
+    assert level.find(everything // 50, everything % 50).tolist() == [place.get(k, -1) for k in everything]
+    want = np.log10((count + lm.PRIOR * lower) / (totals[context] + lm.PRIOR))
+    assert np.abs(level.log_probability(context, word, lower) - want).max() < 1e-4
+
+
 def test_held_out_texts_gain_from_contexts(spark):
     got = lm.lm_scores(spark.createDataFrame(corpus(3, 400), "doc_id long, text string")).filter("held_out").groupBy().sum("base_score", "score").first()
     assert got[1] > 0.75 * got[0]
