@@ -5,7 +5,7 @@ add-one unigram estimate, and longer contexts are smoothed towards shorter ones
 p(w|ctx) = (c(ctx w) + PRIOR * p(w|shorter ctx)) / (c(ctx) + PRIOR).
 
 Batches. Texts are split into words once and stored as batches of about BATCH_TOKENS tokens: the batch's distinct words by
-64-bit hashes (XXH3) and the tokens as numbers of these. All that is shuffled afterwards is packed arrays of a batch's
+64-bit hashes (XXH3) and the tokens as numbers of these. All that is shuffled afterwards is compressed arrays of a batch's
 distinct n-grams, so a frequent n-gram appears once for each batch, not once for each occurrence.
 
 Levels. For each order, a batch asks the shards that own its distinct n-grams, with their training counts in the batch;
@@ -13,8 +13,8 @@ the shard adds the counts of all batches, builds its part of the level and answe
 longer n-grams by their context; a context with more than SPLIT occurrences is dealt to the more shards the more it has
 (its total is known from the order below), so that no context makes a shard grow. The number of shards grows with the
 tokens. A shard's level is a trie of Elias-Fano sequences in one flat file that is mapped into memory: pointers from each
-context to its successors, the successors in increasing order, and log probabilities and back-offs quantised to 16 bits. An
-n-gram is found by searching the successors between its context's pointers.
+context to its successors, the successors in increasing order, and log probabilities and back-offs in 16 bits (steps of
+STEP, so they add up as they are). An n-gram is found by searching the successors between its context's pointers.
 
 Words whose hashes agree would be counted as one; for a vocabulary of a billion words 0.03 such pairs are expected.
 """
@@ -38,6 +38,8 @@ from chromloom.llm.common import discard, written
 from chromloom.llm.elias_fano import EliasFano
 
 PRIOR = 2.0
+#: Of log10 probabilities, between codes.
+STEP = 1 / 4096
 #: Tokens of a batch (a longer text is cut into pieces that know the two tokens before them) and, on average, of a shard.
 BATCH_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 19
 #: Occurrences of a context for each of the shards that it is dealt to.
@@ -59,10 +61,26 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def quantise(logs: np.ndarray) -> tuple[np.ndarray, float]:
-    """16-bit codes of log10 values of 0 or less, and the step between codes."""
-    step = max(float(-logs.min()) if len(logs) else 0.0, 1e-9) / 65535
-    return np.rint(np.maximum(-logs, 0) / step).astype(np.uint16), step
+def quantise(p: np.ndarray) -> np.ndarray:
+    """16-bit codes of the log10 of probabilities, down to 1e-16."""
+    return np.minimum(np.rint(-np.log10(np.minimum(p, 1.0)) / STEP), 65535).astype(np.uint16)
+
+
+ZSTD = pa.Codec("zstd", 1)
+
+
+def packed(a: np.ndarray) -> bytes:
+    """The array's length and its bytes by significance, compressed."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)
+    return len(a).to_bytes(8, "little") + ZSTD.compress(planes.tobytes(), asbytes=True) if len(a) else b""
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(ZSTD.decompress(data[8:], n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
 class Level:
@@ -77,7 +95,7 @@ class Level:
 
     @staticmethod
     def build(context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray, totals: np.ndarray, words: int) -> bytes:
-        """A file of n-grams (context and word numbers, sorted by both, with count and the lower order's probability); totals: occurrences of each context."""
+        """A file of n-grams (context and word numbers, sorted by both, with count and the code of the lower order's probability); totals: occurrences of each context."""
         sequences = {"pointers": np.searchsorted(context, np.arange(len(totals) + 1)), "successors": context * words + word}
         arrays: dict[str, np.ndarray] = {}
         meta: dict = {"words": words}
@@ -85,8 +103,8 @@ class Level:
             e = EliasFano.of(values)
             meta[name] = [e.n, e.width]
             arrays |= {f"{name}_low": e.low, f"{name}_high": e.high, f"{name}_ones": e.ones}
-        arrays["prob"], meta["prob"] = quantise(np.log10((count + PRIOR * lower) / (totals[context] + PRIOR)))
-        arrays["back"], meta["back"] = quantise(np.log10(PRIOR / (totals + PRIOR)))
+        arrays["prob"] = quantise((count + PRIOR * 10 ** (-STEP * lower)) / (totals[context] + PRIOR))
+        arrays["back"] = quantise(PRIOR / (totals + PRIOR))
         head, at = {"meta": meta, "arrays": {}}, 0
         for name, a in arrays.items():
             head["arrays"][name] = [at, a.dtype.str, len(a)]
@@ -113,11 +131,12 @@ class Level:
         out[there] = lo[there]
         return out
 
-    def log_probability(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """log10 p(word | context), where lower is the shorter context's probability."""
+    def codes(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """The code of log10 p(word | context), where lower is that of the shorter context."""
         place = self.find(context, word)
-        seen = -self.arrays["prob"][np.maximum(place, 0)].astype(np.float64) * self.meta["prob"] if len(self.arrays["prob"]) else np.zeros(len(place))
-        return np.where(place >= 0, seen, -self.arrays["back"][context].astype(np.float64) * self.meta["back"] + np.log10(lower))
+        out = np.minimum(self.arrays["back"][context].astype(np.int64) + lower, 65535)
+        out[place >= 0] = self.arrays["prob"][place[place >= 0]]
+        return out.astype(np.uint16)
 
 
 def mapped(data: bytes) -> np.ndarray:
@@ -154,8 +173,8 @@ def tokenised(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
             nonlocal made
             made += 1
             rows, ids, held, sizes = ([list(v)] for v in zip(*pieces, strict=True))
-            words = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), U64, len(numbers)).tobytes()
-            values = [[(part << 24) + made], [sum(sizes[0])], rows, ids, held, sizes, [words], [tokens.tobytes()]]
+            words = packed(np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), U64, len(numbers)))
+            values = [[(part << 24) + made], [sum(sizes[0])], rows, ids, held, sizes, [words], [packed(np.frombuffer(tokens, np.int32))]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, BATCH, strict=True)], schema=BATCH)
 
         for whole in batches:
@@ -181,7 +200,7 @@ class Batch:
     """A batch's n-grams as numbers, found alike whenever the batch is read."""
 
     def __init__(self, row: pd.Series):
-        self.words, self.tokens = np.frombuffer(row["words"], U64), np.frombuffer(row["tokens"], np.int32).astype(np.int64)
+        self.words, self.tokens = unpacked(row["words"], U64), unpacked(row["tokens"], np.int32).astype(np.int64)
         self.sizes, self.held = np.asarray(row["sizes"], np.int64), np.asarray(row["held"], bool)
         ends = np.cumsum(self.sizes + 2)
         self.begins = ends - self.sizes - 2
@@ -228,39 +247,61 @@ def context_key(context: np.ndarray, word: np.ndarray, totals: np.ndarray, split
     return context + mixed(word) % (1 + totals // split).astype(U64) * MIX3
 
 
-ASK_SQL = "shard long, batch long, context binary, word binary, n binary, totals binary, lower binary"
-REPLY_SQL = "batch long, level int, shard long, counts binary, logs binary, total long, distinct long"
+#: What a batch asks a shard: words and training counts; for longer n-grams, contexts with how many n-grams follow each and
+#: its total, and for each n-gram the place of its word in `words` and the code of its lower order's probability.
+ASK = ["words", "n", "contexts", "lengths", "totals", "places", "lower"]
+ASK_SQL = "shard long, batch long, " + ", ".join(f"{c} binary" for c in ASK)
+REPLY_SQL = "batch long, level int, shard long, counts binary, codes binary, total long, distinct long"
+
+
+def ask_for_words(batch: int, b: Batch, shards: int) -> pd.DataFrame:
+    order, bounds = dealt(b.words, shards)
+    n = b.unigrams().astype(np.int32)
+    rows = [{"shard": s, "batch": batch, **dict.fromkeys(ASK, b""), "words": packed(b.words[own]), "n": packed(n[own])} for s in range(shards) if len(own := order[bounds[s] : bounds[s + 1]])]
+    return pd.DataFrame(rows, columns=["shard", "batch", *ASK])
 
 
-def questions(batch: int, key: np.ndarray, shards: int, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+def ask_for_ngrams(batch: int, b: Batch, key: np.ndarray, shards: int, context: np.ndarray, hashes: np.ndarray, totals: np.ndarray, word: np.ndarray, n: np.ndarray, lower: np.ndarray) -> pd.DataFrame:
+    """context and word: numbers for each n-gram, equal contexts side by side; hashes and totals: of the contexts by number."""
     order, bounds = dealt(key, shards)
-    own = [s for s in range(shards) if bounds[s] < bounds[s + 1]]
-    sorted_columns = {n: a[order] for n, a in columns.items()}
-    none = {n: b"" for n in ("context", "word", "n", "totals", "lower")}
-    rows = [{"shard": s, "batch": batch, **none, **{n: a[bounds[s] : bounds[s + 1]].tobytes() for n, a in sorted_columns.items()}} for s in own]
-    return pd.DataFrame(rows, columns=["shard", "batch", *none])
+    rows = []
+    for s in range(shards):
+        own = order[bounds[s] : bounds[s + 1]]
+        if len(own):
+            starts = np.flatnonzero(np.append(True, context[own][1:] != context[own][:-1]))
+            first = context[own[starts]]
+            words, places = np.unique(word[own], return_inverse=True)
+            arrays = {"words": b.words[words], "n": n[own].astype(np.int32), "contexts": hashes[first], "lengths": np.diff(np.append(starts, len(own))).astype(np.int32), "totals": totals[first], "places": places.astype(np.int32), "lower": lower[own].astype(np.uint16)}
+            rows.append({"shard": s, "batch": batch, **{c: packed(a) for c, a in arrays.items()}})
+    return pd.DataFrame(rows, columns=["shard", "batch", *ASK])
 
 
 def answers(replies: pd.DataFrame, level: int, key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, log probabilities) of the n-grams that were asked for with the same key."""
+    """(counts, codes) of the n-grams that were asked for with the same key."""
     order, _ = dealt(key, shards)
     own = replies[replies["level"] == level].sort_values("shard")
     out = []
-    for name, kind in (("counts", np.int64), ("logs", np.float32)):
-        got = np.frombuffer(b"".join(own[name]), kind)
+    for name, kind in (("counts", np.int64), ("codes", np.uint16)):
+        got = np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in own[name])])
         values = np.zeros(len(key), kind)
         if len(got):
             values[order] = got
         out.append(values)
-    return out[0], out[1].astype(np.float64)
+    return out[0], out[1].astype(np.int64)
+
+
+def reply(pdf: pd.DataFrame, level: int, cuts: np.ndarray, counts: np.ndarray | None, codes: np.ndarray | None) -> pd.DataFrame:
+    """A row for each batch that asked; its n-grams end at the next of cuts."""
+    cut = lambda a: [packed(x) for x in np.split(a, cuts[:-1])] if a is not None else b""
+    return pd.DataFrame({"batch": pdf["batch"], "level": level, "shard": pdf["shard"], "counts": cut(counts), "codes": cut(codes), "total": 0, "distinct": 0})
 
 
 def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
     """Level 1: the training counts of a shard's words."""
-    words, inverse = np.unique(np.concatenate([np.frombuffer(b, U64) for b in pdf["word"]]), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([np.frombuffer(b, np.int32) for b in pdf["n"]]), len(words)).astype(np.int64)
-    cuts = np.cumsum([len(b) // 8 for b in pdf["word"]])[:-1]
-    out = pd.DataFrame({"batch": pdf["batch"], "level": 1, "shard": pdf["shard"], "counts": [c.tobytes() for c in np.split(counts[inverse], cuts)], "logs": b"", "total": 0, "distinct": 0})
+    asked = [unpacked(b, U64) for b in pdf["words"]]
+    words, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate([unpacked(b, np.int32) for b in pdf["n"]]), len(words)).astype(np.int64)
+    out = reply(pdf, 1, np.cumsum([len(a) for a in asked]), counts[inverse], None)
     out.loc[out.index[0], ["total", "distinct"]] = [int(counts.sum()), int((counts > 0).sum())]
     return out
 
@@ -269,20 +310,20 @@ def score_shard(level: int):
     """Levels 2 and 3: builds a shard's part of the trie and looks up all that the batches ask for."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        read = lambda name, kind: np.concatenate([np.frombuffer(b, kind) for b in pdf[name]])
-        contexts, context = np.unique(read("context", U64), return_inverse=True)
-        words, word = np.unique(read("word", U64), return_inverse=True)
-        keys, first, place = np.unique(context * len(words) + word, return_index=True, return_inverse=True)
-        count = np.bincount(place, read("n", np.int32), len(keys))
+        parts = {c: [unpacked(x, kind) for x in pdf[c]] for c, kind in (("words", U64), ("n", np.int32), ("contexts", U64), ("lengths", np.int32), ("totals", np.int64), ("places", np.int32), ("lower", np.uint16))}
+        base = np.cumsum([0, *(len(x) for x in parts["words"])])
+        places = np.concatenate([x + base[k] for k, x in enumerate(parts["places"])])
+        cuts = np.cumsum([len(x) for x in parts["places"]])
+        every = {c: np.concatenate(x) for c, x in parts.items()}
+        contexts, number = np.unique(every["contexts"], return_inverse=True)
         totals = np.zeros(len(contexts))
-        totals[context] = read("totals", np.int64)
-        lower = read("lower", np.float32)[first].astype(np.float64)
-        own, follow, kept = keys // len(words), keys % len(words), count > 0
+        totals[number] = every["totals"]
+        words, word = np.unique(every["words"], return_inverse=True)
+        keys, first, place = np.unique(np.repeat(number, every["lengths"]) * len(words) + word[places], return_index=True, return_inverse=True)
+        count = np.bincount(place, every["n"], len(keys))
+        own, follow, lower, kept = keys // len(words), keys % len(words), every["lower"][first].astype(np.int64), count > 0
         trie = Level(mapped(Level.build(own[kept], follow[kept], count[kept], lower[kept], totals, len(words))))
-        logs = trie.log_probability(own, follow, lower).astype(np.float32)[place]
-        cuts = np.cumsum([len(b) // 8 for b in pdf["context"]])[:-1]
-        counts = [c.tobytes() for c in np.split(count.astype(np.int64)[place], cuts)] if level == 2 else b""
-        return pd.DataFrame({"batch": pdf["batch"], "level": level, "shard": pdf["shard"], "counts": counts, "logs": [x.tobytes() for x in np.split(logs, cuts)], "total": 0, "distinct": 0})
+        return reply(pdf, level, cuts, count.astype(np.int64)[place] if level == 2 else None, trie.codes(own, follow, lower)[place])
 
     return run
 
@@ -307,7 +348,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
         for f in frames:
             for _, row in f.iterrows():
                 b = Batch(row)
-                yield questions(row["batch"], b.words, n_shards, {"word": b.words, "n": b.unigrams().astype(np.int32)})
+                yield ask_for_words(row["batch"], b, n_shards)
 
     asked = batches.select("batch", "held", "sizes", "words", "tokens").mapInPandas(ask_words, ASK_SQL)
     one = written(asked.groupBy("shard").applyInPandas(count_words, REPLY_SQL))
@@ -323,29 +364,29 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
 
     def ask_pairs(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         b, counts, key = pairs_of(left.iloc[0], replies)
-        return questions(left["batch"].iloc[0], key, n_shards, {"context": b.words[b.pair_first], "word": b.words[b.pair_word], "n": b.pair_n.astype(np.int32), "totals": counts[b.pair_first], "lower": ((counts[b.pair_word] + 1) / space).astype(np.float32)})
+        return ask_for_ngrams(left["batch"].iloc[0], b, key, n_shards, b.pair_first, b.words, counts, b.pair_word, b.pair_n, quantise((counts + 1) / space)[b.pair_word])
 
     def triples_of(row: pd.Series, replies: pd.DataFrame) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         b, counts, key = pairs_of(row, replies)
-        pair_counts, pair_logs = answers(replies, 2, key, n_shards)
+        pair_counts, pair_codes = answers(replies, 2, key, n_shards)
         b.trigrams(pair_counts)
-        context = b.pair_hash()[b.triple_pair]
-        return b, counts, pair_counts, pair_logs, context, context_key(context, b.words[b.pair_word[b.triple_last]], pair_counts[b.triple_pair], split)
+        hashes = b.pair_hash()
+        return b, counts, pair_counts, pair_codes, hashes, context_key(hashes[b.triple_pair], b.words[b.pair_word[b.triple_last]], pair_counts[b.triple_pair], split)
 
     def ask_triples(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        b, _, pair_counts, pair_logs, context, key = triples_of(left.iloc[0], replies)
-        return questions(left["batch"].iloc[0], key, n_shards, {"context": context, "word": b.words[b.pair_word[b.triple_last]], "n": b.triple_n.astype(np.int32), "totals": pair_counts[b.triple_pair], "lower": (10 ** pair_logs[b.triple_last]).astype(np.float32)})
+        b, _, pair_counts, pair_codes, hashes, key = triples_of(left.iloc[0], replies)
+        return ask_for_ngrams(left["batch"].iloc[0], b, key, n_shards, b.triple_pair, hashes, pair_counts, b.pair_word[b.triple_last], b.triple_n, pair_codes[b.triple_last])
 
     def summed(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
-        b, counts, _, pair_logs, _, key = triples_of(row, replies)
-        _, triple_logs = answers(replies, 3, key, n_shards)
-        scores = pair_logs[b.pair_of]
-        scores[b.triple_at] = triple_logs[b.triple_of]
+        b, counts, _, pair_codes, _, key = triples_of(row, replies)
+        _, triple_codes = answers(replies, 3, key, n_shards)
+        scores = pair_codes[b.pair_of]
+        scores[b.triple_at] = triple_codes[b.triple_of]
         base = np.log10((counts[b.tokens] + 1) / space)
         known = counts[b.tokens] > 0
         per_piece = lambda v: np.add.reduceat(np.where(b.inner, v, 0), b.begins)
-        return pd.DataFrame({"row": np.asarray(row["rows"], np.int64), "id": list(row["ids"]), "held_out": b.held, "n_tokens": b.sizes, "n_known": per_piece(known.astype(np.int64)), "base_score": per_piece(base), "score": per_piece(scores)})
+        return pd.DataFrame({"row": np.asarray(row["rows"], np.int64), "id": list(row["ids"]), "held_out": b.held, "n_tokens": b.sizes, "n_known": per_piece(known.astype(np.int64)), "base_score": per_piece(base), "score": -STEP * per_piece(scores)})
 
     def met(replies: DataFrame, ask, schema: str, columns: list[str]) -> DataFrame:
         return batches.select("batch", "held", "sizes", "words", "tokens", *columns).groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(ask, schema)

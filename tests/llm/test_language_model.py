@@ -81,14 +81,19 @@ def test_a_level_finds_what_it_holds():
     r = np.random.default_rng(2)
     keys = np.unique(r.integers(0, 300 * 50, 4000))
     context, word = keys // 50, keys % 50
-    count, lower = r.integers(1, 9, len(keys)).astype(float), r.random(len(keys)) + 1e-6
+    count, lower = r.integers(1, 9, len(keys)).astype(float), r.integers(0, 30_000, len(keys))
     totals = np.bincount(context, count, 300)
     level = lm.Level(lm.mapped(lm.Level.build(context, word, count, lower, totals, 50)))
     everything = np.arange(300 * 50)
     place = {int(k): i for i, k in enumerate(keys)}
     assert level.find(everything // 50, everything % 50).tolist() == [place.get(k, -1) for k in everything]
-    want = np.log10((count + lm.PRIOR * lower) / (totals[context] + lm.PRIOR))
-    assert np.abs(level.log_probability(context, word, lower) - want).max() < 1e-4
+    want = np.log10((count + lm.PRIOR * 10 ** (-lm.STEP * lower)) / (totals[context] + lm.PRIOR))
+    assert np.abs(-lm.STEP * level.codes(context, word, lower) - want).max() <= lm.STEP
+
+
+def test_packed_arrays_come_back():
+    for a in (np.arange(1000, dtype=np.int32) - 1, np.zeros(0, np.uint16), np.array([2**63, 5], np.uint64)):
+        assert (lm.unpacked(lm.packed(a), a.dtype.type) == a).all()
 
 
 def test_held_out_texts_gain_from_contexts(spark):
