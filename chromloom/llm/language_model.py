@@ -9,14 +9,15 @@ Batches. Texts are split into words once and stored as batches of about BATCH_TO
 distinct n-grams, so a frequent n-gram appears once for each batch, not once for each occurrence.
 
 Levels. For each order, a batch asks the shards that own its distinct n-grams, with their training counts in the batch;
-the shard adds the counts of all batches, builds its part of the level and answers. Words are dealt by their hash,
-longer n-grams by their context; a context with more than SPLIT occurrences is dealt to the more shards the more it has
+the shard adds the counts of all batches, builds its part of the level and answers, and the batch is written anew with the
+answers. Words are dealt by their hash and get a number that stands for them from then on, longer n-grams by their context; a context with more than SPLIT occurrences is dealt to the more shards the more it has
 (its total is known from the order below), so that no context makes a shard grow. The number of shards grows with the
 tokens. A shard's level is a trie of Elias-Fano sequences in one flat file that is mapped into memory: pointers from each
 context to its successors, the successors in increasing order, and log probabilities and back-offs in 16 bits (steps of
 STEP, so they add up as they are). An n-gram is found by searching the successors between its context's pointers.
 
-Words whose hashes agree would be counted as one; for a vocabulary of a billion words 0.03 such pairs are expected.
+Words whose hashes agree would be counted as one (0.03 such pairs are expected among a billion different words); longer
+n-grams are told apart by the numbers of their words.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ PRIOR = 2.0
 #: Of log10 probabilities, between codes.
 STEP = 1 / 4096
 #: Tokens of a batch (a longer text is cut into pieces that know the two tokens before them) and, on average, of a shard.
-BATCH_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 19
+BATCH_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 20
 #: Occurrences of a context for each of the shards that it is dealt to.
 SPLIT = 1 << 16
 END = b""  # no word is empty
@@ -151,6 +152,8 @@ def mapped(data: bytes) -> np.ndarray:
 
 BATCH = pa.schema([("batch", pa.int64()), ("n_tokens", pa.int64()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.string())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("tokens", pa.binary())])
 BATCH_SQL = "batch long, n_tokens long, rows array<long>, ids array<string>, held array<boolean>, sizes array<long>, words binary, tokens binary"
+#: What stays of a batch once its words are numbered.
+BATCH_FIELDS = {"batch": "long", "rows": "array<long>", "ids": "array<string>", "held": "array<boolean>", "sizes": "array<long>", "tokens": "binary"}
 
 
 class _Numbers(dict):
@@ -200,7 +203,8 @@ class Batch:
     """A batch's n-grams as numbers, found alike whenever the batch is read."""
 
     def __init__(self, row: pd.Series):
-        self.words, self.tokens = unpacked(row["words"], U64), unpacked(row["tokens"], np.int32).astype(np.int64)
+        self.row, self.tokens = row, unpacked(row["tokens"], np.int32).astype(np.int64)
+        self.n_words = int(self.tokens.max()) + 1
         self.sizes, self.held = np.asarray(row["sizes"], np.int64), np.asarray(row["held"], bool)
         ends = np.cumsum(self.sizes + 2)
         self.begins = ends - self.sizes - 2
@@ -210,29 +214,32 @@ class Batch:
 
     def unigrams(self) -> np.ndarray:
         """Training counts of the words."""
-        return np.bincount(self.tokens[self.learned], minlength=len(self.words))
+        return np.bincount(self.tokens[self.learned], minlength=self.n_words)
 
-    def bigrams(self) -> None:
-        """pair_of: each token's bigram (-1: none); pair_first, pair_word: their words; pair_n: training counts."""
+    def bigrams(self, split: int) -> None:
+        """pair_of: each token's bigram (-1: none); pair_first, pair_word: their words; pair_n: training counts; pair_key: what they are dealt by."""
+        self.numbers, self.counts = unpacked(self.row["numbers"], np.int64), unpacked(self.row["counts"], np.int64)
         ask = self.inner.copy()
         ask[self.begins + 1] = self.tokens[self.begins] >= 0  # the context of a later piece
         at = np.flatnonzero(ask)
-        keys, inverse = np.unique(self.tokens[at - 1] * len(self.words) + self.tokens[at], return_inverse=True)
+        keys, inverse = np.unique(self.tokens[at - 1] * self.n_words + self.tokens[at], return_inverse=True)
         self.pair_of = np.full(len(self.tokens), -1, np.int64)
         self.pair_of[at] = inverse
-        self.pair_first, self.pair_word = keys // len(self.words), keys % len(self.words)
+        self.pair_first, self.pair_word = keys // self.n_words, keys % self.n_words
         self.pair_n = np.bincount(inverse, self.learned[at], len(keys)).astype(np.int64)
+        self.pair_key = context_key(self.numbers[self.pair_first].astype(U64), self.numbers[self.pair_word], self.counts[self.pair_first], split)
 
-    def trigrams(self, pair_counts: np.ndarray) -> None:
-        """triple_at: tokens whose context of two was learned; triple_of: their trigrams; triple_pair, triple_last: first two words and last bigram; triple_n."""
+    def trigrams(self, split: int) -> None:
+        """triple_at: tokens whose context of two was learned; triple_of: their trigrams; triple_pair, triple_word: first two words and last; triple_last: the last two; triple_n, triple_key."""
+        self.pair_counts, self.pair_codes = unpacked(self.row["pair_counts"], np.int64), unpacked(self.row["pair_codes"], np.uint16).astype(np.int64)
         before = np.append(-1, self.pair_of[:-1])
-        self.triple_at = np.flatnonzero(self.inner & (before >= 0) & (pair_counts[before] > 0)) if len(pair_counts) else np.zeros(0, np.int64)
-        keys, first, self.triple_of = np.unique(before[self.triple_at] * len(self.words) + self.tokens[self.triple_at], return_index=True, return_inverse=True)
-        self.triple_pair, self.triple_last = before[self.triple_at][first], self.pair_of[self.triple_at][first]
+        self.triple_at = np.flatnonzero(self.inner & (before >= 0) & (self.pair_counts[before] > 0))
+        keys, first, self.triple_of = np.unique(before[self.triple_at] * self.n_words + self.tokens[self.triple_at], return_index=True, return_inverse=True)
+        self.triple_pair, self.triple_word, self.triple_last = keys // self.n_words, keys % self.n_words, self.pair_of[self.triple_at][first]
         self.triple_n = np.bincount(self.triple_of, self.learned[self.triple_at], len(keys)).astype(np.int64)
-
-    def pair_hash(self) -> np.ndarray:
-        return mixed(mixed(self.words[self.pair_first]) * MIX3 + self.words[self.pair_word])
+        numbers = self.numbers.astype(U64)
+        pairs = mixed(numbers[self.pair_first] * MIX3 + numbers[self.pair_word])
+        self.triple_key = context_key(pairs[self.triple_pair], self.numbers[self.triple_word], self.pair_counts[self.triple_pair], split)
 
 
 def dealt(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,86 +251,91 @@ def dealt(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 def context_key(context: np.ndarray, word: np.ndarray, totals: np.ndarray, split: int) -> np.ndarray:
     """What an n-gram is dealt by: its context, and for frequent contexts a part of it."""
-    return context + mixed(word) % (1 + totals // split).astype(U64) * MIX3
+    return context + mixed(word.astype(U64)) % (1 + totals // split).astype(U64) * MIX3
 
 
-#: What a batch asks a shard: words and training counts; for longer n-grams, contexts with how many n-grams follow each and
-#: its total, and for each n-gram the place of its word in `words` and the code of its lower order's probability.
-ASK = ["words", "n", "contexts", "lengths", "totals", "places", "lower"]
+#: What a batch asks a shard: words (level 1: hashes, then numbers) and training counts; for longer n-grams, their contexts of one
+#: or two words with how many n-grams follow each and its total, and for each n-gram the code of its lower order's probability.
+ASK = ["words", "n", "first", "second", "lengths", "totals", "lower"]
 ASK_SQL = "shard long, batch long, " + ", ".join(f"{c} binary" for c in ASK)
-REPLY_SQL = "batch long, level int, shard long, counts binary, codes binary, total long, distinct long"
+REPLY_SQL = "batch long, shard long, counts binary, values binary, total long, distinct long"
 
 
-def ask_for_words(batch: int, b: Batch, shards: int) -> pd.DataFrame:
-    order, bounds = dealt(b.words, shards)
-    n = b.unigrams().astype(np.int32)
-    rows = [{"shard": s, "batch": batch, **dict.fromkeys(ASK, b""), "words": packed(b.words[own]), "n": packed(n[own])} for s in range(shards) if len(own := order[bounds[s] : bounds[s + 1]])]
+def ask_for_words(b: Batch, shards: int) -> pd.DataFrame:
+    words, n = unpacked(b.row["words"], U64), b.unigrams().astype(np.int32)
+    order, bounds = dealt(words, shards)
+    rows = [{"shard": s, "batch": b.row["batch"], **dict.fromkeys(ASK, b""), "words": packed(words[own]), "n": packed(n[own])} for s in range(shards) if len(own := order[bounds[s] : bounds[s + 1]])]
     return pd.DataFrame(rows, columns=["shard", "batch", *ASK])
 
 
-def ask_for_ngrams(batch: int, b: Batch, key: np.ndarray, shards: int, context: np.ndarray, hashes: np.ndarray, totals: np.ndarray, word: np.ndarray, n: np.ndarray, lower: np.ndarray) -> pd.DataFrame:
-    """context and word: numbers for each n-gram, equal contexts side by side; hashes and totals: of the contexts by number."""
+def ask_for_ngrams(b: Batch, key: np.ndarray, shards: int, context: np.ndarray, sides: list[np.ndarray], totals: np.ndarray, word: np.ndarray, n: np.ndarray, lower: np.ndarray) -> pd.DataFrame:
+    """context: a number for each n-gram, equal ones side by side; sides and totals: the contexts' words and totals by number."""
     order, bounds = dealt(key, shards)
     rows = []
     for s in range(shards):
         own = order[bounds[s] : bounds[s + 1]]
         if len(own):
             starts = np.flatnonzero(np.append(True, context[own][1:] != context[own][:-1]))
-            first = context[own[starts]]
-            words, places = np.unique(word[own], return_inverse=True)
-            arrays = {"words": b.words[words], "n": n[own].astype(np.int32), "contexts": hashes[first], "lengths": np.diff(np.append(starts, len(own))).astype(np.int32), "totals": totals[first], "places": places.astype(np.int32), "lower": lower[own].astype(np.uint16)}
-            rows.append({"shard": s, "batch": batch, **{c: packed(a) for c, a in arrays.items()}})
+            met = context[own[starts]]
+            arrays = {"words": word[own], "n": n[own].astype(np.int32), "lengths": np.diff(np.append(starts, len(own))).astype(np.int32), "totals": totals[met], "lower": lower[own].astype(np.uint16)}
+            arrays |= {c: side[met] for c, side in zip(("first", "second"), sides, strict=False)}
+            rows.append({"shard": s, "batch": b.row["batch"], **dict.fromkeys(ASK, b""), **{c: packed(a) for c, a in arrays.items()}})
     return pd.DataFrame(rows, columns=["shard", "batch", *ASK])
 
 
-def answers(replies: pd.DataFrame, level: int, key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, codes) of the n-grams that were asked for with the same key."""
+def answers(replies: pd.DataFrame, key: np.ndarray, shards: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, values) of the n-grams that were asked for with the same key."""
     order, _ = dealt(key, shards)
-    own = replies[replies["level"] == level].sort_values("shard")
+    own = replies.sort_values("shard")
     out = []
-    for name, kind in (("counts", np.int64), ("codes", np.uint16)):
-        got = np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in own[name])])
-        values = np.zeros(len(key), kind)
+    for name, of in (("counts", np.int64), ("values", kind)):
+        got = np.concatenate([np.zeros(0, of), *(unpacked(x, of) for x in own[name])])
+        values = np.zeros(len(key), of)
         if len(got):
             values[order] = got
         out.append(values)
-    return out[0], out[1].astype(np.int64)
+    return out[0], out[1]
 
 
-def reply(pdf: pd.DataFrame, level: int, cuts: np.ndarray, counts: np.ndarray | None, codes: np.ndarray | None) -> pd.DataFrame:
-    """A row for each batch that asked; its n-grams end at the next of cuts."""
-    cut = lambda a: [packed(x) for x in np.split(a, cuts[:-1])] if a is not None else b""
-    return pd.DataFrame({"batch": pdf["batch"], "level": level, "shard": pdf["shard"], "counts": cut(counts), "codes": cut(codes), "total": 0, "distinct": 0})
+def reply(pdf: pd.DataFrame, ends: np.ndarray, counts: np.ndarray | None, values: np.ndarray) -> pd.DataFrame:
+    """A row for each batch that asked; its n-grams end at the next of ends."""
+    cut = lambda a: [packed(x) for x in np.split(a, ends[:-1])] if a is not None else b""
+    return pd.DataFrame({"batch": pdf["batch"], "shard": pdf["shard"], "counts": cut(counts), "values": cut(values), "total": 0, "distinct": 0})
 
 
-def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Level 1: the training counts of a shard's words."""
-    asked = [unpacked(b, U64) for b in pdf["words"]]
-    words, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([unpacked(b, np.int32) for b in pdf["n"]]), len(words)).astype(np.int64)
-    out = reply(pdf, 1, np.cumsum([len(a) for a in asked]), counts[inverse], None)
-    out.loc[out.index[0], ["total", "distinct"]] = [int(counts.sum()), int((counts > 0).sum())]
-    return out
+def count_words(shards: int):
+    """Level 1: the training counts and numbers of a shard's words."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = [unpacked(b, U64) for b in pdf["words"]]
+        words, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([unpacked(b, np.int32) for b in pdf["n"]]), len(words)).astype(np.int64)
+        out = reply(pdf, np.cumsum([len(a) for a in asked]), counts[inverse], inverse * shards + int(pdf["shard"].iloc[0]))
+        out.loc[out.index[0], ["total", "distinct"]] = [int(counts.sum()), int((counts > 0).sum())]
+        return out
+
+    return run
 
 
 def score_shard(level: int):
     """Levels 2 and 3: builds a shard's part of the trie and looks up all that the batches ask for."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {c: [unpacked(x, kind) for x in pdf[c]] for c, kind in (("words", U64), ("n", np.int32), ("contexts", U64), ("lengths", np.int32), ("totals", np.int64), ("places", np.int32), ("lower", np.uint16))}
-        base = np.cumsum([0, *(len(x) for x in parts["words"])])
-        places = np.concatenate([x + base[k] for k, x in enumerate(parts["places"])])
-        cuts = np.cumsum([len(x) for x in parts["places"]])
-        every = {c: np.concatenate(x) for c, x in parts.items()}
-        contexts, number = np.unique(every["contexts"], return_inverse=True)
+        read = lambda name, kind: np.concatenate([unpacked(x, kind) for x in pdf[name]])
+        asked = [unpacked(x, np.int64) for x in pdf["words"]]
+        number = read("first", np.int64)
+        if level == 3:
+            second = read("second", np.int64)
+            number = number * (int(second.max()) + 1) + second
+        contexts, number = np.unique(number, return_inverse=True)
         totals = np.zeros(len(contexts))
-        totals[number] = every["totals"]
-        words, word = np.unique(every["words"], return_inverse=True)
-        keys, first, place = np.unique(np.repeat(number, every["lengths"]) * len(words) + word[places], return_index=True, return_inverse=True)
-        count = np.bincount(place, every["n"], len(keys))
-        own, follow, lower, kept = keys // len(words), keys % len(words), every["lower"][first].astype(np.int64), count > 0
+        totals[number] = read("totals", np.int64)
+        words, word = np.unique(np.concatenate(asked), return_inverse=True)
+        keys, first, place = np.unique(np.repeat(number, read("lengths", np.int32)) * len(words) + word, return_index=True, return_inverse=True)
+        count = np.bincount(place, read("n", np.int32), len(keys))
+        own, follow, lower, kept = keys // len(words), keys % len(words), read("lower", np.uint16)[first].astype(np.int64), count > 0
         trie = Level(mapped(Level.build(own[kept], follow[kept], count[kept], lower[kept], totals, len(words))))
-        return reply(pdf, level, cuts, count.astype(np.int64)[place] if level == 2 else None, trie.codes(own, follow, lower)[place])
+        return reply(pdf, np.cumsum([len(x) for x in asked]), count.astype(np.int64)[place] if level == 2 else None, trie.codes(own, follow, lower)[place])
 
     return run
 
@@ -344,58 +356,66 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
     batches = written(tokenised(parted, batch_tokens))
     n_shards = max(1, -(-(batches.agg(F.sum("n_tokens")).first()[0] or 0) // shard_tokens))
 
-    def ask_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for _, row in f.iterrows():
-                b = Batch(row)
-                yield ask_for_words(row["batch"], b, n_shards)
+    def asking(ask):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for _, row in f.iterrows():
+                    yield ask(Batch(row))
+
+        return run
 
-    asked = batches.select("batch", "held", "sizes", "words", "tokens").mapInPandas(ask_words, ASK_SQL)
-    one = written(asked.groupBy("shard").applyInPandas(count_words, REPLY_SQL))
+    def answered(table: DataFrame, replies: DataFrame, put, columns: dict[str, str]) -> DataFrame:
+        """The batches with what put() makes of their replies, in place of the tables that it came from."""
+        fields = BATCH_FIELDS | columns
+
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            return left.assign(**{c: [v] for c, v in put(Batch(left.iloc[0]), right).items()})[list(fields)]
+
+        out = written(table.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(run, ", ".join(f"{c} {kind}" for c, kind in fields.items())))
+        discard(table)
+        discard(replies)
+        return out
+
+    def number_words(b: Batch, replies: pd.DataFrame) -> dict[str, bytes]:
+        counts, numbers = answers(replies, unpacked(b.row["words"], U64), n_shards, np.int64)
+        return {"numbers": packed(numbers), "counts": packed(counts)}
+
+    one = written(batches.select("batch", "held", "sizes", "words", "tokens").mapInPandas(asking(lambda b: ask_for_words(b, n_shards)), ASK_SQL).groupBy("shard").applyInPandas(count_words(n_shards), REPLY_SQL))
     sums = one.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
     total, space = int(sums["total"]), float(sums["total"] + sums["distinct"] + 1)
+    numbered = answered(batches, one, number_words, {"numbers": "binary", "counts": "binary"})
 
-    def pairs_of(row: pd.Series, replies: pd.DataFrame) -> tuple[Batch, np.ndarray, np.ndarray]:
-        """The batch, its words' counts, and what its bigrams are dealt by."""
-        b = Batch(row)
-        counts, _ = answers(replies, 1, b.words, n_shards)
-        b.bigrams()
-        return b, counts, context_key(b.words[b.pair_first], b.words[b.pair_word], counts[b.pair_first], split)
+    def ask_pairs(b: Batch) -> pd.DataFrame:
+        b.bigrams(split)
+        return ask_for_ngrams(b, b.pair_key, n_shards, b.pair_first, [b.numbers], b.counts, b.numbers[b.pair_word], b.pair_n, quantise((b.counts + 1) / space)[b.pair_word])
 
-    def ask_pairs(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        b, counts, key = pairs_of(left.iloc[0], replies)
-        return ask_for_ngrams(left["batch"].iloc[0], b, key, n_shards, b.pair_first, b.words, counts, b.pair_word, b.pair_n, quantise((counts + 1) / space)[b.pair_word])
+    def put_pairs(b: Batch, replies: pd.DataFrame) -> dict[str, bytes]:
+        b.bigrams(split)
+        counts, codes = answers(replies, b.pair_key, n_shards, np.uint16)
+        return {"pair_counts": packed(counts), "pair_codes": packed(codes)}
 
-    def triples_of(row: pd.Series, replies: pd.DataFrame) -> tuple[Batch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        b, counts, key = pairs_of(row, replies)
-        pair_counts, pair_codes = answers(replies, 2, key, n_shards)
-        b.trigrams(pair_counts)
-        hashes = b.pair_hash()
-        return b, counts, pair_counts, pair_codes, hashes, context_key(hashes[b.triple_pair], b.words[b.pair_word[b.triple_last]], pair_counts[b.triple_pair], split)
+    two = written(numbered.drop("rows", "ids").mapInPandas(asking(ask_pairs), ASK_SQL).groupBy("shard").applyInPandas(score_shard(2), REPLY_SQL))
+    paired = answered(numbered, two, put_pairs, {c: "binary" for c in ("numbers", "counts", "pair_counts", "pair_codes")})
 
-    def ask_triples(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        b, _, pair_counts, pair_codes, hashes, key = triples_of(left.iloc[0], replies)
-        return ask_for_ngrams(left["batch"].iloc[0], b, key, n_shards, b.triple_pair, hashes, pair_counts, b.pair_word[b.triple_last], b.triple_n, pair_codes[b.triple_last])
+    def ask_triples(b: Batch) -> pd.DataFrame:
+        b.bigrams(split)
+        b.trigrams(split)
+        return ask_for_ngrams(b, b.triple_key, n_shards, b.triple_pair, [b.numbers[b.pair_first], b.numbers[b.pair_word]], b.pair_counts, b.numbers[b.triple_word], b.triple_n, b.pair_codes[b.triple_last])
 
     def summed(left: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0]
-        b, counts, _, pair_codes, _, key = triples_of(row, replies)
-        _, triple_codes = answers(replies, 3, key, n_shards)
-        scores = pair_codes[b.pair_of]
-        scores[b.triple_at] = triple_codes[b.triple_of]
-        base = np.log10((counts[b.tokens] + 1) / space)
-        known = counts[b.tokens] > 0
+        b = Batch(left.iloc[0])
+        b.bigrams(split)
+        b.trigrams(split)
+        _, triple_codes = answers(replies, b.triple_key, n_shards, np.uint16)
+        codes = b.pair_codes[b.pair_of]
+        codes[b.triple_at] = triple_codes[b.triple_of]
         per_piece = lambda v: np.add.reduceat(np.where(b.inner, v, 0), b.begins)
-        return pd.DataFrame({"row": np.asarray(row["rows"], np.int64), "id": list(row["ids"]), "held_out": b.held, "n_tokens": b.sizes, "n_known": per_piece(known.astype(np.int64)), "base_score": per_piece(base), "score": -STEP * per_piece(scores)})
-
-    def met(replies: DataFrame, ask, schema: str, columns: list[str]) -> DataFrame:
-        return batches.select("batch", "held", "sizes", "words", "tokens", *columns).groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(ask, schema)
+        base, known = np.log10((b.counts + 1) / space)[b.tokens], (b.counts > 0).astype(np.int64)[b.tokens]
+        return pd.DataFrame({"row": np.asarray(b.row["rows"], np.int64), "id": list(b.row["ids"]), "held_out": b.held, "n_tokens": b.sizes, "n_known": per_piece(known), "base_score": per_piece(base), "score": -STEP * per_piece(codes)})
 
-    two = written(met(one, ask_pairs, ASK_SQL, []).groupBy("shard").applyInPandas(score_shard(2), REPLY_SQL))
-    both = one.unionByName(two)
-    three = written(met(both, ask_triples, ASK_SQL, []).groupBy("shard").applyInPandas(score_shard(3), REPLY_SQL))
-    pieces = met(both.unionByName(three), summed, "row long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double", ["rows", "ids"])
+    three = written(paired.drop("rows", "ids").mapInPandas(asking(ask_triples), ASK_SQL).groupBy("shard").applyInPandas(score_shard(3), REPLY_SQL))
+    pieces = paired.groupBy("batch").cogroup(three.groupBy("batch")).applyInPandas(summed, "row long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = written(pieces.groupBy("row").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))))
-    for used in (batches, one, two, three):
-        discard(used)
+    discard(paired)
+    discard(three)
     return out.select(F.col("id").cast("long").alias("id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
