@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by cosine: a hierarchical navigable small-world graph for each shard of the vectors.
 
-Rows go to shards of about `shard_rows` by a hash of their id. A shard's graph is stored as one row of flat arrays:
-the unit vectors, the layers' nodes and, for each layer, a table of neighbour numbers. Equal vectors of a shard are one
-node (its ids ranked), so that thousands of copies make no clique. Layers are drawn by a hash of the node, each a
-sixteenth of the one below; each node gets as neighbours those of its nearest candidates that are nearer to it than to
-any neighbour it already has, and is then entered as a neighbour of its neighbours. As a shard has a fixed size, the
-candidates come from blocked products within the layer.
-
-Queries go in blocks to every shard. A search walks greedily down the layers and then keeps the `ef` nearest nodes found
-on the ground layer, for a whole block of queries at once; scores are exact cosines of the original vectors in double
-precision. The shards' answers are merged by rank. The work is one walk for each query and shard.
+Rows go to shards by a hash of their id: SHARD_ROWS of them each (fewer if the vectors are long), or fewer still as long as
+that gives a shard to each core. A shard's graph is stored as one row of flat arrays: its ids, vectors and, for each
+layer, a table of neighbour numbers. Equal vectors of a shard are one node (its ids ranked), so that thousands of copies
+make no clique. Each node's top layer is drawn with a sixteenth of the nodes going one up; nodes are numbered from the top
+layer down, so a layer is the nodes below a number.
+
+The graph is built by insertion, a batch of nodes at a time: each new node is searched for in the graph of those before
+it, from the node found on the layer above; of the nodes found it gets as neighbours those that are nearer to it than to
+any neighbour it already has, and is entered as a neighbour of its neighbours, which keep the best by the same rule.
+
+Queries go in blocks of QUERY_BLOCK to every shard. A search walks down the layers and then keeps the `ef` nearest nodes found
+on the ground layer, for many queries at once; scores are exact cosines of the original vectors in double precision. The
+shards' answers are merged by rank. The work is one walk for each query and shard; a block's vectors and a shard's
+arrays meet in one row, which the walks of a whole block outweigh.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromloom.llm.common import written
+from chromloom.llm.common import discard, written
 
-SHARD_ROWS, QUERY_BLOCK = 4_096, 256
-#: Neighbours of a node on the ground layer and above; candidates looked at when they are chosen; nodes kept in a search.
-GROUND, UPPER, CANDIDATES, EF = 32, 16, 96, 160
+#: Rows of a shard, and the bytes of its vectors, at most; rows from which on it may be one of several.
+SHARD_ROWS, SHARD_BYTES, SMALL_SHARD = 131_072, 1 << 27, 4_096
+QUERY_BLOCK, AT_ONCE = 2_048, 512
+#: Neighbours of a node on the ground layer and above; nodes kept in a search when building and when asking.
+GROUND, UPPER, BUILD_EF, EF = 32, 16, 64, 128
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -36,45 +42,67 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def spread_neighbours(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, keep: int) -> np.ndarray:
-    """Up to `keep` of each node's candidates (nearest first): first those nearer to the node than to any chosen before, then the nearest of the rest."""
+    """Up to `keep` of each node's candidates (-1: none): first those nearer to the node than to any chosen before, then the nearest of the rest."""
+    to_node = np.where(cand >= 0, np.einsum("ncd,nd->nc", x[cand], x[nodes]), -np.inf)
+    order = np.argsort(-to_node, axis=1, kind="stable")
+    cand, to_node = np.take_along_axis(cand, order, 1), np.take_along_axis(to_node, order, 1)
     v = x[cand]
-    to_node = np.einsum("ncd,nd->nc", v, x[nodes])
     among = v @ v.transpose(0, 2, 1)
     chosen = np.zeros(cand.shape, bool)
     closest = np.full(cand.shape, -2.0, np.float32)  # similarity of each candidate to the neighbours chosen so far
     count = np.zeros(len(nodes), np.int64)
     for j in range(cand.shape[1]):
-        take = (closest[:, j] < to_node[:, j]) & (count < keep)
+        take = (closest[:, j] < to_node[:, j]) & (count < keep) & (cand[:, j] >= 0)
         chosen[:, j] = take
         count += take
         closest = np.where(take[:, None], np.maximum(closest, among[:, j, :]), closest)
-    order = np.argsort(~chosen, axis=1, kind="stable")[:, :keep]
-    return np.take_along_axis(cand, order, 1)
+    best = np.argsort(~chosen, axis=1, kind="stable")[:, :keep]
+    out = np.full((len(nodes), keep), -1, np.int64)
+    out[:, : best.shape[1]] = np.take_along_axis(cand, best, 1)
+    return out
 
 
-def layer_graph(x: np.ndarray, keep: int) -> np.ndarray:
-    """Neighbour table (nodes x keep, -1: none) of one layer over unit vectors x."""
+def link_back(x: np.ndarray, table: np.ndarray, new: np.ndarray, chosen: np.ndarray) -> None:
+    """Enters new nodes as neighbours of those they chose; a full list keeps the best of old and new."""
+    i, j = np.nonzero(chosen >= 0)
+    into, source = chosen[i, j], new[i]
+    order = np.argsort(into, kind="stable")
+    into, source = into[order], source[order]
+    targets, starts, n = np.unique(into, return_index=True, return_counts=True)
+    have = (table[targets] >= 0).sum(axis=1)
+    slot = np.arange(len(into)) - np.repeat(starts, n) + np.repeat(have, n)
+    room = np.repeat(have + n <= table.shape[1], n)
+    table[into[room], slot[room]] = source[room]
+    full = np.flatnonzero(have + n > table.shape[1])
+    for a in range(0, len(full), 256):
+        some = full[a : a + 256]
+        cand = np.full((len(some), table.shape[1] + n[some].max()), -1, np.int64)
+        cand[:, : table.shape[1]] = table[targets[some]]
+        for r, t in enumerate(some):
+            cand[r, table.shape[1] : table.shape[1] + n[t]] = source[starts[t] : starts[t] + n[t]]
+        table[targets[some]] = spread_neighbours(x, targets[some], cand, table.shape[1])
+
+
+def layer_graph(x: np.ndarray, keep: int, entries: np.ndarray) -> np.ndarray:
+    """Neighbour table (nodes x keep, -1: none) of one layer over unit vectors x, built by inserting them in order; entries: where each node's search starts (-1: at node 0)."""
     n = len(x)
-    if n == 1:
-        return np.full((1, keep), -1, np.int32)
-    c = min(CANDIDATES, n - 1)
     table = np.full((n, keep), -1, np.int64)
-    for a in range(0, n, 256):
-        sims = x[a : a + 256] @ x.T
-        sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -np.inf
-        near = np.argpartition(-sims, c - 1, axis=1)[:, :c]
-        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
-        chosen = spread_neighbours(x, np.arange(a, a + len(sims)), near, keep // 2)
-        table[a : a + len(sims), : chosen.shape[1]] = chosen
-    # links back, nearest first, as far as there is room
-    src, slot = np.nonzero(table >= 0)
-    dst = table[src, slot]
-    sim = np.einsum("nd,nd->n", x[src], x[dst])
-    order = np.lexsort((src, -sim, dst))
-    into, back = dst[order], src[order]
-    rank = np.arange(len(into)) - np.searchsorted(into, into)
-    room = rank < keep - keep // 2
-    table[into[room], keep // 2 + rank[room]] = back[room]
+    done = 0
+    while done < n:
+        end = min(n, max(2 * done, 64), done + AT_ONCE)
+        new = np.arange(done, end)
+        sims = x[new] @ x[new].T
+        np.fill_diagonal(sims, -np.inf)
+        c = min(BUILD_EF // 2, len(new) - 1)
+        near = np.argpartition(-sims, c - 1, axis=1)[:, :c] + done if c else np.zeros((len(new), 0), np.int64)
+        if done:
+            start = np.where((entries[new] >= 0) & (entries[new] < done), entries[new], 0)[:, None]
+            near = np.concatenate([near, walk(x[:done], table[:done], x[new], start, min(BUILD_EF, done))], axis=1)
+        if near.shape[1]:
+            chosen = spread_neighbours(x, new, near, keep // 2)
+            table[new, : keep // 2] = chosen
+            link_back(x, table, new, chosen)
+        done = end
     return table.astype(np.int32)
 
 
@@ -83,23 +111,30 @@ def build_index(ids: np.ndarray, vectors: np.ndarray) -> dict:
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     nodes, node_of = np.unique(vectors, axis=0, return_inverse=True)
-    node_of = node_of.ravel()
+    top = np.floor(-np.log(1 - np.random.default_rng(len(nodes)).random(len(nodes))) / np.log(16)).astype(np.int64)
+    shuffled = np.random.default_rng(len(nodes) + 1).permutation(len(nodes))
+    by_layer = shuffled[np.argsort(-top[shuffled], kind="stable")]
+    nodes, top = nodes[by_layer], top[by_layer]
+    number = np.empty(len(nodes), np.int64)
+    number[by_layer] = np.arange(len(nodes))
+    node_of = number[node_of.ravel()]
     members = np.argsort(node_of, kind="stable")
     starts = np.searchsorted(node_of[members], np.arange(len(nodes) + 1))
-    unit = nodes / np.abs(nodes).max(axis=1, keepdims=True)
-    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
-    draw = np.random.default_rng(len(nodes)).random(len(nodes))
-    layers, tables, share = [], [], 1.0
-    while True:
-        own = np.flatnonzero(draw <= share) if share < 1 else np.arange(len(nodes))
-        if not len(own):
-            break
-        layers.append(own.astype(np.int32))
-        tables.append(layer_graph(unit[own], GROUND if share == 1 else UPPER))
-        if len(own) <= 16:
-            break
-        share /= 16
-    return {"ids": ids[members], "starts": starts.astype(np.int32), "vectors": nodes, "unit": unit, "layers": layers, "tables": tables}
+    unit = unit_of(nodes)
+    tables: list[np.ndarray] = []  # from the top layer down
+    entries = np.full(len(nodes), -1, np.int64)
+    for depth in range(int(top.max()), -1, -1):
+        size = int((top >= depth).sum())
+        tables.append(layer_graph(unit[:size], GROUND if depth == 0 else UPPER, entries[:size]))
+        for a in range(size, len(nodes) if depth else size, AT_ONCE):  # where the nodes of lower layers start
+            start = np.maximum(entries[a : a + AT_ONCE], 0)[:, None]
+            entries[a : a + AT_ONCE] = walk(unit[:size], tables[-1], unit[a : a + AT_ONCE], start, 1)[:, 0]
+    return {"ids": ids[members], "starts": starts.astype(np.int32), "vectors": nodes, "unit": unit, "tables": tables}
+
+
+def unit_of(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
 def walk(x: np.ndarray, table: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> np.ndarray:
@@ -146,26 +181,22 @@ def walk(x: np.ndarray, table: np.ndarray, q: np.ndarray, entry: np.ndarray, ef:
 
 
 def search_index(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int = EF) -> list[tuple[int, int, float]]:
-    """(query id, id, cosine) of the k nearest rows found for each query, its own id left out."""
-    scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
-    q = (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
-    entry = np.zeros((len(q), 1), np.int64)
-    for depth in range(len(index["layers"]) - 1, -1, -1):
-        nodes, table = index["layers"][depth], index["tables"][depth]
-        place = np.searchsorted(nodes, index["layers"][depth + 1][entry]) if depth + 1 < len(index["layers"]) else entry
-        entry = walk(index["unit"][nodes], table, q, np.where(entry >= 0, place, -1), min(ef, len(nodes)) if depth == 0 else min(8, len(nodes)))
-        if depth == 0:
-            found = np.where(entry >= 0, nodes[entry], -1)
+    """(query number, id, cosine) of the k nearest rows found for each query, rows with its own id left out."""
     out = []
-    for qi, own, nodes in zip(query_ids.tolist(), queries, found, strict=True):
-        nodes = nodes[nodes >= 0]
-        v = index["vectors"][nodes]
-        scores = cosines(v, own)
-        ranked = []
-        for node, score in zip(nodes.tolist(), scores.tolist(), strict=True):
-            members = index["ids"][index["starts"][node] : index["starts"][node + 1]][: k + 1]
-            ranked += [(-score, i) for i in members.tolist() if i != qi]
-        out += [(qi, i, -s) for s, i in sorted(ranked)[:k]]
+    for a in range(0, len(queries), AT_ONCE):
+        own_ids, own = query_ids[a : a + AT_ONCE], queries[a : a + AT_ONCE]
+        q = unit_of(own)
+        found = np.zeros((len(q), 1), np.int64)
+        for depth, table in enumerate(index["tables"]):
+            found = walk(index["unit"][: len(table)], table, q, found, min(8 if depth + 1 < len(index["tables"]) else ef, len(table)))
+        for n, (qi, vector, nodes) in enumerate(zip(own_ids.tolist(), own, found, strict=True), a):
+            nodes = nodes[nodes >= 0]
+            ranked = []
+            for node, score in zip(nodes.tolist(), cosines(index["vectors"][nodes], vector).tolist(), strict=True):
+                members = index["ids"][index["starts"][node] : index["starts"][node + 1]]
+                lo, hi = np.searchsorted(members, qi), np.searchsorted(members, qi, side="right")
+                ranked += [(-score, i) for part in (members[:lo][:k], members[hi : hi + k]) for i in part.tolist()]
+            out += [(n, i, -s) for s, i in sorted(ranked)[:k]]
     return out
 
 
@@ -176,7 +207,7 @@ def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (v @ q) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-FLAT = "shard long, dim int, ids binary, starts binary, vectors binary, unit binary, layers array<binary>, tables array<binary>"
+FLAT = "shard long, dim int, ids binary, starts binary, vectors binary, tables array<binary>"
 
 
 def build_shards(vectors: DataFrame, n_shards: int) -> DataFrame:
@@ -185,50 +216,52 @@ def build_shards(vectors: DataFrame, n_shards: int) -> DataFrame:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
         i = build_index(pdf["id"].to_numpy(np.int64), x)
-        flat = {n: [np.ascontiguousarray(i[n]).tobytes()] for n in ("ids", "starts", "vectors", "unit")}
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "dim": [x.shape[1]], **flat, "layers": [[a.tobytes() for a in i["layers"]]], "tables": [[np.ascontiguousarray(a).tobytes() for a in i["tables"]]]})
+        flat = {n: [np.ascontiguousarray(i[n]).tobytes()] for n in ("ids", "starts", "vectors")}
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "dim": [x.shape[1]], **flat, "tables": [[np.ascontiguousarray(a).tobytes() for a in i["tables"]]]})
 
     keyed = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)))
     return keyed.groupBy("shard").applyInPandas(build, FLAT)
 
 
 def opened(row: pd.Series) -> dict:
-    d = int(row["dim"])
-    layers = [np.frombuffer(b, np.int32) for b in row["layers"]]
-    return {
-        "ids": np.frombuffer(row["ids"], np.int64),
-        "starts": np.frombuffer(row["starts"], np.int32),
-        "vectors": np.frombuffer(row["vectors"], np.float64).reshape(-1, d),
-        "unit": np.frombuffer(row["unit"], np.float32).reshape(-1, d),
-        "layers": layers,
-        "tables": [np.frombuffer(b, np.int32).reshape(len(own), -1) for b, own in zip(row["tables"], layers, strict=True)],
-    }
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, int(row["dim"]))
+    last = len(row["tables"]) - 1
+    tables = [np.frombuffer(b, np.int32).reshape(-1, GROUND if depth == last else UPPER) for depth, b in enumerate(row["tables"])]
+    return {"ids": np.frombuffer(row["ids"], np.int64), "starts": np.frombuffer(row["starts"], np.int32), "vectors": vectors, "unit": unit_of(vectors), "tables": tables}
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): each query's k nearest rows found by cosine, ties to the smaller id.
 
-    queries: a DataFrame like vectors. Vectors that are null, zero or hold null or non-finite components take no part on
-    either side, nor do those whose length differs from the most common one. Rows that repeat an id are all candidates of
-    others and none of their own. Empty tables give an empty result.
+    queries: a DataFrame like vectors; each of its rows gets ranks of its own, also where ids repeat. Vectors that are
+    null, zero or hold null or non-finite components take no part on either side, nor do those whose length differs from
+    the most common one. Candidates are all rows but those with the query's id; rows that repeat an id are a candidate each.
+    Other columns are left out, whatever their names. Empty tables give an empty result. shard_rows: rows of a shard.
     """
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
     lengths = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    d, n = (lengths[0]["d"], lengths[0]["n"]) if lengths else (0, 0)
+    d, n = (lengths[0]["d"], lengths[0]["n"]) if lengths else (1, 0)
     rows, asked = rows.filter(F.size("vec") == d), asked.filter(F.size("vec") == d)
-    n_shards = max(1, -(-n // shard_rows))
+    most = shard_rows or max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * d)))
+    n_shards = max(1, -(-n // most), 0 if shard_rows else min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // SMALL_SHARD)))
     shards = written(build_shards(rows, n_shards))
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(max(1, -(-n // (50 * QUERY_BLOCK))))))
-    blocks = written(blocks.groupBy("block").agg(F.collect_list(F.struct("id", "vec")).alias("members")))  # about QUERY_BLOCK of them each
+    numbered = written(asked.withColumn("q", F.monotonically_increasing_id()))
+    blocks = numbered.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-numbered.count() // QUERY_BLOCK)))))
+    blocks = written(blocks.groupBy("block").agg(F.collect_list(F.struct("q", "id", "vec")).alias("members")))  # about QUERY_BLOCK of them each
     tasks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for _, row in f.iterrows():
-                ids = np.asarray([m["id"] for m in row["members"]], np.int64)
+                q, ids = (np.asarray([m[c] for m in row["members"]], np.int64) for c in ("q", "id"))
                 x = np.asarray([m["vec"] for m in row["members"]], np.float64)
-                yield pd.DataFrame(search_index(opened(row), ids, x, k), columns=["query_id", "id", "score"])
-
-    found = tasks.join(shards, "shard").mapInPandas(search, "query_id long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+                found = pd.DataFrame(search_index(opened(row), ids, x, k), columns=["at", "id", "score"])
+                at = found["at"].to_numpy(np.int64)
+                yield pd.DataFrame({"q": q[at], "query_id": ids[at], "id": found["id"].to_numpy(np.int64), "score": found["score"].to_numpy(np.float64)})
+
+    found = tasks.join(shards, "shard").mapInPandas(search, "q long, query_id long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    out = written(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score"))
+    for used in (shards, numbered, blocks):
+        discard(used)
+    return out

@@ -57,3 +57,23 @@ def test_few_rows(spark):
     got = [(r["query_id"], r["rank"], r["id"], round(r["score"], 6)) for r in hnsw.nearest(vectors, vectors.filter("vec_id = 0")).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 0.707107), (0, 2, 2, 0.707107)]
     assert hnsw.nearest(vectors.limit(0), vectors.limit(0)).count() == 0 and hnsw.nearest(vectors.limit(1), vectors.limit(1)).count() == 0
+
+
+def test_repeated_rows_and_queries(spark):
+    rows = [(0, [1.0, 0.0])] * 7 + [(1, [1.0, 0.0]), (2, [0.4, 0.9]), (2, [0.4, 0.9]), (3, [0.0, 1.0])]
+    vectors = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, q string, block int")
+    got = hnsw.nearest(vectors, vectors.filter("vec_id = 0"), 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == sorted([(0, 1, 1), (0, 2, 2), (0, 3, 2)] * 7)
+
+
+def test_a_graph_built_by_insertion_finds_the_nearest():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(40, 16))
+    x = centres[r.integers(0, 40, 6000)] + r.normal(0, 0.3, (6000, 16))
+    index = hnsw.build_index(np.arange(6000), x)
+    assert len(index["tables"]) > 2 and all((t < len(t)).all() for t in index["tables"])
+    unit = hnsw.unit_of(x)
+    asked = np.arange(0, 6000, 60)
+    exact = np.argsort(-(unit[asked] @ unit.T), axis=1)[:, 1:6]
+    found = hnsw.search_index(index, asked, x[asked], 5)
+    assert len(set((n, i) for n, i, _ in found) & {(n, i) for n, row in enumerate(exact) for i in row.tolist()}) >= 0.97 * exact.size
