@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,14 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = tempfile.mkdtemp(prefix="chromloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -58,6 +61,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_aside(df: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns of the taken names renamed, and the new names with the old ones, to rename them back."""
+    names = {f"{c} (own)": c for c in df.columns if c in set(taken)}
+    return df.withColumnsRenamed({old: new for new, old in names.items()}), names
+
+
 def with_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Null texts count as empty ones."""
     return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))

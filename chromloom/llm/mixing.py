@@ -18,6 +18,11 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromloom.llm.common import set_aside
+
+#: Columns used on the way, and those that mix_sources() adds.
+INNER = ["__h", "__size", "__tie", "__chunk", "__chunk_size", "__offset", "__j", "__t"]
+ADDED = ["__source", "__weight", "__block", "__release", "__deadline", "__slot", "__start"]
 #: Slots of one period, and so rows of the broadcast schedule, at most.
 MAX_PERIOD = 100_000
 
@@ -51,7 +56,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], default_weight: int =
 
     Reading by (__slot, __start) gives the mixture. A null source counts as the source '' (which takes the default weight
     unless named); sources that weights doesn't name take default_weight. A document belongs to the block in which it
-    starts; null or empty texts have size 1. Rows that agree in everything are in either order. An empty table gives an empty result.
+    starts; null or empty texts have size 1. A text longer than a block leaves the later blocks that it covers empty, so the
+    shares of a prefix in characters may be off by the length of a text besides the block. Columns of docs with the added
+    names are replaced, all others stay. Rows that agree in everything are in either order. An empty table gives an empty result.
     More than MAX_PERIOD sources (or weights that add up to more) raise ValueError.
     """
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -68,6 +75,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], default_weight: int =
     schedule = spark.createDataFrame(edf_period(named), "__source string, __weight long, __j long, __r long, __d long, __t long").select("__source", "__weight", "__j", "__t") if named else spark.createDataFrame([], "__source string, __weight long, __j long, __t long")
     of_source = F.broadcast(schedule.filter("__j = 0").select("__source", "__weight"))  # MAX_PERIOD rows at most, checked above
 
+    docs, own = set_aside(docs.drop(*ADDED), INNER)
     base = docs.withColumns({"__source": source_of(source_col), "__h": h, "__size": size, "__tie": F.xxhash64(text_col)}).withColumn("__chunk", F.substring("__h", 1, depth))
     sizes = base.groupBy("__source", "__chunk").agg(F.sum("__size").alias("__chunk_size"))
     offsets = sizes.select("__source", "__chunk", F.coalesce(F.sum("__chunk_size").over(Window.partitionBy("__source").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
@@ -81,10 +89,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], default_weight: int =
             "__deadline": F.expr(f"((__block + 1) * {period} + __weight - 1) div __weight"),
             "__slot": F.expr(f"(__block div __weight) * {period} + __t"),
         }
-    ).drop("__h", "__size", "__tie", "__chunk", "__offset", "__j", "__t")
+    ).drop(*INNER).withColumnsRenamed(own)
 
 
 def mixture(docs: DataFrame, weights: dict[str, int], **options) -> DataFrame:
     """The documents alone, range-partitioned and sorted in the order of the mixture, so that the written files follow it."""
-    mixed = mix_sources(docs, weights, **options)
-    return mixed.repartitionByRange("__slot", "__start").sortWithinPartitions("__slot", "__start").select(*docs.columns)
+    kept, own = set_aside(docs, ADDED)
+    mixed = mix_sources(kept, weights, **options)
+    return mixed.repartitionByRange("__slot", "__start").sortWithinPartitions("__slot", "__start").select(*kept.columns).withColumnsRenamed(own)

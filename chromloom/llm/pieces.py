@@ -3,9 +3,8 @@
 The model file (a protobuf) is parsed here: pieces with scores and kinds, the normaliser's rules, the metaspace marker and
 byte fallback. From these a tokenizers.Tokenizer is rebuilt: a unigram model keeps the scores; a BPE model (the public
 32,000-piece file is one, so it has no unigram scores to rebuild) gets its merges from the order of the scores. Texts are
-encoded in batches, which the library spreads over threads, and every text is encoded a second time by the
-sentencepiece library itself: `parity` says whether both gave the same ids, and the ids returned are sentencepiece's
-wherever they differ, so the result is whole and exact.
+encoded and decoded in batches, which the library spreads over threads; the ids are its own. Every text is encoded a
+second time by the sentencepiece library, whose ids only serve as a check: `parity` says whether both are the same.
 """
 
 from __future__ import annotations
@@ -86,7 +85,7 @@ def merges_of(m: PieceModel) -> list[tuple[str, str]]:
 
 
 def build_tokenizer(m: PieceModel):
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
     unk = next(i for i, p in enumerate(m.pieces) if p[2] == UNKNOWN)
     if m.kind == UNIGRAM:
@@ -106,10 +105,16 @@ def build_tokenizer(m: PieceModel):
     if m.kind == BPE and not any(MARK in p.lstrip(MARK) or "\n" in p for p in whole):
         # no piece crosses these borders, so words can be merged (and cached) one by one
         t.pre_tokenizer = pre_tokenizers.Split(Regex(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"), behavior="isolated")
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + ([decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []))
+    t.decoder = decoder_of(m.add_dummy_prefix)
     return t
 
 
+def decoder_of(dummy_prefix: bool):
+    from tokenizers import decoders
+
+    return decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + ([decoders.Strip(" ", 1, 0)] if dummy_prefix else []))
+
+
 class PieceCodec:
     """Encodes and decodes batches of texts.
 
@@ -124,7 +129,6 @@ class PieceCodec:
         self.model = parse_model(proto)
         self.tokenizer = build_tokenizer(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         line = [i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE and p == "<0x0A>"]
         self.chunked = self.tokenizer.pre_tokenizer is not None and self.plain() and bool(line)
         if self.chunked:
@@ -132,6 +136,7 @@ class PieceCodec:
             self.line = line[0]
             self.lines = Tokenizer(self.tokenizer.model)
             self.lines.pre_tokenizer = pre_tokenizers.Split(Regex(r"\n"), behavior="isolated")
+            self.lines.decoder = decoder_of(False)  # a chunk's own first space stays
         self.known: dict[str, bytes] = {}  # the ids as int32
         self.older: dict[str, bytes] = {}
         self.odd: set[str] = set()  # known or older chunks that don't decode to themselves
@@ -160,10 +165,12 @@ class PieceCodec:
             raw, ends = flat.tobytes(), np.flatnonzero(flat == self.line)
             ids = [raw[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
             self.known.update(zip(part, ids, strict=True))
-            listed, bytes_of = flat.tolist(), self.bytes_of
-            for c, a, b in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
-                if b"".join([bytes_of[x] for x in listed[a:b]]) != c.replace(MARK, " ").encode():
-                    self.odd.add(c)
+            # lines decode as they were encoded, many chunks at once; only where a line differs are its chunks looked at one by one
+            for k, e in zip(range(0, len(part), 200), encoded, strict=True):
+                own = part[k : k + 200]
+                if self.lines.decode(e.ids, skip_special_tokens=False) != "\n".join(own).replace(MARK, " "):
+                    each = self.lines.decode_batch([np.frombuffer(self.known[c], np.int32).tolist() for c in own], skip_special_tokens=False)
+                    self.odd.update(c for c, back in zip(own, each, strict=True) if back != c.replace(MARK, " "))
 
     def chunks(self, texts: list[str]) -> list[list[str]]:
         head = MARK if self.model.add_dummy_prefix else ""
@@ -187,13 +194,14 @@ class PieceCodec:
         for part in portions(texts):
             theirs = (np.asarray(x, np.int32) for x in self.reference.encode(part, num_threads=1))
             if not self.chunked:
-                for mine, ids, text in zip(self.encode(part), theirs, part, strict=True):
-                    yield ids, np.array_equal(mine, ids), self.decode([ids.tolist()])[0] == text
+                mine = self.encode(part)
+                for ids, other, text, back in zip(mine, theirs, part, self.decode([x.tolist() for x in mine]), strict=True):
+                    yield ids, np.array_equal(ids, other), back == text
                 continue
-            for own, ids, text in zip(self.chunks(part), theirs, part, strict=True):
-                same = np.array_equal(self._joined(own), ids)
+            for own, other, text in zip(self.chunks(part), theirs, part, strict=True):
+                ids = self._joined(own)
                 # chunks decode one by one, as no piece or byte sequence crosses their borders
-                yield ids, same, (MARK not in text and self.odd.isdisjoint(own)) if same else self.decode([ids.tolist()])[0] == text
+                yield ids, np.array_equal(ids, other), MARK not in text and self.odd.isdisjoint(own)
 
 
 def portions(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
@@ -231,8 +239,8 @@ def read_model(path: str) -> bytes:
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", forget: bool = False) -> DataFrame:
     """Adds n_tokens, ids, parity and round_trip to docs, without a shuffle.
 
-    ids are sentencepiece's ids of the whole text. parity: the rebuilt tokenizer gave the same ids. round_trip: decoding
-    them gives the text again. Null and empty texts have no ids (parity and round_trip true). Repeated rows are encoded
+    ids are the rebuilt tokenizer's ids of the whole text. parity: the sentencepiece library gives the same. round_trip: the
+    rebuilt tokenizer's decoder gives the text again. Null and empty texts have no ids (parity and round_trip true). Repeated rows are encoded
     each; an empty table gives an empty result. Columns of docs with these names are replaced. The model file is read by
     the driver and sent with the tasks (MAX_MODEL bytes at most). Workers remember chunks from task to task unless forget
     is set, which costs time and leaves their memory to the operators that follow.
@@ -258,3 +266,21 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", forg
 
     extra = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+
+
+def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds the text of the ids (null for null) to docs, without a shuffle; a column of that name is replaced."""
+    proto = read_model(model_path)
+    docs = docs.drop(out)
+    at = docs.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(proto)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                ids = batch.column(at).to_pylist()
+                texts = codec.decode([x or [] for x in ids])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t if x is not None else None for x, t in zip(ids, texts, strict=True)], pa.string())], names=[*batch.schema.names, out])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))

@@ -121,12 +121,15 @@ def near_duplicate_classes(docs: DataFrame, n: int = 4, radius: int = 4, id_col:
     """One row (id, fp, component_id) for each row of docs; component_id: the smallest id that links reach, its own included.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Rows with a null id have a null component_id and
-    take no part in links. Rows that repeat an id have a row each. An empty table gives an empty result.
+    take no part in links. Rows that repeat an id have a row each and are one document, which links by any of its texts.
+    Other columns are left out, whatever their names. An empty table gives an empty result.
     """
     marked = written(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n).drop("text"))
-    fps = written(marked.filter("id is not null").groupBy("fp").agg(F.min("id").alias("id")))
-    labels = connected_components(fingerprint_links(fps, radius))
-    # two fingerprints of one repeated id are one document
+    known = marked.filter("id is not null")
+    fps = written(known.groupBy("fp").agg(F.min("id").alias("id")))
+    several = known.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("id")
+    one = known.join(several, "id").join(fps.withColumnRenamed("id", "first"), "fp").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    labels = connected_components(fingerprint_links(fps, radius).unionByName(one))
     owners = written(fps.join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.col("fp"), F.coalesce("component", "id").alias("component_id")))
     return marked.join(owners, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -136,7 +139,17 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each class of similar shingle sets, once; rows with a null id stay."""
+    """The document with the smallest id of each class of similar shingle sets.
+
+    Rows of one id with the same text are copies: the first by the other columns stays (any of those equal in all). Rows
+    of one id with different texts are one document and stay or go together. Rows with a null id stay. Null texts count
+    as empty ones, which are copies of each other. Columns are unchanged, whatever their names.
+    """
     copies = similar_classes(docs, n, threshold, id_col, text_col).select(F.col("id").alias(id_col))
-    known = docs.filter(F.col(id_col).isNotNull())
-    return known.join(copies, id_col, "left_anti").select(*docs.columns).dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    known = docs.filter(F.col(id_col).isNotNull()).join(copies, id_col, "left_anti").select(*docs.columns)
+    repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n rows")).filter("`n rows` > 1").select(id_col)
+    again = known.join(repeated, id_col, "left_semi")
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    first = again.groupBy(id_col, F.coalesce(text_col, F.lit("")).alias("whole text")).agg(F.min(F.struct(text_col, *rest)).alias("row"))
+    once = first.select(*(F.col(id_col) if c == id_col else F.col(f"row.{c}").alias(c) for c in docs.columns))
+    return known.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(once).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromloom.llm.common import discard, written
+from chromloom.llm.common import discard, set_aside, written
 
 #: Words of an anchor; occurrences of an anchor up to which its pieces form one shard.
 ANCHOR, MAX_SHARD = 5, 1_000
@@ -267,10 +267,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     Documents without repeats keep their text as it is; in the others removed words go with the white space after them.
     With report, no text is cut and n_words, n_removed and kept_sha256 (of the kept words joined by one space) are added
     instead. Null texts stay null (no words). Rows with a null id are kept as they are and compared with nothing. Rows that
-    repeat an id are not repeats of each other. An empty table gives an empty result.
+    repeat an id are not repeats of each other. Other columns stay as they are, whatever their names, but for those that a
+    report adds, which are replaced. An empty table gives an empty result.
     """
     if not ANCHOR <= window <= ANCHOR + 61:
         raise ValueError(f"window must be from {ANCHOR} to {ANCHOR + 61} words")
+    docs, own_names = set_aside(docs.drop("n_words", "n_removed", "kept_sha256") if report else docs, ["__id", "__key", "__spans"])
     spans = repeat_marks(docs, window, id_col, text_col)
     joined = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text_col)}).join(spans, ["__id", "__key"], "left").drop("__id", "__key")
     names = [f.name for f in docs.schema.fields]
@@ -294,4 +296,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *(n for n, _ in added)])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.StringType() if t == pa.string() else T.LongType()) for n, t in added)])
-    return joined.select(*names, "__spans").mapInArrow(run, schema)
+    return joined.select(*names, "__spans").mapInArrow(run, schema).withColumnsRenamed(own_names)
