@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromloom.llm import queries as q
-from chromloom.llm.common import table, written
+from chromloom.llm.common import set_aside, table, written
 from chromloom.llm.mixing import mix_sources, mixture
 from chromloom.llm.pieces import encode_pieces
 from chromloom.llm.simhash import drop_near_duplicates
@@ -25,8 +25,9 @@ PASSAGE_WORDS = 50
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is below q.TOXIC_FROM, unchanged."""
     ship_package(spark)
-    scored = classify(docs, table(spark, sf_dir, "labels"), q.TOXICITY_CHAIN)
-    return scored.filter(F.col("p_toxic") < q.TOXIC_FROM).select(*docs.columns)
+    kept, own = set_aside(docs, [f"p_{c}" for c in q.TOXICITY_CHAIN])
+    scored = classify(kept, table(spark, sf_dir, "labels"), q.TOXICITY_CHAIN)
+    return scored.filter(F.col("p_toxic") < q.TOXIC_FROM).select(*kept.columns).withColumnsRenamed(own)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
