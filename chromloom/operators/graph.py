@@ -36,15 +36,15 @@ def quantile_uniform(frame: DataFrame, column: str, n_quantiles: int = 100) -> D
     if not marks:
         return frame
     x = F.col(column)
-    up, down = F.lit(None).cast("double"), F.lit(None).cast("double")
+    ups, downs = [], []  # one flat list each: nested expressions take the optimizer exponential time
     for i in range(1, k):
         a, b, lo, hi = grid[i - 1], grid[i], marks[i - 1], marks[i]
         if hi > lo:
             inside = F.lit(a) + (x - lo) / (hi - lo) * (b - a)
-            up = F.coalesce(up, F.when((x >= lo) & (x < hi), inside))
-            down = F.coalesce(down, F.when((x > lo) & (x <= hi), inside))
-    up = F.when(x >= marks[-1], 1.0).otherwise(F.coalesce(up, F.lit(0.0)))
-    down = F.when(x <= marks[0], 0.0).otherwise(F.coalesce(down, F.lit(1.0)))
+            ups.append(F.when((x >= lo) & (x < hi), inside))
+            downs.append(F.when((x > lo) & (x <= hi), inside))
+    up = F.when(x >= marks[-1], 1.0).otherwise(F.coalesce(*ups, F.lit(0.0)))
+    down = F.when(x <= marks[0], 0.0).otherwise(F.coalesce(*downs, F.lit(1.0)))
     middle = F.when(x == marks[0], 0.0).when(x == marks[-1], 1.0).otherwise((up + down) / 2)
     return frame.withColumn(column, middle)
 

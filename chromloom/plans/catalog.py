@@ -16,6 +16,7 @@ from chromloom.operators import sampling as sp
 from chromloom.operators import smooth as sm
 from chromloom.operators import tensor as t
 from chromloom.plans import fixtures as fx
+from chromloom.sources.shared import kept
 from chromloom.sources.ship import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,7 +207,7 @@ def sparsity(spark, d):
     return nz.sparsity(fx.band(spark, d), fx.bins(spark), qc.all_cells(fx.contact_pairs(spark, d)).count())
 
 
-@query("SELECT CAST(0 AS BIGINT) AS out_of_range, CAST(0 AS BIGINT) AS asymmetric, CAST(0 AS BIGINT) AS bad")
+@query("SELECT (SELECT count(*) FROM up JOIN nb USING (chrom) WHERE r < 0 OR c >= n OR r > c OR v <= 0 OR isnan(v)) AS out_of_range, (SELECT count(*) FROM sym a LEFT JOIN sym b ON a.cell_id = b.cell_id AND a.chrom = b.chrom AND a.r = b.c AND a.c = b.r WHERE b.v IS NULL OR a.v <> b.v) AS asymmetric, (SELECT count(*) FROM sym WHERE v IS NULL OR isnan(v) OR isinf(v) OR r < 0 OR c < 0 OR r >= 42 OR c >= 42) AS bad")
 def tensor_integrity(spark, d):
     upper, maps = fx.upper(spark, d), fx.maps(spark, d)
     checks = (c.out_of_range(upper, fx.bins(spark)), c.asymmetric(maps), t.bad_entries(maps, {"row": 42, "col": 42}))
@@ -281,10 +282,11 @@ def group_center(spark, d):
     return nz.center_groups(flat_vectors(spark, d).drop("label"), "x", "batch_id", "i").select("cell_id", "batch_id", "i", "x")
 
 
-@query(VEC + ", rk AS (SELECT *, row_number() OVER (PARTITION BY batch_id, i ORDER BY q, cell_id) AS f, rank() OVER (PARTITION BY batch_id, i ORDER BY q) AS l FROM (SELECT *, round(x, 1) AS q FROM fl)), mn AS (SELECT batch_id, f, avg(q) AS m FROM rk GROUP BY 1, 2) SELECT cell_id, rk.batch_id, i, round(m + 1e-8, 6) AS x FROM rk JOIN mn ON mn.batch_id = rk.batch_id AND mn.f = rk.l")
+@query(VEC + ", rk AS (SELECT *, row_number() OVER (PARTITION BY batch_id, i ORDER BY q, cell_id) AS f, rank() OVER (PARTITION BY batch_id, i ORDER BY q) AS l FROM (SELECT *, round(x * 8) / 8 AS q FROM fl)), mn AS (SELECT batch_id, f, avg(q) AS m FROM rk GROUP BY 1, 2) SELECT cell_id, rk.batch_id, i, round(m, 6) AS x FROM rk JOIN mn ON mn.batch_id = rk.batch_id AND mn.f = rk.l")
 def quantile_norm(spark, d):
-    flat = flat_vectors(spark, d).withColumn("x", F.round("x", 1)).select("cell_id", "batch_id", "i", "x")
-    return nz.quantile_normalize(flat, "batch_id", "i", "cell_id", "x").withColumn("x", F.col("x") + 1e-8)  # off the ties of rounding
+    # eighths: many ties, and sums and means over the 64 columns are exact
+    flat = flat_vectors(spark, d).withColumn("x", F.round(F.col("x") * 8) / 8).select("cell_id", "batch_id", "i", "x")
+    return nz.quantile_normalize(flat, "batch_id", "i", "cell_id", "x")
 
 
 @query(", sz AS (SELECT concat('b', CAST(cell_id % 3 AS STRING)) AS batch_id, count(*) AS n FROM cells GROUP BY 1), mm AS (SELECT chrom, batch_id, c, sum(v) / max(n) AS m FROM band JOIN sz USING (batch_id) GROUP BY 1, 2, 3), ov AS (SELECT chrom, c, sum(m) / (SELECT count(*) FROM sz) AS o FROM mm GROUP BY 1, 2) SELECT cell_id, b.chrom, r AS \"row\", b.c AS col, b.batch_id, round(v * o / (m + 1e-15), 6) AS v FROM band b JOIN mm ON mm.chrom = b.chrom AND mm.batch_id = b.batch_id AND mm.c = b.c JOIN ov ON ov.chrom = b.chrom AND ov.c = b.c")
@@ -461,14 +463,19 @@ def imputed_map(spark, d):
     return t.symmetrized(sm.walk_groups(maps, bins, lengths), "cell_id", "chrom")
 
 
+@query("SELECT " + OUT + ", round(v, 6) AS v FROM band WHERE c - r = 2")
+def kth_diagonal(spark, d):
+    return t.diagonal(fx.band(spark, d), 2)
+
+
 @query("SELECT chrom, round(sqrt(sum(v * v)), 6) AS norm FROM band GROUP BY 1")
 def frobenius_norm(spark, d):
     return t.frobenius(fx.band(spark, d), "chrom")
 
 
-@query(VEC + ", fc AS (SELECT cell_id, i AS q, x FROM fl WHERE i < 3 AND cell_id < 40) SELECT chrom, b.r AS \"row\", b.c AS col, q AS r, round(sum(v * x), 6) AS v FROM band b JOIN fc USING (cell_id) GROUP BY 1, 2, 3, 4")
+@query(VEC + " SELECT chrom, b.r AS \"row\", b.c AS col, i AS r, round(sum(v * x), 6) AS v FROM band b JOIN fl USING (cell_id) GROUP BY 1, 2, 3, 4")
 def tensor_times_factor(spark, d):
-    factor = flat_vectors(spark, d).filter("i < 3 and cell_id < 40").select("cell_id", F.col("i").alias("r"), "x")
+    factor = flat_vectors(spark, d).select("cell_id", F.col("i").alias("r"), "x")
     return t.times_factor(fx.band(spark, d), factor, "cell_id", ["chrom", "row", "col"])
 
 
@@ -533,9 +540,9 @@ def quantile_transform(spark, d):
     return g.quantile_uniform(xs, "x", 21)
 
 
-@query(VEC + " SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x), 6) AS v FROM fl a JOIN fl b USING (cell_id) WHERE a.i < 8 AND b.i < 8 GROUP BY 1, 2")
+@query(VEC + " SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x), 6) AS v FROM fl a JOIN fl b USING (cell_id) GROUP BY 1, 2")
 def gram_matrix(spark, d):
-    gram = g.gram_of(fx.cell_vectors(spark, d).withColumn("vec", F.slice("vec", 1, 8)))
+    gram = g.gram_of(fx.cell_vectors(spark, d))
     return spark.createDataFrame([(i, j, float(gram[i, j])) for i in range(len(gram)) for j in range(len(gram))], "i long, j long, v double")
 
 
@@ -560,10 +567,10 @@ def downsample_stratum(spark, d):
 
 def packed(spark, d):
     """(tensor, bins, order, n_cells, n_good) of the packed maps, with cells in the order of a tensor."""
-    order = qc.cell_order(quality(spark, d)).persist()
+    order = kept(qc.cell_order(quality(spark, d)))
     counts = order.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kept"), 1)).alias("good")).first()
     maps = nz.pack(fx.maps(spark, d), fx.bins(spark), fx.OFF_DIAG)
-    tensor = maps.join(order.select("cell_id", "cell_ord"), "cell_id").drop("cell_id").persist()
+    tensor = kept(maps.join(order.select("cell_id", "cell_ord"), "cell_id").drop("cell_id"))
     bins = {r["chrom"]: int(r["n"]) for r in tensor.groupBy("chrom").agg((F.max("row") + 1).alias("n")).orderBy("chrom").collect()}
     return tensor, bins, order, counts["n"], counts["good"]
 
@@ -589,10 +596,10 @@ def model_transform(spark, d):
 @query(None)
 def cell_embedding(spark, d):
     tensor, bins, order, f = fitted(spark, d, 1)
-    meta = md.meta_frame(order, md.transform(tensor, f, bins))
+    meta = kept(md.meta_frame(order, md.transform(tensor, f, bins)))
     out = md.cell_embedding(meta, f, 6)
-    reads = quality(spark, d).select("cell_id", "log_reads")
-    every = out["embed_all"].join(g.quantile_uniform(reads, "log_reads"), "cell_id")
+    reads = kept(quality(spark, d).select("cell_id", "log_reads"))
+    every = kept(out["embed_all"].join(g.quantile_uniform(reads, "log_reads"), "cell_id"))
     out |= md.corrected_embedding(every, [F.col("log_reads")], 6)
     frames = [x.select("cell_id", F.lit(name).alias("variant"), g.norm().alias("norm")) for name, x in out.items()]
     first, *rest = frames

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,8 +93,8 @@ def read_blacklist_bins(spark: SparkSession, path: str, bins: DataFrame) -> Data
     """(chrom, bin) from Parquet; bins beyond their chromosome are left out, and a missing file means none."""
     try:
         found = spark.read.parquet(path)
-    except Exception as e:  # a path that does not exist
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "chrom string, bin long")
     return found.join(bins.select("chrom", "n_bin"), "chrom").filter("bin >= 0 and bin < n_bin").select("chrom", "bin")
@@ -124,8 +125,8 @@ def cached(spark: SparkSession, root: str, key: dict, build) -> DataFrame:
     path = f"{root.rstrip('/')}/" + "/".join(f"{k}={key[k]}" for k in sorted(key))
     try:
         return spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -164,3 +164,26 @@ def test_stream_sums_equal_a_batch(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r["cell_id"], r["row"], r["col"]): r["v"] for r in increments.accumulated_map(spark, str(tmp_path / "out")).collect()}
     assert got == {(c, 0, 9): 4.0 for c in range(3)}
+
+
+def test_integrity_checks_find_planted_faults(spark):
+    from chromloom.operators import contacts as c
+    from chromloom.operators import tensor as t
+
+    bins = spark.createDataFrame([("chr1", 4)], "chrom string, n_bin long")
+    maps = spark.createDataFrame([(0, "chr1", 0, 1, 2.0), (0, "chr1", 1, 0, 2.0), (0, "chr1", 1, 3, 5.0), (0, "chr1", 3, 1, 4.0), (0, "chr1", 2, 9, 1.0), (0, "chr1", 2, 2, float("nan"))], "cell_id long, chrom string, row long, col long, v double")
+    assert c.out_of_range(maps, bins).count() == 4 and c.out_of_range(maps.filter("v = 2 and row = 0"), bins).count() == 0
+    assert c.asymmetric(maps.filter("col < 4 and not isnan(v)")).count() > 0 and c.asymmetric(maps.filter("v = 2")).count() == 0
+    assert t.bad_entries(maps, {"row": 4, "col": 4}).count() == 2
+
+
+def test_sorting_points_and_label_and_map_files(spark, tmp_path):
+    from chromloom.operators import tensor as t
+    from chromloom.sources import files
+
+    maps = spark.createDataFrame([(i % 3, "chr1", (i * 7) % 11, i, float(i)) for i in range(20)], "cell_id long, chrom string, row long, col long, v double")
+    assert [x["row"] for x in t.ordered(maps, "row", "col").collect()] == sorted((i * 7) % 11 for i in range(20))
+    files.write_maps(maps, f"{tmp_path}/maps")
+    assert sorted(map(str, files.read_maps(spark, f"{tmp_path}/maps").select(*maps.columns).collect())) == sorted(map(str, maps.collect()))
+    spark.createDataFrame([(0, "T"), (1, "B")], "cell_id long, kind string").write.parquet(f"{tmp_path}/labels")
+    assert {x["kind"] for x in files.read_labels(spark, f"{tmp_path}/labels").collect()} == {"T", "B"}
