@@ -1,8 +1,12 @@
 """The integrative factorisation X_c(i, :, :) ~ U_i (D_c diag(A_i) B_c^T)^T V^T of packed tensors, by alternating least squares.
 
-The tensor (chrom, row, col, cell_ord, v) stays a DataFrame, grouped by chromosome and row bin; each sweep is two grouped
-passes. A (bins x r), B (r x r), D (R x r) and the meta-embedding V (cells x R) are small and travel with the tasks: their
-size is checked against MAX_FACTOR. Missing entries are zero (the dense floor of 1e-8 is left out).
+The tensor (chrom, row, col, cell_ord, v) and the meta-embedding V (cell_ord, vec of R numbers) stay DataFrames. Both are cut
+into blocks of BLOCK cells, and row bins into parts of ROWS; a block's rows of V meet its entries of a part in one group, and
+what the blocks contribute is added up in two steps. Each sweep is three such passes: the row bins' projections U, the
+cells' scores, and the projected tensor. V is the scores times the inverse root of their R x R Gram matrix, so nothing that
+grows with the cells reaches the driver. A (bins x r), B (r x r), D (R x r) and the projected tensors (bins x r x R) do not
+grow with the cells; they are fitted on the driver and checked against MAX_FACTOR. Missing entries are zero (the dense floor of
+1e-8 is left out).
 """
 
 from __future__ import annotations
@@ -14,11 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromloom.functions.linalg import cp_als, polar
-from chromloom.operators.graph import l2_normalize, project, regress_out, svd_embedding
+from chromloom.functions.linalg import cp_als, gram_svd, inverse_root, polar
+from chromloom.operators.graph import gram_of, l2_normalize, project, regress_out, svd_embedding
+from chromloom.sources.shared import kept
 
-#: Numbers in any one factor, or in the projected tensors, that may pass through the driver.
+#: Numbers in any one factor, or in a projected tensor, that may pass through the driver.
 MAX_FACTOR = 50_000_000
+#: Cells and row bins of a group, and groups of blocks that are added up first.
+BLOCK, ROWS, FOLDS = 1_024, 8, 32
 
 
 def ranks(bins: dict[str, int], resolution: int, size_ratio: float, rank: int) -> dict[str, int]:
@@ -31,11 +38,11 @@ class Factors:
     a: dict[str, np.ndarray]
     b: dict[str, np.ndarray]
     d: dict[str, np.ndarray]
-    v: np.ndarray
+    v: DataFrame  # (cell_ord, vec)
     losses: list[float] = field(default_factory=list)
 
     def check(self) -> Factors:
-        largest = max(self.v.size, *(len(self.a[c]) * self.b[c].shape[0] * self.v.shape[1] for c in self.a))
+        largest = max(len(self.a[c]) * self.b[c].shape[0] * self.d[c].shape[0] for c in self.a)
         if largest > MAX_FACTOR:
             raise ValueError(f"a factor has {largest} numbers; {MAX_FACTOR} at most")
         return self
@@ -56,105 +63,174 @@ def _as_vector(width: int):
     return vector
 
 
-def init_factors(tensor: DataFrame, bins: dict[str, int], n_cells: int, n_good: int, widths: dict[str, int], rank: int, side: int = 2, seed: int = 0) -> Factors:
+def side_by_side(frames: list[tuple[DataFrame, int]]) -> DataFrame:
+    """(cell_ord, vec): the vectors of all frames, each of its width, end to end; zeros where a frame lacks a cell."""
+    starts = np.cumsum([0, *(w for _, w in frames)])
+    rows = None
+    for k, (frame, _) in enumerate(frames):
+        own = frame.select("cell_ord", F.lit(int(starts[k])).alias("start"), "vec")
+        rows = own if rows is None else rows.unionByName(own)
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(int(starts[-1]))
+        for start, vec in zip(pdf["start"], pdf["vec"], strict=True):
+            out[start : start + len(vec)] = vec
+        return pd.DataFrame({"cell_ord": [pdf["cell_ord"].iloc[0]], "vec": [out]})
+
+    return rows.groupBy("cell_ord").applyInPandas(join, "cell_ord long, vec array<double>")
+
+
+def init_factors(tensor: DataFrame, bins: dict[str, int], widths: dict[str, int], rank: int, side: int = 2, seed: int = 0) -> Factors:
     """A near one, B near the identity; V and D from the SVD of the chromosomes' leading pooled features, side by side."""
     r = np.random.default_rng(seed)
-    blocks = []
+    frames = []
     for c in bins:
-        pooled = pooled_features(tensor.filter((F.col("chrom") == c) & (F.col("cell_ord") < n_good)), side)
-        width = -(-bins[c] // side)
-
-        frame = pooled.groupBy("cell_ord").applyInPandas(_as_vector(width), "cell_ord long, vec array<double>")
-        own = np.zeros((n_good, widths[c]))
-        for row in svd_embedding(frame, widths[c])[0].collect():
-            own[row["cell_ord"], : len(row["vec"])] = row["vec"]
-        blocks.append(own)
-    u, s, vt = np.linalg.svd(np.column_stack(blocks), full_matrices=False)
-    rank = min(rank, len(s))
-    v = np.zeros((n_cells, rank))
-    v[:n_good] = u[:, :rank]
-    d = np.split((s[:, None] * vt)[:rank], np.cumsum([widths[c] for c in bins])[:-1], axis=1)
-    return Factors({c: 1 + r.normal(0, 0.01, (n, widths[c])) for c, n in bins.items()}, {c: np.eye(widths[c]) + r.normal(0, 0.01, (1, widths[c])) for c in bins}, dict(zip(bins, d, strict=True)), v).check()
-
-
-def _row_projection(pdf: pd.DataFrame, f: Factors, n: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(Z: cells x r, distinct cells, sum of singular values) of one row bin: Z = (U_i^T X_i)^T for the cells that have entries."""
-    chrom, i = pdf["chrom"].iloc[0], int(pdf["row"].iloc[0])
-    col, cell, v = pdf["col"].to_numpy(), pdf["cell_ord"].to_numpy(), pdf["v"].to_numpy()
-    c = f.v @ f.d[chrom]
-    t = np.zeros((n, c.shape[1]))
-    np.add.at(t, col, v[:, None] * c[cell])
-    t = t * f.a[chrom][i] @ f.b[chrom].T
-    u = polar(t)
-    own, place = np.unique(cell, return_inverse=True)
-    z = np.zeros((len(own), c.shape[1]))
-    np.add.at(z, place, v[:, None] * u[col])
-    return z, own, float((t * u).sum())
-
-
-def cell_scores(tensor: DataFrame, f: Factors, bins: dict[str, int]) -> tuple[np.ndarray, float]:
-    """(S^T: cells x R, sum over row bins of the singular values)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chrom, i = pdf["chrom"].iloc[0], int(pdf["row"].iloc[0])
-        z, own, xu = _row_projection(pdf, f, bins[chrom])
-        s = z @ (f.d[chrom] * f.a[chrom][i] @ f.b[chrom].T).T
-        rank = s.shape[1]
-        return pd.DataFrame({"cell": np.append(np.repeat(own, rank), -1), "m": np.append(np.tile(np.arange(rank), len(own)), 0), "v": np.append(s.ravel(), xu)})
-
-    sums = tensor.groupBy("chrom", "row").applyInPandas(run, "cell long, m long, v double").groupBy("cell", "m").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros_like(f.v)
-    rows = sums[sums["cell"] >= 0]
-    out[rows["cell"].to_numpy(), rows["m"].to_numpy()] = rows["v"].to_numpy()
-    return out, float(sums.loc[sums["cell"] < 0, "v"].sum())
-
-
-def projected(tensor: DataFrame, f: Factors, bins: dict[str, int], v: np.ndarray) -> dict[str, np.ndarray]:
+        pooled = pooled_features(tensor.filter(F.col("chrom") == c), side)
+        frame = kept(pooled.groupBy("cell_ord").applyInPandas(_as_vector(-(-bins[c] // side)), "cell_ord long, vec array<double>"))
+        frames.append((svd_embedding(frame, widths[c])[0], widths[c]))
+    features = kept(side_by_side(frames))
+    right, s = gram_svd(gram_of(features), rank)
+    right, s = right[:, s > 1e-12 * s.max(initial=0)], s[s > 1e-12 * s.max(initial=0)]
+    d = np.split(s[:, None] * right.T, np.cumsum([widths[c] for c in bins])[:-1], axis=1)
+    a = {c: 1 + r.normal(0, 0.01, (n, widths[c])) for c, n in bins.items()}
+    b = {c: np.eye(widths[c]) + r.normal(0, 0.01, (1, widths[c])) for c in bins}
+    return Factors(a, b, dict(zip(bins, d, strict=True)), kept(project(features, right / s))).check()
+
+
+def cell_blocks(tensor: DataFrame) -> DataFrame:
+    """The tensor with the block of each entry's cell and the part of its row bin."""
+    return tensor.withColumns({"block": F.expr(f"cell_ord div {BLOCK}"), "part": F.expr(f"row div {ROWS}")})
+
+
+def _met(blocks: DataFrame, v: DataFrame, rows: DataFrame | None, run, schema: str) -> DataFrame:
+    """run(chrom, entries, cells, V of the block, {row: U}) for each chromosome, part and block; rows: (chrom, row, u)."""
+    keys = ["chrom", "part", "block"]
+    own = v.groupBy(F.expr(f"cell_ord div {BLOCK}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("cell_ord", "vec"))).alias("cells"))
+    right = blocks.groupBy(*(F.col(k).alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("n")).join(own, "block")
+    if rows is not None:
+        right = right.join(rows.groupBy("chrom", F.expr(f"row div {ROWS}").alias("part")).agg(F.collect_list(F.struct("row", "u")).alias("us")), ["chrom", "part"])
+
+    none, with_rows = pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")]), rows is not None
+
+    def grouped(entries: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(other):
+            return none
+        one = other.iloc[0]
+        cells = np.asarray([x["cell_ord"] for x in one["cells"]], np.int64)
+        vectors = np.asarray([x["vec"] for x in one["cells"]], np.float64)
+        entries = entries[np.isin(entries["cell_ord"], cells)]
+        us = {x["row"]: np.asarray(x["u"]) for x in one["us"]} if with_rows else {}
+        return run(one["chrom"], int(one["block"]), entries, cells, vectors, us) if len(entries) else none
+
+    # both sides come from blocks: expressions of their own keep the keys apart
+    right = right.select(*(F.coalesce(F.col(k), F.lit(None)).alias(k) for k in keys), "cells", *(["us"] if with_rows else []))
+    return blocks.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(grouped, schema)
+
+
+def added(frame: DataFrame, keys: list[str], kinds: str, finish=None, schema: str = "") -> DataFrame:
+    """Sums of the arrays x by keys: first within FOLDS groups of blocks, then of these; finish: what is made of each sum."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[keys + (["fold"] if "fold" in pdf else [])].iloc[:1].assign(x=[np.sum(np.stack(pdf["x"].to_numpy()), axis=0)])
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        return finish(add(pdf).iloc[0]) if finish else add(pdf)
+
+    few = frame.withColumn("fold", F.pmod(F.xxhash64("block"), F.lit(FOLDS))).groupBy(*keys, "fold").applyInPandas(add, f"{kinds}, fold long, x array<double>")
+    return few.drop("fold").groupBy(*keys).applyInPandas(last, schema or f"{kinds}, x array<double>")
+
+
+def row_projections(blocks: DataFrame, f: Factors, bins: dict[str, int]) -> DataFrame:
+    """(chrom, row, u): the orthonormal bins x r factor of each row bin's slice."""
+    a, b, d = f.a, f.b, f.d
+
+    def run(chrom, block, entries, cells, v, _) -> pd.DataFrame:
+        c = v @ d[chrom]
+        out = []
+        for i, own in entries.groupby("row"):
+            t = np.zeros((bins[chrom], c.shape[1]))
+            np.add.at(t, own["col"].to_numpy(), own["v"].to_numpy()[:, None] * c[np.searchsorted(cells, own["cell_ord"].to_numpy())])
+            out.append((chrom, int(i), block, (t * a[chrom][int(i)] @ b[chrom].T).ravel()))
+        return pd.DataFrame(out, columns=["chrom", "row", "block", "x"])
+
+    def finish(one: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"chrom": [one["chrom"]], "row": [one["row"]], "u": [polar(np.asarray(one["x"]).reshape(bins[one["chrom"]], -1)).ravel()]})
+
+    parts = _met(blocks, f.v, None, run, "chrom string, row long, block long, x array<double>")
+    return added(parts, ["chrom", "row"], "chrom string, row long", finish, "chrom string, row long, u array<double>")
+
+
+def _slices(entries: pd.DataFrame, cells: np.ndarray, us: dict[int, np.ndarray], n: int):
+    """(row, Z: cells of the block x r) of each row bin: Z = (U_i^T X_i)^T."""
+    for i, own in entries.groupby("row"):
+        u = us[int(i)].reshape(n, -1)
+        z = np.zeros((len(cells), u.shape[1]))
+        np.add.at(z, np.searchsorted(cells, own["cell_ord"].to_numpy()), own["v"].to_numpy()[:, None] * u[own["col"].to_numpy()])
+        yield int(i), z
+
+
+def cell_scores(blocks: DataFrame, f: Factors, bins: dict[str, int], cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """(cell_ord, vec): each cell's scores (a row of S^T); cells: a V, of which only the cells count."""
+    a, b, d = f.a, f.b, f.d
+
+    def run(chrom, block, entries, own, _, us) -> pd.DataFrame:
+        s = sum(z @ (d[chrom] * a[chrom][i] @ b[chrom].T).T for i, z in _slices(entries, own, us, bins[chrom]))
+        # what is added up first here are parts of the rows: a cell is in one block only
+        return pd.DataFrame({"cell_ord": own, "block": int(entries["row"].iloc[0]) // ROWS, "x": list(s)})
+
+    parts = _met(blocks, cells, rows, run, "cell_ord long, block long, x array<double>")
+    return added(parts, ["cell_ord"], "cell_ord long").withColumnRenamed("x", "vec")
+
+
+def projected(blocks: DataFrame, f: Factors, bins: dict[str, int], v: DataFrame, rows: DataFrame) -> dict[str, np.ndarray]:
     """Y_c (bins x r x R): each row bin's slice projected by U_i and the new meta-embedding."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, own, _ = _row_projection(pdf, f, bins[pdf["chrom"].iloc[0]])
-        return pd.DataFrame({"chrom": [pdf["chrom"].iloc[0]], "row": [int(pdf["row"].iloc[0])], "y": [(z.T @ v[own]).ravel()]})
+    def run(chrom, block, entries, cells, own, us) -> pd.DataFrame:
+        return pd.DataFrame([(chrom, i, block, (z.T @ own).ravel()) for i, z in _slices(entries, cells, us, bins[chrom])], columns=["chrom", "row", "block", "x"])
 
-    out = {c: np.zeros((n, f.b[c].shape[0], v.shape[1])) for c, n in bins.items()}
-    for r in tensor.groupBy("chrom", "row").applyInPandas(run, "chrom string, row long, y array<double>").toLocalIterator():
-        out[r["chrom"]][r["row"]] = np.asarray(r["y"]).reshape(out[r["chrom"]].shape[1:])
+    out = {c: np.zeros((n, f.b[c].shape[0], f.d[c].shape[0])) for c, n in bins.items()}
+    for r in added(_met(blocks, v, rows, run, "chrom string, row long, block long, x array<double>"), ["chrom", "row"], "chrom string, row long").toLocalIterator():
+        out[r["chrom"]][r["row"]] = np.asarray(r["x"]).reshape(out[r["chrom"]].shape[1:])
     return out
 
 
-def fit(tensor: DataFrame, bins: dict[str, int], n_cells: int, n_good: int, widths: dict[str, int], rank: int, sweeps: int, tolerance: float = 2e-5, inner: int = 1, seed: int = 0) -> Factors:
+def orthonormal(scores: DataFrame) -> tuple[DataFrame, float]:
+    """(the polar factor of the scores, the sum of their singular values), by their Gram matrix."""
+    root, squares = inverse_root(gram_of(scores))
+    return project(scores, root), float(np.sqrt(squares).sum())
+
+
+def fit(tensor: DataFrame, bins: dict[str, int], n_good: int, widths: dict[str, int], rank: int, sweeps: int, tolerance: float = 2e-5, inner: int = 1, seed: int = 0) -> Factors:
     """Sweeps until the relative error settles; losses holds sqrt(|X - model|^2 / |X|^2) before each update of the factors."""
-    good = tensor.filter(F.col("cell_ord") < n_good).repartition("chrom", "row").persist()
-    try:
-        f = init_factors(tensor, bins, n_cells, n_good, widths, rank, seed=seed)
-        total = good.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
-        for it in range(sweeps):
-            core = sum(float(((f.a[c].T @ f.a[c]) * (f.b[c].T @ f.b[c]) * (f.d[c].T @ f.d[c])).sum()) for c in bins)
-            s, _ = cell_scores(good, f, bins)
-            v = np.zeros_like(f.v)
-            v[:n_good] = polar(s[:n_good])
-            f.losses.append(float(np.sqrt(max(0.0, total + core - 2 * float((v * s).sum())) / max(total, 1e-300))))
-            y = projected(good, f, bins, v)
-            f.v = v
-            for c in bins:
-                (f.a[c], f.b[c], f.d[c]), _ = cp_als(y[c], [f.a[c], f.b[c], f.d[c]], min(10, inner + it // 10))
-            if it >= 3 and f.losses[-2] ** 2 - f.losses[-1] ** 2 < tolerance * f.losses[-2] ** 2:
-                break
-        return f
-    finally:
-        good.unpersist()
-
-
-def transform(tensor: DataFrame, f: Factors, bins: dict[str, int]) -> np.ndarray:
-    """The meta-embedding of all cells, good and bad, with the row projections of the fit."""
-    s, _ = cell_scores(tensor, f, bins)
-    return polar(s)
-
-
-def meta_frame(order: DataFrame, v: np.ndarray) -> DataFrame:
-    """(cell_id, vec) of a meta-embedding."""
-    rows = order.sparkSession.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "cell_ord long, vec array<double>")
-    return order.select("cell_id", "cell_ord").join(rows, "cell_ord").select("cell_id", "vec")
+    good = kept(cell_blocks(tensor.filter(F.col("cell_ord") < n_good)))
+    f = init_factors(good, bins, widths, rank, seed=seed)
+    total = good.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+    for it in range(sweeps):
+        core = sum(float(((f.a[c].T @ f.a[c]) * (f.b[c].T @ f.b[c]) * (f.d[c].T @ f.d[c])).sum()) for c in bins)
+        rows = kept(row_projections(good, f, bins))
+        v, agree = orthonormal(kept(cell_scores(good, f, bins, f.v, rows)))
+        f.v = kept(v)
+        f.losses.append(float(np.sqrt(max(0.0, total + core - 2 * agree) / max(total, 1e-300))))
+        y = projected(good, f, bins, f.v, rows)
+        for c in bins:
+            (f.a[c], f.b[c], f.d[c]), _ = cp_als(y[c], [f.a[c], f.b[c], f.d[c]], min(10, inner + it // 10))
+        if it >= 3 and f.losses[-2] ** 2 - f.losses[-1] ** 2 < tolerance * f.losses[-2] ** 2:
+            break
+    return f
+
+
+def transform(tensor: DataFrame, f: Factors, bins: dict[str, int]) -> DataFrame:
+    """(cell_ord, vec): the meta-embedding of all cells with entries, good and bad, with the row projections of the fit."""
+    blocks = kept(cell_blocks(tensor))
+    rows = kept(row_projections(blocks, f, bins))
+    return orthonormal(kept(cell_scores(blocks, f, bins, blocks.select("cell_ord").distinct().withColumn("vec", F.array(F.lit(0.0))), rows)))[0]
+
+
+def meta_frame(order: DataFrame, v: DataFrame) -> DataFrame:
+    """(cell_id, vec) of a meta-embedding; zeros for cells without entries."""
+    width = F.max(F.size("vec")).alias("width")
+    every = order.select("cell_id", "cell_ord").join(v, "cell_ord", "left").join(F.broadcast(v.agg(width)))
+    return every.select("cell_id", F.coalesce("vec", F.array_repeat(F.lit(0.0), F.coalesce("width", F.lit(0)))).alias("vec"))
 
 
 def cell_embedding(meta: DataFrame, f: Factors, width: int) -> dict[str, DataFrame]:
@@ -172,17 +248,15 @@ def corrected_embedding(every: DataFrame, covariates: list, width: int) -> dict[
 
 
 def save_factors(f: Factors, spark, path: str) -> None:
-    """Long-format Parquet: (factor, chrom, i, j, v)."""
-    rows = [("v", "", i, j, float(x)) for (i, j), x in np.ndenumerate(f.v)]
-    for name, factor in (("a", f.a), ("b", f.b), ("d", f.d)):
-        rows += [(name, c, i, j, float(x)) for c, m in factor.items() for (i, j), x in np.ndenumerate(m)]
-    spark.createDataFrame(rows, "factor string, chrom string, i int, j int, v double").write.mode("overwrite").partitionBy("factor").parquet(path)
+    """Parquet: V as it is in path/v, the others as (factor, chrom, i, values) in path/factors."""
+    f.v.write.mode("overwrite").parquet(f"{path}/v")
+    rows = [(name, c, i, x.tolist()) for name, factor in (("a", f.a), ("b", f.b), ("d", f.d)) for c, m in factor.items() for i, x in enumerate(m)]
+    spark.createDataFrame(rows, "factor string, chrom string, i int, row array<double>").write.mode("overwrite").parquet(f"{path}/factors")
 
 
 def load_factors(spark, path: str) -> Factors:
+    """Only the factors that do not grow with the cells are read by the driver."""
     out: dict[str, dict[str, np.ndarray]] = {}
-    for (name, chrom), g in spark.read.parquet(path).toPandas().groupby(["factor", "chrom"]):
-        m = np.zeros((g["i"].max() + 1, g["j"].max() + 1))
-        m[g["i"], g["j"]] = g["v"]
-        out.setdefault(name, {})[chrom] = m
-    return Factors(out["a"], out["b"], out["d"], out["v"][""])
+    for (name, chrom), g in spark.read.parquet(f"{path}/factors").toPandas().groupby(["factor", "chrom"]):
+        out.setdefault(name, {})[chrom] = np.stack(g.sort_values("i")["row"].to_numpy())
+    return Factors(out["a"], out["b"], out["d"], spark.read.parquet(f"{path}/v"))
