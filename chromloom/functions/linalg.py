@@ -68,11 +68,15 @@ def cp_als(y: np.ndarray, factors: list[np.ndarray], sweeps: int = 1, tolerance:
     return [a, b, d], losses
 
 
-def random_walk(a: np.ndarray, steps: int, restart: float = 0.5, mix: float = 0.75) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(Q, Q A, change of each step) of the walk with restart over a square map: first- and second-order similarity mixed."""
+def random_walk(a: np.ndarray, steps: int, restart: float = 0.5, mix: float = 0.75, start: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(Q, Q A, change of each step) of the walk with restart over the rows of a map: first- and second-order similarity mixed.
+
+    start: the column of A that stands for its first row, where A has more columns than rows.
+    """
+    own = a[:, start : start + len(a)]
     s2 = a @ a.T
     np.fill_diagonal(s2, 0)
-    link = mix * a / (a.sum(axis=0) + 1e-15) + (1 - mix) * s2 / (s2.sum(axis=0) + 1e-15)
+    link = mix * own / (own.sum(axis=0) + 1e-15) + (1 - mix) * s2 / (s2.sum(axis=0) + 1e-15)
     sums = link.sum(axis=0)
     link[np.diag_indices_from(link)] += sums == 0
     p = link / link.sum(axis=0)

@@ -87,14 +87,17 @@ def svd_embedding(frame: DataFrame, rank: int, vec: str = "vec") -> tuple[DataFr
     return project(frame, v, vec), s
 
 
-def regress_out(frame: DataFrame, covariates: list[Column], vec: str = "vec") -> DataFrame:
-    """vec less its least-squares fit on the covariates, with intercept; the moments are one aggregation."""
+def regress_out(frame: DataFrame, covariates: list[Column], vec: str = "vec", keep_intercept: bool = False) -> DataFrame:
+    """vec less its least-squares fit on the covariates, with intercept (keep_intercept: which then stays in); the moments are one aggregation."""
     k = len(covariates)
     both = frame.withColumn("__c", F.array(*(c.cast("double") for c in covariates))).withColumn("__all", F.concat("__c", F.col(vec).cast("array<double>")))
     gram = gram_of(both, "__all", add_ones=True)
     if not len(gram):
         return frame
-    beta = np.linalg.lstsq(gram[: k + 1, : k + 1], gram[: k + 1, k + 1 :], rcond=1e-12)[0]
+    n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+    spread = gram[1 : k + 1, 1:] - n * np.outer(mean[:k], mean)  # about the means: of all equally good fits the one with the least slopes
+    slopes = np.linalg.lstsq(spread[:, :k], spread[:, k:], rcond=1e-12)[0]
+    beta = np.vstack([np.zeros(len(mean) - k) if keep_intercept else mean[k:] - mean[:k] @ slopes, slopes])
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:

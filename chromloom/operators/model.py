@@ -33,6 +33,18 @@ def ranks(bins: dict[str, int], resolution: int, size_ratio: float, rank: int) -
     return {c: max(1, min(int(n * size_ratio * resolution / 1e6), rank, n)) for c, n in bins.items()}
 
 
+def stacked(tensors: dict[int, DataFrame], bins: dict[int, dict[str, int]]) -> tuple[DataFrame, dict[str, int], dict[str, int]]:
+    """(tensor, columns, heights): the resolutions of each chromosome below one another, each with its own columns."""
+    out, columns, heights = None, {}, {}
+    for resolution, tensor in tensors.items():
+        start = F.coalesce(*(F.when(F.col("chrom") == c, F.lit(heights[c])) for c in bins[resolution] if c in heights), F.lit(0)) if heights else F.lit(0)
+        own = tensor.select("chrom", (F.col("row") + start).cast("long").alias("row"), "col", "cell_ord", "v")
+        out = own if out is None else out.unionByName(own)
+        for c, n in bins[resolution].items():
+            columns[c], heights[c] = max(columns.get(c, 0), n), heights.get(c, 0) + n
+    return out, columns, heights
+
+
 @dataclass
 class Factors:
     a: dict[str, np.ndarray]
@@ -53,9 +65,9 @@ def pooled_features(tensor: DataFrame, side: int) -> DataFrame:
     return tensor.groupBy("cell_ord", "chrom", (F.expr(f"row div {side}") * 100_000 + F.expr(f"col div {side}")).alias("f")).agg((F.sum("v") / (side * side)).alias("v"))
 
 
-def _as_vector(width: int):
+def _as_vector(height: int, width: int):
     def vector(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(width * width)
+        out = np.zeros(height * width)
         f = pdf["f"].to_numpy()
         out[f // 100_000 * width + f % 100_000] = pdf["v"].to_numpy()
         return pd.DataFrame({"cell_ord": [pdf["cell_ord"].iloc[0]], "vec": [out]})
@@ -80,19 +92,20 @@ def side_by_side(frames: list[tuple[DataFrame, int]]) -> DataFrame:
     return rows.groupBy("cell_ord").applyInPandas(join, "cell_ord long, vec array<double>")
 
 
-def init_factors(tensor: DataFrame, bins: dict[str, int], widths: dict[str, int], rank: int, side: int = 2, seed: int = 0) -> Factors:
+def init_factors(tensor: DataFrame, bins: dict[str, int], widths: dict[str, int], rank: int, side: int = 2, seed: int = 0, heights: dict[str, int] | None = None) -> Factors:
     """A near one, B near the identity; V and D from the SVD of the chromosomes' leading pooled features, side by side."""
+    heights = heights or bins
     r = np.random.default_rng(seed)
     frames = []
     for c in bins:
         pooled = pooled_features(tensor.filter(F.col("chrom") == c), side)
-        frame = kept(pooled.groupBy("cell_ord").applyInPandas(_as_vector(-(-bins[c] // side)), "cell_ord long, vec array<double>"))
+        frame = kept(pooled.groupBy("cell_ord").applyInPandas(_as_vector(-(-heights[c] // side), -(-bins[c] // side)), "cell_ord long, vec array<double>"))
         frames.append((svd_embedding(frame, widths[c])[0], widths[c]))
     features = kept(side_by_side(frames))
     right, s = gram_svd(gram_of(features), rank)
     right, s = right[:, s > 1e-12 * s.max(initial=0)], s[s > 1e-12 * s.max(initial=0)]
     d = np.split(s[:, None] * right.T, np.cumsum([widths[c] for c in bins])[:-1], axis=1)
-    a = {c: 1 + r.normal(0, 0.01, (n, widths[c])) for c, n in bins.items()}
+    a = {c: 1 + r.normal(0, 0.01, (heights[c], widths[c])) for c in bins}
     b = {c: np.eye(widths[c]) + r.normal(0, 0.01, (1, widths[c])) for c in bins}
     return Factors(a, b, dict(zip(bins, d, strict=True)), kept(project(features, right / s))).check()
 
@@ -188,7 +201,7 @@ def projected(blocks: DataFrame, f: Factors, bins: dict[str, int], v: DataFrame,
     def run(chrom, block, entries, cells, own, us) -> pd.DataFrame:
         return pd.DataFrame([(chrom, i, block, (z.T @ own).ravel()) for i, z in _slices(entries, cells, us, bins[chrom])], columns=["chrom", "row", "block", "x"])
 
-    out = {c: np.zeros((n, f.b[c].shape[0], f.d[c].shape[0])) for c, n in bins.items()}
+    out = {c: np.zeros((len(f.a[c]), f.b[c].shape[0], f.d[c].shape[0])) for c in bins}
     for r in added(_met(blocks, v, rows, run, "chrom string, row long, block long, x array<double>"), ["chrom", "row"], "chrom string, row long").toLocalIterator():
         out[r["chrom"]][r["row"]] = np.asarray(r["x"]).reshape(out[r["chrom"]].shape[1:])
     return out
@@ -200,10 +213,14 @@ def orthonormal(scores: DataFrame) -> tuple[DataFrame, float]:
     return project(scores, root), float(np.sqrt(squares).sum())
 
 
-def fit(tensor: DataFrame, bins: dict[str, int], n_good: int, widths: dict[str, int], rank: int, sweeps: int, tolerance: float = 2e-5, inner: int = 1, seed: int = 0) -> Factors:
-    """Sweeps until the relative error settles; losses holds sqrt(|X - model|^2 / |X|^2) before each update of the factors."""
+def fit(tensor: DataFrame, bins: dict[str, int], n_good: int, widths: dict[str, int], rank: int, sweeps: int, tolerance: float = 2e-5, inner: int = 1, seed: int = 0, heights: dict[str, int] | None = None) -> Factors:
+    """Sweeps until the relative error settles; losses holds sqrt(|X - model|^2 / |X|^2) before each update of the factors.
+
+    bins: columns of each chromosome; heights: its rows where these differ, as when stacked() puts several resolutions
+    below one another. These share B and D and have rows of A and projections of their own.
+    """
     good = kept(cell_blocks(tensor.filter(F.col("cell_ord") < n_good)))
-    f = init_factors(good, bins, widths, rank, seed=seed)
+    f = init_factors(good, bins, widths, rank, seed=seed, heights=heights)
     total = good.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
     for it in range(sweeps):
         core = sum(float(((f.a[c].T @ f.a[c]) * (f.b[c].T @ f.b[c]) * (f.d[c].T @ f.d[c])).sum()) for c in bins)
@@ -241,22 +258,27 @@ def cell_embedding(meta: DataFrame, f: Factors, width: int) -> dict[str, DataFra
     return {"embed_all": every, "embed_raw": raw, "embed_l2_norm": l2_normalize(raw)}
 
 
-def corrected_embedding(every: DataFrame, covariates: list, width: int) -> dict[str, DataFrame]:
-    """Raw and unit-length embeddings of embed_all without its linear fit on the covariates."""
-    raw, _ = svd_embedding(regress_out(every, covariates), width)
-    return {"embed_correct_coverage_fh": raw, "embed_l2_norm_correct_coverage_fh": l2_normalize(raw)}
+def corrected_embedding(every: DataFrame, covariates: list, width: int, name: str = "coverage_fh", keep_intercept: bool = False) -> dict[str, DataFrame]:
+    """Raw and unit-length embeddings of embed_all without its linear fit on the covariates, named after these."""
+    raw, _ = svd_embedding(regress_out(every, covariates, keep_intercept=keep_intercept), width)
+    return {f"embed_correct_{name}": raw, f"embed_l2_norm_correct_{name}": l2_normalize(raw)}
+
+
+def run_name(size_ratio: float, rank: int, inner: int, extra: str = "") -> str:
+    """The name of a run's files by its parameters."""
+    return f"dim1_{size_ratio:.1f}_rank_{rank}_niterp_{inner}_{extra}"
 
 
-def save_factors(f: Factors, spark, path: str) -> None:
-    """Parquet: V as it is in path/v, the others as (factor, chrom, i, values) in path/factors."""
+def save_factors(f: Factors, spark, path: str, light: bool = False) -> None:
+    """Parquet: V as it is in path/v, the others as (factor, chrom, i, values) in path/factors; light: V and D alone."""
     f.v.write.mode("overwrite").parquet(f"{path}/v")
-    rows = [(name, c, i, x.tolist()) for name, factor in (("a", f.a), ("b", f.b), ("d", f.d)) for c, m in factor.items() for i, x in enumerate(m)]
+    rows = [(name, c, i, x.tolist()) for name, factor in (("a", f.a), ("b", f.b), ("d", f.d)) if name == "d" or not light for c, m in factor.items() for i, x in enumerate(m)]
     spark.createDataFrame(rows, "factor string, chrom string, i int, row array<double>").write.mode("overwrite").parquet(f"{path}/factors")
 
 
 def load_factors(spark, path: str) -> Factors:
-    """Only the factors that do not grow with the cells are read by the driver."""
-    out: dict[str, dict[str, np.ndarray]] = {}
+    """Only the factors that do not grow with the cells are read by the driver; of light files A and B are empty."""
+    out: dict[str, dict[str, np.ndarray]] = {"a": {}, "b": {}, "d": {}}
     for (name, chrom), g in spark.read.parquet(f"{path}/factors").toPandas().groupby(["factor", "chrom"]):
-        out.setdefault(name, {})[chrom] = np.stack(g.sort_values("i")["row"].to_numpy())
+        out[name][chrom] = np.stack(g.sort_values("i")["row"].to_numpy())
     return Factors(out["a"], out["b"], out["d"], spark.read.parquet(f"{path}/v"))

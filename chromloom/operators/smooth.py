@@ -1,7 +1,9 @@
 """Smoothing of maps: stencils, pooling and random walks with restart.
 
 The walk exists twice: step by step as joins and sums (walk_steps), and as a grouped Arrow function (walk_groups) with
-one dense block for each cell and chromosome, the size of a chromosome squared whatever the number of cells.
+one dense block for each cell and chromosome, the size of a chromosome squared whatever the number of cells. walk_slices
+is the form for long chromosomes: slices of rows with the columns of the band about them, so that what a cell gives grows
+with its bins and not with their square.
 """
 
 from __future__ import annotations
@@ -131,3 +133,86 @@ def walk_groups(maps: DataFrame, bins: DataFrame, lengths: DataFrame, conv: bool
 
     grouped = maps.join(bins.select("chrom", "n_bin"), "chrom").join(lengths, "chrom")
     return grouped.groupBy(*CELL).applyInPandas(run, "cell_id long, chrom string, row long, col long, v double")
+
+
+SLICE = (*CELL, "part")
+SMOOTHED = "cell_id long, chrom string, row long, col long, v double"
+
+
+def slice_sides(bins: DataFrame, resolution: int) -> DataFrame:
+    """bins with side: the rows of a slice, as even as can be, 15 Mb of bins at most but no fewer than 128 and no more than 256."""
+    most = min(max(15_000_000 // resolution, 128), 256)
+    return bins.withColumn("side", F.ceil(F.col("n_bin") / F.ceil(F.col("n_bin") / most)).cast("long"))
+
+
+def _sliced(maps: DataFrame, sides: DataFrame) -> DataFrame:
+    return maps.join(sides.select("chrom", "n_bin", "side"), "chrom").withColumn("part", F.expr("row div side"))
+
+
+def _slice_block(pdf: pd.DataFrame, flank: int, floor: float, conv: bool) -> tuple[np.ndarray, int, int]:
+    """(rows of the slice x columns of its context, the first row, the first column)."""
+    n, side, part = (int(pdf[k].iloc[0]) for k in ("n_bin", "side", "part"))
+    top, bottom = part * side, min(n, (part + 1) * side)
+    left, right = max(0, top - flank), min(n, bottom + flank)
+    col = pdf["col"].to_numpy(np.int64)
+    inside = (col >= left) & (col < right)
+    a = np.zeros((bottom - top, right - left))
+    np.add.at(a, (pdf["row"].to_numpy(np.int64)[inside] - top, col[inside] - left), pdf["v"].to_numpy(np.float64)[inside])
+    a = np.maximum(a, floor)
+    return (np.maximum(mean_filter(a), floor) if conv and len(a) > 1 else a), top, left
+
+
+def _entries(pdf: pd.DataFrame, out: np.ndarray, top: int, left: int) -> pd.DataFrame:
+    row, col = np.divmod(np.arange(out.size), out.shape[1])
+    return pd.DataFrame({"cell_id": pdf["cell_id"].iloc[0], "chrom": pdf["chrom"].iloc[0], "row": row + top, "col": col + left, "v": out.ravel()})
+
+
+def slice_changes(maps: DataFrame, sides: DataFrame, flank: int, steps: int = 60, conv: bool = False, floor: float = 1e-8) -> DataFrame:
+    """(cell_id, chrom, part, step, change) of the walk of each cell's slices."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, top, left = _slice_block(pdf, flank, floor, conv)
+        _, _, changes = random_walk(a, steps, start=top - left)
+        return pd.DataFrame({"cell_id": pdf["cell_id"].iloc[0], "chrom": pdf["chrom"].iloc[0], "part": pdf["part"].iloc[0], "step": np.arange(1, steps + 1), "change": changes})
+
+    return _sliced(maps, sides).groupBy(*SLICE).applyInPandas(run, "cell_id long, chrom string, part long, step long, change double")
+
+
+def walk_slices(maps: DataFrame, sides: DataFrame, lengths: DataFrame, flank: int, conv: bool = False, normalize_columns: bool = False, floor: float = 1e-8) -> DataFrame:
+    """The smoothed slices (cell_id, chrom, row, col, v) with the columns up to flank bins beyond their rows.
+
+    sides: bins as slice_sides() gives them; lengths: (chrom, n_steps), 0 for no walk. Entries further than flank from a
+    slice take no part, so maps are banded to flank first. Slices without entries give no rows. One slice of a whole
+    chromosome gives what walk_groups() gives. With normalize_columns the coverage of a column is summed over all slices
+    before the second pass.
+    """
+    grouped = _sliced(maps, sides).join(lengths, "chrom")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, top, left = _slice_block(pdf, flank, floor, conv)
+        return _entries(pdf, random_walk(a, int(pdf["n_steps"].iloc[0]), start=top - left)[1], top, left)
+
+    smoothed = grouped.groupBy(*SLICE).applyInPandas(run, SMOOTHED)
+    if not normalize_columns:
+        return smoothed
+
+    def columns(pdf: pd.DataFrame, cov: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=["cell_id", "chrom", "row", "col", "v"])
+        a, top, left = _slice_block(pdf, flank, floor, conv)
+        q, _, _ = random_walk(a, int(pdf["n_steps"].iloc[0]), start=top - left)
+        q = np.maximum((q + q.T) / 2, 0)
+        q /= q.sum(axis=1, keepdims=True)
+        by_column = np.full(a.shape[1], np.inf)
+        by_column[cov["col"].to_numpy(np.int64) - left] = cov["cov"].to_numpy(np.float64)
+        return _entries(pdf, q @ (a / by_column), top, left)
+
+    spots = bin_coverage(smoothed).join(sides.select("chrom", "n_bin", "side"), "chrom")
+    parts = F.sequence(F.greatest(F.lit(0), F.floor((F.col("col") - flank) / F.col("side"))), F.least(F.floor((F.col("n_bin") - 1) / F.col("side")), F.floor((F.col("col") + flank) / F.col("side"))))
+    spots = spots.select(*CELL, F.explode(parts).alias("part"), "col", "cov")
+    return grouped.groupBy(*SLICE).cogroup(spots.groupBy(*SLICE)).applyInPandas(columns, SMOOTHED)
+
+
+def tuned_lengths(maps: DataFrame, sides: DataFrame, flank: int, conv: bool = False) -> DataFrame:
+    """(chrom, n_steps) by the stop rule over all cells and slices."""
+    return walk_lengths(slice_changes(maps, sides, flank, conv=conv))

@@ -16,6 +16,8 @@ from chromloom.operators import sampling as sp
 from chromloom.operators import smooth as sm
 from chromloom.operators import tensor as t
 from chromloom.plans import fixtures as fx
+from chromloom.plans import workflow as wf
+from chromloom.sources.files import Config
 from chromloom.sources.shared import kept
 from chromloom.sources.ship import ship_package
 
@@ -606,3 +608,35 @@ def cell_embedding(spark, d):
     for x in rest:
         first = first.unionByName(x)
     return first
+
+
+def run_config(*resolutions: int) -> Config:
+    return Config([name for name, _, _ in fx.CHROMS], resolution=fx.RESOLUTION, resolution_fh=list(resolutions), batch_id="batch_id")
+
+
+@query(None)
+def imputed_slices(spark, d):
+    settings = wf.Settings(off_diag=fx.OFF_DIAG, conv=True, walk=True)
+    return wf.impute(fx.contact_pairs(spark, d), fx.chrom_sizes(spark), run_config(fx.RESOLUTION), settings, fx.blacklist(spark))
+
+
+@query(None)
+def init_factors(spark, d):
+    tensor, bins, _, _, n_good = packed(spark, d)
+    f = md.init_factors(tensor.filter(F.col("cell_ord") < n_good), bins, md.ranks(bins, fx.RESOLUTION, 0.6, 8), 8)
+    return spark.createDataFrame([(c, float((x * x).sum() ** 0.5)) for c, x in f.d.items()], "chrom string, norm double")
+
+
+@query(None)
+def embedding_run(spark, d):
+    """From contacts to embeddings in one run: two resolutions, batches, smoothing in slices, two sweeps."""
+    contacts, settings = fx.contact_pairs(spark, d), wf.Settings(fx.OFF_DIAG, batch_norm=True, conv=True, walk=True)
+    labels = fx.batch_of(qc.all_cells(contacts))
+    data = wf.prepare(contacts, fx.chrom_sizes(spark), run_config(fx.RESOLUTION, 2 * fx.RESOLUTION), settings, fx.blacklist(spark), labels)
+    f, meta = wf.run_model(data, settings, rank=8, sweeps=2)
+    out = wf.embed(data, f, meta, 6, restore_order=True)
+    out |= wf.correct_linear(data, out["embed_all"], ["batch_id"], 6, add_intercept_back=True)
+    first, *rest = [x.select("cell_id", F.lit(name).alias("variant"), g.norm().alias("norm")) for name, x in out.items()]
+    for x in rest:
+        first = first.unionByName(x)
+    return first
