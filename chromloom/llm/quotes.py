@@ -9,6 +9,7 @@ message comes after the one it answers.
 
 Looking up the latest earlier turn takes two levels, stretches of CHUNK turns and rows of a stretch, so that neither a
 very long conversation nor a line that is common in one is a single task's work; roots are found by pointer doubling.
+Conversations are built from messages in the order of their range partitions, in rows of bounded size.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,3 +136,63 @@ def link_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col:
         F.coalesce("n_linked", zero).alias("n_linked"),
         F.concat(F.lit("<|"), F.coalesce(F.col(role_col), F.lit("unknown")), F.lit("|>\n"), F.col("content"), F.lit("\n<|end|>\n")).alias("chat"),
     )
+
+
+MESSAGE = ("turn", "depth", "role", "reply_to", "by_quote", "n_quotes", "n_linked", "content")
+
+
+def build_conversations(linked: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", max_messages: int = 256, max_chars: int = 1_000_000) -> DataFrame:
+    """(conv_id, root_turn, first_depth, first_turn, n_messages, messages, chat) of messages as link_conversations() gives them.
+
+    A conversation is all messages that come from one root, in the order (depth, turn), so that each follows the one that
+    it answers; chat is their formatted text without quotes. Messages are range-partitioned in this order and joined as
+    they come, so a conversation of any length is no group: where a partition ends, or max_messages or max_chars is
+    passed, it goes on in another row, and its rows ordered by (first_depth, first_turn) are the whole. Messages without
+    conversation or turn are a row each. Repeated rows stay. An empty table gives an empty result.
+    """
+    keys = ("conv_id", "root_turn", "depth", "turn")
+    types = {"role": "string", "by_quote": "boolean", "content": "string", "chat": "string"}
+    own = {"conv_id": F.col(conv_col).cast("long"), "turn": F.col(turn_col).cast("long"), "role": F.col(role_col).cast("string")}
+    names = ["conv_id", "root_turn", *MESSAGE, "chat"]
+    rows = written(linked.select(*(own.get(n, F.col(n).cast(types.get(n, "long"))).alias(n) for n in names)))
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    item = pa.struct([(n, {"string": pa.string(), "boolean": pa.bool_()}.get(types.get(n), pa.int64())) for n in MESSAGE])
+    schema = pa.schema([*((n, pa.int64()) for n in ("conv_id", "root_turn", "first_depth", "first_turn", "n_messages")), ("messages", pa.list_(item)), ("chat", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        done: list[dict] = []
+        chars = 0
+
+        def close() -> None:
+            first = held[0]
+            done.append(
+                {
+                    **{n: first[n] for n in ("conv_id", "root_turn")},
+                    "first_depth": first["depth"],
+                    "first_turn": first["turn"],
+                    "n_messages": len(held),
+                    "messages": [{n: m[n] for n in MESSAGE} for m in held],
+                    "chat": "".join(m["chat"] or "" for m in held),
+                }
+            )
+            held.clear()
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                for m in whole.slice(start, 500).to_pylist():
+                    alone = m["conv_id"] is None or m["turn"] is None
+                    if held and (alone or held[0]["turn"] is None or (m["conv_id"], m["root_turn"]) != (held[0]["conv_id"], held[0]["root_turn"]) or len(held) >= max_messages or chars > max_chars):
+                        close()
+                        chars = 0
+                    held.append(m)
+                    chars += len(m["chat"] or "")
+                if done:
+                    yield pa.RecordBatch.from_pylist(done, schema=schema)
+                    done.clear()
+        if held:
+            close()
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+
+    message = ", ".join(f"{n}: {types.get(n, 'long')}" for n in MESSAGE)
+    return ordered.mapInArrow(run, f"conv_id long, root_turn long, first_depth long, first_turn long, n_messages long, messages array<struct<{message}>>, chat string")

@@ -59,3 +59,27 @@ def test_odd_rows(spark):
     found = sorted(((r["conv_id"] or -1, r["turn"] or -1, r["content"], r["reply_to"], r["depth"], r["n_linked"]) for r in got.collect()), key=str)
     assert found == sorted([(-1, 1, "", None, 0, 0), (1, -1, "", None, 0, 0), (2, -1, "", None, 0, 0), (2, 3, "hello", 0, 1, 0), (2, 7, "yes", 3, 2, 1), (2, 7, "yes", 3, 2, 1)], key=str)
     assert quotes.link_conversations(messages.limit(0)).count() == 0
+
+
+def test_conversations_hold_all_messages_in_the_order_of_replies(spark):
+    rows, want = build(3)
+    rows += [(None, 1, "user", "alone"), (None, 1, "user", "alone"), (4, None, "user", "no turn")]
+    linked = quotes.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole, few = (quotes.build_conversations(linked, max_messages=k, max_chars=c).collect() for k, c in ((10_000, 10**9), (3, 60)))
+    assert all(r["n_messages"] == len(r["messages"]) for r in whole) and all(r["n_messages"] <= 3 for r in few) and len(few) > len(whole)
+    for got in (whole, few):
+        by_root = {}
+        for r in sorted(got, key=lambda r: (r["first_depth"], r["first_turn"] or 0)):
+            by_root.setdefault((r["conv_id"], r["root_turn"]), []).append(r)
+        found = {(c, m["turn"]): (c, root, m["depth"], m["reply_to"]) for (c, root), rs in by_root.items() for r in rs for m in r["messages"] if c is not None and m["turn"] is not None}
+        assert found.keys() == want.keys() and sum(r["n_messages"] for r in got) == len(rows)
+        for (c, _), rs in by_root.items():
+            messages = [m for r in rs for m in r["messages"]]
+            if c is not None and messages[0]["turn"] is not None:
+                seen = set()
+                for m in messages:
+                    assert m["content"] == want[c, m["turn"]][0] and (m["reply_to"] is None or m["reply_to"] in seen)
+                    seen.add(m["turn"])
+                assert "".join(r["chat"] for r in rs) == "".join(f"<|user|>\n{m['content']}\n<|end|>\n" for m in messages)
+    assert [r["n_messages"] for r in whole if r["conv_id"] is None] == [1, 1]
+    assert quotes.build_conversations(linked.limit(0)).count() == 0
