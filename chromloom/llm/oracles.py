@@ -37,9 +37,10 @@ def _op4() -> str:
     rounds = []
     for i in range(q.URL_ROUNDS):
         rounds.append(
-            f"r{i + 1} AS MATERIALIZED (SELECT b.host, t0 + {q.URL_DAMPING} * coalesce(gt, 0) AS trust, d0 + {q.URL_DAMPING} * coalesce(gd, 0) AS distrust "
-            f"FROM r0 b LEFT JOIN (SELECT dst AS host, sum(n / o * trust) AS gt FROM e JOIN r{i} ON r{i}.host = src GROUP BY 1) x ON x.host = b.host "
-            f"LEFT JOIN (SELECT src AS host, sum(n / i * distrust) AS gd FROM e JOIN r{i} ON r{i}.host = dst GROUP BY 1) y ON y.host = b.host)"
+            f"r{i + 1} AS MATERIALIZED (SELECT b.host, t0 + {q.URL_DAMPING} * coalesce(gt, 0) AS trust, d0 + {q.URL_DAMPING} * coalesce(gd, 0) AS distrust, "
+            f"b0 + {q.URL_DAMPING} * coalesce(gat, 0) AS all_trust, b0 + {q.URL_DAMPING} * coalesce(gad, 0) AS all_distrust, own + {q.URL_DAMPING} * coalesce(gat, 0) AS tw, own + {q.URL_DAMPING} * coalesce(gad, 0) AS dw "
+            f"FROM r0 b LEFT JOIN (SELECT dst AS host, sum(n / o * trust) AS gt, sum(n / o * all_trust) AS gat FROM e JOIN r{i} ON r{i}.host = src GROUP BY 1) x ON x.host = b.host "
+            f"LEFT JOIN (SELECT src AS host, sum(n / i * distrust) AS gd, sum(n / i * all_distrust) AS gad FROM e JOIN r{i} ON r{i}.host = dst GROUP BY 1) y ON y.host = b.host)"
         )
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
@@ -52,14 +53,15 @@ j AS (SELECT p.*, rule, ruled FROM p LEFT JOIN best USING (page_id)),
 link AS (SELECT DISTINCT page_id, host AS src, {lower.format("unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*[\"'']?\\s*(?:https?:)?//([^/?#\"''\\s<>]+)', 1))")} AS dst FROM p),
 c AS (SELECT src, dst, count(*)::DOUBLE AS n FROM link WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
 e AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY src) AS o, sum(n) OVER (PARTITION BY dst) AS i FROM c),
-seeds AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS ts, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS ds FROM j GROUP BY 1
-          UNION ALL SELECT src, 0, 0 FROM c UNION ALL SELECT dst, 0, 0 FROM c),
+seeds AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS ts, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS ds, max(CASE WHEN ruled IS NULL THEN 0.0 ELSE 1.0 END) AS known FROM j GROUP BY 1
+          UNION ALL SELECT src, 0, 0, 0 FROM c UNION ALL SELECT dst, 0, 0, 0 FROM c),
 r0 AS MATERIALIZED (SELECT host, (1 - {q.URL_DAMPING})::DOUBLE * sum(ts) AS t0, (1 - {q.URL_DAMPING})::DOUBLE * sum(ds) AS d0,
-       (1 - {q.URL_DAMPING})::DOUBLE * sum(ts) AS trust, (1 - {q.URL_DAMPING})::DOUBLE * sum(ds) AS distrust FROM seeds GROUP BY 1),
-{", ".join(rounds)}
-SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust >= {q.URL_THRESHOLD} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
-       round(trust, 9) AS trust, round(distrust, 9) AS distrust
-FROM j JOIN r{q.URL_ROUNDS} r ON r.host = j.host
+       (1 - {q.URL_DAMPING})::DOUBLE AS b0, (1 - {q.URL_DAMPING})::DOUBLE * sum(known) AS own, t0 AS trust, d0 AS distrust, b0 AS all_trust, b0 AS all_distrust FROM seeds GROUP BY 1),
+{", ".join(rounds)},
+shares AS (SELECT host, trust, distrust, round(CASE WHEN tw > 0 THEN trust / tw ELSE 0 END, 9) AS trust_share, round(CASE WHEN dw > 0 THEN distrust / dw ELSE 0 END, 9) AS distrust_share FROM r{q.URL_ROUNDS})
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust_share >= {q.URL_THRESHOLD} AND distrust_share > trust_share THEN 'block' ELSE 'allow' END) AS verdict,
+       round(trust, 9) AS trust, round(distrust, 9) AS distrust, trust_share, distrust_share
+FROM j JOIN shares r ON r.host = j.host
 """
 
 

@@ -17,9 +17,9 @@ TOXICITY_CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 TOXIC_FROM = 0.5
 #: op7: the public model file (a parameter; never copied here).
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: op4: (verdict, rule).
+#: op4: (verdict, rule); a host is blocked by links from half of the distrust on that it would have if all hosts were blocked.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-URL_DAMPING, URL_ROUNDS, URL_THRESHOLD = 0.85, 8, 0.0801
+URL_DAMPING, URL_ROUNDS, URL_THRESHOLD = 0.85, 8, 0.5
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     judged = judge_urls(pages, URL_RULES, URL_DAMPING, URL_ROUNDS, URL_THRESHOLD)
-    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), F.round("trust_share", 9).alias("trust_share"), F.round("distrust_share", 9).alias("distrust_share"))
 
 
 def op5_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,10 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chromloom.llm.quotes import link_conversations
+    from chromloom.llm.quotes import build_conversations, link_conversations
 
     linked = link_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return linked.select("conv_id", "root_turn", "depth", "turn", "role", "content", "reply_to", "by_quote", "n_quotes", "n_linked", "chat")
+    return build_conversations(linked)
 
 
 def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

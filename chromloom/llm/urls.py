@@ -2,8 +2,12 @@
 
 Pages that a rule fits take the rule's verdict. For the others the hosts decide: the share of a host's pages that rules
 allow is its trust seed, the share that rules block its distrust seed. Trust follows links (personalised PageRank),
-distrust runs against them (a host that links to blocked hosts becomes suspect). A host is blocked if its distrust is
-at least `threshold` and greater than its trust. Links from a host to itself count for nothing.
+distrust runs against them (a host that links to blocked hosts becomes suspect). What a host gets in this way falls with
+the number of hosts that it is shared among, so it is judged as a share: of what would have reached the host if every host
+were trusted, or blocked. The host's own seed counts in this only if rules fit some of its pages; for other hosts their
+links alone speak. This catches hosts that link to blocked ones themselves; after further steps a share is small again, as
+the hosts in between might have been blocked and are not. A host is blocked if its share of distrust is at least `threshold` and greater than its share of trust.
+Links from a host to itself count for nothing, and what hosts without links would pass on is lost.
 
 All steps are DataFrame expressions, joins and aggregations. Links and pages are reduced to host pairs and hosts before
 anything is shuffled by host, so a host with a third of all pages adds one row per task; the join that gives the pages
@@ -51,32 +55,42 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
-    """(host, trust, distrust) after so many rounds; seeds: (host, trust_seed, distrust_seed)."""
+    """(host, trust, distrust, trust_share, distrust_share) after so many rounds; seeds: (host, trust_seed, distrust_seed, known: 1.0 if rules fit some pages, else 0.0)."""
     out, into = links.groupBy("src").agg(F.sum("n").alias("total")), links.groupBy("dst").agg(F.sum("n").alias("total"))
     along = links.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("w"), F.lit(0.0).alias("v"))
     against = links.join(into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("w"), (F.col("n") / F.col("total")).alias("v"))
     steps = written(along.unionByName(against))
-    hosts = written(seeds.unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trust_seed"), F.lit(0.0).alias("distrust_seed"))).groupBy("host").agg(F.sum("trust_seed").alias("trust_seed"), F.sum("distrust_seed").alias("distrust_seed")))
-    base = hosts.select("host", ((1 - damping) * F.col("trust_seed")).alias("t0"), ((1 - damping) * F.col("distrust_seed")).alias("d0"))
-    state = base.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
+    marks = ("trust_seed", "distrust_seed", "known")
+    linked = links.select(F.explode(F.array("src", "dst")).alias("host"), *(F.lit(0.0).alias(m) for m in marks))
+    hosts = written(seeds.select("host", *marks).unionByName(linked).groupBy("host").agg(*(F.sum(m).alias(m) for m in marks)))
+    most = 1 - damping
+    base = hosts.select("host", (most * F.col("trust_seed")).alias("t0"), (most * F.col("distrust_seed")).alias("d0"), (most * F.col("known")).alias("own"))
+    state = base.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"), F.lit(most).alias("all_trust"), F.lit(most).alias("all_distrust"))
     for i in range(rounds):
-        gained = steps.join(state, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("w") * F.col("trust")).alias("gt"), F.sum(F.col("v") * F.col("distrust")).alias("gd"))
-        state = base.join(gained, "host", "left").select("host", (F.col("t0") + damping * F.coalesce("gt", F.lit(0.0))).alias("trust"), (F.col("d0") + damping * F.coalesce("gd", F.lit(0.0))).alias("distrust"))
+        passed = {"gt": ("w", "trust"), "gd": ("v", "distrust"), "gat": ("w", "all_trust"), "gad": ("v", "all_distrust")}
+        gained = steps.join(state, "host").groupBy(F.col("to").alias("host")).agg(*(F.sum(F.col(w) * F.col(x)).alias(g) for g, (w, x) in passed.items()))
+        got = {g: damping * F.coalesce(g, F.lit(0.0)) for g in passed}
+        now = {"trust": F.col("t0") + got["gt"], "distrust": F.col("d0") + got["gd"], "all_trust": most + got["gat"], "all_distrust": most + got["gad"]}
+        if i == rounds - 1:
+            share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
+            now = {k: now[k] for k in ("trust", "distrust")} | {"trust_share": share(now["trust"], F.col("own") + got["gat"]), "distrust_share": share(now["distrust"], F.col("own") + got["gad"])}
+        state = base.join(gained, "host", "left").select("host", *(c.alias(k) for k, c in now.items()))
         if i % 3 == 2 or i == rounds - 1:
             state = written(state)
     return state
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], damping: float = 0.85, rounds: int = 8, threshold: float = 0.0801) -> DataFrame:
-    """Adds host, path, rule, verdict, trust and distrust to pages (columns url and html).
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], damping: float = 0.85, rounds: int = 8, threshold: float = 0.5) -> DataFrame:
+    """Adds host, path, rule, verdict, trust, distrust and the shares of both to pages (columns url and html).
 
     Null urls and urls without '://' have host and path '' and are judged as pages of the host '', which takes no part in
     links. Null or empty html has no links. Repeated rows are all kept. An empty table gives an empty result. Columns of
-    pages named host, path, rule, verdict, trust or distrust are replaced.
+    pages named host, path, rule, ruled, verdict, trust, distrust, trust_share or distrust_share are replaced or left out.
     """
-    pages = pages.drop("host", "path", "rule", "ruled", "verdict", "trust", "distrust")
+    pages = pages.drop("host", "path", "rule", "ruled", "verdict", "trust", "distrust", "trust_share", "distrust_share")
     judged = with_rule(split_url(pages), rules)
-    seeds = judged.groupBy("host").agg(F.avg(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("trust_seed"), F.avg(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("distrust_seed"))
+    seeds = judged.groupBy("host").agg(F.avg(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("trust_seed"), F.avg(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("distrust_seed"), F.max(F.when(F.col("ruled").isNotNull(), 1.0).otherwise(0.0)).alias("known"))
     scores = spread(written(host_links(judged)), seeds, damping, rounds)
-    blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    suspect = F.round("distrust_share", 9)  # off the ties of rounding
+    blocked = (suspect >= threshold) & (suspect > F.round("trust_share", 9))
     return judged.join(scores, "host").withColumn("verdict", F.coalesce("ruled", F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))).drop("ruled")

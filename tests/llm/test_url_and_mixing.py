@@ -56,13 +56,18 @@ def plain_spread(pages, rounds=8, damping=0.85):
     into = {h: sum(c for (_, b), c in n.items() if b == h) for h in hosts}
     share = lambda v: {h: (sum(x == v for g, x, _ in pages if g == h) / max(1, sum(g == h for g, _, _ in pages))) for h in hosts}
     t0, d0 = ({h: (1 - damping) * x for h, x in share(v).items()} for v in ("allow", "block"))
-    t, d = dict(t0), dict(d0)
-    for _ in range(rounds):
-        t, d = (
-            {h: t0[h] + damping * sum(c / out[a] * t[a] for (a, b), c in n.items() if b == h) for h in hosts},
-            {h: d0[h] + damping * sum(c / into[b] * d[b] for (a, b), c in n.items() if a == h) for h in hosts},
-        )
-    return t, d
+    along = lambda x: {h: damping * sum(c / out[a] * x[a] for (a, b), c in n.items() if b == h) for h in hosts}
+    against = lambda x: {h: damping * sum(c / into[b] * x[b] for (a, b), c in n.items() if a == h) for h in hosts}
+    ruled = {g for g, x, _ in pages if x}
+    shares = []
+    for seed, passed in ((t0, along), (d0, against)):
+        x, full = dict(seed), dict.fromkeys(hosts, 1 - damping)
+        for _ in range(rounds):
+            gain, gain_full = passed(x), passed(full)
+            x, full = {h: seed[h] + gain[h] for h in hosts}, {h: 1 - damping + gain_full[h] for h in hosts}
+        whole = {h: (1 - damping) * (h in ruled) + gain_full[h] for h in hosts}
+        shares.append((x, {h: x[h] / whole[h] if whole[h] else 0.0 for h in hosts}))
+    return shares
 
 
 def test_trust_and_distrust_equal_a_plain_loop(spark):
@@ -76,10 +81,11 @@ def test_trust_and_distrust_equal_a_plain_loop(spark):
         verdict = "allow" if "net" in h and path[:4] == "/en/" and h.endswith("example.net") or h.endswith("org") and path[:4] == "/fr/" else "block" if h.endswith("net") or h.endswith("example.com") and path[:4] == "/de/" else None
         plain.append((h, verdict, links))
     got = {x["page_id"]: x for x in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES).collect()}
-    t, d = plain_spread(plain)
+    (t, ts), (d, ds) = plain_spread(plain)
     for (i, _, _), (h, verdict, _) in zip(rows, plain, strict=True):
         assert got[i]["host"] == h and got[i]["trust"] == pytest.approx(t[h]) and got[i]["distrust"] == pytest.approx(d[h])
-        assert got[i]["verdict"] == (verdict or ("block" if d[h] >= 0.0801 and d[h] > t[h] else "allow"))
+        assert got[i]["trust_share"] == pytest.approx(ts[h]) and got[i]["distrust_share"] == pytest.approx(ds[h])
+        assert got[i]["verdict"] == (verdict or ("block" if ds[h] >= 0.5 and ds[h] > ts[h] else "allow"))
 
 
 def test_odd_urls(spark):
@@ -95,3 +101,18 @@ def F_lit_html():
     from pyspark.sql import functions as F
 
     return F.lit("").alias("html")
+
+
+def test_links_judge_hosts_whatever_the_number_that_links_to_them(spark):
+    """A farm of hosts that link to a blocked host alone is blocked; a portal to many, the blocked one among them, is not, nor are hosts two steps off."""
+    rows = [("https://bad.net/", ""), ("https://portal.info/", "".join(f'<a href="//clean{i}.info/">' for i in range(30)) + '<a href="//bad.net/">')]
+    rows += [(f"https://farm{i}.info/x", '<a href="https://bad.net/">') for i in range(60)]
+    rows += [(f"https://feeder{i}.info/", f'<a href="https://farm{i}.info/">') for i in range(5)]
+    rows += [(f"https://clean{i}.info/", '<a href="https://portal.info/">') for i in range(30)]
+    rows += [("https://mixed.info/", '<a href="https://bad.net/"><a href="https://good.org/fr/">'), ("https://good.org/fr/a", '<a href="https://mixed.info/">')]
+    rows += [("https://example.com/de/a", "")] + [(f"https://example.com/en/{i}", "") for i in range(9)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {x["url"]: x["verdict"] for x in urls.judge_urls(pages, queries.URL_RULES).collect()}
+    for url, _ in rows:
+        blocked = url in ("https://bad.net/", "https://example.com/de/a") or "//farm" in url
+        assert got[url] == ("block" if blocked else "allow"), url
