@@ -7,8 +7,10 @@ first x - ceil(t * x) + 1 and y - ceil(t * y) + 1 shingles, so equality of such
 
 Each bucket's nodes first meet one of them alone, in HUBS rounds. Its other pairs are then compared only between the classes
 which that has left apart, so a large group of close copies is mostly one class by then; a large group of half-alike texts
-is not, and is compared in as many pairs. Buckets of more than PART nodes are dealt out in parts, each of which meets all.
-A candidate counts once its whole sets have been compared.
+is not. Its pairs meet by their parity bitmaps inside the join (Sandes, Teodoro and Melo, "Bitmap filter", 2017): each set
+bit of the difference of two bitmaps stands for at least one shingle that only one set has, so pairs that cannot reach the
+threshold are never rows and none that can is dropped. Buckets of more than PART nodes are dealt out in parts, each of which
+meets all. A candidate counts once its whole sets have been compared.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SLOTS = 2**20
 PART = 256
 #: Rounds in which each bucket's nodes meet one of them, another one each time.
 HUBS = 3
+#: Bits of a set's parity bitmap.
+BITMAP = 1024
 _ODD = np.random.default_rng(42).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -54,6 +58,14 @@ def slot_of(own: np.ndarray) -> np.ndarray:
     return (own >> np.uint64(44)).astype(np.int64)
 
 
+def bitmaps_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BITMAP bits, as 64-bit numbers, for each set: whether an odd number of its shingles falls on the bit."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits = (np.concatenate(sets) >> np.uint64(32)).astype(np.int64) % BITMAP
+    odd = np.bincount(rows * BITMAP + bits, minlength=len(sets) * BITMAP).reshape(-1, BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
+
+
 def slot_counts(texts: DataFrame, n: int) -> np.ndarray:
     """How many (text, shingle) fall in each slot: SLOTS numbers, at any size of the corpus."""
 
@@ -73,7 +85,7 @@ def slot_counts(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def with_prefixes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(id, node, size, keys) of docs (id, text); keys: the prefix of the set, rare shingles first."""
+    """(id, node, size, bits, keys) of docs (id, text); bits: the set's bitmap, keys: its prefix, rare shingles first."""
     counts = docs.sparkSession.sparkContext.broadcast(slot_counts(docs.select("text"), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,12 +97,13 @@ def with_prefixes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                 nodes = np.asarray([node_of(s) for s in sets], np.uint64).view(np.int64)
                 keys = [s[np.lexsort((s, order[slot_of(s)]))[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]].view(np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                bits = pa.array(list(bitmaps_of(sets)), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    names=["id", "node", "size", "keys"],
+                    [batch.column(0), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), bits, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
+                    names=["id", "node", "size", "bits", "keys"],
                 )
 
-    return docs.mapInArrow(run, "id long, node long, size long, keys array<long>")
+    return docs.mapInArrow(run, "id long, node long, size long, bits array<long>, keys array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -108,10 +121,20 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return docs.join(nodes, "id").select("node", "text").mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
 
 
+def need(x: str, y: str, threshold: float) -> Column:
+    """How many shingles two sets must have in common to agree to the threshold."""
+    return F.ceil(threshold / (1 + threshold) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - F.lit(1e-6))
+
+
 def possible(x: str, y: str, threshold: float) -> Column:
     """Whether sets whose first common shingle is at these places can agree to the threshold, by their sizes and what follows."""
-    need = F.ceil(threshold / (1 + threshold) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - F.lit(1e-6))
-    return F.least(F.col(f"{x}.size") - F.col(f"{x}.pos"), F.col(f"{y}.size") - F.col(f"{y}.pos")) >= need
+    return F.least(F.col(f"{x}.size") - F.col(f"{x}.pos"), F.col(f"{y}.size") - F.col(f"{y}.pos")) >= need(x, y, threshold)
+
+
+def possible_by_bits(x: str, y: str, threshold: float) -> Column:
+    """Whether sets with these bitmaps can agree to the threshold: every bit that differs is a shingle in one of them alone."""
+    apart = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITMAP // 64)), F.lit(0))
+    return F.col(f"{x}.size") + F.col(f"{y}.size") - apart >= 2 * need(x, y, threshold)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -153,10 +176,11 @@ def similar_nodes(marked: DataFrame, docs: DataFrame, n: int, threshold: float)
         found = verified(stars.select(F.least("hub.x.node", "x.node").alias("a"), F.greatest("hub.x.node", "x.node").alias("b")), docs, owners, n, threshold)
         links = found if links is None else written(links.unionByName(found))
         apart = still_apart(apart, links)
-    left = apart.withColumn("parts", F.ceil(F.col("n") / PART))
+    bitmaps = marked.select(F.col("node").alias("own"), "bits").dropDuplicates(["own"])
+    left = apart.withColumn("parts", F.ceil(F.col("n") / PART)).join(bitmaps, F.col("x.node") == F.col("own")).withColumn("x", F.col("x").withField("bits", F.col("bits")))
     first = left.select("key", F.col("x").alias("u"), F.col("label").alias("lu"), F.pmod(F.xxhash64("x.node"), F.col("parts")).alias("part"))
     second = left.select("key", F.col("x").alias("v"), F.col("label").alias("lv"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    others = first.join(second, ["key", "part"]).filter((F.col("u.node") < F.col("v.node")) & (F.col("lu") != F.col("lv")) & possible("u", "v", threshold))
+    others = first.join(second, ["key", "part"]).filter((F.col("u.node") < F.col("v.node")) & (F.col("lu") != F.col("lv")) & possible("u", "v", threshold) & possible_by_bits("u", "v", threshold))
     more = verified(others.select(F.col("u.node").alias("a"), F.col("v.node").alias("b")), docs, owners, n, threshold)
     return connected_components(links.unionByName(more))
 
