@@ -5,7 +5,8 @@ documents with the same set are one node. All nodes order shingles alike, rare o
 slots; any order is right, this one keeps buckets small). If two sets of sizes x and y agree to t, they share one of the
 first x - ceil(t * x) + 1 and y - ceil(t * y) + 1 shingles, so equality of such a shingle finds every pair (prefix filter).
 
-Each bucket's nodes first meet one of them alone, in HUBS rounds. Its other pairs are then compared only between the classes
+Nodes with close SimHashes are compared first, where the caller gives a search for these. Each bucket's nodes then meet
+one of them alone, in HUBS rounds, unless they are linked already. Its other pairs are then compared only between the classes
 which that has left apart, so a large group of close copies is mostly one class by then; a large group of half-alike texts
 is not. Its pairs meet by their parity bitmaps inside the join (Sandes, Teodoro and Melo, "Bitmap filter", 2017): each set
 bit of the difference of two bitmaps stands for at least one shingle that only one set has, so pairs that cannot reach the
@@ -16,7 +17,7 @@ meets all. A candidate counts once its whole sets have been compared.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 
 from chromloom.llm.common import discard, written
 from chromloom.llm.components import connected_components
+from chromloom.llm.fingerprints import majority_bits
 
 SLOTS = 2**20
 PART = 256
 #: Rounds in which each bucket's nodes meet one of them, another one each time.
-HUBS = 3
+HUBS = 2
 #: Bits of a set's parity bitmap.
 BITMAP = 1024
 _ODD = np.random.default_rng(42).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,7 +87,7 @@ def slot_counts(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def with_prefixes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(id, node, size, bits, keys) of docs (id, text); bits: the set's bitmap, keys: its prefix, rare shingles first."""
+    """(id, node, size, fp, bits, keys) of docs (id, text): the set's SimHash, its bitmap and its prefix, rare shingles first."""
     counts = docs.sparkSession.sparkContext.broadcast(slot_counts(docs.select("text"), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,13 +99,14 @@ def with_prefixes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                 nodes = np.asarray([node_of(s) for s in sets], np.uint64).view(np.int64)
                 keys = [s[np.lexsort((s, order[slot_of(s)]))[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]].view(np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                fps = np.fromiter(map(majority_bits, sets), np.uint64, len(sets)).view(np.int64)
                 bits = pa.array(list(bitmaps_of(sets)), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), bits, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    names=["id", "node", "size", "bits", "keys"],
+                    [batch.column(0), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), bits, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
+                    names=["id", "node", "size", "fp", "bits", "keys"],
                 )
 
-    return docs.mapInArrow(run, "id long, node long, size long, bits array<long>, keys array<long>")
+    return docs.mapInArrow(run, "id long, node long, size long, fp long, bits array<long>, keys array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -161,15 +164,25 @@ def still_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def similar_nodes(marked: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+def close_pairs(marked: DataFrame, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): pairs of nodes with the same fingerprint (a star for each) or with fingerprints that the search links."""
+    nodes = written(marked.select("node", "fp").distinct())
+    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("id")))
+    same = nodes.join(fps, "fp").filter("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    return same.unionByName(close(fps).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def similar_nodes(marked: DataFrame, docs: DataFrame, n: int, threshold: float, close: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the nodes that links join to a smaller one; marked: as with_prefixes() gives it."""
     owners = marked.groupBy("node").agg(F.min("id").alias("id"))
+    links = verified(close_pairs(marked, close), docs, owners, n, threshold) if close else None
     rows = marked.dropDuplicates(["node"]).select("node", "size", F.posexplode("keys").alias("pos", "key"))
     rows = written(rows)
     n_in = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     apart = written(rows.select("key", F.struct("node", "size", "pos").alias("x"), F.col("node").alias("label")).join(n_in, "key"))
     discard(rows)
-    links = None
+    if links is not None:
+        apart = still_apart(apart, links)
     for i in range(HUBS):
         hubs = apart.groupBy("key").agg(F.min_by(F.struct("x", "label"), F.xxhash64(F.lit(i), "x.node")).alias("hub"))
         stars = apart.join(hubs, "key").filter((F.col("label") != F.col("hub.label")) & possible("x", "hub.x", threshold))
@@ -185,14 +198,17 @@ def similar_nodes(marked: DataFrame, docs: DataFrame, n: int, threshold: float)
     return connected_components(links.unionByName(more))
 
 
-def similar_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_classes(
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", close: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(id, component_id) of the documents that links join to a smaller id; component_id: the smallest of the class. Null ids take no part.
 
-    Texts without words are copies of each other. Rows that repeat an id are one document, linked by any of its texts.
+    close: a search for links (a, b) between close fingerprints (id, fp); it changes the work, not the result. Texts without
+    words are copies of each other. Rows that repeat an id are one document, linked by any of its texts.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     marked = written(with_prefixes(texts, n, threshold))
-    nodes = similar_nodes(marked, texts, n, threshold)
+    nodes = similar_nodes(marked, texts, n, threshold, close)
     placed = written(marked.select("id", "node").join(nodes, "node", "left").select("id", F.coalesce("component", "node").alias("label")))
     first = placed.groupBy("label").agg(F.min("id").alias("first"))
     edges = placed.join(first, "label").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))

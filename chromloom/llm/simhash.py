@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 
 from chromloom.llm.common import written
 from chromloom.llm.components import connected_components
+from chromloom.llm.fingerprints import BITS, majority_bits
 from chromloom.llm.shingles import similar_classes
 
-BITS = 64
 MAX_BUCKET = 256
 
 
@@ -36,11 +36,7 @@ def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
         return 0
     shingles = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles))
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 100_000):
-        counts += np.unpackbits(hashes[i : i + 100_000].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority_bits(np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles)))
 
 
 def with_fingerprint(docs: DataFrame, n: int = 4, text_col: str = "text", out: str = "fp", seed: int = 42) -> DataFrame:
@@ -141,11 +137,14 @@ def hex_fingerprint(fp: str = "fp"):
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each class of similar shingle sets.
 
+    Sets whose SimHashes the covering tables link are compared whole first. Fingerprints alone can't decide: at 4 bits
+    they miss most pairs near the threshold and join some below it, so the shingles find the rest of the pairs.
+
     Rows of one id with the same text are copies: the first by the other columns stays (any of those equal in all). Rows
     of one id with different texts are one document and stay or go together. Rows with a null id stay. Null texts count
     as empty ones, which are copies of each other. Columns are unchanged, whatever their names.
     """
-    copies = similar_classes(docs, n, threshold, id_col, text_col).select(F.col("id").alias(id_col))
+    copies = similar_classes(docs, n, threshold, id_col, text_col, close=fingerprint_links).select(F.col("id").alias(id_col))
     known = docs.filter(F.col(id_col).isNotNull()).join(copies, id_col, "left_anti").select(*docs.columns)
     repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n rows")).filter("`n rows` > 1").select(id_col)
     again = known.join(repeated, id_col, "left_semi")
