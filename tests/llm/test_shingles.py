@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from chromloom.llm import shingles, simhash
@@ -66,3 +67,14 @@ def test_close_fingerprints_of_unlike_texts_are_no_link(spark):
     want, _ = brute_kept(rows)
     got = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want == set(range(40))
+
+
+def test_bits_that_differ_are_never_more_than_shingles_that_differ():
+    r = np.random.default_rng(3)
+    for size in (0, 1, 40, 300, 5000):
+        x = np.unique(r.integers(0, 2**63, size, np.uint64))
+        y = np.unique(np.concatenate([x[: size // 2], r.integers(0, 2**63, size, np.uint64)]))
+        a, b = shingles.bitmaps_of([x, y])
+        assert a.shape == (shingles.BITMAP // 64,)
+        assert np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+    assert not shingles.bitmaps_of([np.zeros(0, np.uint64)]).any()
