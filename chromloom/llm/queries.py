@@ -20,6 +20,10 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: op4: (verdict, rule); a host is blocked by links from half of the distrust on that it would have if all hosts were blocked.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 URL_DAMPING, URL_ROUNDS, URL_THRESHOLD = 0.85, 8, 0.5
+#: op11: percent of the documents of LEAST_WORDS words or more that are drawn, the longest run of words that is a feature, buckets and seed.
+DRAW_PERCENT, LEAST_WORDS, FEATURE_WORDS, FEATURE_BUCKETS, DRAW_SEED = 10, 20, 1, 10_000, 2024
+#: op12: the public rank file (a parameter; never copied here).
+RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,3 +98,34 @@ def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     media = pictures(table(spark, sf_dir, "embeddings"))
     return image_classes(media).withColumnRenamed("id", "media_id")
+
+
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.resampling import importance_resample
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = importance_resample(docs, table(spark, sf_dir, "benchmark").select("text"), DRAW_PERCENT, LEAST_WORDS, FEATURE_WORDS, FEATURE_BUCKETS, DRAW_SEED, keep=["doc_id"])
+    return drawn.select("doc_id", *(F.col(f"__{c}").alias(n) for c, n in (("features", "n_features"), ("weight", "weight"), ("score", "score"), ("rank", "rank"))))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.secret_scan import ACCESS, ASSIGN, HEX, RANDOM, scan_secrets, spans_text
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), RANK_FILE)
+    base = F.filter("findings", lambda x: x["kind"] != RANDOM)
+    counts = [F.expr(f"cast(size(filter(findings, x -> x.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind in (ASSIGN, ACCESS, HEX, RANDOM)]
+    return found.select("doc_id", *counts, F.sha2(F.encode(spans_text(base), "utf-8"), 256).alias("base_sha256"), spans_text(F.col("findings")).alias("spans"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chromloom.llm.periodic import looped, periodic_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs(docs, keep=["doc_id"], change=looped)
+    lines = F.array_join(F.transform("__runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    longest = F.array_min(F.transform("__runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    top = found.withColumn("top", longest)
+    return top.select(
+        "doc_id", F.size("__runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), (-F.col("top.n")).alias("length"), F.col("top.period").alias("period"),
+        F.expr("(-1000 * top.n) div top.period").alias("exponent_milli"), F.sha2(F.encode(lines, "utf-8"), 256).alias("runs_sha256"), F.col("__sha256").alias("collapsed_sha256"),
+    )
