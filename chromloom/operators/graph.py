@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromloom.functions.linalg import gram_svd
+from chromloom.operators.tall import r_factor, task_sums
 
 
 def norm(vec: str = "vec") -> Column:
@@ -49,26 +49,15 @@ def quantile_uniform(frame: DataFrame, column: str, n_quantiles: int = 100) -> D
     return frame.withColumn(column, middle)
 
 
-def gram_of(frame: DataFrame, vec: str = "vec", add_ones: bool = False) -> np.ndarray:
-    """The Gram matrix of the rows (with a leading column of ones, if asked), summed in the tasks: width^2 numbers reach the driver."""
+def gram_of(frame: DataFrame, vec: str = "vec", add_ones: bool = False, first: int | None = None) -> np.ndarray:
+    """The Gram matrix of the rows (with a leading column of ones, if asked), or its first rows; one array a task, summed in a tree."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for f in frames:
-            x = np.stack(f[vec].to_numpy()).astype(np.float64) if len(f) else None
-            if x is not None:
-                x = np.column_stack([np.ones(len(x)), x]) if add_ones else x
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
-
-    parts = frame.select(vec).mapInPandas(run, "i long, row array<double>")
-    flat = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    n = 1 + max((r["i"] for r in flat), default=-1)
-    out = np.zeros((n, n))
-    for r in flat:
-        out[r["i"], r["j"]] = r["v"]
-    return out
+    def gram(x: np.ndarray) -> np.ndarray:
+        x = np.column_stack([np.ones(len(x)), x]) if add_ones else x
+        return x[:, :first].T @ x
+
+    total = task_sums(frame, vec, gram)
+    return np.zeros((0, 0)) if total is None else total
 
 
 def project(frame: DataFrame, matrix: np.ndarray, vec: str = "vec") -> DataFrame:
@@ -82,16 +71,19 @@ def project(frame: DataFrame, matrix: np.ndarray, vec: str = "vec") -> DataFrame
 
 
 def svd_embedding(frame: DataFrame, rank: int, vec: str = "vec") -> tuple[DataFrame, np.ndarray]:
-    """(U S of the uncentred rank-`rank` SVD as vec, singular values)."""
-    v, s = gram_svd(gram_of(frame, vec), rank)
-    return project(frame, v, vec), s
+    """(U S of the uncentred rank-`rank` SVD as vec, singular values): by the R factor, width x width numbers, without squaring it."""
+    r = r_factor(frame, vec)
+    if r is None:
+        return frame, np.zeros(0)
+    _, s, vt = np.linalg.svd(r, full_matrices=False)
+    return project(frame, vt[:rank].T, vec), s[:rank]
 
 
 def regress_out(frame: DataFrame, covariates: list[Column], vec: str = "vec", keep_intercept: bool = False) -> DataFrame:
     """vec less its least-squares fit on the covariates, with intercept (keep_intercept: which then stays in); the moments are one aggregation."""
     k = len(covariates)
     both = frame.withColumn("__c", F.array(*(c.cast("double") for c in covariates))).withColumn("__all", F.concat("__c", F.col(vec).cast("array<double>")))
-    gram = gram_of(both, "__all", add_ones=True)
+    gram = gram_of(both, "__all", add_ones=True, first=k + 1)  # only what meets the covariates
     if not len(gram):
         return frame
     n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
