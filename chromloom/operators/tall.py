@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromloom.sources.shared import kept
+from chromloom.sources.shared import discard, kept
 
 #: Rows and columns of a packed block; arrays or factors that are put together in one step.
 CELLS, FEATURES, FAN = 1_024, 1_024, 32
@@ -55,7 +55,23 @@ def task_sums(frame: DataFrame, vec: str, matrix_of) -> np.ndarray | None:
     sizes = parts.agg(F.max("part").alias("last"), F.max("height").alias("height")).first()
     if sizes["last"] is None:
         return None
-    return np.asarray(summed(parts, "all", "part", sizes["last"] + 1).first()["x"]).reshape(sizes["height"], -1)
+    out = np.asarray(summed(parts, "all", "part", sizes["last"] + 1).first()["x"]).reshape(sizes["height"], -1)
+    discard(parts)
+    return out
+
+
+def keyed_sums(frame: DataFrame, arrays_of) -> dict[int, np.ndarray]:
+    """Sums of arrays by number: arrays_of(frames of a task) gives {number: array}; frame must be a kept table.
+
+    There is one array for each number and task, added up in a tree; as many as there are numbers reach the driver.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, x in arrays_of(frames).items():
+            yield pd.DataFrame({"k": [k], "part": [TaskContext.get().partitionId()], "x": [x.ravel()]})
+
+    parts = frame.mapInPandas(run, "k long, part long, x array<double>")
+    return {r["k"]: np.asarray(r["x"]) for r in summed(parts, "k", "part", max(1, frame.rdd.getNumPartitions())).collect()}
 
 
 def r_factor(frame: DataFrame, vec: str = "vec", width: int | None = None) -> np.ndarray | None:
@@ -78,7 +94,7 @@ def r_factor(frame: DataFrame, vec: str = "vec", width: int | None = None) -> np
         return pdf.iloc[:1].assign(x=[r.ravel()])
 
     schema = "part long, width long, x array<double>"
-    parts = kept(frame.select(vec).mapInPandas(first, schema))
+    parts = tasks = kept(frame.select(vec).mapInPandas(first, schema))
     n = parts.agg(F.max("part")).first()[0]
     if n is None:
         return None
@@ -87,6 +103,7 @@ def r_factor(frame: DataFrame, vec: str = "vec", width: int | None = None) -> np
         n = -(-n // FAN)
         parts = parts.withColumn("part", F.expr(f"part div {FAN}")).groupBy("part").applyInPandas(join, schema)
     one = parts.first()
+    discard(tasks)
     return np.asarray(one["x"]).reshape(-1, one["width"])
 
 
@@ -109,7 +126,7 @@ def polar_rows(frame: DataFrame, vec: str = "vec", width: int | None = None) ->
     The matrix is multiplied by V S^-1 V^T of its R factor. Rounding leaves an error of the condition number times 1e-16 in
     that, so it is done a second time, to the nearly orthonormal outcome. Directions below CUT stay zero.
     """
-    values, cut = None, CUT
+    values, cut, given = None, CUT, frame
     for _ in range(2):
         r = r_factor(frame, vec, width)
         if r is None:
@@ -117,7 +134,9 @@ def polar_rows(frame: DataFrame, vec: str = "vec", width: int | None = None) ->
         _, s, vt = np.linalg.svd(r, full_matrices=False)
         values = s if values is None else values
         inverse = np.where(s > cut * s.max(initial=0), 1 / np.maximum(s, 1e-300), 0.0)
-        frame, cut = kept(times_matrix(frame, (vt.T * inverse) @ vt, vec)), 0.1
+        before, frame, cut = frame, kept(times_matrix(frame, (vt.T * inverse) @ vt, vec)), 0.1
+        if before is not given:
+            discard(before)
     return frame, values
 
 
@@ -211,8 +230,12 @@ def truncated_svd(
     for i in range(power + 1):
         q = polar_rows(y, "x", width)[0].withColumnRenamed("x", "m")
         z = kept(transposed_times(x, q, width))
+        discard(y)
         if i < power:
-            y = kept(times(x, polar_rows(z, "x", width)[0].withColumnRenamed("x", "m"), width))
+            across = polar_rows(z, "x", width)[0].withColumnRenamed("x", "m")
+            y = kept(times(x, across, width))
+            discard(z, q, across)
+    discard(x.frame)
     u, s, _ = np.linalg.svd(r_factor(z, "x", width).T, full_matrices=False)
     count = min(rank, int((s > CUT ** 0.5 * s.max(initial=0)).sum()))
     u, s = u[:, :count], s[:count]

@@ -580,7 +580,7 @@ def packed(spark, d):
 def fitted(spark, d, sweeps: int = 3):
     tensor, bins, order, n_cells, n_good = packed(spark, d)
     widths = md.ranks(bins, fx.RESOLUTION, 0.6, 8)
-    return tensor, bins, order, md.fit(tensor, bins, n_good, widths, 8, sweeps)
+    return tensor, bins, order, md.fit(tensor, bins, n_good, widths, 8, sweeps, pools=md.pools_of({fx.RESOLUTION: bins}))
 
 
 @query(None)

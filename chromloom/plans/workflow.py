@@ -122,7 +122,7 @@ def run_model(data: Prepared, settings: Settings, size_ratio: float = 0.6, rank:
         for chrom, w in md.ranks(bins, resolution, size_ratio, rank).items():
             widths[chrom] = min(w, widths.get(chrom, w))
     tensor, n_good = kept(tensor), data.n_good if settings.only_good else data.n_cells
-    f = md.fit(tensor, columns, n_good, widths, rank, max(1, n_good // 15) if sweeps is None else sweeps, tolerance, inner, seed, heights)
+    f = md.fit(tensor, columns, n_good, widths, rank, max(1, n_good // 15) if sweeps is None else sweeps, tolerance, inner, seed, heights, md.pools_of(data.bins))
     meta = kept(md.meta_frame(data.cells, md.transform(tensor, f, columns)))
     if path:
         name, spark = md.run_name(size_ratio, rank, inner, extra), tensor.sparkSession

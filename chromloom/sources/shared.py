@@ -20,3 +20,13 @@ def kept(frame: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/chromloom-maps/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that kept() made, once all that is read from them is kept itself."""
+    for frame in frames:
+        jvm = frame.sparkSession.sparkContext._jvm
+        for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+            if "/chromloom-maps/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
