@@ -2,13 +2,14 @@
 
 A run is a stretch of consecutive words with smallest period q (words q apart are the same), at least max(LEAST_LENGTH,
 LEAST_EXPONENT * q) words long, that no neighbouring word extends. Periods are handled by octaves [P, 2P). In each, the
-document is cut in tiles of 8P words that start 2P apart, each with a boundary at its 2P-th word. A run of four blocks
-holds a boundary that two equal blocks follow, as boundaries are at most two periods apart. So tiles without such a square
-(told by prefix hashes of the document, for all periods at once) are left out, and the others become rows of their own.
+document is cut in tiles that start P apart, each with a boundary at its P-th word and (4 + K)P words from there on. Boundaries are at most a period
+apart, so one stands within the run's first P words, with all but P - 1 of its words or more before it. Tiles whose boundary
+is not followed by so many words of a period (told by prefix hashes of the document, for all periods at once) are left out,
+the others become rows of their own; within a long run every K-th is enough.
 
 A tile is solved alone: the Z-function of what follows the boundary gives, for each period, how far it goes on to the
 right; that of what precedes it, backwards, how far to the left. The interval is a fragment of a run, cut by the tile's
-ends at most. Tiles overlap by 6P words, so fragments of one run overlap by a period or more: sorted by document and
+ends at most. Tiles overlap by 5P words or more, so fragments of one run overlap by a period: sorted by document and
 period, they are stitched to the whole run (Main and Lorentz, "An O(n log n) algorithm for finding all repetitions", 1984).
 Multiples of a run's period give the same stretch, so the smallest of them stays.
 """
@@ -31,6 +32,8 @@ from chromloom.llm.common import set_aside, written
 LEAST_LENGTH, LEAST_EXPONENT = 6, 4
 #: Rows of tiles of one Arrow batch, at most this many words together.
 BATCH_WORDS = 2_000_000
+#: A tile's boundary is followed by at least this many words, so that tiles of short periods are not many small rows.
+LEAST_TILE = 64
 #: An odd multiplier: prefix hashes only tell tiles apart that can't hold a run, equality is the Z-function's.
 _BASE = 0x9E3779B97F4A7C15
 
@@ -63,42 +66,59 @@ def z_function(s: list[int]) -> list[int]:
     return z
 
 
+def stride(octave: int) -> int:
+    """K: within a run every K-th boundary has a tile."""
+    return max(4, LEAST_TILE // octave)
+
+
+def follows(period, octave: int):
+    """How many words after a boundary must be those a period later, where the run began at most octave - 1 words before it."""
+    return np.maximum(LEAST_LENGTH, LEAST_EXPONENT * period) - period - (octave - 1)
+
+
 def tile_fragments(tile: list[int], boundary: int, octave: int) -> Iterator[tuple[int, int, int]]:
-    """(period, start, end) in the tile, for the octave's periods of which two blocks or more stand together about the boundary."""
+    """(period, start, end) in the tile, for the octave's periods that the words after the boundary keep for long enough."""
     ahead = z_function(tile[boundary:])
-    before = tile[max(0, boundary - 2 * octave) : boundary][::-1]
-    back = [*before, -1, *tile[max(0, boundary - 2 * octave) : boundary + 2 * octave][::-1]]
-    behind = z_function(back)
+    before = tile[max(0, boundary - octave) : boundary][::-1]
+    behind = z_function([*before, -1, *tile[max(0, boundary - octave) : boundary + 2 * octave][::-1]])
     past = len(before) + 1 + min(2 * octave, len(tile) - boundary)  # where what precedes the boundary begins
     for q in range(octave, min(2 * octave, len(ahead))):
-        if ahead[q] >= q:
+        if ahead[q] >= follows(q, octave):
             yield q, boundary - behind[past - q], boundary + q + ahead[q]
 
 
-def square_tiles(ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(octave, boundary, end of tile) of the tiles whose boundary seems to be followed by two equal blocks."""
+def run_tiles(ids: np.ndarray, pairs: int = 1_000_000) -> Iterator[tuple[int, int, int]]:
+    """(octave, boundary, end of tile) of the tiles whose boundary seems to be followed by a run's words; pairs: of boundaries and periods at a time."""
     n = len(ids)
     if n < LEAST_LENGTH:
         return
-    with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]))
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers[:-1], dtype=np.uint64)])
-        octave = 1
-        while octave * LEAST_EXPONENT <= n:
-            bounds = np.arange(0, n - 2 * octave + 1, 2 * octave)
-            periods = np.arange(octave, min(2 * octave, n // LEAST_EXPONENT + 1))
-            hit = np.zeros(len(bounds), bool)
-            for some in np.array_split(np.arange(len(bounds)), 1 + len(bounds) * len(periods) // 1_000_000):
-                c = bounds[some][:, None]
-                fits = c + 2 * periods <= n
-                mid, end = np.minimum(c + periods, n), np.minimum(c + 2 * periods, n)
-                same = (sums[mid] - sums[c]) * powers[periods] == sums[end] - sums[mid]
-                hit[some] = (fits & same).any(axis=1)
-            for c in bounds[hit].tolist():
-                yield octave, c, min(n, c + 6 * octave)
-            octave *= 2
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]))
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers[:-1], dtype=np.uint64)])
+    octave = 1
+    while octave * LEAST_EXPONENT <= n:
+        periods = np.arange(octave, min(2 * octave, n // LEAST_EXPONENT + 1))
+        needed = follows(periods, octave)
+        bounds = np.arange(0, n - octave - int(needed[0]) + 1, octave)
+        kept: set[int] = set()
+        # a few boundaries at a time, each time with one more on either side
+        step = max(1, pairs // len(periods))
+        for start in range(0, len(bounds), step):
+            low = max(0, start - 1)
+            c = bounds[low : start + step + 1][:, None]
+            there = np.minimum(c + periods + needed, n)
+            same = (sums[np.minimum(c + needed, n)] - sums[c]) * powers[periods] == sums[there] - sums[np.minimum(c + periods, n)]
+            hit = same & (c + periods + needed <= n)
+            if hit.any():
+                inner = np.zeros_like(hit)
+                inner[1:-1] = hit[:-2] & hit[2:]
+                own = (hit & (~inner | (c // octave % stride(octave) == 0))).any(axis=1)
+                own[: start - low] = False
+                kept.update(x for x in c[own, 0].tolist() if x < start * octave + step * octave)
+        for c in sorted(kept):
+            yield octave, c, min(n, c + (4 + stride(octave)) * octave)
+        octave *= 2
 
 
 def exploded(docs: DataFrame, id_col: str, text_col: str, keep: list[str], change: Callable[[int, int | None], np.ndarray | None] | None) -> DataFrame:
@@ -130,8 +150,8 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, keep: list[str], chang
                     joined = b" ".join(words)
                     name = xxhash.xxh3_128_digest(joined, 13) + str(key).encode()
                     has_tiles = False
-                    for octave, boundary, end in square_tiles(ids):
-                        first = max(0, boundary - 2 * octave)
+                    for octave, boundary, end in run_tiles(ids):
+                        first = max(0, boundary - octave)
                         tiles.append((name, None, None, None, octave, first, boundary - first, ids[first:end]))
                         has_tiles, size = True, size + end - first
                         if size > BATCH_WORDS:

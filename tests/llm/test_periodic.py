@@ -2,11 +2,12 @@ import hashlib
 import random
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chromloom.llm import queries as q
-from chromloom.llm.periodic import looped, periodic_runs, square_tiles, tile_fragments, z_function
+from chromloom.llm.periodic import follows, looped, periodic_runs, run_tiles, stride, tile_fragments, z_function
 
 
 def plain_runs(words, least=6, exponent=4):
@@ -85,15 +86,18 @@ def test_z_function_and_tiles(seed):
     s = r.choices([1, 2], k=200)
     z = z_function(s)
     assert z == [next((k for k in range(len(s) - i) if s[k] != s[i + k]), len(s) - i) for i in range(len(s))]
-    import numpy as np
-
-    ids = np.asarray(s, np.int32)
-    kept = set(square_tiles(ids))
+    s = s[:70] + [1, 2, 3] * 30 + s[160:]
+    kept, every = set(run_tiles(np.asarray(s, np.int32))), 0
     for octave in (1, 2, 4, 8, 16):
-        for c in range(0, len(s) - 2 * octave + 1, 2 * octave):
-            own = [p for p in range(octave, min(2 * octave, 51)) if c + 2 * p <= 200 and s[c : c + p] == s[c + p : c + 2 * p]]
-            assert bool(own) == ((octave, c, min(200, c + 6 * octave)) in kept)
-            first, end = max(0, c - 2 * octave), min(200, c + 6 * octave)
+        fits = {c: [p for p in range(octave, min(2 * octave, 51)) if c + p + int(follows(p, octave)) <= 200 and s[c : c + follows(p, octave)] == s[c + p : c + p + follows(p, octave)]] for c in range(0, 200, octave)}
+        for c, own in fits.items():
+            tile = (octave, c, min(200, c + (4 + stride(octave)) * octave)) in kept
+            every += bool(own)
+            assert own or not tile
+            if own and not tile:  # inside a stretch of boundaries of which others are kept
+                assert all(p in fits[c - octave] and p in fits[c + octave] for p in own) and c // octave % stride(octave)
+            first, end = max(0, c - octave), min(200, c + (4 + stride(octave)) * octave)
             for p, a, b in tile_fragments(s[first:end], c - first, octave):
                 a, b = a + first, b + first
                 assert all(s[i] == s[i + p] for i in range(a, b - p)) and (a == first or s[a - 1] != s[a - 1 + p]) and (b == end or s[b] != s[b - p])
+    assert len(kept) < every and set(run_tiles(np.asarray(s, np.int32), 7)) == kept
