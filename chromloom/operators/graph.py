@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromloom.operators.neighbours import descended, pair_distances, shared_spectrum
 from chromloom.operators.tall import r_factor, task_sums
 
 
@@ -116,23 +117,36 @@ def nearest_cells(frame: DataFrame, k: int, key: str = "cell_id", vec: str = "ve
             for asked, members in zip(f["asked"], f["members"], strict=True):
                 a, b = (np.asarray([m["vec"] for m in side], np.float64) for side in (asked, members))
                 ids, own = np.asarray([m["id"] for m in members]), np.asarray([m["id"] for m in asked])
-                for start in range(0, len(a), 64):
-                    d = np.sqrt(((a[start : start + 64, None, :] - b[None]) ** 2).sum(axis=2))
-                    d[own[start : start + 64, None] == ids[None]] = np.inf
-                    for q, row in zip(own[start : start + 64], d, strict=True):
-                        top = np.lexsort((ids, row))[:k]
-                        top = top[np.isfinite(row[top])]
-                        yield pd.DataFrame({"src": q, "dst": ids[top], "dist": row[top]})
+                rough = pair_distances(a, b)
+                rough[own[:, None] == ids[None]] = np.inf
+                # what the product's rounding could hide is looked at exactly
+                slack = 1e-6 * (1 + np.sqrt((a * a).sum(axis=1).max(initial=0) + (b * b).sum(axis=1).max(initial=0)))
+                limit = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] + slack
+                rows: list[pd.DataFrame] = []
+                for q, x, row, most in zip(own, a, rough, limit, strict=True):
+                    near = np.flatnonzero((row <= most) & np.isfinite(row))
+                    dist = np.sqrt(((x - b[near]) ** 2).sum(axis=1))
+                    top = np.lexsort((ids[near], dist))[:k]
+                    rows.append(pd.DataFrame({"src": q, "dst": ids[near][top], "dist": dist[top]}))
+                yield pd.concat(rows)
 
     found = tasks.join(packed, "b").mapInPandas(run, "src long, dst long, dist double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def shared_neighbours(edges: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of nodes a < b with n common neighbours, of edges (src, dst) with a bounded number of edges a source."""
-    x, y = edges.select(F.col("src").alias("a"), "dst"), edges.select(F.col("src").alias("b"), "dst")
-    return x.join(y, "dst").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+def shared_neighbours(edges: DataFrame, part: int = 1024) -> DataFrame:
+    """(a, b, n): pairs of nodes a < b with n common neighbours, of edges (src, dst).
+
+    The sources of a dst are dealt in parts of about `part`; two parts (or one with itself) meet in one group, so that a dst
+    with very many sources is many groups of at most part^2 pairs. Pairs are counted in each task before the shuffle.
+    """
+    parts = edges.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
+    own = edges.join(parts, "dst").withColumn("p", F.pmod(F.xxhash64("src"), F.col("parts")))
+    x = own.select("dst", F.col("src").alias("x"), "p", F.explode(F.sequence(F.col("p"), F.col("parts") - 1)).alias("q"))
+    y = own.select("dst", F.col("src").alias("y"), F.col("p").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p"))).alias("p"))
+    pairs = x.join(y, ["dst", "p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("x") < F.col("y")))
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def same_label_share(edges: DataFrame, labels: DataFrame, label: str, key: str = "cell_id") -> DataFrame:
@@ -160,3 +174,20 @@ def batch_mix(frame: DataFrame, labels: DataFrame, k: int = 25, label: str = "ba
     if label not in labels.columns:
         raise ValueError(f"labels have no column {label}")
     return same_label_share(nearest_cells(frame, k), labels, label)
+
+
+def batch_mix_both(frame: DataFrame, labels: DataFrame, k: int = 25, wide: int = 50, label: str = "batch_id", seed: int = 0) -> DataFrame:
+    """(cell_id, share, share_shared): share as in batch_mix(), and the same among neighbours by shared neighbours.
+
+    The second embeds the cells by the truncated SVD (of the vectors' width) of the graph of shared neighbours among the
+    `wide` nearest, and looks at the k nearest there. Neighbours are found by descent, so nothing grows with the square of
+    the cells.
+    """
+    if label not in labels.columns:
+        raise ValueError(f"labels have no column {label}")
+    near = descended(frame, max(wide, k), seed=seed)
+    width = frame.select(F.max(F.size("vec"))).first()[0] or 1
+    spectrum, _ = shared_spectrum(near.filter(F.col("rank") <= wide), width, seed=seed)
+    second = descended(spectrum.withColumnRenamed("src", "cell_id"), k, seed=seed)
+    direct = same_label_share(near.filter(F.col("rank") <= k), labels, label)
+    return direct.join(same_label_share(second, labels, label).withColumnRenamed("share", "share_shared"), "cell_id")
