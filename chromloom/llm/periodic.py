@@ -11,13 +11,13 @@ A tile is solved alone: the Z-function of what follows the boundary gives, for e
 right; that of what precedes it, backwards, how far to the left. The interval is a fragment of a run, cut by the tile's
 ends at most. Tiles overlap by 5P words or more, so fragments of one run overlap by a period: sorted by document and
 period, they are stitched to the whole run (Main and Lorentz, "An O(n log n) algorithm for finding all repetitions", 1984).
-Multiples of a run's period give the same stretch, so the smallest of them stays.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -76,14 +76,31 @@ def follows(period, octave: int):
     return np.maximum(LEAST_LENGTH, LEAST_EXPONENT * period) - period - (octave - 1)
 
 
+@lru_cache(100_000)
+def largest_divisors(q: int) -> tuple[int, ...]:
+    """q divided by each of its prime factors."""
+    rest, p, out = q, 2, []
+    while p * p <= rest:
+        if rest % p == 0:
+            out.append(q // p)
+            while rest % p == 0:
+                rest //= p
+        p += 1
+    return tuple([*out, q // rest] if rest > 1 else out)
+
+
 def tile_fragments(tile: list[int], boundary: int, octave: int) -> Iterator[tuple[int, int, int]]:
-    """(period, start, end) in the tile, for the octave's periods that the words after the boundary keep for long enough."""
+    """(period, start, end) in the tile, for the octave's periods that the words after the boundary keep for long enough.
+
+    A period is left out if its first block is itself some equal blocks, which the same Z-function tells: the stretch then
+    has a smaller period.
+    """
     ahead = z_function(tile[boundary:])
     before = tile[max(0, boundary - octave) : boundary][::-1]
     behind = z_function([*before, -1, *tile[max(0, boundary - octave) : boundary + 2 * octave][::-1]])
     past = len(before) + 1 + min(2 * octave, len(tile) - boundary)  # where what precedes the boundary begins
     for q in range(octave, min(2 * octave, len(ahead))):
-        if ahead[q] >= follows(q, octave):
+        if ahead[q] >= follows(q, octave) and not any(ahead[d] >= q - d for d in largest_divisors(q)):
             yield q, boundary - behind[past - q], boundary + q + ahead[q]
 
 
@@ -148,7 +165,7 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, keep: list[str], chang
                     if source is not None:
                         ids, words = ids[source], [words[i] for i in source.tolist()]
                     joined = b" ".join(words)
-                    name = xxhash.xxh3_128_digest(joined, 13) + str(key).encode()
+                    name = xxhash.xxh3_128_digest(f"{key} ".encode() + joined, 13)
                     has_tiles = False
                     for octave, boundary, end in run_tiles(ids):
                         first = max(0, boundary - octave)
@@ -168,7 +185,7 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, keep: list[str], chang
 
 
 def solved(tiles: DataFrame) -> DataFrame:
-    """(__key, period, start, end): the distinct fragments of all tiles, in places of the document."""
+    """(__key, period, start, end): the fragments of all tiles, in places of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +198,7 @@ def solved(tiles: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["__key", "period", "start", "end"])
 
     dealt = tiles.select("__key", "octave", "first", "boundary", "tile").repartition(F.xxhash64("__key", "octave", "first"))
-    return dealt.mapInArrow(run, "__key binary, period long, start long, end long").distinct()
+    return dealt.mapInArrow(run, "__key binary, period long, start long, end long")
 
 
 def stitched(fragments: DataFrame) -> DataFrame:
