@@ -2,7 +2,8 @@
 
 Contacts: cell_id, chrom1, pos1, chrom2, pos2, cnt. Maps are sparse: cell_id, chrom, row, col, v. A map from
 upper_map() holds each pair of bins once (row <= col); symmetric() gives both triangles with the diagonal doubled.
-Dimension tables (chromosomes, blacklists) are joined without hints: Spark broadcasts them while they are small.
+Chromosomes become a list of literals and blacklists a broadcast while they have no more than FEW rows, which is counted; larger
+ones are joined as any table.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Width of the tiles by which positions and intervals meet in an equi-join.
 TILE = 1_000_000
+#: Rows of a dimension table that may ride with the tasks.
+FEW = 100_000
 
 
 def close_contacts(contacts: DataFrame, min_distance: int = 2500) -> DataFrame:
@@ -21,7 +24,10 @@ def close_contacts(contacts: DataFrame, min_distance: int = 2500) -> DataFrame:
 
 
 def on_chromosomes(contacts: DataFrame, chroms: DataFrame) -> DataFrame:
-    """Contacts whose first chromosome is listed."""
+    """Contacts whose first chromosome is listed: a predicate, so no contact is shuffled for it."""
+    names = [r[0] for r in chroms.select("chrom").distinct().limit(FEW // 100 + 1).collect()]
+    if len(names) <= FEW // 100:
+        return contacts.filter(F.col("chrom1").isin([n for n in names if n is not None]))
     return contacts.join(chroms.select(F.col("chrom").alias("chrom1")).distinct(), "chrom1", "left_semi").select(*contacts.columns)
 
 
@@ -33,6 +39,8 @@ def _tiles(blacklist: DataFrame) -> DataFrame:
 def remove_blacklisted(contacts: DataFrame, blacklist: DataFrame) -> DataFrame:
     """Contacts with neither end in a blacklisted interval [bstart, bend) of its chromosome."""
     out, tiles = contacts, _tiles(blacklist)
+    if tiles.limit(FEW + 1).count() <= FEW:
+        tiles = F.broadcast(tiles)
     for end in ("1", "2"):
         pos = F.col(f"pos{end}")
         b = tiles.select(*(F.col(c).alias(f"__{c}") for c in tiles.columns))

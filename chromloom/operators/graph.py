@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromloom.operators.neighbours import descended, pair_distances, shared_spectrum
+from chromloom.operators.ranks import exact_quantiles
 from chromloom.operators.tall import r_factor, task_sums
 
 
@@ -28,17 +29,26 @@ def one_hot(frame: DataFrame, label: str, values: list) -> list[Column]:
     return [(F.col(label) == v).cast("double").alias(f"{label}_{v}") for v in sorted(values)]
 
 
+def _marks(frame: DataFrame, by: list[str], value: str, n_quantiles: int) -> tuple[list[float], dict[tuple, list[float]]]:
+    """(shares, their quantiles by group): as many landmarks as asked for, but no more than rows."""
+    n = frame.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    k = max(2, min(n_quantiles, n))
+    grid = [i / (k - 1) for i in range(k)]
+    found: dict[tuple, list[float]] = {}
+    if n:
+        for r in exact_quantiles(frame, by, value, grid).orderBy(*by, "q").collect():  # n_quantiles numbers a group
+            found.setdefault(tuple(r[c] for c in by), []).append(r["x"])
+    return grid, found
+
+
 def quantile_uniform(frame: DataFrame, column: str, n_quantiles: int = 100) -> DataFrame:
     """column mapped to [0, 1] by its quantiles: the mean of interpolations from below and above, so that ties get the middle of their range."""
-    n = frame.count()
-    k = max(2, min(n_quantiles, n)) if n else 2
-    grid = [i / (k - 1) for i in range(k)]
-    marks = frame.agg(F.percentile(column, F.array(*map(F.lit, grid))).alias("q")).first()["q"] or []  # k numbers
-    if not marks:
+    grid, found = _marks(frame, [], column, n_quantiles)
+    if not found:
         return frame
-    x = F.col(column)
+    marks, x = found[()], F.col(column)
     ups, downs = [], []  # one flat list each: nested expressions take the optimizer exponential time
-    for i in range(1, k):
+    for i in range(1, len(grid)):
         a, b, lo, hi = grid[i - 1], grid[i], marks[i - 1], marks[i]
         if hi > lo:
             inside = F.lit(a) + (x - lo) / (hi - lo) * (b - a)
@@ -50,6 +60,31 @@ def quantile_uniform(frame: DataFrame, column: str, n_quantiles: int = 100) -> D
     return frame.withColumn(column, middle)
 
 
+def quantile_uniform_vectors(frame: DataFrame, vec: str = "vec", n_quantiles: int = 100) -> DataFrame:
+    """Every component of the vectors mapped to [0, 1] by its own quantiles, as quantile_uniform() does; nulls stay."""
+    flat = frame.select(F.posexplode(vec).alias("i", "x"))
+    grid, found = _marks(flat, ["i"], "x", n_quantiles)
+    if not found:
+        return frame
+    shares, marks = np.asarray(grid), np.asarray([found[(i,)] for i in range(len(found))])
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        some = s.notna()
+        if not some.any():
+            return s
+        x = np.stack(s[some].to_numpy()).astype(np.float64)
+        out = np.empty_like(x)
+        for i, own in enumerate(marks):
+            middle = (np.interp(x[:, i], own, shares) - np.interp(-x[:, i], -own[::-1], -shares[::-1])) / 2
+            out[:, i] = np.where(x[:, i] == own[0], 0.0, np.where(x[:, i] == own[-1], 1.0, middle))
+        whole = pd.Series([None] * len(s), dtype=object)
+        whole[some.to_numpy()] = pd.Series(list(out), index=whole.index[some.to_numpy()])
+        return whole
+
+    return frame.withColumn(vec, run(F.col(vec)))
+
+
 def gram_of(frame: DataFrame, vec: str = "vec", add_ones: bool = False, first: int | None = None) -> np.ndarray:
     """The Gram matrix of the rows (with a leading column of ones, if asked), or its first rows; one array a task, summed in a tree."""
 

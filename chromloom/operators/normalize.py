@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromloom.operators.ranks import group_ranks
+
 EPS = 1e-15
 
 
@@ -190,12 +192,13 @@ def center_groups(frame: DataFrame, value: str, *by: str) -> DataFrame:
 def quantile_normalize(frame: DataFrame, group: str, column: str, item: str, value: str) -> DataFrame:
     """frame (group, column, item, value) with each value replaced by the mean, over columns, of the values at its rank.
 
-    Means are taken by first-come ranks (ties in the order of item); a tied value gets the mean of its smallest rank.
+    Means are taken by first-come ranks (ties in the order of item); a tied value gets the mean of its smallest rank. Ranks come
+    from sorted ranges, so no task holds a whole column. Rows with a null in these columns are left out.
     """
-    w = Window.partitionBy(group, column)
-    ranked = frame.withColumns({"__first": F.row_number().over(w.orderBy(value, item)), "__least": F.rank().over(w.orderBy(value))})
+    ranked = group_ranks(frame, [group, column], [value, item], name="__first")
+    least = ranked.groupBy(group, column, value).agg(F.min("__first").alias("__least"))
     means = ranked.groupBy(group, F.col("__first").alias("__least")).agg(F.avg(value).alias("__mean"))
-    return ranked.join(means, [group, "__least"]).withColumn(value, F.col("__mean")).select(*frame.columns)
+    return ranked.join(least, [group, column, value]).join(means, [group, "__least"]).withColumn(value, F.col("__mean")).select(*frame.columns)
 
 
 def scale_column_batches(maps: DataFrame, cells: DataFrame) -> DataFrame:

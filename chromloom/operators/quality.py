@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chromloom.operators.ranks import numbered
+
 
 def all_cells(contacts: DataFrame) -> DataFrame:
     """Cells 0 .. the largest id, with or without contacts."""
-    top = contacts.agg(F.coalesce(F.max("cell_id"), F.lit(-1)).cast("long").alias("top"))
-    return top.filter("top >= 0").select(F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("cell_id"))
+    top = contacts.agg(F.max("cell_id")).first()[0]
+    return contacts.sparkSession.range(0 if top is None else top + 1).select(F.col("id").alias("cell_id"))
 
 
 def row_thresholds(upper: DataFrame, bins: DataFrame, resolution: int) -> DataFrame:
@@ -43,11 +45,8 @@ def cell_quality(upper: DataFrame, cells: DataFrame, bins: DataFrame, resolution
 
 
 def cell_order(quality: DataFrame) -> DataFrame:
-    """(cell_id, kept, cell_ord): kept cells first, each half by id. Two window partitions of narrow rows, one a half."""
-    kept = quality.select("cell_id", "kept")
-    rank = F.row_number().over(Window.partitionBy("kept").orderBy("cell_id"))
-    good = kept.agg(F.count(F.when(F.col("kept"), 1)).alias("good"))
-    return kept.withColumn("rank", rank).join(F.broadcast(good)).select("cell_id", "kept", (F.col("rank") - 1 + F.when(F.col("kept"), 0).otherwise(F.col("good"))).cast("long").alias("cell_ord"))
+    """(cell_id, kept, cell_ord): kept cells first, each half by id; numbered over sorted ranges, without a window."""
+    return numbered(quality.select("cell_id", "kept"), F.col("kept").desc(), F.col("cell_id"), name="cell_ord")
 
 
 def with_labels(cells: DataFrame, labels: DataFrame | None, plot_label: str | None = None) -> DataFrame:
