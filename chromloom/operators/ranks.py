@@ -30,8 +30,8 @@ def numbered(frame: DataFrame, *order: Column | str, name: str = "rank") -> Data
 def group_ranks(frame: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """frame with each row's place 0, 1, 2 ... within its group (by), in the order of the columns."""
     all_ = numbered(frame, *by, *order, name=name)
-    first = all_.groupBy(*by).agg(F.min(name).alias("__first"))
-    return all_.join(first, by).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
+    first = all_.groupBy(*by).agg(F.min(name).alias("__start"))
+    return all_.join(first, by).withColumn(name, F.col(name) - F.col("__start")).drop("__start")
 
 
 def exact_quantiles(frame: DataFrame, by: list[str], value: str, grid: list[float]) -> DataFrame:
