@@ -362,16 +362,23 @@ def cp_rows(
 
 def fit(
     tensor: DataFrame, bins: dict[str, int], n_good: int, widths: dict[str, int], rank: int, sweeps: int, tolerance: float = 2e-5, inner: int = 1, seed: int = 0,
-    heights: dict[str, int] | None = None, pools: dict[str, list[tuple[int, int]]] | None = None,
+    heights: dict[str, int] | None = None, pools: dict[str, list[tuple[int, int]]] | None = None, start: Factors | None = None,
 ) -> Factors:
     """Sweeps until the relative error settles; losses holds sqrt(|X - model|^2 / |X|^2) before each update of the factors.
 
     bins: columns of each chromosome; heights: its rows where these differ, as when stacked() puts several resolutions
     below one another. These share B and D and have rows of A and projections of their own. pools: see init_factors().
-    What a sweep keeps in the shared folder is deleted by the next.
+    start: factors of an earlier fit of the same cells and bins to go on from, in place of init_factors(); they stay as they
+    are. What a sweep keeps in the shared folder is deleted by the next.
     """
     good = kept(cell_blocks(tensor.filter(F.col("cell_ord") < n_good)))
-    f = init_factors(good, bins, widths, rank, pools, seed, heights)
+    if start is None:
+        f = init_factors(good, bins, widths, rank, pools, seed, heights)
+    else:
+        wrong = {c for c in bins if start.d[c].shape[1] != widths[c]}
+        if wrong:
+            raise ValueError(f"the start's factors have other widths: {sorted(wrong)}")
+        f = Factors(RowFactor(kept(start.a_rows()), list(bins)), dict(start.b), dict(start.d), kept(start.v))
     grams = row_grams(f.a)
     total = good.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
     for it in range(sweeps):

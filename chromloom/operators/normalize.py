@@ -6,6 +6,8 @@ a chromosome whatever the number of cells, and are joined back to the entries.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,10 +106,26 @@ def log_clip(maps: DataFrame, deviations: float = 15.0) -> DataFrame:
     return logs.join(limits, "chrom").withColumn("v", F.least("v", "__limit")).select(*maps.columns)
 
 
-def pack(maps: DataFrame, bins: DataFrame, off_diag: int, factor: int = 1, bad_bins: DataFrame | None = None, batch_norm: bool = False) -> DataFrame:
+def strip_offsets(maps: DataFrame, strips: int | list[int], *keys: str) -> DataFrame:
+    """maps with their offsets col - row in strips, coordinates that fall together summed; col is row + the strip's number.
+
+    strips: a number of offsets that a strip has (centred on the diagonal), or a table of the strip of each absolute offset,
+    which keeps the sign; entries beyond the table's end go.
+    """
+    off = F.col("col") - F.col("row")
+    if isinstance(strips, int):
+        near = F.floor((F.abs(off) + strips // 2) / strips)
+    else:
+        near = F.get(F.array(*(F.lit(int(x)) for x in strips)), F.abs(off).cast("int"))
+    placed = maps.withColumn("col", F.col("row") + (near * F.signum(off)).cast("long")).filter(F.col("col").isNotNull())
+    return placed.groupBy(*keys, "row", "col").agg(F.sum("v").alias("v"))
+
+
+def pack(maps: DataFrame, bins: DataFrame, off_diag: int, factor: int = 1, bad_bins: DataFrame | None = None, batch_norm: bool = False, strips: int | list[int] = 1) -> DataFrame:
     """The packed tensor of maps (cell_id, chrom, row, col, v and, for batch_norm, batch_id); bins: (chrom, n_bin).
 
-    Order: blacklisted bins, coarsening, band, bulk, valid bins, batch and depth normalisation, compaction, ln(1 + v), clip.
+    Order: blacklisted bins, coarsening, band, bulk, valid bins, batch and depth normalisation, compaction, strips of offsets
+    (see strip_offsets; 1: none), ln(1 + v), clip.
     """
     keys = ("cell_id", "chrom", *(("batch_id",) if "batch_id" in maps.columns else ()))
     out = drop_bins(maps, bad_bins) if bad_bins is not None else maps
@@ -116,7 +134,8 @@ def pack(maps: DataFrame, bins: DataFrame, off_diag: int, factor: int = 1, bad_b
     if batch_norm:
         out = batch_normalize(out, off_diag)
     out = depth_normalize(out, bins.select("chrom", F.ceil(F.col("n_bin") / factor).alias("n")))
-    return log_clip(remap(out, mapping))
+    out = remap(out, mapping)
+    return log_clip(out if strips == 1 else strip_offsets(out, strips, *keys))
 
 
 def sparsity(maps: DataFrame, bins: DataFrame, n_cells: int) -> DataFrame:
@@ -153,20 +172,63 @@ def _rescaled(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
     return after.join(totals, list(keys)).join(now, list(keys)).withColumn("v", F.col("v") * F.col("__was") / (F.col("__is") + EPS)).select(*after.columns)
 
 
+def coverage_normalizer(root: bool = False) -> Callable[[DataFrame], Callable[..., DataFrame]]:
+    """A normaliser for normalize_per_cell(): divides by the bulk's row sums (root: their square roots) at both ends and keeps totals."""
+
+    def fit(sums: DataFrame) -> Callable[..., DataFrame]:
+        cov = coverage(sums).withColumn("f", (F.sqrt("cov") if root else F.col("cov")) + EPS)
+
+        def apply(maps: DataFrame, *keys: str) -> DataFrame:
+            out = maps
+            for axis in ("row", "col"):
+                out = out.join(cov.select("chrom", F.col("bin").alias(axis), F.col("f").alias(f"__{axis}")), ["chrom", axis])
+            return _rescaled(maps, out.withColumn("v", F.col("v") / (F.col("__row") * F.col("__col"))).select(*maps.columns), *keys)
+
+        return apply
+
+    return fit
+
+
+def distance_normalizer(bins: DataFrame) -> Callable[[DataFrame], Callable[..., DataFrame]]:
+    """A normaliser for normalize_per_cell(): divides by the bulk's expectation at the distance and keeps totals."""
+
+    def fit(sums: DataFrame) -> Callable[..., DataFrame]:
+        expected = expected_by_distance(sums, bins, "chrom")
+
+        def apply(maps: DataFrame, *keys: str) -> DataFrame:
+            out = maps.withColumn("d", F.abs(F.col("col") - F.col("row"))).join(expected, ["chrom", "d"])
+            return _rescaled(maps, out.withColumn("v", F.col("v") / (F.col("expected") + EPS)).select(*maps.columns), *keys)
+
+        return apply
+
+    return fit
+
+
+def normalize_per_cell(
+    maps: DataFrame, normalizers: Sequence[Callable[[DataFrame], Callable[..., DataFrame]]] = (), functions: Sequence[Callable[[DataFrame], DataFrame]] = (), sums: DataFrame | None = None
+) -> DataFrame:
+    """maps (cell_id, chrom, row, col, v) through the normalisers, one after the other, then through the functions.
+
+    Each normaliser is fitted on the bulk map as the ones before it left that (sums; by default the sum of maps), and applied
+    to it and to every cell's maps. A function takes and returns maps.
+    """
+    sums = bulk(maps) if sums is None else sums
+    for fit in normalizers:
+        apply = fit(sums)
+        maps, sums = apply(maps, "cell_id", "chrom"), apply(sums, "chrom")
+    for f in functions:
+        maps = f(maps)
+    return maps
+
+
 def vanilla_coverage(maps: DataFrame, root: bool = False, *keys: str) -> DataFrame:
     """Divides by the bulk's row sums (root: their square roots) at both ends and keeps each map's total."""
-    cov = coverage(bulk(maps)).withColumn("f", (F.sqrt("cov") if root else F.col("cov")) + EPS)
-    out = maps
-    for axis in ("row", "col"):
-        out = out.join(cov.select("chrom", F.col("bin").alias(axis), F.col("f").alias(f"__{axis}")), ["chrom", axis])
-    return _rescaled(maps, out.withColumn("v", F.col("v") / (F.col("__row") * F.col("__col"))).select(*maps.columns), *(keys or ("cell_id", "chrom")))
+    return coverage_normalizer(root)(bulk(maps))(maps, *(keys or ("cell_id", "chrom")))
 
 
 def distance_normalize(maps: DataFrame, bins: DataFrame) -> DataFrame:
     """Divides by the bulk's expectation at the distance and keeps each map's total."""
-    expected = expected_by_distance(bulk(maps), bins, "chrom")
-    out = maps.withColumn("d", F.abs(F.col("col") - F.col("row"))).join(expected, ["chrom", "d"]).withColumn("v", F.col("v") / (F.col("expected") + EPS)).select(*maps.columns)
-    return _rescaled(maps, out, "cell_id", "chrom")
+    return distance_normalizer(bins)(bulk(maps))(maps, "cell_id", "chrom")
 
 
 def clip_above(maps: DataFrame, by: tuple[str, ...] = ("chrom", "row", "col"), deviations: float = 1.0) -> DataFrame:

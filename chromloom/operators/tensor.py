@@ -132,6 +132,39 @@ def from_banded(rows: DataFrame, half_width: int) -> DataFrame:
     return rows.withColumn("col", F.col("row") + F.col("offset") - half_width).drop("offset")
 
 
+def reformatted(maps: DataFrame, off_diag: int, n_bins: int, valid: DataFrame | None = None) -> DataFrame:
+    """(.., row, offset, v): the band of one chromosome's maps, of 2 * off_diag + 1 columns or n_bins if these are fewer.
+
+    The offset counts from row - half the width. valid: (bin), of which both ends must be; by default all are.
+    """
+    width = min(2 * off_diag + 1, n_bins)
+    left, right = width // 2, (width + 1) // 2
+    off, out = F.col("col") - F.col("row"), maps
+    for axis in ("row", "col") if valid is not None else ():
+        out = out.join(valid.select(F.col("bin").alias(axis)), axis, "left_semi").select(*maps.columns)
+    return out.filter((off >= -left) & (off < right)).withColumn("offset", off + left).drop("col")
+
+
+def validity_mask(rows: DataFrame, off_diag: int, n_bins: int) -> DataFrame:
+    """(row, offset, valid) of each place of a band as reformatted() lays it out: whether it is a column of the map; rows: (row)."""
+    width = min(2 * off_diag + 1, n_bins)
+    left, right = width // 2, (width + 1) // 2
+    place = F.col("row") + F.col("offset")
+    grid = rows.select(F.col("row").cast("long").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("offset"))
+    return grid.withColumn("valid", (place >= left) & (place < n_bins + width - right))
+
+
+def sliced_strips(maps: DataFrame, strips: int, width: int, start: int = 0) -> DataFrame:
+    """(.., row, strip, v): strip k holds the columns row + start + k, for k below strips and columns below width."""
+    strip = F.col("col") - F.col("row") - start
+    return maps.filter((strip >= 0) & (strip < strips) & (F.col("row") + strip < width)).withColumn("strip", strip).drop("col")
+
+
+def tilted_strips(rows: DataFrame, strips: int) -> DataFrame:
+    """(.., row, col, v) of (.., row, strip, v): columns row + strip; those of strips or more go, as in the square form."""
+    return rows.filter(F.col("row") + F.col("strip") < strips).withColumn("col", F.col("row") + F.col("strip")).drop("strip")
+
+
 def coarsen_offsets(maps: DataFrame, factor: int, *keys: str) -> DataFrame:
     """Offsets col - row in bins of factor around the diagonal, summed; (.., row, offset, v)."""
     off = F.col("col") - F.col("row")

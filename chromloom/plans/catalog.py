@@ -14,12 +14,15 @@ from chromloom.operators import normalize as nz
 from chromloom.operators import quality as qc
 from chromloom.operators import sampling as sp
 from chromloom.operators import smooth as sm
+from chromloom.operators import tall as tl
 from chromloom.operators import tensor as t
 from chromloom.plans import fixtures as fx
 from chromloom.plans import workflow as wf
+from chromloom.sources import files
 from chromloom.sources.files import Config
-from chromloom.sources.shared import kept
+from chromloom.sources.shared import kept, shared_path
 from chromloom.sources.ship import ship_package
+from chromloom.streaming import increments as inc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +68,63 @@ def chrom_bins(spark, d):
     return near.join(fx.bins(spark), "chrom").select("chrom", "n_contacts", "n_bin", "bin_start", "bin_end")
 
 
+def written_contacts(spark, d) -> DataFrame:
+    """The contacts in the columns of contact files."""
+    return fx.contact_pairs(spark, d).select(F.lit("c").alias("cell_name"), "cell_id", "chrom1", "pos1", "chrom2", "pos2", F.col("cnt").alias("count"))
+
+
+def written_dimensions(spark, root: str) -> Config:
+    """Chromosome sizes and blacklist as files; a config that names them."""
+    fx.chrom_sizes(spark).select("chrom", "size").write.csv(f"{root}/sizes.txt", sep="\t")
+    fx.blacklist(spark).write.csv(f"{root}/blacklist.bed", sep="\t")
+    return Config([name for name, _, _ in fx.CHROMS], data_dir=root, resolution=fx.RESOLUTION, genome_reference_path=f"{root}/sizes.txt", blacklist=f"{root}/blacklist.bed")
+
+
+UPPER = 'SELECT cell_id, chrom, r AS "row", c AS col, round(v, 6) AS v FROM up'
+
+
+@query(UPPER)
+def files_one_table(spark, d):
+    """The base maps of one table of contacts with chromosome sizes and a blacklist, all read from files."""
+    root = shared_path(spark)
+    written_contacts(spark, d).write.csv(f"{root}/data.txt", sep="\t", header=True)
+    config = written_dimensions(spark, root)
+    given = wf.read_inputs(spark, config)
+    return wf.base_maps(given["contacts"], given["sizes"], config, given["blacklist"])
+
+
+@query(UPPER)
+def files_by_cell(spark, d):
+    """The same from one file a cell and a listing of these."""
+    root = shared_path(spark)
+    by_cell = written_contacts(spark, d).drop("cell_name").repartition("cell_id").write.partitionBy("cell_id")
+    by_cell.csv(f"{root}/cells", sep="\t", header=True)
+    names = sorted(spark.read.text(f"{root}/cells").inputFiles(), key=lambda x: int(x.rpartition("cell_id=")[2].partition("/")[0]))
+    spark.createDataFrame([("\n".join(names),)], "value string").coalesce(1).write.text(f"{root}/filelist.txt")
+    config = written_dimensions(spark, root)
+    config.input_format = "v2"
+    given = wf.read_inputs(spark, config)
+    return wf.base_maps(given["contacts"], given["sizes"], config, given["blacklist"])
+
+
+@query(f"SELECT {OUT}, round(v, 6) AS v FROM sym")
+def map_files(spark, d):
+    """Maps written with one folder a chromosome, and read back."""
+    root = shared_path(spark)
+    files.write_maps(fx.maps(spark, d), root)
+    return files.read_maps(spark, root).select(*KEYS, "v")
+
+
+@query(", al AS (SELECT cell_id, chrom1 AS chrom, CAST(floor(least(pos1, pos2) / 500000.0) AS BIGINT) AS r, CAST(floor(greatest(pos1, pos2) / 500000.0) AS BIGINT) AS c, sum(cnt) AS v FROM close GROUP BY 1, 2, 3, 4) SELECT cell_id, chrom, r AS \"row\", c AS col, CAST(v AS DOUBLE) AS v FROM al")
+def streamed_map(spark, d):
+    """The map of contact files that arrive in micro-batches, merged into versioned buckets."""
+    root = shared_path(spark)
+    written_contacts(spark, d).repartition(6).write.csv(f"{root}/in", sep="\t", header=True)
+    stream = inc.accumulate(inc.stream_contacts(spark, f"{root}/in", 2), fx.RESOLUTION, f"{root}/map", f"{root}/progress", buckets=4, merge=2)
+    stream.awaitTermination()
+    return inc.accumulated_map(spark, f"{root}/map")
+
+
 @query(f"SELECT {OUT}, round(v, 6) AS v FROM sym")
 def contact_map(spark, d):
     return fx.maps(spark, d)
@@ -149,10 +209,12 @@ def cell_order(spark, d):
     return qc.cell_order(quality(spark, d))
 
 
-@query(QC + ORDER + " SELECT cell_ord, cell_id, CAST(cell_ord * 2 AS BIGINT) AS x FROM oo")
+@query(QC + ORDER + " SELECT cell_ord, oo.cell_id, n_unique AS x FROM oo JOIN qq ON qq.cell_id = oo.cell_id")
 def restore_order(spark, d):
-    order = qc.cell_order(quality(spark, d))
-    return qc.restore_order(order.select("cell_ord", (F.col("cell_ord") * 2).alias("x")), order).select("cell_ord", "cell_id", "x")
+    cells = kept(quality(spark, d))
+    order = qc.cell_order(cells)
+    by_place = order.join(cells.select("cell_id", "n_unique"), "cell_id").select("cell_ord", F.col("n_unique").alias("x"))
+    return qc.restore_order(by_place, order).select("cell_ord", "cell_id", "x")
 
 
 @query("SELECT cell_id, concat('b', CAST(cell_id % 3 AS STRING)) AS batch_id, 'none' AS cell_type FROM cells")
@@ -204,6 +266,15 @@ def packed_tensor(spark, d):
     return packed.select(*KEYS, "v")
 
 
+STRIPS = ", st AS (SELECT cell_id, chrom, r, CAST(r + floor((abs(c - r) + 1) / 3.0) * sign(c - r) AS BIGINT) AS c, sum(v) AS v FROM rm GROUP BY 1, 2, 3, 4)"
+
+
+@query(MAPPING + DEPTH.format("band") + ", rm AS (SELECT cell_id, b.chrom, x.new_bin AS r, y.new_bin AS c, v FROM dn b JOIN vb x ON x.chrom = b.chrom AND x.bin = r JOIN vb y ON y.chrom = b.chrom AND y.bin = c)" + STRIPS + CLIP.format("st", 15) + f" SELECT {OUT}, round(v, 6) AS v FROM lc")
+def packed_strips(spark, d):
+    """The packed tensor with three offsets a strip."""
+    return nz.pack(fx.maps(spark, d), fx.bins(spark), fx.OFF_DIAG, strips=3).select(*KEYS, "v")
+
+
 @query("SELECT count(*) AS n_stored, (SELECT CAST(sum(n * n) * (SELECT count(*) FROM cells) AS BIGINT) FROM nb) AS n_dense, round(count(*) / (SELECT sum(n * n) * (SELECT count(*) FROM cells) FROM nb), 6) AS share FROM band")
 def sparsity(spark, d):
     return nz.sparsity(fx.band(spark, d), fx.bins(spark), qc.all_cells(fx.contact_pairs(spark, d)).count())
@@ -275,6 +346,11 @@ def diag_zero(spark, d):
 VEC = ", cv AS (SELECT vec_id AS cell_id, CAST(embedding AS DOUBLE[]) AS vec, label, concat('b', CAST(vec_id % 3 AS STRING)) AS batch_id FROM embeddings), fl AS (SELECT cell_id, batch_id, label, unnest(range(len(vec))) AS i, unnest(vec) AS x FROM cv)"
 
 
+def flat(frame: DataFrame, *keys: str) -> DataFrame:
+    """(keys, i, x): a row for each number of the vectors."""
+    return frame.select(*keys, F.posexplode("vec").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
 def flat_vectors(spark, d):
     return fx.cell_vectors(spark, d).select("cell_id", "batch_id", "label", F.posexplode("vec").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
 
@@ -309,6 +385,29 @@ def tilt_band(spark, d):
     return t.from_banded(t.banded(fx.maps(spark, d), fx.OFF_DIAG), fx.OFF_DIAG).select(*KEYS, "v")
 
 
+@query("SELECT cell_id, r AS \"row\", c - r + 5 AS \"offset\", round(v, 6) AS v FROM sym WHERE chrom = 'chr1' AND c - r BETWEEN -5 AND 5 AND r NOT IN (2, 7) AND c NOT IN (2, 7)")
+def band_reformat(spark, d):
+    """The band of one chromosome's maps with the bins that are valid."""
+    valid = spark.range(42).filter("id not in (2, 7)").select(F.col("id").alias("bin"))
+    return t.reformatted(fx.maps(spark, d).filter("chrom = 'chr1'").drop("chrom"), fx.OFF_DIAG, 42, valid).select("cell_id", "row", "offset", "v")
+
+
+@query("SELECT r AS \"row\", o AS \"offset\", r + o >= 5 AND r + o < 47 AS valid FROM (SELECT DISTINCT r FROM sym WHERE chrom = 'chr1') CROSS JOIN (SELECT unnest(range(11)) AS o)")
+def band_mask(spark, d):
+    """Which places of the band of each row of one chromosome are columns of the map."""
+    return t.validity_mask(fx.maps(spark, d).filter("chrom = 'chr1'").select("row").distinct(), fx.OFF_DIAG, 42)
+
+
+@query('SELECT cell_id, chrom, r AS "row", c - r AS strip, round(v, 6) AS v FROM sym WHERE c - r BETWEEN 0 AND 7')
+def strip_slices(spark, d):
+    return t.sliced_strips(fx.maps(spark, d), 8, 42)
+
+
+@query('SELECT cell_id, chrom, r AS "row", c AS col, round(v, 6) AS v FROM sym WHERE c - r BETWEEN 0 AND 29 AND c < 30')
+def strip_tilt(spark, d):
+    return t.tilted_strips(t.sliced_strips(fx.maps(spark, d), 30, 42), 30).select(*KEYS, "v")
+
+
 @query(', k AS (SELECT cell_id, chrom, r, CAST(floor((abs(c - r) + 1) / 3.0) * sign(c - r) AS BIGINT) AS o, v FROM band) SELECT cell_id, chrom, r AS "row", o AS "offset", round(sum(v), 6) AS v FROM k GROUP BY 1, 2, 3, 4')
 def strip_coarsen(spark, d):
     return t.coarsen_offsets(fx.band(spark, d), 3, "cell_id", "chrom")
@@ -496,6 +595,26 @@ def shared_neighbors(spark, d):
     return g.shared_neighbours(g.nearest_cells(fx.cell_vectors(spark, d), 10))
 
 
+@query(None)
+def neighbour_descent(spark, d):
+    """About the ten nearest of each cell, by descent; tests hold its recall against knn_exact."""
+    return g.descended(fx.cell_vectors(spark, d), 10)
+
+
+@query(None)
+def shared_spectrum(spark, d):
+    """The eight leading components of the graph of shared neighbours among the ten nearest."""
+    out, _ = g.shared_spectrum(g.nearest_cells(fx.cell_vectors(spark, d), 10), 8)
+    return flat(out, "src")
+
+
+@query(None)
+def batch_mix_both(spark, d):
+    """Both scores: among the nearest cells, and among the nearest by shared neighbours."""
+    v = fx.cell_vectors(spark, d)
+    return g.batch_mix_both(v, v.select("cell_id", "batch_id"), 10, 20)
+
+
 @query(VEC + KNN + " SELECT src AS cell_id, round(avg(CASE WHEN p.batch_id = q.batch_id THEN 1.0 ELSE 0.0 END), 6) AS share FROM kn JOIN cv p ON p.cell_id = src JOIN cv q ON q.cell_id = dst GROUP BY 1")
 def batch_mix(spark, d):
     v = fx.cell_vectors(spark, d)
@@ -527,19 +646,21 @@ def l2_normalize(spark, d):
     return g.l2_normalize(fx.cell_vectors(spark, d)).select("cell_id", F.posexplode("vec").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
 
 
-QUANT = """,
-xs AS (SELECT cell_id, round(vec[1], 2) AS x FROM cv),
-mk AS (SELECT unnest(range(21)) AS g, unnest(quantile_cont(x, [0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1])) AS q FROM xs),
-sg AS (SELECT a.g, a.q AS lo, b.q AS hi FROM mk a JOIN mk b ON b.g = a.g + 1 WHERE b.q > a.q)
-SELECT cell_id, round(CASE WHEN x = (SELECT min(q) FROM mk) THEN 0 WHEN x = (SELECT max(q) FROM mk) THEN 1 ELSE
-  ((SELECT (g + (x - lo) / (hi - lo)) / 20.0 FROM sg WHERE x >= lo AND x < hi) + (SELECT (g + (x - lo) / (hi - lo)) / 20.0 FROM sg WHERE x > lo AND x <= hi)) / 2 END, 6) AS x FROM xs
+QUANT = f""",
+xs AS (SELECT cell_id, i, round(x, 2) AS x FROM fl), xd AS (SELECT DISTINCT i, x FROM xs),
+mk AS (SELECT i, unnest(range(100)) AS g, unnest(quantile_cont(x, [{', '.join(repr(k / 99) for k in range(100))}])) AS q FROM xs GROUP BY i),
+sg AS (SELECT a.i, a.g, a.q AS lo, b.q AS hi FROM mk a JOIN mk b ON b.i = a.i AND b.g = a.g + 1 WHERE b.q > a.q),
+qu AS (SELECT xd.i, x, max((g + (x - lo) / (hi - lo)) / 99.0) AS u FROM xd JOIN sg ON sg.i = xd.i AND x >= lo AND x < hi GROUP BY 1, 2),
+qw AS (SELECT xd.i, x, max((g + (x - lo) / (hi - lo)) / 99.0) AS w FROM xd JOIN sg ON sg.i = xd.i AND x > lo AND x <= hi GROUP BY 1, 2),
+en AS (SELECT i, min(q) AS least, max(q) AS most FROM mk GROUP BY i)
+SELECT cell_id, xs.i, round(CASE WHEN xs.x = least THEN 0 WHEN xs.x = most THEN 1 ELSE (u + w) / 2 END, 6) AS x FROM xs JOIN en ON en.i = xs.i LEFT JOIN qu ON qu.i = xs.i AND qu.x = xs.x LEFT JOIN qw ON qw.i = xs.i AND qw.x = xs.x
 """
 
 
 @query(VEC + QUANT)
 def quantile_transform(spark, d):
-    xs = fx.cell_vectors(spark, d).select("cell_id", F.round(F.col("vec")[0], 2).alias("x"))
-    return g.quantile_uniform(xs, "x", 21)
+    vectors = fx.cell_vectors(spark, d).withColumn("vec", F.transform("vec", lambda x: F.round(x, 2)))
+    return flat(g.quantile_uniform_vectors(vectors), "cell_id")
 
 
 @query(VEC + " SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x), 6) AS v FROM fl a JOIN fl b USING (cell_id) GROUP BY 1, 2")
@@ -550,8 +671,18 @@ def gram_matrix(spark, d):
 
 @query(None)
 def svd_embedding(spark, d):
+    """The scores of the eight leading components; a component's sign is that of the sum of its cubes."""
     out, _ = g.svd_embedding(fx.cell_vectors(spark, d), 8)
-    return out.select("cell_id", g.norm().alias("norm"))
+    return flat(tl.vector_signs(out), "cell_id")
+
+
+@query(None)
+def wide_svd(spark, d):
+    """The eight leading components of the cells' maps of all chromosomes, pooled to a megabase, as one wide sparse matrix."""
+    place = F.expr("CASE chrom WHEN 'chr1' THEN 0 WHEN 'chr2' THEN 1 ELSE 2 END")
+    pooled = nz.coarsen(fx.maps(spark, d), 2).withColumn("f", (place * 25 + F.col("row")) * 25 + F.col("col"))
+    scores, _, _ = tl.truncated_svd(pooled.select(F.col("cell_id").alias("cell_ord"), "f", "v"), 8)
+    return flat(scores.withColumnRenamed("cell_ord", "cell_id"), "cell_id")
 
 
 # --- sampling and model -------------------------------------------------------------------------------------------
@@ -592,7 +723,15 @@ def model_fit(spark, d):
 @query(None)
 def model_transform(spark, d):
     tensor, bins, order, f = fitted(spark, d, 1)
-    return md.meta_frame(order, md.transform(tensor, f, bins)).select("cell_id", g.norm().alias("norm"))
+    return flat(md.meta_frame(order, md.transform(tensor, f, bins)), "cell_id")
+
+
+def variants(frames: dict[str, DataFrame]) -> DataFrame:
+    """(variant, cell_id, i, x) of all embeddings; each component's sign is that of the sum of its cubes."""
+    first, *rest = [flat(tl.vector_signs(x), "cell_id").withColumn("variant", F.lit(name)) for name, x in frames.items()]
+    for x in rest:
+        first = first.unionByName(x)
+    return first
 
 
 @query(None)
@@ -603,11 +742,7 @@ def cell_embedding(spark, d):
     reads = kept(quality(spark, d).select("cell_id", "log_reads"))
     every = kept(out["embed_all"].join(g.quantile_uniform(reads, "log_reads"), "cell_id"))
     out |= md.corrected_embedding(every, [F.col("log_reads")], 6)
-    frames = [x.select("cell_id", F.lit(name).alias("variant"), g.norm().alias("norm")) for name, x in out.items()]
-    first, *rest = frames
-    for x in rest:
-        first = first.unionByName(x)
-    return first
+    return variants(out)
 
 
 def run_config(*resolutions: int) -> Config:
@@ -622,9 +757,11 @@ def imputed_slices(spark, d):
 
 @query(None)
 def init_factors(spark, d):
+    """The factor D of each chromosome and the meta-embedding V."""
     tensor, bins, _, _, n_good = packed(spark, d)
-    f = md.init_factors(tensor.filter(F.col("cell_ord") < n_good), bins, md.ranks(bins, fx.RESOLUTION, 0.6, 8), 8)
-    return spark.createDataFrame([(c, float((x * x).sum() ** 0.5)) for c, x in f.d.items()], "chrom string, norm double")
+    f = md.init_factors(tensor.filter(F.col("cell_ord") < n_good), bins, md.ranks(bins, fx.RESOLUTION, 0.6, 8), 8, md.pools_of({fx.RESOLUTION: bins}))
+    d = spark.createDataFrame([(c, m, r, float(x)) for c, own in f.d.items() for m, row in enumerate(own) for r, x in enumerate(row)], "name string, k long, i long, x double")
+    return d.unionByName(flat(f.v, "cell_ord").select(F.lit("v").alias("name"), F.col("cell_ord").alias("k"), "i", "x"))
 
 
 @query(None)
@@ -636,7 +773,4 @@ def embedding_run(spark, d):
     f, meta = wf.run_model(data, settings, rank=8, sweeps=2)
     out = wf.embed(data, f, meta, 6, restore_order=True)
     out |= wf.correct_linear(data, out["embed_all"], ["batch_id"], 6, add_intercept_back=True)
-    first, *rest = [x.select("cell_id", F.lit(name).alias("variant"), g.norm().alias("norm")) for name, x in out.items()]
-    for x in rest:
-        first = first.unionByName(x)
-    return first
+    return variants(out)

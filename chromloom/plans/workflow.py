@@ -5,7 +5,10 @@ once is kept in the shared folder.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ class Settings:
     #: Column normalisation in smoothing: True, False, or None for the rule of sparsity.
     columns: bool | None = None
     only_good: bool = True
+    #: Offsets that a strip of the packed maps has, or the strip of each absolute offset; 1: none.
+    strips: int | list[int] = 1
 
 
 @dataclass
@@ -86,43 +91,67 @@ def packed(upper: DataFrame, cells: DataFrame, sizes_bins: DataFrame, config: Co
     maps, by_batch = c.symmetric(upper), settings.batch_norm and config.batch_id in cells.columns
     if by_batch:
         maps = maps.join(cells.select("cell_id", F.col(config.batch_id).cast("string").alias("batch_id")), "cell_id")
-    out = kept(nz.pack(maps, sizes_bins, settings.off_diag, resolution // config.resolution, bad_bins, by_batch).select("cell_id", "chrom", "row", "col", "v"))
+    out = kept(nz.pack(maps, sizes_bins, settings.off_diag, resolution // config.resolution, bad_bins, by_batch, settings.strips).select("cell_id", "chrom", "row", "col", "v"))
     return out, {r["chrom"]: int(r["n"]) for r in out.groupBy("chrom").agg((F.max("row") + 1).alias("n")).orderBy("chrom").collect()}
 
 
-def prepare(contacts: DataFrame, sizes: DataFrame, config: Config, settings: Settings, blacklist: DataFrame | None = None, labels: DataFrame | None = None, bad_bins: DataFrame | None = None, meta_only: bool = False) -> Prepared:
-    """Cells and, unless meta_only, one tensor for each resolution of config.resolution_fh, smoothed as the settings say."""
+def prepare(contacts: DataFrame, sizes: DataFrame, config: Config, settings: Settings, blacklist: DataFrame | None = None, labels: DataFrame | None = None, bad_bins: DataFrame | None = None, meta_only: bool = False, cache: str | None = None) -> Prepared:
+    """Cells and, unless meta_only, one tensor for each resolution of config.resolution_fh, smoothed as the settings say.
+
+    cache: a folder in which the base maps, the cells and the tensors are kept from run to run, each under a name of all
+    settings that it depends on; the data set is told by config.data_dir. Without it they are worked out by each run.
+    """
     bins = c.chromosome_bins(sizes, config.resolution)
-    upper = base_maps(contacts, sizes, config, blacklist)
-    cells = describe_cells(contacts, upper, bins, config, labels)
+    base, spark = {"config": asdict(config), "blacklist": blacklist is not None}, contacts.sparkSession
+
+    def stored(name: str, more: dict, build: Callable[[], DataFrame]) -> DataFrame:
+        if cache is None:
+            return build()
+        key = hashlib.sha256(json.dumps(base | more, sort_keys=True, default=str).encode()).hexdigest()[:32]
+        return files.cached(spark, f"{cache.rstrip('/')}/{name}", {"key": key}, build)
+
+    upper = stored("maps", {}, lambda: base_maps(contacts, sizes, config, blacklist))
+    cells = stored("cells", {"labels": labels is not None}, lambda: describe_cells(contacts, upper, bins, config, labels))
     counts = cells.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kept"), 1)).alias("good")).first()
     out = Prepared(cells, {}, {}, counts["n"], counts["good"])
     for resolution in [] if meta_only else config.resolution_fh or [config.resolution]:
-        maps, n = packed(upper, cells, bins, config, settings, resolution, bad_bins)
-        columns = settings.columns
-        if columns is None:
-            dense = sum(k * k for k in n.values()) * max(out.n_cells, 1)
-            columns = nz.normalizes_columns(maps.count() / max(dense, 1), resolution)
-        if settings.conv or settings.walk:
-            maps = smoothed(maps, n, resolution, settings, columns)
-        out.tensors[resolution] = kept(maps.join(cells.select("cell_id", "cell_ord"), "cell_id").select("chrom", "row", "col", "cell_ord", "v"))
-        out.bins[resolution] = n
+        tensor = stored("tensors", {"resolution": resolution, "settings": asdict(settings), "bad bins": bad_bins is not None}, lambda resolution=resolution: tensor_of(upper, cells, bins, config, settings, resolution, bad_bins, out.n_cells))
+        # smoothing stays inside the bins, and every bin that packing keeps has entries
+        out.bins[resolution] = {r["chrom"]: int(r["n"]) for r in tensor.groupBy("chrom").agg((F.max("row") + 1).alias("n")).orderBy("chrom").collect()}
+        out.tensors[resolution] = tensor
     return out
 
 
-def run_model(data: Prepared, settings: Settings, size_ratio: float = 0.6, rank: int = 256, inner: int = 1, sweeps: int | None = None, tolerance: float = 2e-5, seed: int = 0, path: str | None = None, extra: str = "") -> tuple[md.Factors, DataFrame]:
+def tensor_of(upper: DataFrame, cells: DataFrame, sizes_bins: DataFrame, config: Config, settings: Settings, resolution: int, bad_bins: DataFrame | None, n_cells: int) -> DataFrame:
+    """(chrom, row, col, cell_ord, v): packed and smoothed maps at one resolution, kept."""
+    maps, n = packed(upper, cells, sizes_bins, config, settings, resolution, bad_bins)
+    columns = settings.columns
+    if columns is None:
+        dense = sum(k * k for k in n.values()) * max(n_cells, 1)
+        columns = nz.normalizes_columns(maps.count() / max(dense, 1), resolution)
+    if settings.conv or settings.walk:
+        maps = smoothed(maps, n, resolution, settings, columns)
+    return kept(maps.join(cells.select("cell_id", "cell_ord"), "cell_id").select("chrom", "row", "col", "cell_ord", "v"))
+
+
+def run_model(
+    data: Prepared, settings: Settings, size_ratio: float = 0.6, rank: int = 256, inner: int = 1, sweeps: int | None = None, tolerance: float = 2e-5, seed: int = 0, path: str | None = None, extra: str = "",
+    sizes: dict[str, int] | None = None, start: md.Factors | None = None,
+) -> tuple[md.Factors, DataFrame]:
     """(factors, (cell_id, vec) of the meta-embedding of all cells), fitted on the good cells (or all, without only_good).
 
     Resolutions of a chromosome share B, D and their width, the least that any of them asks for. sweeps: by default one
-    for every 15 good cells. With a path, the factors are written below it, whole and light, under the run's name.
+    for every 15 good cells. sizes: the widths of some chromosomes, in place of the rule's. start: factors of an earlier
+    run to go on from. With a path, the factors are written below it, whole and light, under the run's name.
     """
     tensor, columns, heights = md.stacked(data.tensors, data.bins)
     widths: dict[str, int] = {}
     for resolution, bins in data.bins.items():
         for chrom, w in md.ranks(bins, resolution, size_ratio, rank).items():
             widths[chrom] = min(w, widths.get(chrom, w))
+    widths |= {chrom: w for chrom, w in (sizes or {}).items() if chrom in widths}
     tensor, n_good = kept(tensor), data.n_good if settings.only_good else data.n_cells
-    f = md.fit(tensor, columns, n_good, widths, rank, max(1, n_good // 15) if sweeps is None else sweeps, tolerance, inner, seed, heights, md.pools_of(data.bins))
+    f = md.fit(tensor, columns, n_good, widths, rank, max(1, n_good // 15) if sweeps is None else sweeps, tolerance, inner, seed, heights, md.pools_of(data.bins), start)
     meta = kept(md.meta_frame(data.cells, md.transform(tensor, f, columns)))
     if path:
         name, spark = md.run_name(size_ratio, rank, inner, extra), tensor.sparkSession

@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(frame: DataFrame) -> DataFrame:
-    """frame written to the folder in spark.checkpoint.dir (a temporary one only in local mode) and read back, so that all
-    that follows reads rows instead of working them out again, and survives lost executors."""
-    spark = frame.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder in spark.checkpoint.dir; in a temporary folder only where that is unset in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = tempfile.mkdtemp(prefix="chromloom-")
-    path = f"{root.rstrip('/')}/chromloom-maps/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/chromloom-maps/{uuid.uuid4().hex}"
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """frame written to the shared folder and read back, so that all that follows reads rows instead of working them out
+    again, and survives lost executors."""
+    spark, path = frame.sparkSession, shared_path(frame.sparkSession)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
