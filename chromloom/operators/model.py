@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -144,8 +145,12 @@ def init_factors(tensor: DataFrame, bins: dict[str, int], widths: dict[str, int]
     """
     heights = heights or bins
     r = np.random.default_rng(seed)
-    frames = [(truncated_svd(pooled_features(tensor.filter(F.col("chrom") == c), (pools or {}).get(c, [(0, 2)]), bins[c]), widths[c], seed=seed)[0], widths[c]) for c in bins]
-    features = kept(side_by_side(frames))
+
+    def leading(c: str) -> DataFrame:
+        return truncated_svd(pooled_features(tensor.filter(F.col("chrom") == c), (pools or {}).get(c, [(0, 2)]), bins[c]), widths[c], seed=seed)[0]
+
+    with ThreadPoolExecutor(4) as pool:  # jobs of several chromosomes at a time; the cluster's tasks do the work
+        features = kept(side_by_side(list(zip(pool.map(leading, bins), [widths[c] for c in bins], strict=True))))
     b = {c: np.eye(widths[c]) + r.normal(0, 0.01, (1, widths[c])) for c in bins}
     triangle = r_factor(features)
     if triangle is None:
@@ -261,9 +266,9 @@ def projected(blocks: DataFrame, f: Factors, bins: dict[str, int], v: DataFrame,
 
 
 def orthonormal(scores: DataFrame) -> tuple[DataFrame, float]:
-    """(the polar factor of the scores, the sum of their singular values)."""
+    """(the polar factor of the scores, kept; the sum of their singular values)."""
     v, values = polar_rows(scores)
-    return v, float(values.sum())
+    return kept(v), float(values.sum())
 
 
 def row_grams(a: RowFactor) -> dict[str, np.ndarray]:

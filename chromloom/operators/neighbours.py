@@ -162,15 +162,16 @@ def shared_spectrum(edges: DataFrame, rank: int, over: int = 8, power: int = 4,
     for _ in range(power + 1):
         y = kept(edge_sums(edges, z, "src", "dst", width))
         q = polar_rows(y, "x")[0]
-        discard(y, z)
-        z = kept(edge_sums(edges, q, "dst", "src", width))
+        after = kept(edge_sums(edges, q, "dst", "src", width))
+        discard(z)
+        z = after
     triangle = r_factor(z, "x")
     if triangle is None:
         return edges.select("src", F.array().cast("array<double>").alias("vec")).limit(0), np.zeros(0)
     u, s, _ = np.linalg.svd(triangle.T, full_matrices=False)
     u, s = u[:, :rank], s[:rank]
-    scores = times_matrix(q, u * s**2, "x").withColumnRenamed("x", "vec")
+    scores = times_matrix(q, u * s**2, vec="x").withColumnRenamed("x", "vec")
     cubes = task_sums(scores, "vec", lambda m: (m**3).sum(axis=0)[None])[0]
-    out = kept(times_matrix(scores, np.diag(np.where(cubes < 0, -1.0, 1.0)), "vec"))
-    discard(edges, z, q)
+    out = kept(times_matrix(scores, np.diag(np.where(cubes < 0, -1.0, 1.0))))
+    discard(edges, z, y)
     return out, s**2

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromloom.sources.shared import discard, kept
@@ -61,7 +61,7 @@ def task_sums(frame: DataFrame, vec: str, matrix_of) -> np.ndarray | None:
 
 
 def keyed_sums(frame: DataFrame, arrays_of) -> dict[int, np.ndarray]:
-    """Sums of arrays by number: arrays_of(frames of a task) gives {number: array}; frame must be a kept table.
+    """Sums of arrays by number: arrays_of(frames of a task) gives {number: array}; frame should be a kept table, or made of one row by row.
 
     There is one array for each number and task, added up in a tree; as many as there are numbers reach the driver.
     """
@@ -77,7 +77,7 @@ def keyed_sums(frame: DataFrame, arrays_of) -> dict[int, np.ndarray]:
 def r_factor(frame: DataFrame, vec: str = "vec", width: int | None = None) -> np.ndarray | None:
     """The triangular factor of the matrix's QR decomposition: one a task, then FAN stacked at a time; None without rows.
 
-    width: numbers of a matrix row; by default each array is one row.
+    width: numbers of a matrix row; by default each array is one row. frame should be a kept table, or made of one row by row.
     """
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,51 +93,47 @@ def r_factor(frame: DataFrame, vec: str = "vec", width: int | None = None) -> np
         r = np.linalg.qr(np.concatenate(pdf["x"].to_numpy()).reshape(-1, int(pdf["width"].iloc[0])), mode="r")
         return pdf.iloc[:1].assign(x=[r.ravel()])
 
-    schema = "part long, width long, x array<double>"
-    parts = tasks = kept(frame.select(vec).mapInPandas(first, schema))
-    n = parts.agg(F.max("part")).first()[0]
-    if n is None:
-        return None
-    n += 1
+    schema, n = "part long, width long, x array<double>", max(1, frame.rdd.getNumPartitions())
+    parts = frame.select(vec).mapInPandas(first, schema)
     while n > 1:
         n = -(-n // FAN)
         parts = parts.withColumn("part", F.expr(f"part div {FAN}")).groupBy("part").applyInPandas(join, schema)
-    one = parts.first()
-    discard(tasks)
-    return np.asarray(one["x"]).reshape(-1, one["width"])
+    one = parts.collect()
+    return np.asarray(one[0]["x"]).reshape(-1, one[0]["width"]) if one else None
 
 
-def times_matrix(frame: DataFrame, matrix: np.ndarray, vec: str = "vec") -> DataFrame:
-    """Every matrix row times a small matrix."""
+def times_matrix(frame: DataFrame, *matrices: np.ndarray, vec: str = "vec") -> DataFrame:
+    """Every matrix row times small matrices, one after the other."""
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
         if not len(s):
             return s
-        rows = np.concatenate(s.to_numpy()).astype(np.float64).reshape(-1, len(matrix)) @ matrix
-        return pd.Series(np.split(rows.ravel(), np.cumsum([len(x) // len(matrix) * matrix.shape[1] for x in s])[:-1]))
+        rows = np.concatenate(s.to_numpy()).astype(np.float64).reshape(-1, len(matrices[0]))
+        for m in matrices:
+            rows = rows @ m
+        return pd.Series(np.split(rows.ravel(), np.cumsum([len(x) // len(matrices[0]) * rows.shape[1] for x in s])[:-1]))
 
     return frame.withColumn(vec, run(F.col(vec)))
 
 
-def polar_rows(frame: DataFrame, vec: str = "vec", width: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """(the polar factor U V^T of the matrix, kept; its singular values).
+def polar_rows(frame: DataFrame, vec: str = "vec", width: int | None = None, passes: int = 2) -> tuple[DataFrame, np.ndarray]:
+    """(the polar factor U V^T of the matrix, worked out row by row when it is read; its singular values).
 
     The matrix is multiplied by V S^-1 V^T of its R factor. Rounding leaves an error of the condition number times 1e-16 in
     that, so it is done a second time, to the nearly orthonormal outcome. Directions below CUT stay zero.
     """
-    values, cut, given = None, CUT, frame
-    for _ in range(2):
-        r = r_factor(frame, vec, width)
+    values, cut, own, out = np.zeros(0), CUT, [], frame
+    for i in range(passes):
+        r = r_factor(out, vec, width)
         if r is None:
-            return frame, np.zeros(0)
+            return frame, values
         _, s, vt = np.linalg.svd(r, full_matrices=False)
-        values = s if values is None else values
+        values = values if i else s
         inverse = np.where(s > cut * s.max(initial=0), 1 / np.maximum(s, 1e-300), 0.0)
-        before, frame, cut = frame, kept(times_matrix(frame, (vt.T * inverse) @ vt, vec)), 0.1
-        if before is not given:
-            discard(before)
-    return frame, values
+        own, cut = [*own, (vt.T * inverse) @ vt], 0.1
+        out = times_matrix(frame, *own, vec=vec)
+    return out, values
 
 
 @dataclass
@@ -208,8 +204,12 @@ def _as_rows(blocks: DataFrame, key: str, size: int, width: int, name: str) -> D
 
 def _signs(right: DataFrame, width: int) -> np.ndarray:
     """1 or -1 for each column: the sign of the sum of its cubes."""
-    cubes = task_sums(right, "x", lambda m: (m.reshape(-1, width) ** 3).sum(axis=0)[None])
-    return np.where(cubes[0] < 0, -1.0, 1.0)
+
+    def cubes(frames: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
+        parts = [(np.concatenate(f["x"].to_numpy()).reshape(-1, width) ** 3).sum(axis=0) for f in frames if len(f)]
+        return {0: np.sum(parts, axis=0)} if parts else {}
+
+    return np.where(keyed_sums(right, cubes)[0] < 0, -1.0, 1.0)
 
 
 def truncated_svd(
@@ -228,31 +228,26 @@ def truncated_svd(
         return spark.createDataFrame([], f"{row} long, vec array<double>"), np.zeros(0), spark.createDataFrame([], f"{column} long, vec array<double>")
     y = kept(times_random(x, width, seed))
     for i in range(power + 1):
-        q = polar_rows(y, "x", width)[0].withColumnRenamed("x", "m")
+        # within the rounds it is enough that the columns don't collapse into one
+        q = polar_rows(y, "x", width, passes=2 if i == power else 1)[0].withColumnRenamed("x", "m")
         z = kept(transposed_times(x, q, width))
-        discard(y)
         if i < power:
-            across = polar_rows(z, "x", width)[0].withColumnRenamed("x", "m")
-            y = kept(times(x, across, width))
-            discard(z, q, across)
+            across = polar_rows(z, "x", width, passes=1)[0].withColumnRenamed("x", "m")
+            after = kept(times(x, across, width))
+            discard(y, z)
+            y = after
     discard(x.frame)
     u, s, _ = np.linalg.svd(r_factor(z, "x", width).T, full_matrices=False)
-    count = min(rank, int((s > CUT ** 0.5 * s.max(initial=0)).sum()))
+    count = min(rank, int((s > CUT**0.5 * s.max(initial=0)).sum()))
     u, s = u[:, :count], s[:count]
     if not count:
         return spark.createDataFrame([], f"{row} long, vec array<double>"), s, spark.createDataFrame([], f"{column} long, vec array<double>")
-    right = kept(times_matrix(z, u / s, "x"))
-    sign = _signs(right, count)
-    scores = times_matrix(q.withColumnRenamed("m", "x"), u * s * sign, "x")
-    return _as_rows(scores, "block", shape[0], count, row), s, _as_rows(times_matrix(right, np.diag(sign), "x"), "part", shape[1], count, column)
+    sign = _signs(times_matrix(z, u / s, vec="x"), count)
+    scores, right = times_matrix(q.withColumnRenamed("m", "x"), u * s * sign, vec="x"), times_matrix(z, u / s * sign, vec="x")
+    return _as_rows(scores, "block", shape[0], count, row), s, _as_rows(right, "part", shape[1], count, column)
 
 
 def vector_signs(frame: DataFrame, vec: str = "vec") -> DataFrame:
     """The columns of the vectors with the sign of the sum of their cubes, so that factors can be compared."""
     cubes = task_sums(frame, vec, lambda m: (m**3).sum(axis=0)[None])
-    return frame if cubes is None else times_matrix(frame, np.diag(np.where(cubes[0] < 0, -1.0, 1.0)), vec)
-
-
-def flat_rows(frame: DataFrame, key: str = "cell_id", vec: str = "vec") -> list[Column]:
-    """The columns (key, i, x) of a row for each number of the vectors."""
-    return [F.col(key), F.posexplode(vec).alias("i", "x")]
+    return frame if cubes is None else times_matrix(frame, np.diag(np.where(cubes[0] < 0, -1.0, 1.0)), vec=vec)

@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromloom.operators import contacts as c
+from chromloom.sources.shared import kept
 
 RESOLUTION, OFF_DIAG = 500_000, 5
 CHROMS = [("chr1", 21_000_000, 0), ("chr2", 16_000_000, 1), ("chr3", 11_000_000, 2)]
 BLACKLIST = [("chr1", 3_000_000, 4_000_000), ("chr2", 0, 500_000)]
 
 
+_CONTACTS: dict[tuple[str, str], DataFrame] = {}
+
+
 def contact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contacts of all lines, written once a session as the table that a user would have: filters on them are then
+    predicates of a scan, instead of these expressions over and over."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _CONTACTS:
+        _CONTACTS[key] = kept(derived_contacts(spark, sf_dir))
+    return _CONTACTS[key]
+
+
+def derived_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     b = lines.selectExpr(
         "CASE WHEN l_orderkey % 1000 < 4 THEN 36 + l_orderkey % 1000 ELSE l_orderkey % 36 END AS cell_id",
