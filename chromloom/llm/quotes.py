@@ -9,16 +9,16 @@ message comes after the one it answers.
 
 Looking up the latest earlier turn takes two levels, stretches of CHUNK turns and rows of a stretch, so that neither a
 very long conversation nor a line that is common in one is a single task's work; roots are found by pointer doubling.
-Conversations are built from messages in the order of their range partitions, in rows of bounded size.
+Conversations are built from messages numbered in sorted ranges, in rows of bounded size that depend on the messages alone.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,54 +145,34 @@ def build_conversations(linked: DataFrame, conv_col: str = "conv_id", turn_col:
     """(conv_id, root_turn, first_depth, first_turn, n_messages, messages, chat) of messages as link_conversations() gives them.
 
     A conversation is all messages that come from one root, in the order (depth, turn), so that each follows the one that
-    it answers; chat is their formatted text without quotes. Messages are range-partitioned in this order and joined as
-    they come, so a conversation of any length is no group: where a partition ends, or max_messages or max_chars is
-    passed, it goes on in another row, and its rows ordered by (first_depth, first_turn) are the whole. Messages without
-    conversation or turn are a row each. Repeated rows stay. An empty table gives an empty result.
+    it answers; chat is their formatted text without quotes. Messages are numbered in sorted ranges, and a conversation of
+    any length goes on in another row after every max_messages messages and wherever its text passes a multiple of
+    max_chars; its rows ordered by (first_depth, first_turn) are the whole. So the rows depend on the messages alone, not on
+    how they are partitioned. Messages without conversation or turn are a row each. Repeated rows stay. An empty table
+    gives an empty result.
     """
-    keys = ("conv_id", "root_turn", "depth", "turn")
     types = {"role": "string", "by_quote": "boolean", "content": "string", "chat": "string"}
     own = {"conv_id": F.col(conv_col).cast("long"), "turn": F.col(turn_col).cast("long"), "role": F.col(role_col).cast("string")}
     names = ["conv_id", "root_turn", *MESSAGE, "chat"]
-    rows = written(linked.select(*(own.get(n, F.col(n).cast(types.get(n, "long"))).alias(n) for n in names)))
-    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    item = pa.struct([(n, {"string": pa.string(), "boolean": pa.bool_()}.get(types.get(n), pa.int64())) for n in MESSAGE])
-    schema = pa.schema([*((n, pa.int64()) for n in ("conv_id", "root_turn", "first_depth", "first_turn", "n_messages")), ("messages", pa.list_(item)), ("chat", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        done: list[dict] = []
-        chars = 0
-
-        def close() -> None:
-            first = held[0]
-            done.append(
-                {
-                    **{n: first[n] for n in ("conv_id", "root_turn")},
-                    "first_depth": first["depth"],
-                    "first_turn": first["turn"],
-                    "n_messages": len(held),
-                    "messages": [{n: m[n] for n in MESSAGE} for m in held],
-                    "chat": "".join(m["chat"] or "" for m in held),
-                }
-            )
-            held.clear()
-
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                for m in whole.slice(start, 500).to_pylist():
-                    alone = m["conv_id"] is None or m["turn"] is None
-                    if held and (alone or held[0]["turn"] is None or (m["conv_id"], m["root_turn"]) != (held[0]["conv_id"], held[0]["root_turn"]) or len(held) >= max_messages or chars > max_chars):
-                        close()
-                        chars = 0
-                    held.append(m)
-                    chars += len(m["chat"] or "")
-                if done:
-                    yield pa.RecordBatch.from_pylist(done, schema=schema)
-                    done.clear()
-        if held:
-            close()
-            yield pa.RecordBatch.from_pylist(done, schema=schema)
-
-    message = ", ".join(f"{n}: {types.get(n, 'long')}" for n in MESSAGE)
-    return ordered.mapInArrow(run, f"conv_id long, root_turn long, first_depth long, first_turn long, n_messages long, messages array<struct<{message}>>, chat string")
+    rows = linked.select(*(own.get(n, F.col(n).cast(types.get(n, "long"))).alias(n) for n in names))
+    keys = ["conv_id", "root_turn", "depth", "turn", "chat", "reply_to", "n_quotes", "n_linked"]
+    # in its low 33 bits the id has a row's place in its partition, above these the partition's number
+    placed = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    part, size = F.shiftright("at", 33).cast("int"), F.coalesce(F.length("chat"), F.lit(0)).cast("long")
+    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)), F.sum(size)).collect())  # two numbers for each range
+    before = list(zip([p for p, _, _ in sizes], accumulate([0, *(n for _, n, _ in sizes)]), accumulate([0, *(c for _, _, c in sizes)]), strict=False))
+    offsets = linked.sparkSession.createDataFrame(before, "part int, rows_before long, chars_before long")
+    within = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a sorted range, in one task as it is
+    numbered = placed.withColumn("part", part).withColumn("chars", F.coalesce(F.sum(size).over(within), F.lit(0))).join(F.broadcast(offsets), "part")
+    numbered = numbered.select(*names, (F.col("at").bitwiseAND(F.lit(2**33 - 1)) + F.col("rows_before")).alias("n"), (F.col("chars") + F.col("chars_before")).alias("c"))
+    message = F.struct("n", F.struct(*MESSAGE).alias("message"), "chat")
+    known, alone = F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.col("conv_id").isNull() | F.col("turn").isNull()
+    first = numbered.filter(known).groupBy("conv_id", "root_turn").agg(F.min("n").alias("n0"), F.min("c").alias("c0"))
+    cut = [F.floor((F.col("n") - F.col("n0")) / max_messages).alias("by_messages"), F.floor((F.col("c") - F.col("c0")) / max_chars).alias("by_chars")]
+    blocks = numbered.filter(known).join(first, ["conv_id", "root_turn"]).select("conv_id", "root_turn", *cut, message.alias("m"))
+    whole = blocks.groupBy("conv_id", "root_turn", "by_messages", "by_chars").agg(F.array_sort(F.collect_list("m")).alias("ms")).select("conv_id", "root_turn", "ms")
+    every = whole.unionByName(numbered.filter(alone).select("conv_id", "root_turn", F.array(message).alias("ms")))
+    return every.select(
+        "conv_id", "root_turn", F.col("ms")[0]["message"]["depth"].alias("first_depth"), F.col("ms")[0]["message"]["turn"].alias("first_turn"), F.size("ms").cast("long").alias("n_messages"),
+        F.col("ms.message").alias("messages"), F.array_join(F.col("ms.chat"), "").alias("chat"),
+    )

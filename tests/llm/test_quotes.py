@@ -83,3 +83,19 @@ def test_conversations_hold_all_messages_in_the_order_of_replies(spark):
                 assert "".join(r["chat"] for r in rs) == "".join(f"<|user|>\n{m['content']}\n<|end|>\n" for m in messages)
     assert [r["n_messages"] for r in whole if r["conv_id"] is None] == [1, 1]
     assert quotes.build_conversations(linked.limit(0)).count() == 0
+
+
+def test_rows_do_not_depend_on_partitions(spark):
+    rows, _ = build(3)
+    linked = quotes.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).persist()
+    found = []
+    for n, adaptive in ((3, "true"), (29, "false"), (8, "false")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            found.append(sorted(map(str, quotes.build_conversations(linked, max_messages=3, max_chars=100).collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found[0] == found[1] == found[2] and len(found[0]) > 3
+    linked.unpersist()
