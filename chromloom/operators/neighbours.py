@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,20 +38,31 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
+def _ids_and_rows(group: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the vectors, as a matrix, of a group."""
+    ids = group.column(name).to_numpy()
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in group.column("vec").chunks])
+    return ids, flat.reshape(len(ids), -1).astype(np.float64)
+
+
+def _edges(src, dst, dist) -> pa.Table:
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "dist": pa.array(dist, pa.float64())})
+
+
 def _within(groups: DataFrame, k: int) -> DataFrame:
     """(src, dst, dist) of the k nearest within each group (g) of (id, vec)."""
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+    def meet(group: pa.Table) -> pa.Table:
+        ids, x = _ids_and_rows(group, "id")
         if len(ids) < 2:
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
+            return _edges([], [], [])
         d = pair_distances(x, x)
         np.fill_diagonal(d, np.inf)
         n = min(k, len(ids) - 1)
         top = np.argpartition(d, n - 1, axis=1)[:, :n]
-        return pd.DataFrame({"src": np.repeat(ids, n), "dst": ids[top].ravel(), "dist": np.take_along_axis(d, top, axis=1).ravel()})
+        return _edges(np.repeat(ids, n), ids[top].ravel(), np.take_along_axis(d, top, axis=1).ravel())
 
-    return groups.groupBy("g").applyInPandas(meet, "src long, dst long, dist double")
+    return groups.groupBy("g").applyInArrow(meet, "src long, dst long, dist double")
 
 
 def bucketed(vectors: DataFrame, n: int, width: int, k: int, seed: int) -> DataFrame:
@@ -85,22 +97,22 @@ def _round(edges: DataFrame, vectors: DataFrame, k: int, sample: int, seed: int)
     members = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), "fresh").unionByName(back).groupBy("v", "u").agg(F.max("fresh").alias("fresh"))
     known = vectors.withColumnRenamed("id", "u").join(worst, "u", "left").select("u", "vec", F.coalesce("far", F.lit(float("inf"))).alias("far"))
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, fresh, far = pdf["u"].to_numpy(), pdf["fresh"].to_numpy(), pdf["far"].to_numpy()
-        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+    def meet(group: pa.Table) -> pa.Table:
+        ids, x = _ids_and_rows(group, "u")
+        fresh, far = group.column("fresh").to_numpy(), group.column("far").to_numpy()
         d = pair_distances(x, x)
         open_ = (fresh[:, None] | fresh[None]) & (d < far[:, None])
         np.fill_diagonal(open_, False)
         d[~open_] = np.inf
         n = min(k, len(ids) - 1)
         if n < 1 or not open_.any():
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
+            return _edges([], [], [])
         top = np.argpartition(d, n - 1, axis=1)[:, :n]
         dist = np.take_along_axis(d, top, axis=1)
         used = np.isfinite(dist)
-        return pd.DataFrame({"src": np.repeat(ids, n)[used.ravel()], "dst": ids[top][used], "dist": dist[used]})
+        return _edges(np.repeat(ids, n)[used.ravel()], ids[top][used], dist[used])
 
-    found = members.join(known, "u").groupBy("v").applyInPandas(meet, "src long, dst long, dist double")
+    found = members.join(known, "u").groupBy("v").applyInArrow(meet, "src long, dst long, dist double")
     # an edge found again has been there before; its distance may differ in the last digits
     merged = edges.select("src", "dst", "dist", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True))).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("fresh").alias("fresh"))
     return _best(merged, k)
