@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -56,7 +57,7 @@ def discard(df: DataFrame) -> None:
     """Deletes a table that written() made, once all that is read from it has been written itself."""
     jvm = df.sparkSession.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/chromloom/" in folder:
+        if re.search("/chromloom/[0-9a-f]{32}$", folder):
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

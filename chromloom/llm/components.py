@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromloom.llm.common import written
+from chromloom.llm.common import discard, written
+
+#: Edges from which on a round's tables get another task; a small graph is not spread over all shuffle partitions.
+EDGES_A_TASK = 50_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,17 +22,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node that can be reached, for each node of edges (a, b: integers) but the least ones themselves.
 
     Each round is two joins of the edges with the nodes' minima, which are pre-aggregated and written to the shared folder,
-    so that a node with many neighbours is an ordinary skewed join key. Nothing is collected but two numbers a round.
+    so that a node with many neighbours is an ordinary skewed join key. Nothing is collected but two numbers a round. A
+    round's tables have tasks by the number of edges, and are deleted once the next ones are written.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(edges)
     for _ in range(max_rounds if before[0] else 0):
+        tasks = 1 + math.ceil(before[0] / EDGES_A_TASK)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
-        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")).coalesce(tasks))
+        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks))
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks))
+        small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        used = (edges, least, large, lower)
+        edges = written(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks))
+        for t in used:
+            discard(t)
         after = _state(edges)
         if after == before:
             break
