@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by cosine: a hierarchical navigable small-world graph for each shard of the vectors.
 
-Rows go to shards by a hash of their id: SHARD_ROWS of them each (fewer if the vectors are long), or fewer still as long as
-that gives a shard to each core. A shard's graph is stored as one row of flat arrays: its ids, vectors and, for each
+Rows go to shards by a hash of their id: SHARD_ROWS of them each (fewer if the vectors are long), or fewer still, down to
+SMALL_SHARD, as long as there are no more than FEW_SHARDS. That depends on the rows alone, and so does the result. A shard's graph is stored as one row of flat arrays: its ids, vectors and, for each
 layer, a table of neighbour numbers. Equal vectors of a shard are one node (its ids ranked), so that thousands of copies
 make no clique. Each node's top layer is drawn with a sixteenth of the nodes going one up; nodes are numbered from the top
 layer down, so a layer is the nodes below a number.
@@ -27,18 +27,18 @@ from pyspark.sql import functions as F
 
 from chromloom.llm.common import discard, written
 
-#: Rows of a shard, and the bytes of its vectors, at most; rows from which on it may be one of several.
-SHARD_ROWS, SHARD_BYTES, SMALL_SHARD = 131_072, 1 << 27, 4_096
+#: Rows of a shard, and the bytes of its vectors, at most; rows from which on it may be one of several, and of how many then.
+SHARD_ROWS, SHARD_BYTES, SMALL_SHARD, FEW_SHARDS = 65_536, 1 << 27, 4_096, 8
 QUERY_BLOCK, AT_ONCE = 2_048, 512
 #: Neighbours of a node on the ground layer and above; nodes kept in a search when building and when asking.
-GROUND, UPPER, BUILD_EF, EF = 32, 16, 64, 128
+GROUND, UPPER, BUILD_EF, EF = 32, 16, 64, 384
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec: array of doubles): without rows whose vector is null, zero or holds null or non-finite components."""
+    """(id, vec: array of doubles, -0.0 as 0.0): without rows whose vector is null, zero or holds null or non-finite components."""
     v = F.col(vector_col).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(sound)
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(sound)
 
 
 def spread_neighbours(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, keep: int) -> np.ndarray:
@@ -181,7 +181,7 @@ def walk(x: np.ndarray, table: np.ndarray, q: np.ndarray, entry: np.ndarray, ef:
 
 
 def search_index(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int = EF) -> list[tuple[int, int, float]]:
-    """(query number, id, cosine) of the k nearest rows found for each query, rows with its own id left out."""
+    """(query number, id, cosine) of the k nearest rows found for each query, its own row (one of its id and vector) left out."""
     out = []
     for a in range(0, len(queries), AT_ONCE):
         own_ids, own = query_ids[a : a + AT_ONCE], queries[a : a + AT_ONCE]
@@ -194,8 +194,10 @@ def search_index(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int
             ranked = []
             for node, score in zip(nodes.tolist(), cosines(index["vectors"][nodes], vector).tolist(), strict=True):
                 members = index["ids"][index["starts"][node] : index["starts"][node + 1]]
-                lo, hi = np.searchsorted(members, qi), np.searchsorted(members, qi, side="right")
-                ranked += [(-score, i) for part in (members[:lo][:k], members[hi : hi + k]) for i in part.tolist()]
+                lo = int(np.searchsorted(members, qi))
+                own_row = lo < len(members) and members[lo] == qi and np.array_equal(index["vectors"][node], vector)
+                others = members[lo + bool(own_row) :][:k]
+                ranked += [(-score, i) for part in (members[:lo][:k], others) for i in part.tolist()]
             out += [(n, i, -s) for s, i in sorted(ranked)[:k]]
     return out
 
@@ -235,7 +237,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     queries: a DataFrame like vectors; each of its rows gets ranks of its own, also where ids repeat. Vectors that are
     null, zero or hold null or non-finite components take no part on either side, nor do those whose length differs from
-    the most common one. Candidates are all rows but those with the query's id; rows that repeat an id are a candidate each.
+    the most common one, nor rows with a null id. Candidates are all rows but the query's own: of the rows with its id and its
+    vector one is left out. Rows that repeat an id are a candidate each.
     Other columns are left out, whatever their names. Empty tables give an empty result. shard_rows: rows of a shard.
     """
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
@@ -243,7 +246,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     d, n = (lengths[0]["d"], lengths[0]["n"]) if lengths else (1, 0)
     rows, asked = rows.filter(F.size("vec") == d), asked.filter(F.size("vec") == d)
     most = shard_rows or max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * d)))
-    n_shards = max(1, -(-n // most), 0 if shard_rows else min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // SMALL_SHARD)))
+    n_shards = max(1, -(-n // most), 0 if shard_rows else min(FEW_SHARDS, -(-n // SMALL_SHARD)))
     shards = written(build_shards(rows, n_shards))
     numbered = written(asked.withColumn("q", F.monotonically_increasing_id()))
     blocks = numbered.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-numbered.count() // QUERY_BLOCK)))))

@@ -63,7 +63,11 @@ def test_repeated_rows_and_queries(spark):
     rows = [(0, [1.0, 0.0])] * 7 + [(1, [1.0, 0.0]), (2, [0.4, 0.9]), (2, [0.4, 0.9]), (3, [0.0, 1.0])]
     vectors = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, q string, block int")
     got = hnsw.nearest(vectors, vectors.filter("vec_id = 0"), 3).collect()
-    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == sorted([(0, 1, 1), (0, 2, 2), (0, 3, 2)] * 7)
+    # the other six rows of the id are candidates
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == sorted([(0, 1, 0), (0, 2, 0), (0, 3, 0)] * 7)
+    mixed = spark.createDataFrame([(0, [1.0, -0.0]), (0, [0.6, 0.8]), (0, [0.6, 0.8]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = hnsw.nearest(mixed, mixed.filter("vec_id = 0"), 9).collect()
+    assert sorted((r["rank"], r["id"], round(r["score"], 3)) for r in got) == sorted([(1, 4, 1.0), (2, 0, 0.6), (3, 0, 0.6)] + [(1, 0, 1.0), (2, 0, 0.6), (3, 4, 0.6)] * 2)
 
 
 def test_a_graph_built_by_insertion_finds_the_nearest():
