@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from chromloom.llm.common import ascii_lower, written
 
-MAX_RULES = 1_000
+#: Rules of a list up to which they are one expression; more are joined.
+FEW_RULES = 1_000
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -36,10 +37,16 @@ def split_url(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumns({"host": ascii_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
 
 
-def with_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Adds rule and ruled (the rule's verdict) of the longest rule that fits, or nulls. rules: (verdict, 'host/path'), MAX_RULES at most."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+def with_rule(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """Adds rule and ruled (the rule's verdict) of the longest rule that fits, or nulls; ties go to the greater text, then verdict.
+
+    rules: (verdict, 'host/path'), as a list or as a DataFrame (verdict, rule). Up to FEW_RULES of a list are one expression;
+    more are joined (with_rule_table), with the same result.
+    """
+    if isinstance(rules, DataFrame):
+        return with_rule_table(pages, rules)
+    if len(rules) > FEW_RULES:
+        return with_rule_table(pages, pages.sparkSession.createDataFrame(rules, "verdict string, rule string"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for says, text in sorted(set(rules), key=lambda r: (len(r[1]), r[1], r[0])):
         host, slash, path = text.partition("/")
@@ -48,6 +55,25 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return pages.withColumns({"rule": rule, "ruled": verdict})
 
 
+def with_rule_table(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """with_rule() for any number of rules (verdict, rule): equi-joins, so a page meets only rules that fit it.
+
+    Distinct (host, path) alone take part. Each suffix of a host at a dot meets the lengths that rule paths of that host
+    have, and the path's beginnings of these lengths meet the rules. Rules that are null fit nothing.
+    """
+    own = rules.filter("rule is not null").select(
+        F.col("rule"), F.col("verdict").alias("says"), F.substring_index("rule", "/", 1).alias("rule_host"), F.expr("if(instr(rule, '/') > 0, substring(rule, instr(rule, '/')), '')").alias("head")
+    )
+    lengths = own.select("rule_host", F.length("head").alias("n")).distinct()
+    labels = F.split("host", "[.]", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    ends = pages.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes))
+    heads = ends.join(lengths, "rule_host").filter(F.length("path") >= F.col("n")).withColumn("head", F.expr("substring(path, 1, n)"))
+    best = heads.join(own, ["rule_host", "head"]).groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "says")).alias("best"))
+    found = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.says").alias("ruled"))
+    return pages.join(found, ["host", "path"], "left").select(*pages.columns, "rule", "ruled")
+
+
 def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """(src, dst, n): pages of src that link to the other host dst. pages needs host."""
     links = pages.filter(F.col(html).contains("//")).select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), ascii_lower))).alias("dst"))
@@ -80,7 +106,7 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: in
     return state
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], damping: float = 0.85, rounds: int = 8, threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, damping: float = 0.85, rounds: int = 8, threshold: float = 0.5) -> DataFrame:
     """Adds host, path, rule, verdict, trust, distrust and the shares of both to pages (columns url and html).
 
     Null urls and urls without '://' have host and path '' and are judged as pages of the host '', which takes no part in

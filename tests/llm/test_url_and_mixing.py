@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chromloom.llm import mixing, queries, registry, urls
 from tests.oracle import assert_equal
@@ -116,3 +117,29 @@ def test_links_judge_hosts_whatever_the_number_that_links_to_them(spark):
     for url, _ in rows:
         blocked = url in ("https://bad.net/", "https://example.com/de/a") or "//farm" in url
         assert got[url] == ("block" if blocked else "allow"), url
+
+
+def test_rule_tables_equal_the_expression_and_a_plain_loop(spark):
+    r = random.Random(9)
+    hosts = [".".join(r.choices(["a", "b", "net", "com", ""], k=r.randrange(1, 5))) for _ in range(60)] + ["", "com."]
+    paths = ["", "/", "/x", "/x/", "/x/y", "/é/x", "/y?"]
+    rules = sorted({(r.choice(["allow", "block"]), r.choice(hosts) + r.choice(paths)) for _ in range(150)}) + [("allow", "net"), ("block", "net")]
+    pages = [(i, r.choice(hosts), r.choice(paths) + r.choice(["", "z", "/x"]), f"own {i}") for i in range(500)]
+    df = spark.createDataFrame(pages, "page_id long, host string, path string, rule_host string")
+
+    def longest(host, path):
+        fit = [(len(t), t, v) for v, t in rules for h, s, p in [t.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith(s + p)]
+        return max(fit)[1:] if fit else (None, None)
+
+    table = spark.createDataFrame([*rules, ("block", None)], "verdict string, rule string")
+    for got in (urls.with_rule(df, rules), urls.with_rule(df, table)):
+        assert got.columns == [*df.columns, "rule", "ruled"]
+        assert {x["page_id"]: (x["rule"], x["ruled"]) for x in got.collect()} == {i: longest(h, p) for i, h, p, _ in pages} and got.count() == 500
+    assert len({longest(h, p) for _, h, p, _ in pages}) > 40
+
+
+def test_a_million_rules(spark):
+    rules = spark.range(1_000_000).selectExpr("if(id % 2 = 0, 'block', 'allow') as verdict", "concat('h', id div 10, '.com/p', id % 10) as rule")
+    pages = spark.range(20_000).selectExpr("id as page_id", "concat('https://www.h', id * 5, '.com/p', id % 10, '/q') as url", "cast(null as string) as html")
+    got = {x["verdict"]: x["n"] for x in urls.judge_urls(pages, rules).groupBy("verdict").agg(F.count("rule").alias("n")).collect()}
+    assert got == {"allow": 10_000, "block": 10_000}
