@@ -133,12 +133,16 @@ class Chain:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str, text_col: str, limit: int = MAX_LABELLED) -> DataFrame:
-    """(id, text, one boolean a category) of at most about `limit` labelled rows: those with the smallest hash of their id."""
+    """(id, text, one boolean a category) of at most about `limit` labelled rows: those whose hash of the id is below a share of its range.
+
+    The share is that of 63-bit numbers, so that a table of labels of any size leaves about 0.97 * limit rows. Ids whose hashes
+    agree stay or go together. Labels without an id or with a null condition are left out.
+    """
     flags = [F.max(F.expr(rule).cast("boolean")).alias(f"c{k}") for k, rule in enumerate(categories.values())]
     one = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*flags).dropna()
     total = one.count()
     if total > limit:
-        one = one.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * 0.97 * limit / total))
+        one = one.filter(F.shiftrightunsigned(F.xxhash64("id"), 1) < F.lit((1 << 63) * 97 * limit // (100 * total)))
     picked = written(one)  # `limit` rows at most, up to the spread of a hash, so it may be broadcast
     return written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id"))
 
@@ -229,7 +233,11 @@ def score_texts(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: s
 def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> DataFrame:
     """Fits a chain on the labelled rows of docs and adds the probabilities p_<category> to every row.
 
-    Labels that repeat an id count once (true if any is); labels without a document are left out. Without labelled rows, or
-    with one class only, a category's probability is the same for all rows. An empty docs gives an empty result.
+    Labels that repeat an id count once (true if any is); labels without a document, without an id or with a null condition are
+    left out. Rows with a null id are scored, and never fitted on. Documents that repeat a labelled id are each fitted on, in the
+    order of id and flags (rows that tie there may come in any order, which changes folds and so later digits alone). Null and
+    empty texts are scored as texts without features, texts of any length whole; equal texts have equal probabilities. Columns
+    of docs named p_<category> are replaced, others kept whatever their names. Without labelled rows, or with one class only, a
+    category's probability is the same for all rows. An empty docs gives an empty result.
     """
     return score_texts(docs, fit_chain(docs, labels, categories, id_col, text_col, limit), text_col)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import sentencepiece
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from chromloom.llm import queries as q
+from chromloom.llm import toxicity as tx
 from chromloom.llm.mixing import mix_sources
 
 
@@ -98,6 +100,40 @@ def test_stages_against_plain_versions(spark):
         assert stage(spark, docs.limit(0), "").count() == 0
 
 
+def plain_toxic(chain, text):
+    """The last probability of the chain, one text and one feature at a time."""
+    own, before = sorted(f for f in tx.features_of(text) if f in chain.words), []
+    for m in chain.models:
+        odds = m.bias + sum(m.weights[chain.words[f]] for f in own) + sum(w * p for w, p in zip(m.before, before, strict=True))
+        before.append(1 / (1 + math.exp(-odds)))
+    return before[-1]
+
+
+def test_toxicity_stage_against_a_plain_loop(spark, tmp_path):
+    """Rejects what a plain loop over the fitted chain rejects, planted words among it, and keeps all else as it was."""
+    r = random.Random(12)
+    clean = [f"{a}{b}" for a in ("lo", "ma", "ne", "ti", "ur") for b in ("ra", "do", "sim", "vek", "pol", "zu")]
+    rows, labels = [], []
+    for i in range(600):
+        own, toxic = r.choices(clean, k=r.randrange(5, 80)), i % 6 == 0
+        rows.append((i, " ".join([*own, "vileword", *own[:3]] if toxic else own), "en", "src0", 1))
+        if i % 2 == 0 or i % 3:
+            labels.append((i, r.randrange(2), int(toxic)))
+    planted = {i for i, *_ in rows if i % 6 == 0}
+    rows += [(None, "lora vileword", "en", None, 1), (None, "lora", "en", None, 1), (900, None, None, None, None), (901, "", "en", "src1", 0), (5, rows[5][1], "en", "src0", 1), (902, "lora " * 60_000 + "vileword", "en", "src0", 1)]
+    spark.createDataFrame([*labels, (None, 1, 1), (7_000, 0, 1), (11, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("p_toxic", F.lit("own"))
+    chain = tx.fit_chain(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), q.TOXICITY_CHAIN)
+    got = pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    want = [(*x, "own") for x in rows if plain_toxic(chain, x[1]) < q.TOXIC_FROM]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    kept = [x["doc_id"] for x in got.collect()]
+    assert not planted & set(kept) and 902 not in kept and kept.count(None) == 1  # toxic ones go, without an id or very long too
+    assert {i for i, *_ in rows if i is not None} - planted - {902} == {i for i in kept if i is not None} and kept.count(5) == 2
+    assert pipeline.drop_toxic(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run_writes_every_stage(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["slot", "start_char", "doc_id", "source", "n_tokens", "ids", "parity", "round_trip"]

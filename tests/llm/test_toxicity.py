@@ -65,3 +65,13 @@ def test_odd_rows(spark):
     assert got.columns == ["doc_id", "text", "p_rude", "p_toxic"]
     assert got.count() == 4 and got.select("p_rude", "p_toxic").distinct().count() == 1
     assert tx.classify(docs.limit(0), labels.limit(0), CHAIN).count() == 0
+
+
+def test_sample_of_any_number_of_labels_is_near_its_limit(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) AS rude", "cast(doc_id % 7 = 0 as int) AS toxic")
+    own = tx.labelled_sample(docs, labels, CHAIN, "doc_id", "text", limit=10)  # a share below one in 4,000
+    assert 0 < own.count() < 25
+    more = tx.labelled_sample(docs, labels, CHAIN, "doc_id", "text", limit=2_000)
+    assert 1_750 < more.count() < 2_100 and own.join(more, "id", "left_anti").count() == 0
+    assert tx.labelled_sample(docs, labels, CHAIN, "doc_id", "text", limit=40_000).count() == 40_000
