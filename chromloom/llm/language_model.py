@@ -45,6 +45,8 @@ STEP = 1 / 4096
 BATCH_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 20
 #: Occurrences of a context for each of the shards that it is dealt to.
 SPLIT = 1 << 16
+#: N-grams that are searched for at a time.
+FOUND = 1 << 16
 END = b""  # no word is empty
 U64 = np.uint64
 #: Multipliers of the splitmix64 hash (fixed values).
@@ -67,6 +69,20 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-np.log10(np.minimum(p, 1.0)) / STEP), 65535).astype(np.uint16)
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and the number of each key among them; np.unique() takes about twice the memory."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first, keys = order[new], keys[new]
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    inverse = np.empty(len(order), np.int32)
+    inverse[order] = number
+    return keys, first, inverse
+
+
 ZSTD = pa.Codec("zstd", 1)
 
 
@@ -133,11 +149,15 @@ class Level:
         return out
 
     def codes(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """The code of log10 p(word | context), where lower is that of the shorter context."""
-        place = self.find(context, word)
-        out = np.minimum(self.arrays["back"][context].astype(np.int64) + lower, 65535)
-        out[place >= 0] = self.arrays["prob"][place[place >= 0]]
-        return out.astype(np.uint16)
+        """The code of log10 p(word | context), where lower is that of the shorter context; FOUND n-grams at a time."""
+        out = np.empty(len(context), np.uint16)
+        for at in range(0, len(out), FOUND):
+            own = slice(at, at + FOUND)
+            place = self.find(context[own], word[own])
+            part = np.minimum(self.arrays["back"][context[own]].astype(np.int64) + lower[own], 65535)
+            part[place >= 0] = self.arrays["prob"][place[place >= 0]]
+            out[own] = part
+        return out
 
 
 def mapped(data: bytes) -> np.ndarray:
@@ -200,10 +220,10 @@ def tokenised(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
 
 
 class Batch:
-    """A batch's n-grams as numbers, found alike whenever the batch is read."""
+    """A batch's n-grams as numbers, found alike whenever the batch is read. What has an entry for each token or n-gram is kept in 32 bits or fewer, keys apart."""
 
     def __init__(self, row: pd.Series):
-        self.row, self.tokens = row, unpacked(row["tokens"], np.int32).astype(np.int64)
+        self.row, self.tokens = row, unpacked(row["tokens"], np.int32)
         self.n_words = int(self.tokens.max()) + 1
         self.sizes, self.held = np.asarray(row["sizes"], np.int64), np.asarray(row["held"], bool)
         ends = np.cumsum(self.sizes + 2)
@@ -221,22 +241,26 @@ class Batch:
         self.numbers, self.counts = unpacked(self.row["numbers"], np.int64), unpacked(self.row["counts"], np.int64)
         ask = self.inner.copy()
         ask[self.begins + 1] = self.tokens[self.begins] >= 0  # the context of a later piece
-        at = np.flatnonzero(ask)
-        keys, inverse = np.unique(self.tokens[at - 1] * self.n_words + self.tokens[at], return_inverse=True)
-        self.pair_of = np.full(len(self.tokens), -1, np.int64)
-        self.pair_of[at] = inverse
-        self.pair_first, self.pair_word = keys // self.n_words, keys % self.n_words
-        self.pair_n = np.bincount(inverse, self.learned[at], len(keys)).astype(np.int64)
+        before = np.append(ask[1:], False)
+        keys, _, inverse = grouped(self.tokens[before].astype(np.int64) * self.n_words + self.tokens[ask])
+        self.pair_of = np.full(len(self.tokens), -1, np.int32)
+        self.pair_of[ask] = inverse
+        self.pair_first, self.pair_word = (keys // self.n_words).astype(np.int32), (keys % self.n_words).astype(np.int32)
+        self.pair_n = np.bincount(inverse[self.learned[ask]], minlength=len(keys)).astype(np.int32)
+        del keys, inverse
         self.pair_key = context_key(self.numbers[self.pair_first].astype(U64), self.numbers[self.pair_word], self.counts[self.pair_first], split)
 
     def trigrams(self, split: int) -> None:
-        """triple_at: tokens whose context of two was learned; triple_of: their trigrams; triple_pair, triple_word: first two words and last; triple_last: the last two; triple_n, triple_key."""
-        self.pair_counts, self.pair_codes = unpacked(self.row["pair_counts"], np.int64), unpacked(self.row["pair_codes"], np.uint16).astype(np.int64)
-        before = np.append(-1, self.pair_of[:-1])
-        self.triple_at = np.flatnonzero(self.inner & (before >= 0) & (self.pair_counts[before] > 0))
-        keys, first, self.triple_of = np.unique(before[self.triple_at] * self.n_words + self.tokens[self.triple_at], return_index=True, return_inverse=True)
-        self.triple_pair, self.triple_word, self.triple_last = keys // self.n_words, keys % self.n_words, self.pair_of[self.triple_at][first]
-        self.triple_n = np.bincount(self.triple_of, self.learned[self.triple_at], len(keys)).astype(np.int64)
+        """triple_at: whether a token's context of two was learned; triple_of: the trigrams of these; triple_pair, triple_word: first two words and last; triple_last: the last two; triple_n, triple_key."""
+        self.pair_counts, self.pair_codes = unpacked(self.row["pair_counts"], np.int64), unpacked(self.row["pair_codes"], np.uint16)
+        del self.pair_n, self.pair_key  # only the level before asks for them
+        before = np.append(np.int32(-1), self.pair_of[:-1])
+        self.triple_at = self.inner & (before >= 0) & (self.pair_counts > 0)[before]
+        keys, first, self.triple_of = grouped(before[self.triple_at].astype(np.int64) * self.n_words + self.tokens[self.triple_at])
+        self.triple_last = self.pair_of[self.triple_at][first]
+        self.triple_pair, self.triple_word = (keys // self.n_words).astype(np.int32), (keys % self.n_words).astype(np.int32)
+        self.triple_n = np.bincount(self.triple_of[self.learned[self.triple_at]], minlength=len(keys)).astype(np.int32)
+        del keys, first, before
         numbers = self.numbers.astype(U64)
         pairs = mixed(numbers[self.pair_first] * MIX3 + numbers[self.pair_word])
         self.triple_key = context_key(pairs[self.triple_pair], self.numbers[self.triple_word], self.pair_counts[self.triple_pair], split)
@@ -244,14 +268,16 @@ class Batch:
 
 def dealt(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, bounds): the numbers of n-grams by shard, and where each shard begins."""
-    shard = ((mixed(key) >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+    shard = ((mixed(key) >> U64(32)) * U64(shards) >> U64(32)).astype(np.min_scalar_type(shards))
+    return np.argsort(shard, kind="stable"), np.append(0, np.cumsum(np.bincount(shard, minlength=shards)))
 
 
 def context_key(context: np.ndarray, word: np.ndarray, totals: np.ndarray, split: int) -> np.ndarray:
     """What an n-gram is dealt by: its context, and for frequent contexts a part of it."""
-    return context + mixed(word.astype(U64)) % (1 + totals // split).astype(U64) * MIX3
+    parts = (1 + totals // split).astype(U64)
+    parts[parts > 1] = mixed(word[parts > 1].astype(U64)) % parts[parts > 1]
+    parts[totals < split] = U64(0)
+    return context + parts * MIX3
 
 
 #: What a batch asks a shard: words (level 1: hashes, then numbers) and training counts; for longer n-grams, their contexts of one
@@ -322,20 +348,36 @@ def score_shard(level: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         read = lambda name, kind: np.concatenate([unpacked(x, kind) for x in pdf[name]])
-        asked = [unpacked(x, np.int64) for x in pdf["words"]]
         number = read("first", np.int64)
         if level == 3:
             second = read("second", np.int64)
             number = number * (int(second.max()) + 1) + second
-        contexts, number = np.unique(number, return_inverse=True)
+            del second
+        contexts, _, number = grouped(number)
         totals = np.zeros(len(contexts))
         totals[number] = read("totals", np.int64)
-        words, word = np.unique(np.concatenate(asked), return_inverse=True)
-        keys, first, place = np.unique(np.repeat(number, read("lengths", np.int32)) * len(words) + word, return_index=True, return_inverse=True)
+        del contexts
+        asked = [unpacked(x, np.int64) for x in pdf["words"]]
+        ends = np.cumsum([len(x) for x in asked])
+        words, _, word = grouped(np.concatenate(asked))
+        del asked
+        n_words = len(words)
+        del words
+        key = np.repeat(number.astype(np.int64) * n_words, read("lengths", np.int32))
+        key += word
+        del number, word
+        keys, first, place = grouped(key)
+        del key
+        lower = read("lower", np.uint16)[first].astype(np.int32)
+        del first
         count = np.bincount(place, read("n", np.int32), len(keys))
-        own, follow, lower, kept = keys // len(words), keys % len(words), read("lower", np.uint16)[first].astype(np.int64), count > 0
-        trie = Level(mapped(Level.build(own[kept], follow[kept], count[kept], lower[kept], totals, len(words))))
-        return reply(pdf, np.cumsum([len(x) for x in asked]), count.astype(np.int64)[place] if level == 2 else None, trie.codes(own, follow, lower)[place])
+        own, follow = keys // n_words, keys % n_words
+        del keys
+        kept = count > 0
+        trie = Level(mapped(Level.build(own[kept], follow[kept], count[kept], lower[kept], totals, n_words)))
+        counts = count.astype(np.int64)[place] if level == 2 else None
+        del count, kept
+        return reply(pdf, ends, counts, trie.codes(own, follow, lower)[place])
 
     return run
 
@@ -409,9 +451,10 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
         _, triple_codes = answers(replies, b.triple_key, n_shards, np.uint16)
         codes = b.pair_codes[b.pair_of]
         codes[b.triple_at] = triple_codes[b.triple_of]
+        del triple_codes
         per_piece = lambda v: np.add.reduceat(np.where(b.inner, v, 0), b.begins)
         base, known = np.log10((b.counts + 1) / space)[b.tokens], (b.counts > 0).astype(np.int64)[b.tokens]
-        return pd.DataFrame({"row": np.asarray(b.row["rows"], np.int64), "id": list(b.row["ids"]), "held_out": b.held, "n_tokens": b.sizes, "n_known": per_piece(known), "base_score": per_piece(base), "score": -STEP * per_piece(codes)})
+        return pd.DataFrame({"row": np.asarray(b.row["rows"], np.int64), "id": list(b.row["ids"]), "held_out": b.held, "n_tokens": b.sizes, "n_known": per_piece(known), "base_score": per_piece(base), "score": -STEP * per_piece(codes.astype(np.int64))})
 
     three = written(paired.drop("rows", "ids").mapInPandas(asking(ask_triples), ASK_SQL).groupBy("shard").applyInPandas(score_shard(3), REPLY_SQL))
     pieces = paired.groupBy("batch").cogroup(three.groupBy("batch")).applyInPandas(summed, "row long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")

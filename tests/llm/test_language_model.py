@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -108,3 +109,39 @@ def test_odd_rows(spark):
     assert lm.lm_scores(docs.limit(0)).count() == 0
     only_held = spark.createDataFrame([(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in lm.lm_scores(only_held).collect()} == {(0, 0, 0.0)}
+
+
+def test_distinct_keys_with_places_and_numbers():
+    r = np.random.default_rng(4)
+    for keys in (r.integers(0, 40, 500), np.zeros(0, np.int64), np.array([7])):
+        distinct, first, number = lm.grouped(keys)
+        assert (distinct == np.unique(keys)).all() and (keys[first] == distinct).all() and (distinct[number] == keys).all()
+
+
+def test_memory_of_a_batch_and_a_shard_of_rare_ngrams():
+    """An executor's workers hold one of these each: bytes a token (250 and 228 with np.unique and 64-bit numbers)."""
+    r, n = np.random.default_rng(6), 200_000
+    words = 40_000
+    tokens = np.concatenate([[-1, 0], r.integers(0, words, n)]).astype(np.int32)
+    row = {"batch": 0, "sizes": [n], "held": [False], "tokens": lm.packed(tokens), "numbers": lm.packed(np.arange(words)), "counts": lm.packed(np.full(words, 5))}
+    probe = lm.Batch(row)
+    probe.bigrams(lm.SPLIT)
+    pairs = len(probe.pair_first)
+    row |= {"pair_counts": lm.packed(np.ones(pairs, np.int64)), "pair_codes": lm.packed(np.full(pairs, 9000, np.uint16))}
+    del probe
+
+    def ask():
+        b = lm.Batch(row)
+        b.bigrams(lm.SPLIT)
+        b.trigrams(lm.SPLIT)
+        return lm.ask_for_ngrams(b, b.triple_key, 1, b.triple_pair, [b.numbers[b.pair_first], b.numbers[b.pair_word]], b.pair_counts, b.numbers[b.triple_word], b.triple_n, b.pair_codes[b.triple_last])
+
+    peaks = []
+    asked = None
+    for work in (ask, lambda: lm.score_shard(3)(asked)):
+        tracemalloc.start()
+        out = work()
+        peaks.append(tracemalloc.get_traced_memory()[1] / n)
+        tracemalloc.stop()
+        asked = out if asked is None else asked
+    assert peaks[0] < 210 and peaks[1] < 190
