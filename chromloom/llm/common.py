@@ -41,13 +41,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes df as a compressed table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes df as a compressed table in the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    No success marker is written, which no one reads: where Hadoop's native library is missing, each local file of the driver's
+    (and its checksum) starts a process for its permissions, which shares the driver's memory for a moment.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chromloom/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
