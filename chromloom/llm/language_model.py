@@ -25,7 +25,7 @@ from __future__ import annotations
 import json
 import tempfile
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromloom.llm.common import discard, written
+from chromloom.llm.common import discard, frugal, give_back, written
 from chromloom.llm.elias_fano import EliasFano
 
 PRIOR = 2.0
@@ -187,6 +187,7 @@ class _Numbers(dict):
 def tokenised(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """Batches of (id, text, held_out): each row of docs has a number of its own, and each piece two tokens of context before it (-1: none)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         row = part << 40
@@ -382,6 +383,28 @@ def score_shard(level: int):
     return run
 
 
+def by_shard(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """work, a function of a shard's requests, that gives its memory back."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = work(pdf)
+        give_back()
+        return out
+
+    return run
+
+
+def by_batch(work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The same for a function of a batch and its replies."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = work(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 def held_out_of(id_col: str, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
@@ -399,10 +422,12 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
     n_shards = max(1, -(-(batches.agg(F.sum("n_tokens")).first()[0] or 0) // shard_tokens))
 
     def asking(ask):
+        @frugal
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for _, row in f.iterrows():
                     yield ask(Batch(row))
+                    give_back()
 
         return run
 
@@ -413,7 +438,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return left.assign(**{c: [v] for c, v in put(Batch(left.iloc[0]), right).items()})[list(fields)]
 
-        out = written(table.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(run, ", ".join(f"{c} {kind}" for c, kind in fields.items())))
+        out = written(table.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(by_batch(run), ", ".join(f"{c} {kind}" for c, kind in fields.items())))
         discard(table)
         discard(replies)
         return out
@@ -422,7 +447,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
         counts, numbers = answers(replies, unpacked(b.row["words"], U64), n_shards, np.int64)
         return {"numbers": packed(numbers), "counts": packed(counts)}
 
-    one = written(batches.select("batch", "held", "sizes", "words", "tokens").mapInPandas(asking(lambda b: ask_for_words(b, n_shards)), ASK_SQL).groupBy("shard").applyInPandas(count_words(n_shards), REPLY_SQL))
+    one = written(batches.select("batch", "held", "sizes", "words", "tokens").mapInPandas(asking(lambda b: ask_for_words(b, n_shards)), ASK_SQL).groupBy("shard").applyInPandas(by_shard(count_words(n_shards)), REPLY_SQL))
     sums = one.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
     total, space = int(sums["total"]), float(sums["total"] + sums["distinct"] + 1)
     numbered = answered(batches, one, number_words, {"numbers": "binary", "counts": "binary"})
@@ -436,7 +461,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
         counts, codes = answers(replies, b.pair_key, n_shards, np.uint16)
         return {"pair_counts": packed(counts), "pair_codes": packed(codes)}
 
-    two = written(numbered.drop("rows", "ids").mapInPandas(asking(ask_pairs), ASK_SQL).groupBy("shard").applyInPandas(score_shard(2), REPLY_SQL))
+    two = written(numbered.drop("rows", "ids").mapInPandas(asking(ask_pairs), ASK_SQL).groupBy("shard").applyInPandas(by_shard(score_shard(2)), REPLY_SQL))
     paired = answered(numbered, two, put_pairs, {c: "binary" for c in ("numbers", "counts", "pair_counts", "pair_codes")})
 
     def ask_triples(b: Batch) -> pd.DataFrame:
@@ -456,8 +481,8 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "do
         base, known = np.log10((b.counts + 1) / space)[b.tokens], (b.counts > 0).astype(np.int64)[b.tokens]
         return pd.DataFrame({"row": np.asarray(b.row["rows"], np.int64), "id": list(b.row["ids"]), "held_out": b.held, "n_tokens": b.sizes, "n_known": per_piece(known), "base_score": per_piece(base), "score": -STEP * per_piece(codes.astype(np.int64))})
 
-    three = written(paired.drop("rows", "ids").mapInPandas(asking(ask_triples), ASK_SQL).groupBy("shard").applyInPandas(score_shard(3), REPLY_SQL))
-    pieces = paired.groupBy("batch").cogroup(three.groupBy("batch")).applyInPandas(summed, "row long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    three = written(paired.drop("rows", "ids").mapInPandas(asking(ask_triples), ASK_SQL).groupBy("shard").applyInPandas(by_shard(score_shard(3)), REPLY_SQL))
+    pieces = paired.groupBy("batch").cogroup(three.groupBy("batch")).applyInPandas(by_batch(summed), "row long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = written(pieces.groupBy("row").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))))
     discard(paired)
     discard(three)

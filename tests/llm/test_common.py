@@ -1,7 +1,38 @@
+import re
+import subprocess
+import sys
 from pathlib import Path
 
 from chromloom.llm.common import discard, written
 
+HELD = """
+import re
+from pathlib import Path
+from chromloom.llm import common
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+def run(batches):
+    for n in batches:
+        kept = [bytes(60_000) for _ in range(n)]  # below the size that C's allocator maps alone
+        last.append(kept[-1])  # holds the end of the heap
+        del kept
+        yield n
+
+last = []
+list(common.frugal(run)(iter([1])))
+before = held()
+assert list(common.frugal(run)(iter([3_000]))) == [3_000]
+print(held() - before)
+"""
+
+
+def test_a_task_gives_its_memory_back():
+    root = Path(__file__).resolve().parents[2]
+    out = subprocess.run([sys.executable, "-c", HELD], cwd=root, capture_output=True, text=True, check=True, timeout=120).stdout
+    assert float(re.findall(r"[-\d.]+", out)[-1]) < 60  # of 180 MB
+
 
 def test_a_written_table_has_no_success_marker_and_goes_whole(spark):
     table = written(spark.range(100).repartition(3))

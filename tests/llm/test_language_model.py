@@ -145,3 +145,10 @@ def test_memory_of_a_batch_and_a_shard_of_rare_ngrams():
         tracemalloc.stop()
         asked = out if asked is None else asked
     assert peaks[0] < 210 and peaks[1] < 190
+
+
+def test_shards_and_batches_give_their_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(lm, "give_back", lambda: given.append(1))
+    assert lm.by_shard(lambda pdf: pdf + 1)(1) == 2 and lm.by_batch(lambda left, right: left + right)(1, 2) == 3
+    assert len(given) == 2
