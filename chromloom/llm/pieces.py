@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from chromloom.llm.common import frugal
+
 MARK = "▁"
 CHUNK = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 #: Bytes of a model file, and remembered chunks of a worker, at most.
@@ -249,6 +251,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", forg
     docs = docs.drop("n_tokens", "ids", "parity", "round_trip")
     at = docs.columns.index(text_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(proto)
         for whole in batches:
@@ -274,6 +277,7 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", out: s
     docs = docs.drop(out)
     at = docs.columns.index(ids_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(proto)
         for whole in batches:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromloom.llm.common import discard, written
+from chromloom.llm.common import discard, frugal, written
 from chromloom.llm.components import connected_components
 from chromloom.llm.fingerprints import majority_bits
 
@@ -71,6 +71,7 @@ def bitmaps_of(sets: list[np.ndarray]) -> np.ndarray:
 def slot_counts(texts: DataFrame, n: int) -> np.ndarray:
     """How many (text, shingle) fall in each slot: SLOTS numbers, at any size of the corpus."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
@@ -90,6 +91,7 @@ def with_prefixes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """(id, node, size, fp, bits, keys) of docs (id, text): the set's SimHash, its bitmap and its prefix, rare shingles first."""
     counts = docs.sparkSession.sparkContext.broadcast(slot_counts(docs.select("text"), n))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
         for whole in batches:
@@ -112,6 +114,7 @@ def with_prefixes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, own): the whole set of each node; docs: (id, text), nodes: (node, id) of a row that has the set."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):

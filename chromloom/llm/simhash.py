@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromloom.llm.common import written
+from chromloom.llm.common import frugal, written
 from chromloom.llm.components import connected_components
 from chromloom.llm.fingerprints import BITS, majority_bits
 from chromloom.llm.shingles import similar_classes
@@ -75,6 +75,7 @@ def tree_of_links(fps: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[i
 def bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
     """(a, b) from buckets (members: array of (id, fp), bounded)."""
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found: set[tuple[int, int]] = set()

@@ -15,18 +15,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromloom.llm.common import written
+from chromloom.llm.common import frugal, give_back, written
 
 #: Bounds of what is fitted on the driver: labelled rows, and features of a category's model.
 MAX_LABELLED, MAX_WORDS = 20_000, 1_024
 #: A word is a feature from this many documents and standard errors on.
 MIN_DOCS, MIN_Z = 4, 4.5
 FOLDS = 5
+#: Texts that are scored at a time.
+SCORED = 500
 PREFIXES = (4, 5, 6, 7)
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -150,6 +153,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, st
 def pick_features(sample: DataFrame, n_categories: int) -> dict[bytes, list[int]]:
     """Feature -> the categories with which it goes: its document frequencies among their rows and the rest differ by MIN_Z standard errors or more."""
 
+    @frugal
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
             for start in range(0, len(whole), 200):
@@ -188,6 +192,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
     goes_with = pick_features(sample, len(categories))
     chain = Chain(list(categories), {w: i for i, w in enumerate(goes_with)}, [])
 
+    @frugal
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f.drop(columns="text").assign(cols=chain.columns(list(f["text"])))
@@ -222,9 +227,12 @@ def score_texts(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: s
     """Adds one probability a category to docs. Null and empty texts have the probabilities of a text without features."""
     names = [f"{prefix}{c}" for c in chain.categories]
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(chain.probabilities(list(texts))))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = np.concatenate([np.zeros((0, len(names))), *(chain.probabilities(texts.slice(at, SCORED).to_pylist()) for at in range(0, len(texts), SCORED))])
+            yield pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * len(names), found.ravel())
+        give_back()
 
     marked = docs.drop(*names).withColumn("__p", run(F.col(text_col)))
     return marked.select(*[c for c in marked.columns if c != "__p"], *(F.col("__p")[k].alias(c) for k, c in enumerate(names)))

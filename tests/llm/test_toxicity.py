@@ -75,3 +75,15 @@ def test_sample_of_any_number_of_labels_is_near_its_limit(spark):
     more = tx.labelled_sample(docs, labels, CHAIN, "doc_id", "text", limit=2_000)
     assert 1_750 < more.count() < 2_100 and own.join(more, "id", "left_anti").count() == 0
     assert tx.labelled_sample(docs, labels, CHAIN, "doc_id", "text", limit=40_000).count() == 40_000
+
+
+def test_few_texts_of_a_batch_are_scored_at_a_time(spark):
+    class Counted(tx.Chain):
+        def probabilities(self, texts):
+            assert len(texts) <= 500, len(texts)
+            return np.asarray([[len(t or ""), 1.0] for t in texts]).reshape(len(texts), 2)
+
+    docs = spark.createDataFrame([(i, None if i % 7 == 3 else "x" * (i % 50)) for i in range(1_203)], "doc_id long, text string").coalesce(1)
+    found = tx.score_texts(docs, Counted(["rude", "toxic"], {}, [])).collect()
+    assert len(found) == 1_203 and all((r["p_rude"], r["p_toxic"]) == (len(r["text"] or ""), 1.0) for r in found)
+    assert tx.score_texts(docs.limit(0), Counted(["rude", "toxic"], {}, [])).collect() == []
