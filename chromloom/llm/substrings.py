@@ -32,22 +32,13 @@ from pyspark.sql import types as T
 
 from chromloom.llm.common import discard, set_aside, written
 
+#: Anchors and documents for each task from which on there are more; a small table is not spread over all shuffle partitions.
+ROWS_A_TASK = 100_000
 #: Words of an anchor; occurrences of an anchor up to which its pieces form one shard.
 ANCHOR, MAX_SHARD = 5, 1_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-HASHES = WordHashes()
-
-
 def split_words(text: str | None) -> list[bytes]:
     """Runs of characters other than space and \\t to \\r."""
     return (text or "").encode("utf-8", "surrogatepass").split()
@@ -65,7 +56,7 @@ def pieces_of(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))  # faster than a dict of them, where words are many
     grams = np.zeros(len(words) - ANCHOR + 1, np.uint64)
     for j in range(ANCHOR):
         grams = mixed(grams * MIX[0] + h[j : j + len(grams)])
@@ -155,7 +146,6 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                 counts.append(n)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (anchors, ids, counts)], names=["anchor", "doc", "n"])
-        HASHES.clear()  # workers outlive their tasks
 
     return docs.select("__id", "__text").mapInArrow(run, "anchor long, doc long, n long")
 
@@ -180,7 +170,6 @@ def _piece_rows(docs: DataFrame, window: int) -> DataFrame:
                                 out.append((xxhash.xxh64_intdigest(text, 1) - 2**63, text, row["__id"], row["__key"], k, 1))
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["shard", "piece", "doc", "__key", "first", "n"])
-        HASHES.clear()
 
     return docs.select("__id", "__key", "__text", "common", "rare").mapInArrow(run, "shard long, piece binary, doc long, __key long, first long, n long")
 
@@ -208,20 +197,21 @@ def _marked(distinct: DataFrame, window: int) -> DataFrame:
     return distinct.select("shard", "piece_id", "owner", "piece").mapInArrow(run, "shard long, piece_id long, owner long, marks long")
 
 
-def repeat_marks(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __key, __spans: array of (first, n, marks)) for documents with a repeated window; __key is the text's hash."""
+def repeat_marks(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(__id, __key, __spans: array of (first, n, marks)) for documents with a repeated window; __key is the text's hash. And a number of tasks for tables of these documents."""
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text")).filter("__id is not null and __text is not null")
     occurring = written(_anchor_rows(base, window))
+    tasks = 1 + (occurring.count() + docs.count()) // ROWS_A_TASK
     shared = occurring.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.sum("n").alias("total")).filter("lo < hi").select("anchor", (F.col("total") > MAX_SHARD).alias("many"))
-    candidates = written(occurring.select("anchor", "doc").join(shared, "anchor").groupBy(F.col("doc").alias("__id")).agg(F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("common"), F.collect_set(F.when(~F.col("many"), F.col("anchor"))).alias("rare")))
+    candidates = written(occurring.select("anchor", "doc").join(shared, "anchor").groupBy(F.col("doc").alias("__id")).agg(F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("common"), F.collect_set(F.when(~F.col("many"), F.col("anchor"))).alias("rare")).coalesce(tasks))
     discard(occurring)
-    pieces = written(_piece_rows(base.join(candidates, "__id"), window).withColumn("piece_id", F.xxhash64("piece", "shard", "n")))
+    pieces = written(_piece_rows(base.join(candidates, "__id"), window).withColumn("piece_id", F.xxhash64("piece", "shard", "n")).coalesce(tasks))
     discard(candidates)
     distinct = pieces.groupBy("shard", "piece", "piece_id").agg(F.min("doc").alias("owner"))
-    marks = written(_marked(distinct.repartition("shard").sortWithinPartitions("shard", "owner", "piece"), window))
+    marks = written(_marked(distinct.repartition("shard").sortWithinPartitions("shard", "owner", "piece"), window).coalesce(tasks))
     placed = pieces.select("shard", "piece_id", "doc", "__key", "first", "n").join(marks, ["shard", "piece_id"])
     placed = placed.withColumn("marks", F.when(F.col("doc") > F.col("owner"), F.expr("shiftleft(1L, cast(n as int)) - 1")).otherwise(F.col("marks"))).filter("marks <> 0")
-    return placed.groupBy(F.col("doc").alias("__id"), "__key").agg(F.collect_set(F.struct("first", "n", "marks")).alias("__spans"))
+    return placed.groupBy(F.col("doc").alias("__id"), "__key").agg(F.collect_set(F.struct("first", "n", "marks")).alias("__spans")), tasks
 
 
 def removed_words(n_words: int, spans: list[tuple[int, int, int]], window: int) -> np.ndarray:
@@ -273,7 +263,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     if not ANCHOR <= window <= ANCHOR + 61:
         raise ValueError(f"window must be from {ANCHOR} to {ANCHOR + 61} words")
     docs, own_names = set_aside(docs.drop("n_words", "n_removed", "kept_sha256") if report else docs, ["__id", "__key", "__spans"])
-    spans = repeat_marks(docs, window, id_col, text_col)
+    spans, tasks = repeat_marks(docs, window, id_col, text_col)
     joined = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text_col)}).join(spans, ["__id", "__key"], "left").drop("__id", "__key")
     names = [f.name for f in docs.schema.fields]
     at = names.index(text_col)
@@ -296,4 +286,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *(n for n, _ in added)])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.StringType() if t == pa.string() else T.LongType()) for n, t in added)])
-    return joined.select(*names, "__spans").mapInArrow(run, schema).withColumnsRenamed(own_names)
+    return joined.select(*names, "__spans").mapInArrow(run, schema).coalesce(tasks).withColumnsRenamed(own_names)

@@ -78,3 +78,18 @@ def test_odd_rows(spark):
     assert ss.remove_repeats(docs.limit(0)).count() == 0
     with pytest.raises(ValueError, match="window"):
         ss.remove_repeats(docs, window=3)
+
+
+def test_small_tables_are_not_written_by_all_shuffle_partitions(spark):
+    held = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = corpus(5)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = ss.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), report=True)
+        assert got.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == sorted(brute(rows, 13))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
