@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from chromloom.llm.common import frugal
+from chromloom.llm.common import give_back
 
 MARK = "▁"
 CHUNK = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -251,7 +251,6 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", forg
     docs = docs.drop("n_tokens", "ids", "parity", "round_trip")
     at = docs.columns.index(text_col)
 
-    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(proto)
         for whole in batches:
@@ -266,6 +265,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", forg
                 )
         if forget:
             codec.forget()
+            give_back()
 
     extra = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
@@ -277,7 +277,6 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "ids", out: s
     docs = docs.drop(out)
     at = docs.columns.index(ids_col)
 
-    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(proto)
         for whole in batches:
