@@ -69,6 +69,15 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collects the driver's garbage, as Spark does each half-hour to forget what ended jobs leave (broadcasts, accumulators).
+
+    For steps of very many jobs: their plans and task metrics are garbage soon, but until a full collection the driver's heap
+    grows towards its limit, the more so where its threads wait for CPUs, and keeps what it has taken.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Returns the freed memory of this process to the system: workers outlive their tasks, and C's and Arrow's allocators keep it."""
     pa.default_memory_pool().release_unused()

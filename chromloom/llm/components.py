@@ -7,28 +7,32 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromloom.llm.common import discard, written
+from chromloom.llm.common import collect_garbage, discard, written
 
 #: Edges from which on a round's tables get another task; a small graph is not spread over all shuffle partitions.
 EDGES_A_TASK = 50_000
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _settled(edges: DataFrame, tasks: int) -> bool:
+    """Whether every node has one smaller neighbour at most, which has none itself: each class is a star about its least node."""
+    above = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    centres = edges.select(F.col("b").alias("a")).distinct().withColumn("centre", F.lit(True))
+    return above.join(centres, "a", "left").filter("n > 1 or centre").select("a").coalesce(tasks).isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node that can be reached, for each node of edges (a, b: integers) but the least ones themselves.
 
     Each round is two joins of the edges with the nodes' minima, which are pre-aggregated and written to the shared folder,
-    so that a node with many neighbours is an ordinary skewed join key. Nothing is collected but two numbers a round. A
-    round's tables have tasks by the number of edges, and are deleted once the next ones are written.
+    so that a node with many neighbours is an ordinary skewed join key. Nothing is collected but a number and a flag a round:
+    edges that are stars already get no round at all. A round's tables have tasks by the number of edges, and are deleted
+    once the next ones are written; the driver's garbage is collected with them.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _state(edges)
-    for _ in range(max_rounds if before[0] else 0):
-        tasks = 1 + math.ceil(before[0] / EDGES_A_TASK)
+    for _ in range(max_rounds):
+        tasks = 1 + math.ceil(edges.count() / EDGES_A_TASK)
+        if _settled(edges, tasks):
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")).coalesce(tasks))
         large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks))
@@ -38,11 +42,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = written(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks))
         for t in used:
             discard(t)
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
+        collect_garbage(edges.sparkSession)
     else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

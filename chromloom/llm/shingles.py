@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromloom.llm.common import discard, frugal, written
+from chromloom.llm.common import collect_garbage, discard, frugal, written
 from chromloom.llm.components import connected_components
 from chromloom.llm.fingerprints import majority_bits
 
@@ -153,6 +153,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, thres
     out = written(both.filter(common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
     discard(sets)
     discard(pairs)
+    collect_garbage(docs.sparkSession)
     return out
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from chromloom.llm import simhash
+from chromloom.llm import components, simhash
 from chromloom.llm.components import connected_components
 
 
@@ -93,6 +93,26 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {i: 100 for i in range(101, 161)} | {i: 7 for i in range(200, 260)}
 
 
+def test_components_that_are_settled_get_no_round(spark, monkeypatch):
+    """Each table that a round writes costs the driver jobs, and memory, so stars are left as they are; two nodes above one, or a chain, are not."""
+    tables, collected = [], []
+    write = components.written
+    monkeypatch.setattr(components, "written", lambda df: tables.append(1) or write(df))
+    monkeypatch.setattr(components, "collect_garbage", lambda s: collected.append(1))
+
+    def found(edges):
+        tables.clear()
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        return got, len(tables)
+
+    assert found([(1, i) for i in range(2, 40)] + [(i, 50) for i in range(51, 70)]) == ({i: 1 for i in range(2, 40)} | {i: 50 for i in range(51, 70)}, 1)
+    assert found([]) == ({}, 1)
+    assert not collected
+    assert found([(1, 9), (2, 9)]) == ({2: 1, 9: 1}, 5)
+    assert found([(1, 2), (2, 3)]) == ({2: 1, 3: 1}, 5)
+    assert len(collected) == 2
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e", "x"), (None, None, "y"), (3, "a b c d e", None), (3, "a b c d e", None), (9, "a b c d e", "fp")], "doc_id long, text string, fp string")
     got = sorted(((r["id"], r["component_id"]) for r in simhash.near_duplicate_classes(docs).collect()), key=str)
