@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromloom.llm.common import collect_garbage, discard, frugal, written
+from chromloom.llm.common import collect_garbage, discard, frugal, give_back, written
 from chromloom.llm.components import connected_components
 from chromloom.llm.fingerprints import majority_bits
 
@@ -90,6 +90,7 @@ def slot_counts(texts: DataFrame, n: int) -> np.ndarray:
 def with_prefixes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """(id, node, size, fp, bits, keys) of docs (id, text): the set's SimHash, its bitmap and its prefix, rare shingles first."""
     counts = docs.sparkSession.sparkContext.broadcast(slot_counts(docs.select("text"), n))
+    give_back()
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromloom.llm.common import frugal, give_back, written
+from chromloom.llm.common import collect_garbage, frugal, give_back, written
 
 #: Bounds of what is fitted on the driver: labelled rows, and features of a category's model.
 MAX_LABELLED, MAX_WORDS = 20_000, 1_024
@@ -189,7 +189,10 @@ def pick_features(sample: DataFrame, n_categories: int) -> dict[bytes, list[int]
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> Chain:
     """categories: name -> SQL condition over labels, in the order of the chain. Rows whose condition is null are left out."""
     sample = labelled_sample(docs, labels, categories, id_col, text_col, limit)
+    collect_garbage(docs.sparkSession)
     goes_with = pick_features(sample, len(categories))
+    collect_garbage(docs.sparkSession)
+    give_back()
     chain = Chain(list(categories), {w: i for i, w in enumerate(goes_with)}, [])
 
     @frugal
@@ -201,6 +204,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id
     known = sample.mapInPandas(features, f"id long, {flags}, cols array<int>").toArrow().combine_chunks()  # bounded by `limit`
     known = known.take(pc.sort_indices(known, sort_keys=[("id", "ascending"), *((f"c{k}", "ascending") for k in range(len(categories)))])).combine_chunks()
     n, width = known.num_rows, len(goes_with)
+    collect_garbage(docs.sparkSession)  # before the driver's own work, which takes memory beside what the jobs have taken
     lists = known.column("cols").combine_chunks()
     all_cols = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
     all_rows = np.repeat(np.arange(n, dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))

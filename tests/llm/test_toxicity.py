@@ -87,3 +87,15 @@ def test_few_texts_of_a_batch_are_scored_at_a_time(spark):
     found = tx.score_texts(docs, Counted(["rude", "toxic"], {}, [])).collect()
     assert len(found) == 1_203 and all((r["p_rude"], r["p_toxic"]) == (len(r["text"] or ""), 1.0) for r in found)
     assert tx.score_texts(docs.limit(0), Counted(["rude", "toxic"], {}, [])).collect() == []
+
+
+def test_the_driver_gives_memory_back_before_it_fits(spark, monkeypatch):
+    """What the jobs before have left in the driver's heap is collected before each of the steps that take memory beside it."""
+    done = []
+    monkeypatch.setattr(tx, "collect_garbage", lambda s: done.append("collected"))
+    for name in ("pick_features", "fit_linear"):
+        monkeypatch.setattr(tx, name, lambda *a, name=name, run=getattr(tx, name): (done.append(name), run(*a))[1])
+    docs, labels = corpus(200)
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, rude int, toxic int")
+    tx.fit_chain(d, lab, CHAIN)
+    assert done[:5] == ["collected", "pick_features", "collected", "collected", "fit_linear"]
