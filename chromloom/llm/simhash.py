@@ -98,7 +98,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         last = depth == 2
         keyed = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = written(keyed.join(sizes, ["mask", "key"]))
+        shared = written(keyed.hint("merge").join(sizes, ["mask", "key"]))  # estimated without the masks, so it would be broadcast
         small = shared if last else shared.filter(F.col("n") <= MAX_BUCKET)
         found = bucket_links(small.groupBy("mask", "key").agg(F.collect_list(F.struct("id", "fp")).alias("members")), radius)
         links = found if links is None else links.unionByName(found)
@@ -128,7 +128,7 @@ def near_duplicate_classes(docs: DataFrame, n: int = 4, radius: int = 4, id_col:
     one = known.join(several, "id").join(fps.withColumnRenamed("id", "first"), "fp").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     labels = connected_components(fingerprint_links(fps, radius).unionByName(one))
     owners = written(fps.join(labels.withColumnRenamed("node", "id"), "id", "left").select(F.col("fp"), F.coalesce("component", "id").alias("component_id")))
-    return marked.join(owners, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return marked.join(owners.hint("merge"), "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def hex_fingerprint(fp: str = "fp"):

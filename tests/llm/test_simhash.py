@@ -4,6 +4,7 @@ import pytest
 import xxhash
 
 from chromloom.llm import components, simhash
+from chromloom.llm.common import written
 from chromloom.llm.components import connected_components
 
 
@@ -140,3 +141,19 @@ def test_families_find_close_copies_and_leave_others(spark):
     kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(150)) <= kept
     assert len(copies & kept) <= 0.05 * len(copies)
+
+
+def test_exploded_fingerprints_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    fps = written(spark.range(500).selectExpr("id", "xxhash64(id) AS fp"))
+    assert simhash.fingerprint_links(fps).count() == 0
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    docs = spark.createDataFrame([(i, f"word {i % 7}") for i in range(50)], "doc_id long, text string")
+    last = simhash.near_duplicate_classes(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in last and "Broadcast" not in last
