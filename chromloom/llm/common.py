@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -43,6 +44,28 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's bounds of a table that a join broadcasts, by an estimate before it runs and by the size of what was shuffled.
+BY_GUESS, BY_SIZE = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+#: Estimated bytes up to which a table is broadcast unseen. Estimates are those of files, which repeated numbers make small, and
+#: don't grow with explode or a function over batches: rows can take a hundred times as much in the driver.
+GUESSED = 256 * 1024
+
+
+@contextmanager
+def by_real_sizes(spark: SparkSession) -> Iterator[None]:
+    """What is planned inside broadcasts tables up to the session's own bound by their real sizes, and by estimates only small ones."""
+    own = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    before = {k: spark.conf.get(k, None) for k in (BY_GUESS, BY_SIZE)}
+    if before[BY_SIZE] is None:
+        spark.conf.set(BY_SIZE, str(own))
+    spark.conf.set(BY_GUESS, str(min(own, GUESSED)))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes df as a compressed table in the shared folder and reads it back: cuts the lineage and survives lost executors.
 
@@ -54,7 +77,8 @@ def written(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+        with by_real_sizes(spark):
+            df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromloom.llm.common import collect_garbage, discard, written
+from chromloom.llm.common import by_real_sizes, collect_garbage, discard, written
 
 #: Edges from which on a round's tables get another task; a small graph is not spread over all shuffle partitions.
 EDGES_A_TASK = 50_000
@@ -17,7 +17,8 @@ def _settled(edges: DataFrame, tasks: int) -> bool:
     """Whether every node has one smaller neighbour at most, which has none itself: each class is a star about its least node."""
     above = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     centres = edges.select(F.col("b").alias("a")).distinct().withColumn("centre", F.lit(True))
-    return above.join(centres, "a", "left").filter("n > 1 or centre").select("a").coalesce(tasks).isEmpty()
+    with by_real_sizes(edges.sparkSession):
+        return above.join(centres, "a", "left").filter("n > 1 or centre").select("a").coalesce(tasks).isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

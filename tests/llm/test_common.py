@@ -3,7 +3,9 @@ import subprocess
 import sys
 from pathlib import Path
 
-from chromloom.llm.common import discard, written
+from pyspark.sql import functions as F
+
+from chromloom.llm.common import by_real_sizes, discard, written
 
 HELD = """
 import re
@@ -40,3 +42,19 @@ def test_a_written_table_has_no_success_marker_and_goes_whole(spark):
     assert table.count() == 100 and not [p for p in folder.iterdir() if "_SUCCESS" in p.name]
     discard(table)
     assert not folder.exists()
+
+
+def test_estimates_of_files_alone_broadcast_no_large_table(spark):
+    rows = written(spark.range(100_000).select(F.xxhash64("id").alias("k"), F.expr("id div 1000").alias("v")))
+    many = rows.select("k", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("i"))  # 3,000,000 rows, estimated as the file
+
+    def plan():
+        return many.join(rows, "k")._jdf.queryExecution().executedPlan().toString()
+
+    settings = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    assert "BroadcastHashJoin" in plan()
+    with by_real_sizes(spark):
+        assert "SortMergeJoin" in plan()
+    assert {k: spark.conf.get(k, None) for k in settings} == settings
+    assert "BroadcastHashJoin" in plan()
+    discard(rows)
