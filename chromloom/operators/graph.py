@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromloom.operators.neighbours import descended, pair_distances, shared_spectrum
+from chromloom.operators.nearest import nearest_cells
+from chromloom.operators.neighbours import descended, shared_spectrum
 from chromloom.operators.ranks import exact_quantiles
 from chromloom.operators.tall import r_factor, task_sums
 
@@ -137,39 +136,6 @@ def regress_out(frame: DataFrame, covariates: list[Column], vec: str = "vec", ke
     return both.withColumn(vec, run("__all")).drop("__c", "__all")
 
 
-def nearest_cells(frame: DataFrame, k: int, key: str = "cell_id", vec: str = "vec", block: int = 1024) -> DataFrame:
-    """(src, dst, dist, rank): the k nearest other cells by Euclidean distance, ties to the smaller id.
-
-    Exact: blocks of cells meet every other block, and each pair of blocks returns k rows a cell.
-    """
-    n = max(1, -(-frame.count() // block))
-    blocks = frame.select(F.col(key).alias("id"), F.col(vec).alias("vec")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)))
-    packed = blocks.groupBy("b").agg(F.collect_list(F.struct("id", "vec")).alias("members"))
-    tasks = packed.select(F.col("members").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for asked, members in zip(f["asked"], f["members"], strict=True):
-                a, b = (np.asarray([m["vec"] for m in side], np.float64) for side in (asked, members))
-                ids, own = np.asarray([m["id"] for m in members]), np.asarray([m["id"] for m in asked])
-                rough = pair_distances(a, b)
-                rough[own[:, None] == ids[None]] = np.inf
-                # what the product's rounding could hide is looked at exactly
-                slack = 1e-6 * (1 + np.sqrt((a * a).sum(axis=1).max(initial=0) + (b * b).sum(axis=1).max(initial=0)))
-                limit = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] + slack
-                rows: list[pd.DataFrame] = []
-                for q, x, row, most in zip(own, a, rough, limit, strict=True):
-                    near = np.flatnonzero((row <= most) & np.isfinite(row))
-                    dist = np.sqrt(((x - b[near]) ** 2).sum(axis=1))
-                    top = np.lexsort((ids[near], dist))[:k]
-                    rows.append(pd.DataFrame({"src": q, "dst": ids[near][top], "dist": dist[top]}))
-                yield pd.concat(rows)
-
-    found = tasks.join(packed, "b").mapInPandas(run, "src long, dst long, dist double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def shared_neighbours(edges: DataFrame, part: int = 1024) -> DataFrame:
     """(a, b, n): pairs of nodes a < b with n common neighbours, of edges (src, dst).
 

@@ -18,11 +18,20 @@ def shared_path(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/chromloom-maps/{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write go at once, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(frame: DataFrame) -> DataFrame:
     """frame written to the shared folder and read back, so that all that follows reads rows instead of working them out
-    again, and survives lost executors."""
+    again, and survives lost executors. The write's shuffle files go with its end."""
     spark, path = frame.sparkSession, shared_path(frame.sparkSession)
-    frame.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chromloom.operators import graph, neighbours
+from chromloom.operators import graph, nearest, neighbours
+from chromloom.sources.shared import kept
 
 
 def cells(spark, x, parts=4):
@@ -44,6 +45,40 @@ def test_exact_neighbours_with_close_ties(spark):
     assert got == {(i, j + 1): int(near[i, j]) for i in range(90) for j in range(6)}
 
 
+def test_exact_neighbours_shuffle_no_pairs_of_blocks(spark, monkeypatch):
+    x, plans, tables = np.random.default_rng(8).normal(size=(600, 5)), [], []
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        tables.append(kept(frame))
+        return tables[-1]
+
+    monkeypatch.setattr(nearest, "kept", seen)
+    monkeypatch.setattr(nearest, "TARGETS", 8)
+    got = {(q["src"], q["rank"]): q["dst"] for q in graph.nearest_cells(cells(spark, x), 4, block=10).collect()}
+    _, near = plain_nearest(x, 4)
+    assert got == {(i, j + 1): int(near[i, j]) for i in range(600) for j in range(4)}
+    pairs = plans[1][plans[1].index("MapInArrow") :]
+    # below the blocks' meeting only the blocks themselves are dealt out, once as sources and once as targets
+    assert "CartesianProduct" in pairs and pairs.count("Exchange") == 2 and "Generate" not in pairs and "Join" not in pairs
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e25])
+def test_exact_neighbours_of_repeated_and_odd_vectors(spark, scale):
+    r = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(r.normal(size=(2, 4)), 40, axis=0), r.normal(size=(40, 4))])[r.permutation(120)] * scale
+    odd = [(None, [0.0] * 4), (500, None), (501, [0.0, float("nan"), 0.0, 0.0]), (502, [float("inf"), 0.0, 0.0, 0.0]), (503, [None, 0.0, 0.0, 0.0])]
+    frame = cells(spark, x).unionByName(spark.createDataFrame(odd, "cell_id long, vec array<double>"))
+    got = {(q["src"], q["rank"]): q["dst"] for q in graph.nearest_cells(frame, 5, block=32).collect()}
+    d = np.sqrt(np.cumsum((x[:, None] - x[None]) ** 2, axis=2)[:, :, -1])
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert got == {(i, j + 1): int(near[i, j]) for i in range(120) for j in range(5)}
+    few = graph.nearest_cells(cells(spark, x[:3]), 5)
+    assert few.count() == 6
+    assert graph.nearest_cells(cells(spark, x).limit(0), 5).count() == 0
+
+
 def test_spectrum_of_shared_neighbours_equals_numpy(spark):
     r = np.random.default_rng(4)
     x = np.concatenate([r.normal(size=(40, 3)) + 4 * c for c in range(3)])
