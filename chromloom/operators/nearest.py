@@ -20,6 +20,8 @@ from chromloom.sources.shared import discard, kept
 BLOCK, TARGETS, STRIP = 2048, 64, 256
 #: Numbers of a block at most (1 MB), and pairs that are compared exactly at once.
 NUMBERS, EXACT = 2**17, 2**14
+#: Bytes of pairs of blocks that are sent to Python at once.
+BATCH = "4m"
 #: Largest squares between which products in single precision are good to choose by; others are made in double precision.
 SINGLE = (1e-12, 1e30)
 
@@ -144,6 +146,6 @@ def nearest_cells(frame: DataFrame, k: int, key: str = "cell_id", vec: str = "ve
 
     met = sources.hint("shuffle_replicate_nl").crossJoin(targets).mapInArrow(run, "src long, dst long, dist double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    out = kept(met.withColumn("rank", rank).filter(F.col("rank") <= k))
+    out = kept(met.withColumn("rank", rank).filter(F.col("rank") <= k), {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH})
     discard(packed)
     return out

@@ -22,16 +22,20 @@ def shared_path(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def kept(frame: DataFrame) -> DataFrame:
+def kept(frame: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
     """frame written to the shared folder and read back, so that all that follows reads rows instead of working them out
-    again, and survives lost executors. The write's shuffle files go with its end."""
+    again, and survives lost executors. The write's shuffle files go with its end. settings: of the session, for
+    the write alone."""
     spark, path = frame.sparkSession, shared_path(frame.sparkSession)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | (settings or {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         frame.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(frame.schema).parquet(path)
 
 
