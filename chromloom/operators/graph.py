@@ -11,6 +11,7 @@ from chromloom.operators.nearest import nearest_cells
 from chromloom.operators.neighbours import descended, shared_spectrum
 from chromloom.operators.ranks import exact_quantiles
 from chromloom.operators.tall import r_factor, task_sums
+from chromloom.sources.shared import discard, kept
 
 
 def norm(vec: str = "vec") -> Column:
@@ -158,12 +159,14 @@ def same_label_share(edges: DataFrame, labels: DataFrame, label: str, key: str =
 
 
 def modularity(edges: DataFrame, labels: DataFrame, label: str, gamma: float = 1.0, normalize: bool = False, key: str = "cell_id") -> DataFrame:
-    """One row (modularity) of edges (src, dst, w) without self loops and with positive weight."""
+    """One row (modularity) of edges (src, dst, w) without self loops and with positive weight. The edges are worked out once."""
+    edges = kept(edges.select("src", "dst", "w"))
     if not edges.filter("src = dst").isEmpty():
         raise ValueError("self loops")
     side = lambda name: labels.select(F.col(key).alias(name), F.col(label).alias(f"{name}_label"))
     e = edges.join(side("src"), "src").join(side("dst"), "dst")
-    by = e.groupBy("src_label").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("src_label") == F.col("dst_label"), F.col("w")).otherwise(0.0)).alias("inside"))
+    by = kept(e.groupBy("src_label").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("src_label") == F.col("dst_label"), F.col("w")).otherwise(0.0)).alias("inside")))
+    discard(edges)
     total = by.agg(F.sum("w").alias("all_w"), F.sum("inside").alias("all_inside"), F.count(F.lit(1)).alias("n"))
     share = by.join(F.broadcast(total)).withColumn("k", F.col("w") / F.col("all_w"))
     out = share.agg((F.max(F.col("all_inside") / F.col("all_w")) - gamma * F.sum(F.col("k") * F.col("k"))).alias("m"), F.sum(F.col("k") * (1 - gamma * F.col("k"))).alias("top"), F.max("n").alias("n"))

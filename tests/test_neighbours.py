@@ -48,9 +48,9 @@ def test_exact_neighbours_with_close_ties(spark):
 def test_exact_neighbours_shuffle_no_pairs_of_blocks(spark, monkeypatch):
     x, plans, tables = np.random.default_rng(8).normal(size=(600, 5)), [], []
 
-    def seen(frame):
+    def seen(frame, *settings):
         plans.append(frame._jdf.queryExecution().executedPlan().toString())
-        tables.append(kept(frame))
+        tables.append(kept(frame, *settings))
         return tables[-1]
 
     monkeypatch.setattr(nearest, "kept", seen)
@@ -107,6 +107,25 @@ def test_both_scores_of_batch_mixing(spark):
     assert 0.3 < np.mean([q["share"] for q in graph.batch_mix_both(cells(spark, x), mixed, k=5, wide=8).collect()]) < 0.7
 
 
+@pytest.mark.parametrize("of", ["modularity", "shared_neighbours"])
+def test_graphs_work_their_edges_out_once(spark, of):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    ring = spark.createDataFrame([(i, (i + 1) % 40, 1.0) for i in range(40)], "src long, dst long, w double")
+    edges = ring.mapInPandas(run, "src long, dst long, w double")
+    labels = spark.createDataFrame([(i, i // 20) for i in range(40)], "cell_id long, lab long")
+    if of == "modularity":
+        assert abs(graph.modularity(edges, labels, "lab").collect()[0][0] - (38 / 40 - 0.5)) < 1e-9
+    else:
+        assert graph.shared_neighbours(edges).count() == 0
+    assert seen.value == 40
+
+
 @pytest.mark.parametrize("part", [7, 1024])
 def test_shared_neighbours_with_hubs(spark, part):
     r = np.random.default_rng(3)
