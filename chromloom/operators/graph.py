@@ -141,8 +141,10 @@ def shared_neighbours(edges: DataFrame, part: int = 1024) -> DataFrame:
     """(a, b, n): pairs of nodes a < b with n common neighbours, of edges (src, dst).
 
     The sources of a dst are dealt in parts of about `part`; two parts (or one with itself) meet in one group, so that a dst
-    with very many sources is many groups of at most part^2 pairs. Pairs are counted in each task before the shuffle.
+    with very many sources is many groups of at most part^2 pairs. Pairs are counted in each task before the shuffle. The
+    edges are worked out once.
     """
+    edges = kept(edges.select("src", "dst"))
     parts = edges.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
     own = edges.join(parts, "dst").withColumn("p", F.pmod(F.xxhash64("src"), F.col("parts")))
     x = own.select("dst", F.col("src").alias("x"), "p", F.explode(F.sequence(F.col("p"), F.col("parts") - 1)).alias("q"))
