@@ -171,11 +171,13 @@ def shared_spectrum(edges: DataFrame, rank: int, over: int = 8, power: int = 4,
             yield pd.DataFrame({"dst": f["dst"], "x": [np.random.default_rng([seed, i]).normal(size=width) for i in f["dst"]]})
 
     z = kept(edges.select("dst").distinct().mapInPandas(drawn, "dst long, x array<double>"))
-    for _ in range(power + 1):
+    for i in range(power + 1):
         y = kept(edge_sums(edges, z, "src", "dst", width))
         q = polar_rows(y, "x")[0]
         after = kept(edge_sums(edges, q, "dst", "src", width))
         discard(z)
+        if i < power:  # the last one is read again through q
+            discard(y)
         z = after
     triangle = r_factor(z, "x")
     if triangle is None:

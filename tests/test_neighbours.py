@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,20 @@ def test_spectrum_of_shared_neighbours_equals_numpy(spark):
     assert ((got**3).sum(axis=0) >= 0).all()
 
 
+def test_spectrum_keeps_no_tables_of_earlier_rounds(spark, monkeypatch):
+    tables, most = [], []
+
+    def seen(frame, *settings):
+        tables.append(kept(frame, *settings))
+        most.append(sum(Path(t.inputFiles()[0].removeprefix("file://")).exists() for t in tables))
+        return tables[-1]
+
+    monkeypatch.setattr(neighbours, "kept", seen)
+    edges = spark.createDataFrame([(i, (i + j) % 40) for i in range(40) for j in (1, 2, 5)], "src long, dst long")
+    assert neighbours.shared_spectrum(edges, 3)[0].count() == 40
+    assert max(most) <= 4  # the edges, two sides and the next one
+
+
 def test_both_scores_of_batch_mixing(spark):
     r = np.random.default_rng(5)
     x = np.concatenate([r.normal(size=(60, 4)) + 20 * c for c in range(2)])
