@@ -22,6 +22,8 @@ from chromloom.sources.shared import discard, kept
 
 #: Cells of a bucket of the start, and how many codes each cell gets.
 BUCKET, CODES = 256, 3
+#: Pairs of members that are compared at once.
+PAIRS = 2**18
 #: Rounds at most, and the share of edges whose change goes on.
 ROUNDS, SETTLED = 20, 0.002
 
@@ -88,6 +90,49 @@ def bucketed(vectors: DataFrame, n: int, width: int, k: int, seed: int) -> DataF
     return out
 
 
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows sorted by the key, cut between keys alone, so that no group is in two tables."""
+    rest = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            keys = rows.column(key).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield rows.slice(0, cut)
+            rest = rows.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def _met(groups: pa.Table, k: int) -> pa.Table:
+    """(src, dst, dist): for each member u the k nearest others of its group v that may better its list; groups of like size are compared together."""
+    v = groups.column("v").to_numpy()
+    ids, x = _ids_and_rows(groups, "u")
+    fresh, far = groups.column("fresh").to_numpy(), groups.column("far").to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(v)]]))
+    order, out, done = np.argsort(-sizes, kind="stable"), [], 0
+    while done < len(order) and (m := int(sizes[order[done]])) > 1:
+        some = order[done : done + max(1, PAIRS // m**2)]
+        done += len(some)
+        there = np.arange(m) < sizes[some, None]
+        at = np.where(there, starts[some, None] + np.arange(m), starts[some, None])
+        y, new = x[at], fresh[at]
+        square = (y * y).sum(axis=2)
+        d = np.sqrt(np.maximum(square[:, :, None] + square[:, None] - 2 * (y @ y.transpose(0, 2, 1)), 0))
+        open_ = (new[:, :, None] | new[:, None]) & (d < far[at][:, :, None]) & there[:, :, None] & there[:, None]
+        open_[:, np.arange(m), np.arange(m)] = False
+        d[~open_] = np.inf
+        n = min(k, m - 1)
+        top = np.argpartition(d, n - 1, axis=2)[:, :, :n]
+        dist = np.take_along_axis(d, top, axis=2)
+        group, one, place = np.nonzero(np.isfinite(dist))
+        out.append((ids[at[group, one]], ids[at[group, top[group, one, place]]], dist[group, one, place]))
+    return _edges(*(np.concatenate(c) for c in zip(*out, strict=True))) if out else _edges([], [], [])
+
+
 def _round(edges: DataFrame, vectors: DataFrame, k: int, sample: int, seed: int) -> DataFrame:
     """(src, dst, dist, fresh) after every cell's neighbours have met once."""
     worst = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).select(F.col("src").alias("u"), F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("far"))
@@ -97,22 +142,12 @@ def _round(edges: DataFrame, vectors: DataFrame, k: int, sample: int, seed: int)
     members = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), "fresh").unionByName(back).groupBy("v", "u").agg(F.max("fresh").alias("fresh"))
     known = vectors.withColumnRenamed("id", "u").join(worst, "u", "left").select("u", "vec", F.coalesce("far", F.lit(float("inf"))).alias("far"))
 
-    def meet(group: pa.Table) -> pa.Table:
-        ids, x = _ids_and_rows(group, "u")
-        fresh, far = group.column("fresh").to_numpy(), group.column("far").to_numpy()
-        d = pair_distances(x, x)
-        open_ = (fresh[:, None] | fresh[None]) & (d < far[:, None])
-        np.fill_diagonal(open_, False)
-        d[~open_] = np.inf
-        n = min(k, len(ids) - 1)
-        if n < 1 or not open_.any():
-            return _edges([], [], [])
-        top = np.argpartition(d, n - 1, axis=1)[:, :n]
-        dist = np.take_along_axis(d, top, axis=1)
-        used = np.isfinite(dist)
-        return _edges(np.repeat(ids, n)[used.ravel()], ids[top][used], dist[used])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _whole(batches, "v"):
+            yield from _met(groups, k).to_batches()
 
-    found = members.join(known, "u").groupBy("v").applyInArrow(meet, "src long, dst long, dist double")
+    # many cells' groups in a call: one call for each cell takes longer than the comparisons
+    found = members.join(known, "u").repartition("v").sortWithinPartitions("v").mapInArrow(meet, "src long, dst long, dist double")
     # an edge found again has been there before; its distance may differ in the last digits
     merged = edges.select("src", "dst", "dist", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True))).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("fresh").alias("fresh"))
     return _best(merged, k)

@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,25 @@ def test_descent_finds_nearly_all_neighbours(spark):
     assert sum((i, int(j)) in found for i in range(1500) for j in near[i]) >= 0.95 * 15_000
 
 
+def test_members_of_many_groups_meet_as_those_of_each_alone():
+    r, k = np.random.default_rng(11), 4
+    sizes = r.integers(1, 12, 300)
+    v, n = np.repeat(np.arange(300), sizes), int(sizes.sum())
+    x, u, fresh, far = r.normal(size=(n, 3)).astype(np.float32), r.permutation(n), r.random(n) < 0.5, np.where(r.random(n) < 0.2, np.inf, r.random(n) * 4)
+    table = pa.table({"v": v, "u": u, "vec": pa.array(list(x), pa.list_(pa.float32())), "far": far, "fresh": fresh})
+    batches = [b for start in range(0, n, 97) for b in table.slice(start, 97).to_batches()]
+    parts = list(neighbours._whole(iter(batches), "v"))
+    got = {(a, b): d for p in parts for a, b, d in zip(*(c.to_pylist() for c in neighbours._met(p, k).columns), strict=True)}
+    assert sum(map(len, parts)) == n and len(parts) > 5
+    want = {}
+    for g in range(300):
+        own = np.flatnonzero(v == g)
+        for i in own:
+            d = sorted((float(np.linalg.norm(x[i].astype(float) - x[j])), u[j]) for j in own if j != i and (fresh[i] or fresh[j]))
+            want |= {(u[i], b): dist for dist, b in d[:k] if dist < far[i]}
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-6 for e in want)
+
+
 def test_descent_of_repeated_few_and_no_cells(spark):
     x = np.repeat(np.random.default_rng(1).normal(size=(3, 4)), 40, axis=0)
     rows = neighbours.descended(cells(spark, x), 5).collect()
